@@ -1,0 +1,157 @@
+"""Registered queries: one callable (spark, sf_dir) -> DataFrame per operator.
+
+Each query builds its stand-in inputs from the driver tables (``sources.fixtures``)
+and runs the library's own operators over the whole tables. Outputs are flat rows
+(lists are joined with '|') so they compare across engines.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..functions import paths as P
+from ..operators import graph as G
+from ..operators import imports as IM
+from ..operators import ingest as I
+from ..sources import fixtures as X
+from .ingestion import RepoGraph, ingestion_report
+
+SEP = "|"
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> RepoGraph:
+    return RepoGraph(X.files(spark, sf_dir))
+
+
+def joined(c: str, alias: str | None = None):
+    return F.array_join(F.col(c), SEP).alias(alias or c)
+
+
+# ---------------------------------------------------------------------------
+# A/B: scans, path predicates
+# ---------------------------------------------------------------------------
+def q_ingest_filter(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.tree.select("repo_id", "path", "tree_ord", "extension", "size_bytes", "is_signal", "fetched",
+                         F.coalesce(F.length("content"), F.lit(0)).cast("bigint").alias("content_chars"))
+
+
+def q_signal_files(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.tree.where(F.col("is_signal")).select(
+        "repo_id", "path", "tree_ord", F.coalesce(F.length("content"), F.lit(0)).cast("bigint").alias("content_chars"))
+
+
+def q_source_quota(spark, sf_dir):
+    t = I.filter_tree(X.files(spark, sf_dir))
+    return I.quota_ranks(t, K.MAX_SOURCE_FILES).select(
+        "repo_id", "path", F.col("quota_rank").cast("int").alias("quota_rank"), "pinned",
+        F.col("depth").cast("bigint").alias("depth"), "size_bytes")
+
+
+def q_ext_profile(spark, sf_dir):
+    f = X.files(spark, sf_dir)
+    return (f.groupBy("repo_id", P.extension("path").alias("extension"))
+            .agg(F.count(F.lit(1)).alias("n_files"), F.sum("size_bytes").cast("bigint").alias("total_bytes")))
+
+
+def q_language_profile(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return (g.tree.groupBy("repo_id", P.language("path").alias("language"))
+            .agg(F.count(F.lit(1)).alias("n_files")))
+
+
+def q_noise_files(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.tree.select("repo_id", "path", P.is_noise("path").alias("is_noise"))
+
+
+def q_path_penalty(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.tree.select("repo_id", "path", P.path_penalty("path").alias("penalty"))
+
+
+# ---------------------------------------------------------------------------
+# C/D/E: imports, resolution, edges
+# ---------------------------------------------------------------------------
+def q_py_imports(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return IM.import_counts(IM.python_imports(g.tree))
+
+
+def q_js_imports(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return IM.import_counts(IM.javascript_imports(g.tree))
+
+
+def q_resolve_relative(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.resolved.where(F.col("module").startswith("."))
+
+
+def q_resolve_absolute(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.resolved.where(~F.col("module").startswith("."))
+
+
+def q_dependency_edges(spark, sf_dir):
+    return _graph(spark, sf_dir).edges
+
+
+# ---------------------------------------------------------------------------
+# graph
+# ---------------------------------------------------------------------------
+def q_pagerank(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.pagerank.select("repo_id", F.col("id").alias("path"), F.round("pagerank", 9).alias("pagerank"),
+                             "converged", F.col("iterations").cast("int").alias("iterations"))
+
+
+def q_central_files(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.central(K.REPORT_CENTRAL_TOP_N).select("repo_id", "rank", "path",
+                                                   F.round("pagerank", 9).alias("pagerank"))
+
+
+def q_repo_stats(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return G.repo_stats(g.tree, g.edges)
+
+
+def q_degree_stats(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return G.degree_stats(g.tree, g.edges)
+
+
+def q_graph_payload(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return G.graph_payload(g.central(K.REPORT_CENTRAL_TOP_N), g.edges)
+
+
+def q_ingestion_report(spark, sf_dir):
+    r = ingestion_report(_graph(spark, sf_dir))
+    return r.select("repo_id", "total_files", joined("signal_files"), "graph_nodes", "graph_edges",
+                    joined("top_central_files"))
+
+
+QUERIES = {
+    "ingest_filter": q_ingest_filter,
+    "signal_files": q_signal_files,
+    "source_quota": q_source_quota,
+    "ext_profile": q_ext_profile,
+    "language_profile": q_language_profile,
+    "noise_files": q_noise_files,
+    "path_penalty": q_path_penalty,
+    "py_imports": q_py_imports,
+    "js_imports": q_js_imports,
+    "resolve_relative": q_resolve_relative,
+    "resolve_absolute": q_resolve_absolute,
+    "dependency_edges": q_dependency_edges,
+    "pagerank": q_pagerank,
+    "central_files": q_central_files,
+    "repo_stats": q_repo_stats,
+    "degree_stats": q_degree_stats,
+    "graph_payload": q_graph_payload,
+    "ingestion_report": q_ingestion_report,
+}

@@ -1,0 +1,349 @@
+"""DuckDB oracle SQL for the correctness gate.
+
+Each query's oracle is a chain of CTEs over the driver's pre-registered views,
+written independently of the Spark plans (plain SQL, brute-force joins where that
+is simpler). Fragments are composed per query; only the ones a query needs are
+emitted.
+"""
+from __future__ import annotations
+
+from codemap import constants as K
+from codemap.functions import regex as R
+from codemap.sources.fixtures import KEYWORD_LIST
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def lst(values) -> str:
+    return "[" + ", ".join(q(v) for v in values) + "]"
+
+
+def inl(values) -> str:
+    return "(" + ", ".join(q(v) for v in values) + ")"
+
+
+def ext(p: str) -> str:
+    return f"(CASE WHEN strpos({p}, '.') > 0 THEN '.' || regexp_extract({p}, '[^.]*$') ELSE '' END)"
+
+
+def fname(p: str) -> str:
+    return f"regexp_extract({p}, '[^/]*$')"
+
+
+def dname(p: str) -> str:
+    return f"(CASE WHEN strpos({p}, '/') > 0 THEN left({p}, length({p}) - length({fname(p)}) - 1) ELSE '' END)"
+
+
+def depth(p: str) -> str:
+    return f"(length({p}) - length(replace({p}, '/', '')))"
+
+
+def noise(p: str) -> str:
+    low = f"lower({p})"
+    parts = f"string_split({low}, '/')"
+    fn = fname(low)
+    conds = [f"list_has_any({parts}[1:len({parts}) - 1], {lst(K.NOISE_DIRS)})"]
+    conds += [f"starts_with({fn}, {q(x)})" for x in K.NOISE_FILE_PREFIXES]
+    conds += [f"ends_with({fn}, {q(x)})" for x in K.NOISE_FILE_SUFFIXES]
+    conds += [f"{fn} IN {inl(K.NOISE_FILES)}"]
+    return "(" + " OR ".join(conds) + ")"
+
+
+def penalty(p: str) -> str:
+    low = f"lower({p})"
+    strong = " OR ".join(f"contains({low}, {q(s)})" for s in K.PENALTY_SUBSTRINGS)
+    weak = " OR ".join(f"ends_with({low}, {q(s)})" for s in K.PENALTY_SUFFIXES)
+    return f"(CASE WHEN {strong} THEN 0.2::DOUBLE WHEN {weak} THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END)"
+
+
+def has_content(c: str = "content") -> str:
+    return f"({c} IS NOT NULL AND length({c}) > 0)"
+
+
+# ---------------------------------------------------------------------------
+# fixtures
+# ---------------------------------------------------------------------------
+FILES = """files AS (
+  WITH d AS (
+    SELECT doc_id, text, n_chars, CAST(floor(doc_id / 20) AS BIGINT) AS j, doc_id % 20 AS r FROM documents
+  ), s AS (
+    SELECT d.*, CAST(doc_id AS STRING) AS ds, CAST(CAST(floor(j / 24) AS BIGINT) AS STRING) AS bs,
+      CASE WHEN j < 3 THEN '' WHEN j % 7 = 1 THEN '.js' WHEN j % 7 = 4 THEN '.ts'
+           WHEN j % 7 = 5 THEN '.md' WHEN j % 7 = 6 THEN '.png' ELSE '.py' END AS ext
+    FROM d
+  )
+  SELECT concat('org/repo', CAST(r AS STRING)) AS repo_id,
+    CASE j WHEN 0 THEN 'README.md' WHEN 1 THEN 'Dockerfile' WHEN 2 THEN 'package.json' ELSE concat(
+      CASE j % 6 WHEN 0 THEN 'src/app' WHEN 1 THEN 'src/core' WHEN 2 THEN 'tests'
+                 WHEN 3 THEN 'pkg/api' WHEN 4 THEN 'src/db' ELSE 'node_modules/x' END,
+      '/d', bs, '/',
+      CASE j % 8 WHEN 3 THEN 'main' WHEN 5 THEN 'routing' WHEN 6 THEN concat('test_m', ds)
+                 ELSE concat('m', ds) END, ext) END AS path,
+    j AS tree_ord, doc_id, n_chars * 20 AS size_bytes,
+    concat(
+      CASE ext
+        WHEN '.py' THEN concat('import m', CAST(doc_id - 20 AS STRING), chr(10),
+          'from pkg.m', CAST(doc_id - 140 AS STRING), ' import x', chr(10), 'import main', chr(10),
+          'import routing as rt, m', CAST(doc_id + 20 AS STRING), chr(10),
+          'from .m import m', CAST(doc_id + 140 AS STRING), chr(10))
+        WHEN '.js' THEN concat('import a from "./m', CAST(doc_id - 120 AS STRING), '";', chr(10),
+          'import "../main";', chr(10), 'const b = require("m', CAST(doc_id - 140 AS STRING), '");', chr(10))
+        ELSE '' END,
+      CASE WHEN ext IN ('.py', '.js') THEN concat('@app.get("/r', ds, '")', chr(10), 'def h', ds, '(a):', chr(10),
+          '    return db.query(a)', chr(10), 'class C', ds, ':', chr(10)) ELSE '' END,
+      CASE WHEN j % 9 = 0 THEN concat('@bp.route("/f', ds, '")', chr(10), 'if __name__ == "__main__":', chr(10)) ELSE '' END,
+      text) AS content
+  FROM s
+)"""
+
+RESPONSES = """responses AS (
+  SELECT concat('org/repo', CAST(conv_id % 20 AS STRING)) AS repo_id, conv_id * 100 + turn AS response_id,
+    CASE turn % 4
+      WHEN 0 THEN concat('```json', chr(10), '{"summary":"', md5(text), '","tech_stack":["spark","python","spark"],"main_modules":["routing","src/app.py","api.py"," routing ",""],"entry_points":["./main.py","routing.py","nope.py"],"flow_mermaid":" graph TD "}', chr(10), '```')
+      WHEN 1 THEN concat('{"summary":"', md5(text), '","tech_stack":[],"main_modules":[],"entry_points":["main.py"],"keywords":["the","import"],"flow_mermaid":["a","b"]}')
+      WHEN 2 THEN '{"summary":7,"tech_stack":"spark","main_modules":null,"flow_mermaid":{"k":1}}'
+      ELSE concat('Sure! ', md5(text)) END AS raw
+  FROM conversations
+)"""
+
+
+def keywords_cte() -> str:
+    vals = ", ".join(f"({i}, {q(k)})" for i, k in enumerate(KEYWORD_LIST))
+    return f"""keywords AS (
+  SELECT r.repo_id, CAST(k.kw_ord AS BIGINT) AS kw_ord, k.keyword
+  FROM (SELECT DISTINCT repo_id FROM files) r, (VALUES {vals}) k(kw_ord, keyword)
+)"""
+
+
+FILE_VECTORS = """file_vectors AS (
+  SELECT f.repo_id, f.path, CAST(e.embedding AS DOUBLE[]) AS embedding
+  FROM files f JOIN embeddings e ON e.vec_id = f.doc_id % 500
+)"""
+
+REPO_VECTORS = """repo_vectors AS (
+  SELECT concat('org/repo', CAST(vec_id AS STRING)) AS repo_id, CAST(embedding AS DOUBLE[]) AS embedding
+  FROM embeddings WHERE vec_id < 20
+)"""
+
+REQUESTS = """requests AS (
+  SELECT page_id,
+    CASE page_id % 5
+      WHEN 0 THEN concat('https://github.com/org/repo', CAST(page_id % 20 AS STRING), '.git')
+      WHEN 1 THEN concat('https://github.com/org/repo', CAST(page_id % 20 AS STRING), '.git/tree/main')
+      WHEN 2 THEN concat('org/repo', CAST(page_id % 20 AS STRING), '/')
+      WHEN 3 THEN url
+      ELSE 'org' END AS repo_url,
+    CAST(8000 AS INTEGER) AS token_budget
+  FROM pages
+)"""
+
+
+# ---------------------------------------------------------------------------
+# ingestion
+# ---------------------------------------------------------------------------
+def tree_ctes(max_source_files: int = K.MAX_SOURCE_FILES) -> list[str]:
+    skip = (f"list_has_any(string_split(path, '/'), {lst(K.SKIP_DIRS)}) "
+            f"OR {ext('path')} IN {inl(K.SKIP_EXTENSIONS)}")
+    return [
+        f"""ft AS (
+  SELECT repo_id, path, tree_ord, CAST(coalesce(size_bytes, 0) AS BIGINT) AS size_bytes, content,
+    {ext('path')} AS extension, {fname('path')} IN {inl(K.SIGNAL_FILENAMES)} AS is_signal
+  FROM files WHERE NOT ({skip}) AND coalesce(size_bytes, 0) <= {K.MAX_FILE_SIZE}
+)""",
+        f"""qr AS (
+  SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY
+    lower({fname('path')}) IN {inl(K.ALWAYS_FETCH_FILENAMES)} DESC, {depth('path')}, size_bytes, tree_ord) AS quota_rank
+  FROM ft WHERE extension IN {inl(K.SOURCE_EXTENSIONS)} AND NOT is_signal
+)""",
+        f"""tree AS (
+  SELECT ft.repo_id, ft.path, ft.tree_ord, ft.extension, ft.size_bytes, ft.is_signal,
+    (ft.is_signal OR coalesce(qr.quota_rank <= {max_source_files}, false)) AS fetched,
+    CASE WHEN ft.is_signal OR coalesce(qr.quota_rank <= {max_source_files}, false) THEN ft.content END AS content
+  FROM ft LEFT JOIN qr USING (repo_id, path)
+)"""]
+
+
+def import_ctes() -> list[str]:
+    d = R.duck
+    clean = (lambda x: f"list_filter(list_transform(string_split(regexp_replace({x}, {q(R.PY_LIST_NOISE)}, '', 'g'), ','), "
+             f"lambda t: regexp_replace(t, {q(R.EDGE_SPACE)}, '', 'g')), lambda t: regexp_matches(t, {q(R.DOTTED_FULL)}))")
+    return [
+        f"""pyc AS (
+  SELECT repo_id, path AS src, regexp_replace(content, {q(R.PY_TRIPLE_QUOTED)}, '', 'g') AS code
+  FROM tree WHERE extension = '.py' AND {has_content()}
+)""",
+        f"""py_plain AS (
+  SELECT repo_id, src, unnest({clean('lst')}) AS module
+  FROM (SELECT repo_id, src, unnest(regexp_extract_all(code, {q(d(R.PY_IMPORT_STMT))}, 1)) AS lst FROM pyc)
+)""",
+        f"""py_from AS (
+  SELECT repo_id, src, CASE WHEN dots = '' THEN CASE WHEN md <> '__future__' THEN md END
+                            ELSE {clean('lst')}[1] END AS module
+  FROM (SELECT repo_id, src,
+          unnest(regexp_extract_all(code, {q(d(R.PY_FROM_STMT))}, 1)) AS dots,
+          unnest(regexp_extract_all(code, {q(d(R.PY_FROM_STMT))}, 2)) AS md,
+          unnest(regexp_extract_all(code, {q(d(R.PY_FROM_STMT))}, 3)) AS lst FROM pyc)
+)""",
+        f"""jsc AS (
+  SELECT repo_id, path AS src,
+    regexp_replace(regexp_replace(content, {q(R.JS_BLOCK_COMMENT)}, '', 'g'), {q(d(R.JS_LINE_COMMENT))}, '', 'g') AS code
+  FROM tree WHERE extension IN ('.js', '.jsx') AND {has_content()}
+)""",
+        f"""imports AS (
+  SELECT repo_id, src, module FROM py_plain
+  UNION ALL SELECT repo_id, src, module FROM py_from WHERE module IS NOT NULL AND module <> ''
+  UNION ALL SELECT repo_id, src, unnest(list_concat(regexp_extract_all(code, {q(d(R.JS_IMPORT))}, 1),
+                                               regexp_extract_all(code, {q(d(R.JS_REQUIRE))}, 1))) FROM jsc
+)"""]
+
+
+def resolve_ctes() -> list[str]:
+    rel = ", ".join(f"({i}, {q(s)})" for i, s in enumerate(K.RELATIVE_CANDIDATE_SUFFIXES))
+    ab = ", ".join(f"({i}, {q(s)})" for i, s in enumerate(K.ABSOLUTE_CANDIDATE_SUFFIXES))
+    last = "regexp_extract(m.module, '[^.]*$')"
+    return [
+        """mods AS (SELECT DISTINCT repo_id, src, module FROM imports)""",
+        f"""cands AS (
+  SELECT repo_id, src, module, c.prio, {dname('src')} || '/' || regexp_replace(module, '^[./]+', '') || c.sfx AS cand
+  FROM mods, (VALUES {rel}) c(prio, sfx) WHERE starts_with(module, '.')
+  UNION ALL
+  SELECT repo_id, src, module, c.prio, replace(module, '.', '/') || c.sfx AS cand
+  FROM mods, (VALUES {ab}) c(prio, sfx) WHERE NOT starts_with(module, '.')
+)""",
+        f"""resolved AS (
+  SELECT repo_id, src, module, dst, prio AS rule FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id, src, module ORDER BY prio, dst) AS rn FROM (
+      SELECT c.repo_id, c.src, c.module, c.prio, c.cand AS dst
+      FROM cands c JOIN tree t ON t.repo_id = c.repo_id AND t.path = c.cand
+      UNION ALL
+      SELECT m.repo_id, m.src, m.module, {len(K.ABSOLUTE_CANDIDATE_SUFFIXES)} AS prio, min(t.path) AS dst
+      FROM mods m JOIN tree t ON t.repo_id = m.repo_id
+        AND (ends_with(t.path, '/' || {last} || '.py') OR ends_with(t.path, '/' || {last} || '.js'))
+      WHERE NOT starts_with(m.module, '.')
+      GROUP BY m.repo_id, m.src, m.module))
+  WHERE rn = 1
+)""",
+        """edges AS (SELECT DISTINCT repo_id, src, dst FROM resolved WHERE src <> dst)"""]
+
+
+def pagerank_ctes(max_iter: int = K.PAGERANK_MAX_ITER, tol: float = K.PAGERANK_TOL,
+                  alpha: float = K.PAGERANK_ALPHA) -> list[str]:
+    a = f"CAST({alpha!r} AS DOUBLE)"
+    tl = f"CAST({tol!r} AS DOUBLE)"
+    out = [
+        """ew AS (SELECT repo_id, src AS id, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY repo_id, src) AS w FROM edges)""",
+        """pr0 AS MATERIALIZED (
+  SELECT t.repo_id, t.path AS id, CAST(count(*) OVER (PARTITION BY t.repo_id) AS DOUBLE) AS n,
+    NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = t.repo_id AND e.src = t.path) AS dangling,
+    1.0::DOUBLE / count(*) OVER (PARTITION BY t.repo_id) AS x, CAST(NULL AS DOUBLE) AS xp, false AS done, 0 AS it
+  FROM tree t
+)"""]
+    for i in range(1, max_iter + 1):
+        p = f"pr{i - 1}"
+        fin = f"(s.done OR ({i} > 1 AND coalesce(r.err < s.n * {tl}, false)))"
+        out.append(f"""pr{i} AS MATERIALIZED (
+  SELECT s.repo_id, s.id, s.n, s.dangling,
+    CASE WHEN {fin} THEN s.x ELSE {a} * (coalesce(c.c, 0.0::DOUBLE) + r.dmass / s.n) + (1.0::DOUBLE - {a}) / s.n END AS x,
+    CASE WHEN {fin} THEN s.xp ELSE s.x END AS xp, {fin} AS done, CASE WHEN {fin} THEN s.it ELSE {i} END AS it
+  FROM {p} s
+  JOIN (SELECT repo_id, sum(CASE WHEN dangling THEN x ELSE 0.0::DOUBLE END) AS dmass, sum(abs(x - xp)) AS err
+        FROM {p} GROUP BY repo_id) r ON r.repo_id = s.repo_id
+  LEFT JOIN (SELECT s2.repo_id, e.dst AS id, sum(s2.x * e.w) AS c FROM {p} s2
+             JOIN ew e ON e.repo_id = s2.repo_id AND e.id = s2.id WHERE NOT s2.done
+             GROUP BY s2.repo_id, e.dst) c ON c.repo_id = s.repo_id AND c.id = s.id
+)""")
+    last = f"pr{max_iter}"
+    out.append(f"""pagerank AS (
+  SELECT s.repo_id, s.id, s.x AS pagerank, (s.done OR coalesce(r.err < s.n * {tl}, false)) AS converged, s.it AS iterations
+  FROM {last} s JOIN (SELECT repo_id, sum(abs(x - xp)) AS err FROM {last} GROUP BY repo_id) r ON r.repo_id = s.repo_id
+)""")
+    return out
+
+
+def central_cte(name: str, top_n: int) -> str:
+    return f"""{name} AS (
+  SELECT repo_id, rank, path, pagerank, tree_ord FROM (
+    SELECT p.repo_id, p.id AS path, p.pagerank, t.tree_ord,
+      CAST(row_number() OVER (PARTITION BY p.repo_id ORDER BY round(p.pagerank, 12) DESC, t.tree_ord) AS INTEGER) AS rank
+    FROM pagerank p JOIN tree t ON t.repo_id = p.repo_id AND t.path = p.id
+    WHERE NOT {noise('p.id')})
+  WHERE rank <= {top_n}
+)"""
+
+
+def graph_ctes() -> list[str]:
+    return [FILES] + tree_ctes() + import_ctes() + resolve_ctes()
+
+
+def with_(ctes: list[str], select: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n" + select
+
+
+# ---------------------------------------------------------------------------
+# per-query oracle SQL
+# ---------------------------------------------------------------------------
+def _lang_case(p: str) -> str:
+    whens = " ".join(f"WHEN {q(e)} THEN {q(l)}" for e, l in K.EXTENSION_TO_LANGUAGE)
+    return f"(CASE {ext(p)} {whens} END)"
+
+
+def _ingestion_queries() -> dict[str, str]:
+    T = [FILES] + tree_ctes()
+    GR = graph_ctes()
+    PRC = GR + pagerank_ctes()
+    content_chars = "CAST(coalesce(length(content), 0) AS BIGINT) AS content_chars"
+    out = {
+        "ingest_filter": with_(T, f"SELECT repo_id, path, tree_ord, extension, size_bytes, is_signal, fetched, {content_chars} FROM tree"),
+        "signal_files": with_(T, f"SELECT repo_id, path, tree_ord, {content_chars} FROM tree WHERE is_signal"),
+        "source_quota": with_(T, f"""SELECT repo_id, path, CAST(quota_rank AS INTEGER) AS quota_rank,
+  lower({fname('path')}) IN {inl(K.ALWAYS_FETCH_FILENAMES)} AS pinned, CAST({depth('path')} AS BIGINT) AS depth, size_bytes
+FROM qr JOIN ft USING (repo_id, path) WHERE quota_rank <= {K.MAX_SOURCE_FILES}"""),
+        "ext_profile": with_([FILES], f"""SELECT repo_id, {ext('path')} AS extension, count(*) AS n_files,
+  CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM files GROUP BY ALL"""),
+        "language_profile": with_(T, f"SELECT repo_id, {_lang_case('path')} AS language, count(*) AS n_files FROM tree GROUP BY ALL"),
+        "noise_files": with_(T, f"SELECT repo_id, path, {noise('path')} AS is_noise FROM tree"),
+        "path_penalty": with_(T, f"SELECT repo_id, path, {penalty('path')} AS penalty FROM tree"),
+        "py_imports": with_([FILES] + tree_ctes() + import_ctes(),
+                            """SELECT repo_id, src, module, count(*) AS n FROM (
+  SELECT repo_id, src, module FROM py_plain UNION ALL
+  SELECT repo_id, src, module FROM py_from WHERE module IS NOT NULL AND module <> '') GROUP BY ALL"""),
+        "js_imports": with_([FILES] + tree_ctes() + import_ctes(), f"""SELECT repo_id, src, module, count(*) AS n FROM (
+  SELECT repo_id, src, unnest(list_concat(regexp_extract_all(code, {q(R.duck(R.JS_IMPORT))}, 1),
+                                          regexp_extract_all(code, {q(R.duck(R.JS_REQUIRE))}, 1))) AS module FROM jsc)
+GROUP BY ALL"""),
+        "resolve_relative": with_(GR, "SELECT repo_id, src, module, dst, CAST(rule AS INTEGER) AS rule FROM resolved WHERE starts_with(module, '.')"),
+        "resolve_absolute": with_(GR, "SELECT repo_id, src, module, dst, CAST(rule AS INTEGER) AS rule FROM resolved WHERE NOT starts_with(module, '.')"),
+        "dependency_edges": with_(GR, "SELECT repo_id, src, dst FROM edges"),
+        "pagerank": with_(PRC, """SELECT repo_id, id AS path, round(pagerank, 9) AS pagerank, converged,
+  CAST(iterations AS INTEGER) AS iterations FROM pagerank"""),
+        "central_files": with_(PRC + [central_cte("central", K.REPORT_CENTRAL_TOP_N)],
+                               "SELECT repo_id, rank, path, round(pagerank, 9) AS pagerank FROM central"),
+        "repo_stats": with_(GR, """SELECT t.repo_id, t.total_files, t.signal_files, t.total_files AS graph_nodes,
+  CAST(coalesce(e.graph_edges, 0) AS BIGINT) AS graph_edges
+FROM (SELECT repo_id, count(*) AS total_files, count(*) FILTER (WHERE is_signal) AS signal_files FROM tree GROUP BY repo_id) t
+LEFT JOIN (SELECT repo_id, count(*) AS graph_edges FROM edges GROUP BY repo_id) e USING (repo_id)"""),
+        "degree_stats": with_(GR, """SELECT t.repo_id, t.path,
+  (SELECT count(*) FROM edges e WHERE e.repo_id = t.repo_id AND e.src = t.path) AS imports,
+  (SELECT count(*) FROM edges e WHERE e.repo_id = t.repo_id AND e.dst = t.path) AS imported_by
+FROM tree t"""),
+        "graph_payload": with_(PRC + [central_cte("central", K.REPORT_CENTRAL_TOP_N)], """SELECT n.repo_id, n.id,
+  EXISTS (SELECT 1 FROM central c WHERE c.repo_id = n.repo_id AND c.path = n.id) AS central,
+  (SELECT count(*) FROM edges e WHERE e.repo_id = n.repo_id AND e.src = n.id) AS links_out
+FROM (SELECT repo_id, src AS id FROM edges UNION SELECT repo_id, dst FROM edges UNION SELECT repo_id, path FROM central) n"""),
+        "ingestion_report": with_(PRC + [central_cte("central", K.REPORT_CENTRAL_TOP_N)], """SELECT t.repo_id, t.total_files,
+  coalesce(s.signal_files, '') AS signal_files, t.total_files AS graph_nodes,
+  CAST(coalesce(e.graph_edges, 0) AS BIGINT) AS graph_edges, coalesce(c.top_central_files, '') AS top_central_files
+FROM (SELECT repo_id, count(*) AS total_files FROM tree GROUP BY repo_id) t
+LEFT JOIN (SELECT repo_id, string_agg(path, '|' ORDER BY tree_ord) AS signal_files FROM tree WHERE is_signal GROUP BY repo_id) s USING (repo_id)
+LEFT JOIN (SELECT repo_id, count(*) AS graph_edges FROM edges GROUP BY repo_id) e USING (repo_id)
+LEFT JOIN (SELECT repo_id, string_agg(path, '|' ORDER BY rank) AS top_central_files FROM central GROUP BY repo_id) c USING (repo_id)"""),
+    }
+    return out
+
+
+def oracle() -> dict[str, str]:
+    out = {}
+    out.update(_ingestion_queries())
+    return out
