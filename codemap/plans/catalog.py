@@ -14,6 +14,9 @@ from ..functions import paths as P
 from ..operators import graph as G
 from ..operators import imports as IM
 from ..operators import ingest as I
+from ..operators import lexical as LX
+from ..operators import rank as RK
+from ..operators import semantic as SM
 from ..sources import fixtures as X
 from .ingestion import RepoGraph, ingestion_report
 
@@ -135,6 +138,93 @@ def q_ingestion_report(spark, sf_dir):
                     joined("top_central_files"))
 
 
+# ---------------------------------------------------------------------------
+# retrieval
+# ---------------------------------------------------------------------------
+def r9(c):
+    return F.round(F.col(c), 9).alias(c)
+
+
+def entry_point_standin(tree: DataFrame) -> DataFrame:
+    """Stand-in entry-point list (a context input): every file named main.py."""
+    return tree.where(P.filename("path") == "main.py").select("repo_id", "path")
+
+
+def _retrieval(spark, sf_dir, budget=K.TOKEN_BUDGET_DEFAULT):
+    g = _graph(spark, sf_dir)
+    kw = X.keywords(g.files)
+    fv = X.file_vectors(spark, sf_dir, g.files)
+    rv = X.repo_vectors(spark, sf_dir)
+    res = RK.select_top_k(g.tree, g.pagerank, kw, entry_point_standin(g.tree), fv, rv, budget)
+    return g, res
+
+
+def q_truncate_tokens(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    c = RK.candidates(g.tree)
+    t = RK.truncated("content")
+    return c.select("repo_id", "path", F.length("content").cast("bigint").alias("chars"),
+                    F.length(t).cast("bigint").alias("truncated_chars"), RK.token_estimate(t).alias("tokens"))
+
+
+def q_repo_fits_budget(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    c = RK.candidates(g.tree)
+    tot = c.groupBy("repo_id").agg(F.sum(RK.token_estimate(RK.truncated("content"))).cast("bigint").alias("total_tokens"))
+    return tot.withColumn("fits", F.col("total_tokens") <= F.lit(K.API_TOKEN_BUDGET))
+
+
+def q_bm25_corpus_stats(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    st = LX.corpus_stats(RK.candidates(g.tree))
+    nterms = st["idf"].groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    return (st["repo"].join(nterms, "repo_id")
+            .select("repo_id", "n_docs", r9("avgdl"), r9("average_idf"), "n_terms"))
+
+
+def q_bm25_rank(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    b = LX.bm25_scores(RK.candidates(g.tree), X.keywords(g.files))
+    return b.select("repo_id", "path", r9("bm25_raw"), r9("bm25"))
+
+
+def q_cosine_rank(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    s = SM.cosine_scores(RK.candidates(g.tree), X.file_vectors(spark, sf_dir, g.files), X.repo_vectors(spark, sf_dir))
+    return s.select("repo_id", "path", r9("cos_raw"), r9("semantic"))
+
+
+def q_semantic_shortlist(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    c = RK.candidates(g.tree)
+    prs = RK.pagerank_signal(c, g.pagerank)
+    bm = LX.bm25_scores(c, X.keywords(g.files))
+    s = RK.semantic_shortlist(c, prs, bm, X.file_vectors(spark, sf_dir, g.files), X.repo_vectors(spark, sf_dir))
+    return s.select("repo_id", "path", "pre_rank", r9("semantic"))
+
+
+def q_hybrid_rank(spark, sf_dir):
+    _, res = _retrieval(spark, sf_dir)
+    return res["ranked"].select("repo_id", "path", r9("pagerank"), r9("bm25"), r9("semantic"),
+                                "penalty", "bonus", r9("score"))
+
+
+def q_budget_select(spark, sf_dir):
+    _, res = _retrieval(spark, sf_dir, K.API_TOKEN_BUDGET)
+    return res["selection"].select("repo_id", "rank", "path", r9("score"), "tokens", "cum_tokens")
+
+
+def q_select_top_k(spark, sf_dir):
+    _, res = _retrieval(spark, sf_dir)
+    return res["selection"].select("repo_id", "rank", "path", F.length("content").cast("bigint").alias("content_chars"),
+                                   F.md5("content").alias("content_md5"))
+
+
+def q_compress_folders(spark, sf_dir):
+    g, res = _retrieval(spark, sf_dir, K.API_TOKEN_BUDGET)
+    return RK.compress_folders(g.tree, res["selection"])
+
+
 QUERIES = {
     "ingest_filter": q_ingest_filter,
     "signal_files": q_signal_files,
@@ -154,4 +244,14 @@ QUERIES = {
     "degree_stats": q_degree_stats,
     "graph_payload": q_graph_payload,
     "ingestion_report": q_ingestion_report,
+    "truncate_tokens": q_truncate_tokens,
+    "repo_fits_budget": q_repo_fits_budget,
+    "bm25_corpus_stats": q_bm25_corpus_stats,
+    "bm25_rank": q_bm25_rank,
+    "cosine_rank": q_cosine_rank,
+    "semantic_shortlist": q_semantic_shortlist,
+    "hybrid_rank": q_hybrid_rank,
+    "budget_select": q_budget_select,
+    "select_top_k": q_select_top_k,
+    "compress_folders": q_compress_folders,
 }

@@ -343,7 +343,108 @@ LEFT JOIN (SELECT repo_id, string_agg(path, '|' ORDER BY rank) AS top_central_fi
     return out
 
 
+def trunc(c: str) -> str:
+    cc = f"coalesce({c}, '')"
+    return (f"(CASE WHEN length({cc}) > {K.MAX_CHARS_PER_FILE} THEN substring({cc}, 1, {K.MAX_CHARS_PER_FILE}) || "
+            f"{q(K.TRUNCATION_MARKER).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))} ELSE {cc} END)")
+
+
+def toks(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, {q(R.PY_WHITESPACE)}), lambda t: t <> '')"
+
+
+def tokest(x: str) -> str:
+    return f"CAST(floor(length({x}) / {K.CHARS_PER_TOKEN}) AS BIGINT)"
+
+
+def cosine_sql(a: str, b: str) -> str:
+    den = f"(sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})))"
+    return (f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0.0::DOUBLE WHEN {den} > 0 "
+            f"THEN list_inner_product({a}, {b}) / {den} ELSE 0.0::DOUBLE END)")
+
+
+def bm25_ctes() -> list[str]:
+    k1, b, eps = K.BM25_K1, K.BM25_B, K.BM25_EPSILON
+    return [
+        f"cand AS (SELECT repo_id, path, tree_ord, content FROM tree WHERE {has_content()})",
+        f"""dterm AS (SELECT repo_id, path, unnest({toks(f"lower(path || ' ' || substring(coalesce(content, ''), 1, {K.BM25_PREFIX_CHARS}))")}) AS term FROM cand)""",
+        "tf AS (SELECT repo_id, path, term, count(*) AS tf FROM dterm GROUP BY ALL)",
+        """docs AS (SELECT c.repo_id, c.path, CAST(coalesce(d.dl, 0) AS BIGINT) AS dl FROM cand c
+  LEFT JOIN (SELECT repo_id, path, count(*) AS dl FROM dterm GROUP BY ALL) d USING (repo_id, path))""",
+        "nd AS (SELECT repo_id, count(*) AS n_docs, avg(dl) AS avgdl FROM docs GROUP BY repo_id)",
+        """rawidf AS (SELECT d.repo_id, d.term, d.df, ln(n.n_docs - d.df + 0.5::DOUBLE) - ln(d.df + 0.5::DOUBLE) AS raw_idf
+  FROM (SELECT repo_id, term, count(*) AS df FROM tf GROUP BY ALL) d JOIN nd n USING (repo_id))""",
+        "avgidf AS (SELECT repo_id, avg(raw_idf) AS average_idf FROM rawidf GROUP BY repo_id)",
+        f"""idf AS (SELECT r.repo_id, r.term, CASE WHEN raw_idf < 0 THEN {eps}::DOUBLE * a.average_idf ELSE raw_idf END AS idf
+  FROM rawidf r JOIN avgidf a USING (repo_id))""",
+        f"""qt AS (SELECT repo_id, term, count(*) AS qn FROM (SELECT repo_id, unnest({toks('lower(keyword)')}) AS term FROM keywords) GROUP BY ALL)""",
+        f"""bm AS (SELECT d.repo_id, d.path, coalesce(s.s, 0.0::DOUBLE) AS bm25_raw FROM docs d LEFT JOIN (
+  SELECT tf.repo_id, tf.path, sum(qt.qn * idf.idf * (tf.tf * {k1 + 1}::DOUBLE)
+     / (tf.tf + {k1}::DOUBLE * ({1 - b}::DOUBLE + {b}::DOUBLE * docs.dl / nd.avgdl))) AS s
+  FROM tf JOIN qt USING (repo_id, term) JOIN idf USING (repo_id, term) JOIN docs USING (repo_id, path) JOIN nd USING (repo_id)
+  GROUP BY ALL) s USING (repo_id, path))""",
+        """bm25 AS (SELECT b.repo_id, b.path, b.bm25_raw, b.bm25_raw / CASE WHEN m.mx > 0 THEN m.mx ELSE 1.0::DOUBLE END AS bm25
+  FROM bm b JOIN (SELECT repo_id, max(bm25_raw) AS mx FROM bm GROUP BY repo_id) m USING (repo_id))"""]
+
+
+def retrieval_ctes(budget: int) -> list[str]:
+    """cand/bm25 + pagerank signal, shortlist, hybrid rank and budgeted selection (``sel``)."""
+    return bm25_ctes() + [
+        FILE_VECTORS, REPO_VECTORS,
+        f"ep AS (SELECT DISTINCT repo_id, path FROM tree WHERE {fname('path')} = 'main.py')",
+        """prs AS (SELECT c.repo_id, c.path, CASE WHEN coalesce(m.ok, false) THEN coalesce(p.pagerank, 0.0::DOUBLE) / m.mx ELSE 0.0::DOUBLE END AS pagerank
+  FROM cand c LEFT JOIN pagerank p ON p.repo_id = c.repo_id AND p.id = c.path
+  LEFT JOIN (SELECT repo_id, max(pagerank) AS mx, bool_and(converged) AS ok FROM pagerank GROUP BY repo_id) m ON m.repo_id = c.repo_id)""",
+        f"""pre AS (SELECT * FROM (SELECT c.repo_id, c.path, c.tree_ord,
+    CAST(row_number() OVER (PARTITION BY c.repo_id ORDER BY round({K.PRERANK_WEIGHT}::DOUBLE * p.pagerank + {K.PRERANK_WEIGHT}::DOUBLE * b.bm25, 9) DESC, c.tree_ord) AS INTEGER) AS pre_rank
+  FROM cand c JOIN prs p USING (repo_id, path) JOIN bm25 b USING (repo_id, path)) WHERE pre_rank <= {K.SEMANTIC_SHORTLIST})""",
+        f"""semraw AS (SELECT p.repo_id, p.path, p.pre_rank, greatest(0.0::DOUBLE, {cosine_sql('rv.embedding', 'fv.embedding')}) AS cos_raw
+  FROM pre p LEFT JOIN file_vectors fv ON fv.repo_id = p.repo_id AND fv.path = p.path LEFT JOIN repo_vectors rv ON rv.repo_id = p.repo_id)""",
+        """sem AS (SELECT s.repo_id, s.path, s.pre_rank, s.cos_raw / CASE WHEN m.mx > 0 THEN m.mx ELSE 1.0::DOUBLE END AS semantic
+  FROM semraw s JOIN (SELECT repo_id, max(cos_raw) AS mx FROM semraw GROUP BY repo_id) m USING (repo_id))""",
+        f"""ranked AS (SELECT c.repo_id, c.path, c.tree_ord, c.content, p.pagerank, b.bm25, coalesce(s.semantic, 0.0::DOUBLE) AS semantic,
+    {penalty('c.path')} AS penalty, CASE WHEN e.path IS NOT NULL THEN {K.ENTRY_BONUS}::DOUBLE ELSE 1.0::DOUBLE END AS bonus,
+    ({K.WEIGHT_PAGERANK}::DOUBLE * p.pagerank + {K.WEIGHT_BM25}::DOUBLE * b.bm25 + {K.WEIGHT_SEMANTIC}::DOUBLE * coalesce(s.semantic, 0.0::DOUBLE))
+      * {penalty('c.path')} * CASE WHEN e.path IS NOT NULL THEN {K.ENTRY_BONUS}::DOUBLE ELSE 1.0::DOUBLE END AS score
+  FROM cand c JOIN prs p USING (repo_id, path) JOIN bm25 b USING (repo_id, path)
+  LEFT JOIN sem s USING (repo_id, path) LEFT JOIN ep e USING (repo_id, path))""",
+        f"""top AS (SELECT repo_id, rank, path, tree_ord, score, {trunc('content')} AS content, {tokest(trunc('content'))} AS tokens FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY round(score, 9) DESC, tree_ord) AS INTEGER) AS rank FROM ranked)
+  WHERE rank <= {K.MAX_FILES})""",
+        f"""sel AS (SELECT * FROM (SELECT *, CAST(sum(tokens) OVER (PARTITION BY repo_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_tokens FROM top)
+  WHERE rank <= {K.MIN_FILES} OR cum_tokens <= {budget})"""]
+
+
+def _retrieval_queries() -> dict[str, str]:
+    GP = graph_ctes() + pagerank_ctes()
+    T = [FILES] + tree_ctes()
+    BM = T + [keywords_cte()] + bm25_ctes()
+    RT = lambda budget: GP + [keywords_cte()] + retrieval_ctes(budget)
+    return {
+        "truncate_tokens": with_(T, f"""SELECT repo_id, path, CAST(length(content) AS BIGINT) AS chars,
+  CAST(length({trunc('content')}) AS BIGINT) AS truncated_chars, {tokest(trunc('content'))} AS tokens FROM tree WHERE {has_content()}"""),
+        "repo_fits_budget": with_(T, f"""SELECT repo_id, CAST(sum({tokest(trunc('content'))}) AS BIGINT) AS total_tokens,
+  sum({tokest(trunc('content'))}) <= {K.API_TOKEN_BUDGET} AS fits FROM tree WHERE {has_content()} GROUP BY repo_id"""),
+        "bm25_corpus_stats": with_(BM, """SELECT n.repo_id, n.n_docs, round(n.avgdl, 9) AS avgdl, round(a.average_idf, 9) AS average_idf, t.n_terms
+  FROM nd n JOIN avgidf a USING (repo_id) JOIN (SELECT repo_id, count(*) AS n_terms FROM idf GROUP BY repo_id) t USING (repo_id)"""),
+        "bm25_rank": with_(BM, "SELECT repo_id, path, round(bm25_raw, 9) AS bm25_raw, round(bm25, 9) AS bm25 FROM bm25"),
+        "cosine_rank": with_(T + [FILE_VECTORS, REPO_VECTORS, f"""sr AS (SELECT c.repo_id, c.path, greatest(0.0::DOUBLE, {cosine_sql('rv.embedding', 'fv.embedding')}) AS cos_raw
+  FROM tree c LEFT JOIN file_vectors fv ON fv.repo_id = c.repo_id AND fv.path = c.path LEFT JOIN repo_vectors rv ON rv.repo_id = c.repo_id
+  WHERE {has_content('c.content')})"""], """SELECT s.repo_id, s.path, round(s.cos_raw, 9) AS cos_raw, round(s.cos_raw / CASE WHEN m.mx > 0 THEN m.mx ELSE 1.0::DOUBLE END, 9) AS semantic
+FROM sr s JOIN (SELECT repo_id, max(cos_raw) AS mx FROM sr GROUP BY repo_id) m USING (repo_id)"""),
+        "semantic_shortlist": with_(RT(K.TOKEN_BUDGET_DEFAULT), "SELECT repo_id, path, pre_rank, round(semantic, 9) AS semantic FROM sem"),
+        "hybrid_rank": with_(RT(K.TOKEN_BUDGET_DEFAULT), """SELECT repo_id, path, round(pagerank, 9) AS pagerank, round(bm25, 9) AS bm25,
+  round(semantic, 9) AS semantic, penalty, bonus, round(score, 9) AS score FROM ranked"""),
+        "budget_select": with_(RT(K.API_TOKEN_BUDGET), "SELECT repo_id, rank, path, round(score, 9) AS score, tokens, cum_tokens FROM sel"),
+        "select_top_k": with_(RT(K.TOKEN_BUDGET_DEFAULT), "SELECT repo_id, rank, path, CAST(length(content) AS BIGINT) AS content_chars, md5(content) AS content_md5 FROM sel"),
+        "compress_folders": with_(RT(K.API_TOKEN_BUDGET), f"""SELECT repo_id, regexp_extract(path, '^[^/]*') AS folder, count(*) AS n_files,
+  CAST(count(*) AS VARCHAR) || {q(K.COMPRESSED_FOLDER_TEXT)} AS summary
+FROM tree t WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.repo_id = t.repo_id AND s.path = t.path) GROUP BY ALL"""),
+    }
+
+
 def oracle() -> dict[str, str]:
     out = {}
     out.update(_ingestion_queries())
+    out.update(_retrieval_queries())
     return out
