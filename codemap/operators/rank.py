@@ -12,6 +12,7 @@ per partition before its shuffle.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,4 +129,6 @@ def select_top_k(tree: DataFrame, pr: DataFrame, keywords: DataFrame, entry_poin
     bm = bm25_scores(cands, keywords)
     sem = semantic_shortlist(cands, prs, bm, file_vectors, repo_vectors)
     ranked = hybrid_rank(cands, prs, bm, sem, entry_points)
-    return {"ranked": ranked, "selection": budget_select(ranked, token_budget)}
+    # the pick is small (at most MAX_FILES rows per repository) and read by several later steps
+    selection = budget_select(ranked, token_budget).persist(StorageLevel.MEMORY_AND_DISK)
+    return {"ranked": ranked, "selection": selection}

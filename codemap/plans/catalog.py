@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import paths as P
+from ..operators import evidence as EV
 from ..operators import graph as G
 from ..operators import imports as IM
 from ..operators import ingest as I
@@ -225,6 +226,44 @@ def q_compress_folders(spark, sf_dir):
     return RK.compress_folders(g.tree, res["selection"])
 
 
+# ---------------------------------------------------------------------------
+# evidence
+# ---------------------------------------------------------------------------
+def _evidence_of(spark, sf_dir, kind):
+    g = _graph(spark, sf_dir)
+    ev = EV.extract_evidence(RK.candidates(g.tree))
+    return ev.where(F.col("kind") == kind).select("repo_id", "file", "pattern_ord", "match_ord", "method", "value")
+
+
+def q_evidence_routes(spark, sf_dir):
+    return _evidence_of(spark, sf_dir, "route")
+
+
+def q_evidence_handlers(spark, sf_dir):
+    return _evidence_of(spark, sf_dir, "handler")
+
+
+def q_evidence_db_calls(spark, sf_dir):
+    return _evidence_of(spark, sf_dir, "db_call")
+
+
+def q_evidence_capped(spark, sf_dir):
+    _, res = _retrieval(spark, sf_dir, K.API_TOKEN_BUDGET)
+    sel = res["selection"].select("repo_id", "path", "content", F.col("rank").alias("file_rank"))
+    return EV.cap_evidence(EV.extract_evidence(sel)).select(
+        "repo_id", "kind", "ev_rank", "file", "pattern_ord", "match_ord", "method", "value")
+
+
+def q_evidence_links(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return EV.evidence_links(X.diagram_nodes(g.tree), X.evidence_map(g.tree), X.repos(g.files))
+
+
+def q_evidence_validate(spark, sf_dir):
+    g, res = _retrieval(spark, sf_dir, K.API_TOKEN_BUDGET)
+    return EV.validate_evidence(X.evidence_map(g.tree), res["selection"])
+
+
 QUERIES = {
     "ingest_filter": q_ingest_filter,
     "signal_files": q_signal_files,
@@ -254,4 +293,10 @@ QUERIES = {
     "budget_select": q_budget_select,
     "select_top_k": q_select_top_k,
     "compress_folders": q_compress_folders,
+    "evidence_routes": q_evidence_routes,
+    "evidence_handlers": q_evidence_handlers,
+    "evidence_db_calls": q_evidence_db_calls,
+    "evidence_capped": q_evidence_capped,
+    "evidence_links": q_evidence_links,
+    "evidence_validate": q_evidence_validate,
 }

@@ -116,3 +116,41 @@ def tree_listing(files_df: DataFrame) -> DataFrame:
         "CASE WHEN tree_ord % 10 = 9 THEN NULL ELSE size_bytes END AS size",
         "'base64' AS encoding",
         "base64(encode(content, 'UTF-8')) AS content_b64")
+
+
+def evidence_map(tree: DataFrame) -> DataFrame:
+    """evidence_map(repo_id, ord, node_id, label, file, start_line, end_line): a model-style
+    evidence list over the first 12 non-noise source files of each repository; every third
+    node id is blank (forces the label fallback), every fifth file is 'missing.py'."""
+    from pyspark.sql import Window
+    from ..functions import paths as P
+    from .. import constants as K
+    w = Window.partitionBy("repo_id").orderBy("tree_ord")
+    src = (tree.where(F.col("extension").isin(K.SOURCE_EXTENSIONS) & ~P.is_noise("path"))
+           .withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= 12))
+    return src.selectExpr(
+        "repo_id", "CAST(ord AS INT) AS ord",
+        "CASE WHEN ord % 3 = 0 THEN '' ELSE concat('n', CAST(tree_ord AS STRING)) END AS node_id",
+        "substring_index(path, '/', -1) AS label",
+        "CASE WHEN ord % 5 = 0 THEN 'missing.py' ELSE path END AS file",
+        "CAST(CASE WHEN ord % 4 = 0 THEN 0 ELSE ord * 3 END AS INT) AS start_line",
+        "CAST(CASE WHEN ord % 6 = 0 THEN NULL ELSE ord * 3 + 4 END AS INT) AS end_line")
+
+
+def diagram_nodes(tree: DataFrame) -> DataFrame:
+    """diagram_nodes(repo_id, node_id, label): rendered diagram nodes for the same files."""
+    from pyspark.sql import Window
+    from ..functions import paths as P
+    from .. import constants as K
+    w = Window.partitionBy("repo_id").orderBy("tree_ord")
+    src = (tree.where(F.col("extension").isin(K.SOURCE_EXTENSIONS) & ~P.is_noise("path"))
+           .withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= 12))
+    return src.selectExpr("repo_id", "concat('n', CAST(tree_ord AS STRING)) AS node_id",
+                          "concat(upper(substring_index(path, '/', -1)), ' handler') AS label")
+
+
+def repos(files_df: DataFrame) -> DataFrame:
+    """repos(repo_id, repo_url, default_branch): branch unknown (null) for some repositories."""
+    return files_df.select("repo_id").distinct().selectExpr(
+        "repo_id", "concat('https://github.com/', repo_id) AS repo_url",
+        "CASE WHEN substring(repo_id, -1, 1) IN ('1', '3') THEN 'dev' END AS default_branch")

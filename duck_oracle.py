@@ -443,8 +443,80 @@ FROM tree t WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.repo_id = t.repo_id AN
     }
 
 
+WORD = r"[\p{L}\p{N}_]"
+EVIDENCE_PATTERNS = [
+    ("route", 0, K.ROUTE_PATTERN, None, 1, False),
+    ("route", 1, K.VERB_ROUTE_PATTERN, 1, 2, False),
+    ("handler", 0, K.DEF_PATTERN, None, 1, True),
+    ("handler", 1, K.CLASS_PATTERN, None, 1, True),
+    ("db_call", 0, K.DB_CALL_PATTERN, None, 1, False),
+]
+
+
+def evidence_sql(src: str, rank_col: str = "NULL") -> str:
+    """Union of all pattern extractions over relation ``src(repo_id, path, content[, rank])``."""
+    parts = []
+    for kind, pord, pat, mg, vg, ml in EVIDENCE_PATTERNS:
+        rp = q(("(?m)" if ml else "") + pat.replace(r"\w", WORD))
+        meth = f"regexp_extract_all(content, {rp}, {mg})" if mg else f"list_transform(v, lambda x: NULL::VARCHAR)"
+        parts.append(f"""SELECT repo_id, {q(kind)} AS kind, file, file_rank, {pord} AS pattern_ord,
+    CAST(unnest(range(1, len(v) + 1)) AS INTEGER) AS match_ord, upper(unnest(m)) AS method, unnest(v) AS value
+  FROM (SELECT repo_id, path AS file, {rank_col} AS file_rank, v, {meth.replace('content', 'c')} AS m
+        FROM (SELECT *, content AS c, regexp_extract_all(content, {rp}, {vg}) AS v FROM {src} WHERE {has_content()}))""")
+    return "\nUNION ALL\n".join(parts)
+
+
+def evmap_ctes() -> list[str]:
+    return [
+        f"""evsrc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY tree_ord) AS ord FROM tree
+   WHERE extension IN {inl(K.SOURCE_EXTENSIONS)} AND NOT {noise('path')}) WHERE ord <= 12)""",
+        f"""evidence_map AS (SELECT repo_id, CAST(ord AS INTEGER) AS ord,
+    CASE WHEN ord % 3 = 0 THEN '' ELSE 'n' || CAST(tree_ord AS VARCHAR) END AS node_id, {fname('path')} AS label,
+    CASE WHEN ord % 5 = 0 THEN 'missing.py' ELSE path END AS file,
+    CAST(CASE WHEN ord % 4 = 0 THEN 0 ELSE ord * 3 END AS INTEGER) AS start_line,
+    CAST(CASE WHEN ord % 6 = 0 THEN NULL ELSE ord * 3 + 4 END AS INTEGER) AS end_line FROM evsrc)""",
+        f"""diagram_nodes AS (SELECT repo_id, 'n' || CAST(tree_ord AS VARCHAR) AS node_id, upper({fname('path')}) || ' handler' AS label FROM evsrc)""",
+        """repos AS (SELECT DISTINCT repo_id, 'https://github.com/' || repo_id AS repo_url,
+    CASE WHEN right(repo_id, 1) IN ('1', '3') THEN 'dev' END AS default_branch FROM files)"""]
+
+
+def _evidence_queries() -> dict[str, str]:
+    T = [FILES] + tree_ctes()
+    GP = graph_ctes() + pagerank_ctes()
+    RT = GP + [keywords_cte()] + retrieval_ctes(K.API_TOKEN_BUDGET)
+    stem = "lower(regexp_replace(" + fname("e.file") + ", '\\.[A-Za-z0-9_]+$', ''))"
+    out = {}
+    for kind, name in [("route", "evidence_routes"), ("handler", "evidence_handlers"), ("db_call", "evidence_db_calls")]:
+        out[name] = with_(T + [f"ev AS ({evidence_sql('tree')})"],
+                          f"SELECT repo_id, file, pattern_ord, match_ord, method, value FROM ev WHERE kind = {q(kind)}")
+    out["evidence_capped"] = with_(RT + [f"ev AS ({evidence_sql('sel', 'rank')})"], """SELECT repo_id, kind, ev_rank, file, pattern_ord, match_ord, method, value
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id, kind ORDER BY file_rank, file, pattern_ord, match_ord) AS INTEGER) AS ev_rank FROM ev)
+WHERE ev_rank <= 20""")
+    out["evidence_links"] = with_(T + evmap_ctes() + [
+        f"""cand_m AS (
+  SELECT n.repo_id, n.node_id, 0 AS rule, e.ord FROM diagram_nodes n JOIN evidence_map e
+    ON e.repo_id = n.repo_id AND n.node_id <> '' AND e.node_id = n.node_id
+  UNION ALL
+  SELECT n.repo_id, n.node_id, 1 AS rule, e.ord FROM diagram_nodes n JOIN evidence_map e
+    ON e.repo_id = n.repo_id AND contains(lower(n.label), {stem}) AND length(n.label) > 0
+  UNION ALL
+  SELECT n.repo_id, n.node_id, 2 AS rule, e.ord FROM diagram_nodes n JOIN evidence_map e
+    ON e.repo_id = n.repo_id AND contains(lower(n.label), lower({fname('e.file')})) AND length(n.label) > 0)""",
+        """best AS (SELECT repo_id, node_id, rule, ord FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, node_id ORDER BY rule, ord) AS rn FROM cand_m) WHERE rn = 1)"""],
+        """SELECT n.repo_id, n.node_id, CAST(b.rule AS INTEGER) AS rule, e.file,
+  CASE WHEN e.file IS NOT NULL THEN r.repo_url || '/blob/' || coalesce(nullif(r.default_branch, ''), 'main') || '/' || e.file ||
+    CASE WHEN coalesce(e.start_line, 0) <> 0 THEN '#L' || CAST(e.start_line AS VARCHAR) ||
+      CASE WHEN coalesce(e.end_line, 0) <> 0 THEN '-L' || CAST(e.end_line AS VARCHAR) ELSE '' END ELSE '' END END AS url
+FROM diagram_nodes n LEFT JOIN best b ON b.repo_id = n.repo_id AND b.node_id = n.node_id
+LEFT JOIN evidence_map e ON e.repo_id = b.repo_id AND e.ord = b.ord LEFT JOIN repos r ON r.repo_id = n.repo_id""")
+    out["evidence_validate"] = with_(RT + evmap_ctes(), """SELECT e.repo_id, e.ord, e.node_id, e.file, coalesce(e.node_id, '') <> '' AS has_node,
+  EXISTS (SELECT 1 FROM sel s WHERE s.repo_id = e.repo_id AND s.path = e.file) AS file_available FROM evidence_map e""")
+    return out
+
+
 def oracle() -> dict[str, str]:
     out = {}
     out.update(_ingestion_queries())
     out.update(_retrieval_queries())
+    out.update(_evidence_queries())
     return out
