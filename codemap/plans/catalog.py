@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import paths as P
+from ..operators import context as CX
 from ..operators import evidence as EV
 from ..operators import graph as G
 from ..operators import imports as IM
@@ -264,6 +265,84 @@ def q_evidence_validate(spark, sf_dir):
     return EV.validate_evidence(X.evidence_map(g.tree), res["selection"])
 
 
+# ---------------------------------------------------------------------------
+# context
+# ---------------------------------------------------------------------------
+def _ctx_pieces(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    parsed = CX.parse_context(X.responses(spark, sf_dir))
+    ctx = CX.pick_context(parsed)
+    cf = CX.context_files(g.tree, g.central(K.CONTEXT_CENTRAL_TOP_N))
+    return g, parsed, ctx, cf
+
+
+def q_clean_llm_json(spark, sf_dir):
+    r = X.responses(spark, sf_dir)
+    return r.select("repo_id", "response_id", CX.clean_llm_json(F.col("raw")).alias("cleaned"))
+
+
+def q_parse_context(spark, sf_dir):
+    p = CX.parse_context(X.responses(spark, sf_dir))
+    return p.select("repo_id", "response_id", "parse_ok", "summary", "domain", joined("tech_stack"),
+                    joined("main_modules"), joined("entry_points"), joined("keywords"))
+
+
+def q_context_score(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.tree.select("repo_id", "path", CX.context_score("path").alias("score"))
+
+
+def q_entry_point_score(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    c = CX.content_or_empty()
+    return g.tree.select("repo_id", "path", CX.entry_score("path", c).alias("score"),
+                         CX.entry_valid("path", c).alias("valid"))
+
+
+def q_context_files(spark, sf_dir):
+    _, _, _, cf = _ctx_pieces(spark, sf_dir)
+    return cf.select("repo_id", "ctx_rank", "path", "score")
+
+
+def _raw_entry_points(ctx):
+    return ctx.select("repo_id", F.posexplode("entry_points").alias("ep_ord", "raw")).withColumn(
+        "ep_ord", F.col("ep_ord").cast("int"))
+
+
+def q_entry_point_normalise(spark, sf_dir):
+    g, _, ctx, _ = _ctx_pieces(spark, sf_dir)
+    return CX.normalise_entry_points(_raw_entry_points(ctx), g.tree)
+
+
+def q_entry_points(spark, sf_dir):
+    g, _, ctx, _ = _ctx_pieces(spark, sf_dir)
+    return CX.top_entry_points(CX.llm_entry_points(_raw_entry_points(ctx), g.tree))
+
+
+def q_fallback_entry_points(spark, sf_dir):
+    g, _, _, cf = _ctx_pieces(spark, sf_dir)
+    fb = CX.fallback_entry_points(cf, g.tree)
+    top = CX.top_entry_points(fb.select("repo_id", "path", "score"))
+    return top.join(fb.select("repo_id", "path", "tier"), ["repo_id", "path"])
+
+
+def q_fallback_keywords(spark, sf_dir):
+    g, _, _, cf = _ctx_pieces(spark, sf_dir)
+    return CX.fallback_keywords(cf, X.repos(g.files).select("repo_id"))
+
+
+def q_clean_modules(spark, sf_dir):
+    p = CX.parse_context(X.responses(spark, sf_dir)).where(F.col("parse_ok"))
+    return p.select("repo_id", "response_id", F.array_join(CX.clean_modules(F.col("main_modules")), SEP).alias("main_modules"))
+
+
+def q_context_finalise(spark, sf_dir):
+    g, _, ctx, cf = _ctx_pieces(spark, sf_dir)
+    fin = CX.finalise_context(ctx, X.repos(g.files), g.tree, cf)
+    return fin.select("repo_id", "summary", "domain", joined("tech_stack"), joined("main_modules"),
+                      joined("entry_points"), joined("keywords"))
+
+
 QUERIES = {
     "ingest_filter": q_ingest_filter,
     "signal_files": q_signal_files,
@@ -299,4 +378,15 @@ QUERIES = {
     "evidence_capped": q_evidence_capped,
     "evidence_links": q_evidence_links,
     "evidence_validate": q_evidence_validate,
+    "clean_llm_json": q_clean_llm_json,
+    "parse_context": q_parse_context,
+    "context_score": q_context_score,
+    "entry_point_score": q_entry_point_score,
+    "context_files": q_context_files,
+    "entry_point_normalise": q_entry_point_normalise,
+    "entry_points": q_entry_points,
+    "fallback_entry_points": q_fallback_entry_points,
+    "fallback_keywords": q_fallback_keywords,
+    "clean_modules": q_clean_modules,
+    "context_finalise": q_context_finalise,
 }

@@ -277,7 +277,15 @@ def graph_ctes() -> list[str]:
     return [FILES] + tree_ctes() + import_ctes() + resolve_ctes()
 
 
+def distinct_ordered(l: str) -> str:
+    """Ordered dedupe of a list (first occurrence kept)."""
+    return f"list_filter({l}, lambda dx, di: list_position({l}, dx) = di)"
+
+
 def with_(ctes: list[str], select: str) -> str:
+    if select.lstrip().upper().startswith("WITH "):
+        select = select.lstrip()[5:]
+        return "WITH " + ",\n".join(ctes) + ",\n" + select
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
 
@@ -514,9 +522,169 @@ LEFT JOIN evidence_map e ON e.repo_id = b.repo_id AND e.ord = b.ord LEFT JOIN re
     return out
 
 
+WS_EDGES = "^" + R.PY_WHITESPACE + "|" + R.PY_WHITESPACE + "$"
+
+
+def pystrip(x: str) -> str:
+    return f"regexp_replace({x}, {q(WS_EDGES)}, '', 'g')"
+
+
+def clean_json(raw: str) -> str:
+    t = pystrip(raw)
+    return f"(CASE WHEN starts_with({t}, '```') THEN {pystrip(f'replace(replace({t}, {q(chr(96)*3 + 'json')}, {q(chr(39)*0)}), {q(chr(96)*3)}, {q(chr(39)*0)})')} ELSE {t} END)"
+
+
+def ends_any(x: str, sfx) -> str:
+    return "(" + " OR ".join(f"ends_with({x}, {q(v)})" for v in sfx) + ")"
+
+
+def ctx_score(p: str) -> str:
+    low = f"lower({p})"
+    fn = fname(low)
+    terms = [f"CASE WHEN contains({low}, {q(h)}) THEN 2 ELSE 0 END" for h in K.IMPORTANT_HINTS]
+    terms += [f"CASE WHEN {fn} IN {inl(K.ENTRY_FILE_NAMES)} THEN 4 ELSE 0 END",
+              f"CASE WHEN {fn} IN {inl(K.FRAMEWORK_CORE_NAMES)} THEN 6 ELSE 0 END",
+              f"CASE WHEN {fn} = '__init__.py' THEN 1 ELSE 0 END"]
+    return f"CAST(CASE WHEN {noise(p)} THEN -100 ELSE {' + '.join(terms)} END AS INTEGER)"
+
+
+def ep_score(p: str, c: str) -> str:
+    low = f"lower({p})"
+    fn = fname(low)
+    text = f"lower(coalesce({c}, ''))"
+    tok = " OR ".join(f"contains({fn}, {q(t)})" for t in K.ENTRY_NAME_TOKENS)
+    terms = [f"CASE WHEN {fn} IN {inl(K.ENTRY_FILE_NAMES)} THEN 8 ELSE 0 END",
+             f"CASE WHEN {fn} IN {inl(K.FRAMEWORK_CORE_NAMES)} THEN 6 ELSE 0 END",
+             f"CASE WHEN {tok} THEN 3 ELSE 0 END",
+             f"CASE WHEN {fn} = '__init__.py' THEN -3 ELSE 0 END"]
+    terms += [f"CASE WHEN contains({text}, {q(sig)}) THEN 6 ELSE 0 END" for sig in K.STARTUP_SIGNALS]
+    return (f"CAST(CASE WHEN {noise(p)} OR NOT {ends_any(low, K.VALID_EXTENSIONS)} THEN -100 "
+            f"ELSE {' + '.join(terms)} END AS INTEGER)")
+
+
+def ep_valid(p: str, c: str) -> str:
+    low = f"lower({p})"
+    return (f"(NOT {noise(p)} AND NOT {ends_any(low, K.DOC_CONFIG_SUFFIXES)} AND {ends_any(low, K.VALID_EXTENSIONS)} "
+            f"AND (CASE WHEN {fname(low)} = '__init__.py' THEN {ep_score(p, c)} >= 6 ELSE true END))")
+
+
+def parse_ctes() -> list[str]:
+    def sf(f):
+        return f"CASE WHEN ok AND json_type(cj, '$.{f}') = 'VARCHAR' THEN json_extract_string(cj, '$.{f}') ELSE '' END AS {f}"
+
+    def lf(f):
+        return (f"CASE WHEN ok AND json_type(cj, '$.{f}') = 'ARRAY' THEN json_extract_string(cj, '$.{f}[*]') "
+                f"ELSE CAST([] AS VARCHAR[]) END AS {f}")
+    return [RESPONSES,
+            f"""parsed AS (SELECT repo_id, response_id, ok AS parse_ok, {sf('summary')}, {sf('domain')},
+  {lf('tech_stack')}, {lf('main_modules')}, {lf('entry_points')}, {lf('keywords')}
+  FROM (SELECT *, CASE WHEN ok THEN cl ELSE '{{}}' END AS cj FROM (
+        SELECT *, coalesce(json_valid(cl) AND json_type(CASE WHEN json_valid(cl) THEN cl ELSE '{{}}' END) = 'OBJECT', false) AS ok
+        FROM (SELECT repo_id, response_id, {clean_json('raw')} AS cl FROM responses))))""",
+            """ctx AS (SELECT p.* FROM parsed p JOIN (SELECT repo_id, min(response_id) AS rid FROM parsed WHERE parse_ok GROUP BY repo_id) m
+  ON m.repo_id = p.repo_id AND m.rid = p.response_id)"""]
+
+
+def ctxfiles_ctes() -> list[str]:
+    return [central_cte("central30", K.CONTEXT_CENTRAL_TOP_N),
+            f"""ctxf AS (SELECT * FROM (SELECT c.repo_id, c.path, t.content, {ctx_score('c.path')} AS score,
+    CAST(row_number() OVER (PARTITION BY c.repo_id ORDER BY {ctx_score('c.path')} DESC, c.path) AS INTEGER) AS ctx_rank
+  FROM (SELECT repo_id, path FROM central30 UNION
+        SELECT repo_id, path FROM tree WHERE NOT {noise('path')} AND {ctx_score('path')} >= 3) c
+  JOIN tree t ON t.repo_id = c.repo_id AND t.path = c.path) WHERE ctx_rank <= {K.CONTEXT_FILES_TOP_N})"""]
+
+
+def ep_ctes() -> list[str]:
+    """LLM entry points (normalised, filtered), fallback tiers and the final top-5."""
+    cand = "regexp_replace(" + pystrip("r.raw") + ", '^[./]+', '')"
+    return [
+        """rawep AS (SELECT repo_id, CAST(unnest(range(0, len(entry_points))) AS INTEGER) AS ep_ord, unnest(entry_points) AS raw FROM ctx)""",
+        f"""epn AS (SELECT r.repo_id, r.ep_ord, r.raw, CASE WHEN {cand} = '' THEN NULL ELSE coalesce(
+    (SELECT min(t.path) FROM tree t WHERE t.repo_id = r.repo_id AND t.path = {cand}),
+    (SELECT min(t.path) FROM tree t WHERE t.repo_id = r.repo_id AND t.path = 'src/' || {cand}),
+    (SELECT CASE WHEN count(*) = 1 THEN min(t.path) END FROM tree t WHERE t.repo_id = r.repo_id AND ends_with(t.path, {cand})),
+    (SELECT CASE WHEN count(*) = 1 THEN min(t.path) END FROM tree t WHERE t.repo_id = r.repo_id AND {fname('t.path')} = {fname(cand)})) END AS path
+  FROM rawep r)""",
+        f"""llm_ep AS (SELECT e.repo_id, e.path, {ep_score('e.path', 't.content')} AS score FROM
+  (SELECT repo_id, path FROM epn WHERE path IS NOT NULL GROUP BY repo_id, path) e JOIN tree t ON t.repo_id = e.repo_id AND t.path = e.path
+  WHERE {ep_valid('e.path', 't.content')} AND {ep_score('e.path', 't.content')} >= 4)""",
+        f"""fb_all AS (
+  SELECT repo_id, path, {ep_score('path', 'content')} AS score, 1 AS tier FROM ctxf WHERE {ep_valid('path', 'content')} AND {ep_score('path', 'content')} >= 4
+  UNION ALL
+  SELECT repo_id, path, {ep_score('path', 'content')} AS score, 2 AS tier FROM tree WHERE {ep_valid('path', 'content')} AND {ep_score('path', 'content')} >= 5)""",
+        """fb_ep AS (SELECT f.* FROM fb_all f JOIN (SELECT repo_id, min(tier) AS tier FROM fb_all GROUP BY repo_id) m USING (repo_id, tier))""",
+        """ep_all AS (SELECT repo_id, path, score FROM llm_ep
+  UNION ALL SELECT repo_id, path, score FROM fb_ep WHERE repo_id NOT IN (SELECT repo_id FROM llm_ep))""",
+        f"""final_ep AS (SELECT * FROM (SELECT repo_id, path, score,
+    CAST(row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, path DESC) AS INTEGER) AS ep_rank FROM ep_all) WHERE ep_rank <= {K.MAX_ENTRY_POINTS})"""]
+
+
+def fbkw_cte() -> str:
+    terms = ", ".join(f"({i}, {q(t)})" for i, t in enumerate(K.KEYWORD_TERMS))
+    defs = ", ".join(f"({i}, {q(t)})" for i, t in enumerate(K.DEFAULT_KEYWORDS))
+    return f"""fbkw AS (SELECT repo_id, CAST(kw_ord AS INTEGER) AS kw_ord, keyword FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY kw_ord) AS r FROM (
+    SELECT DISTINCT c.repo_id, k.i AS kw_ord, k.t AS keyword FROM ctxf c, (VALUES {terms}) k(i, t)
+      WHERE contains(lower(substring(coalesce(c.content, ''), 1, {K.EXCERPT_CHARS})), k.t) OR contains(lower(c.path), k.t)
+    UNION ALL
+    SELECT r.repo_id, d.i, d.t FROM (SELECT DISTINCT repo_id FROM files) r, (VALUES {defs}) d(i, t)
+      WHERE r.repo_id NOT IN (SELECT c.repo_id FROM ctxf c, (VALUES {terms}) k(i, t)
+        WHERE contains(lower(substring(coalesce(c.content, ''), 1, {K.EXCERPT_CHARS})), k.t) OR contains(lower(c.path), k.t))))
+  WHERE r <= {K.MAX_KEYWORDS})"""
+
+
+def clean_mods(lst: str) -> str:
+    keep = (f"list_filter(list_transform({lst}, lambda m: {pystrip('m')}), lambda m: m IS NOT NULL AND m <> '' "
+            f"AND NOT contains(m, '/') AND NOT {ends_any('m', K.VALID_EXTENSIONS)})")
+    return distinct_ordered(keep)
+
+
+def _context_queries() -> dict[str, str]:
+    T = [FILES] + tree_ctes()
+    GP = graph_ctes() + pagerank_ctes()
+    CF = GP + ctxfiles_ctes()
+    CTX = CF + parse_ctes() + ep_ctes()
+    return {
+        "clean_llm_json": with_([RESPONSES], f"SELECT repo_id, response_id, {clean_json('raw')} AS cleaned FROM responses"),
+        "parse_context": with_(parse_ctes(), """SELECT repo_id, response_id, parse_ok, summary, domain, array_to_string(tech_stack, '|') AS tech_stack,
+  array_to_string(main_modules, '|') AS main_modules, array_to_string(entry_points, '|') AS entry_points,
+  array_to_string(keywords, '|') AS keywords FROM parsed"""),
+        "context_score": with_(T, f"SELECT repo_id, path, {ctx_score('path')} AS score FROM tree"),
+        "entry_point_score": with_(T, f"SELECT repo_id, path, {ep_score('path', 'content')} AS score, {ep_valid('path', 'content')} AS valid FROM tree"),
+        "context_files": with_(CF, "SELECT repo_id, ctx_rank, path, score FROM ctxf"),
+        "entry_point_normalise": with_(CTX, "SELECT repo_id, ep_ord, raw, path FROM epn"),
+        "entry_points": with_(CTX, f"""SELECT repo_id, ep_rank, path, score FROM (SELECT repo_id, path, score,
+  CAST(row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, path DESC) AS INTEGER) AS ep_rank FROM llm_ep) WHERE ep_rank <= {K.MAX_ENTRY_POINTS}"""),
+        "fallback_entry_points": with_(CTX, f"""SELECT repo_id, ep_rank, path, score, tier FROM (SELECT repo_id, path, score, tier,
+  CAST(row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, path DESC) AS INTEGER) AS ep_rank FROM fb_ep) WHERE ep_rank <= {K.MAX_ENTRY_POINTS}"""),
+        "fallback_keywords": with_(CF + [fbkw_cte()], "SELECT repo_id, kw_ord, keyword FROM fbkw"),
+        "clean_modules": with_(parse_ctes(), f"SELECT repo_id, response_id, array_to_string({clean_mods('main_modules')}[1:{K.MAX_MODULES}], '|') AS main_modules FROM parsed WHERE parse_ok"),
+        "context_finalise": with_(CTX + [fbkw_cte()], context_final_sql()),
+    }
+
+
+def context_final_cte() -> str:
+    mods = f"{clean_mods('c.main_modules')}[1:{K.MAX_MODULES}]"
+    defmods = lst(K.DEFAULT_MODULES)
+    return f"""fin AS (SELECT r.repo_id, coalesce(c.summary, '') AS summary, coalesce(c.domain, '') AS domain,
+  {distinct_ordered("coalesce(c.tech_stack, CAST([] AS VARCHAR[]))")} AS tech_stack,
+  {distinct_ordered(f"(CASE WHEN len(coalesce({mods}, CAST([] AS VARCHAR[]))) = 0 THEN {defmods} ELSE {mods} END)")} AS main_modules,
+  coalesce((SELECT list(path ORDER BY ep_rank) FROM final_ep e WHERE e.repo_id = r.repo_id), CAST([] AS VARCHAR[])) AS entry_points,
+  CASE WHEN len(coalesce(c.keywords, CAST([] AS VARCHAR[]))) > 0 THEN {distinct_ordered("c.keywords")}[1:{K.MAX_KEYWORDS}]
+       ELSE coalesce((SELECT list(keyword ORDER BY kw_ord) FROM fbkw k WHERE k.repo_id = r.repo_id), CAST([] AS VARCHAR[])) END AS keywords
+FROM (SELECT DISTINCT repo_id FROM files) r LEFT JOIN ctx c ON c.repo_id = r.repo_id)"""
+
+
+def context_final_sql() -> str:
+    return "WITH " + context_final_cte() + """
+SELECT repo_id, summary, domain, array_to_string(tech_stack, '|') AS tech_stack, array_to_string(main_modules, '|') AS main_modules,
+  array_to_string(entry_points, '|') AS entry_points, array_to_string(keywords, '|') AS keywords FROM fin"""
+
+
 def oracle() -> dict[str, str]:
     out = {}
     out.update(_ingestion_queries())
     out.update(_retrieval_queries())
     out.update(_evidence_queries())
+    out.update(_context_queries())
     return out
