@@ -19,7 +19,10 @@ from ..operators import ingest as I
 from ..operators import lexical as LX
 from ..operators import rank as RK
 from ..operators import semantic as SM
+from ..operators import llm_output as LO
 from ..sources import fixtures as X
+from ..sources import listing as SL
+from . import report as RP
 from .ingestion import RepoGraph, ingestion_report
 
 SEP = "|"
@@ -343,6 +346,71 @@ def q_context_finalise(spark, sf_dir):
                       joined("entry_points"), joined("keywords"))
 
 
+# ---------------------------------------------------------------------------
+# A1-A3: sources
+# ---------------------------------------------------------------------------
+def q_repo_id_normalise(spark, sf_dir):
+    r = SL.normalise_repo_ids(X.requests(spark, sf_dir))
+    return r.select("page_id", "repo_url", "owner", "repo", "repo_id", "error", "page_repo_url")
+
+
+def q_scan_tree_listing(spark, sf_dir):
+    listing = X.tree_listing(X.files(spark, sf_dir))
+    return SL.scan_listing(listing)
+
+
+def q_decode_content(spark, sf_dir):
+    f = X.files(spark, sf_dir)
+    dec = SL.decode_content(X.tree_listing(f))
+    orig = f.select("repo_id", "path", F.col("content").alias("orig"))
+    return (dec.join(orig, ["repo_id", "path"])
+            .select("repo_id", "path", F.length("content").cast("bigint").alias("chars"), F.md5("content").alias("content_md5"),
+                    (F.col("content") == F.col("orig")).alias("roundtrip_ok")))
+
+
+# ---------------------------------------------------------------------------
+# Model replies, prompts, report
+# ---------------------------------------------------------------------------
+def q_parse_architecture(spark, sf_dir):
+    a = LO.parse_architecture(X.responses(spark, sf_dir))
+    return a.select("repo_id", "response_id", "parse_ok", "narrative_summary", "architecture_mermaid",
+                    joined("flow_mermaid"), F.size("evidence_map").cast("int").alias("evidence_entries"))
+
+
+def q_normalise_flow(spark, sf_dir):
+    a = LO.parse_architecture(X.responses(spark, sf_dir)).where(F.col("parse_ok"))
+    return a.select("repo_id", "response_id", F.size("flow_mermaid").cast("int").alias("n_flows"), joined("flow_mermaid"))
+
+
+def _analysis(spark, sf_dir):
+    f = X.files(spark, sf_dir)
+    replies = X.responses(spark, sf_dir)
+    return RP.analyse(f, replies, replies, X.repos(f), X.file_vectors(spark, sf_dir, f), X.repo_vectors(spark, sf_dir),
+                      K.API_TOKEN_BUDGET)
+
+
+def q_context_prompt(spark, sf_dir):
+    g, _, _, cf = _ctx_pieces(spark, sf_dir)
+    from .prompts import context_prompt
+    p = context_prompt(g.tree, cf, X.repos(g.files))
+    return p.select("repo_id", F.length("prompt").cast("bigint").alias("chars"), F.md5("prompt").alias("prompt_md5"), "prompt")
+
+
+def q_architecture_prompt(spark, sf_dir):
+    a = _analysis(spark, sf_dir)
+    _, p = RP.prompts(a)
+    return p.select("repo_id", F.length("prompt").cast("bigint").alias("chars"), F.md5("prompt").alias("prompt_md5"), "prompt")
+
+
+def q_repo_report(spark, sf_dir):
+    r = RP.report(_analysis(spark, sf_dir))
+    arrays = ["tech_stack", "main_modules", "entry_points", "keywords", "flow_mermaid", "signal_files",
+              "top_central_files", "selected_files", "compressed_folders"]
+    return r.select(*[joined(c) if c in arrays else
+                      (F.size(c).cast("int").alias("evidence_entries") if c == "evidence_map" else F.col(c))
+                      for c in r.columns])
+
+
 QUERIES = {
     "ingest_filter": q_ingest_filter,
     "signal_files": q_signal_files,
@@ -389,4 +457,12 @@ QUERIES = {
     "fallback_keywords": q_fallback_keywords,
     "clean_modules": q_clean_modules,
     "context_finalise": q_context_finalise,
+    "repo_id_normalise": q_repo_id_normalise,
+    "scan_tree_listing": q_scan_tree_listing,
+    "decode_content": q_decode_content,
+    "parse_architecture": q_parse_architecture,
+    "normalise_flow": q_normalise_flow,
+    "context_prompt": q_context_prompt,
+    "architecture_prompt": q_architecture_prompt,
+    "repo_report": q_repo_report,
 }

@@ -395,11 +395,12 @@ def bm25_ctes() -> list[str]:
   FROM bm b JOIN (SELECT repo_id, max(bm25_raw) AS mx FROM bm GROUP BY repo_id) m USING (repo_id))"""]
 
 
-def retrieval_ctes(budget: int) -> list[str]:
+def retrieval_ctes(budget: int, ep_sql: str | None = None) -> list[str]:
     """cand/bm25 + pagerank signal, shortlist, hybrid rank and budgeted selection (``sel``)."""
+    ep_sql = ep_sql or f"SELECT DISTINCT repo_id, path FROM tree WHERE {fname('path')} = 'main.py'"
     return bm25_ctes() + [
         FILE_VECTORS, REPO_VECTORS,
-        f"ep AS (SELECT DISTINCT repo_id, path FROM tree WHERE {fname('path')} = 'main.py')",
+        f"ep AS ({ep_sql})",
         """prs AS (SELECT c.repo_id, c.path, CASE WHEN coalesce(m.ok, false) THEN coalesce(p.pagerank, 0.0::DOUBLE) / m.mx ELSE 0.0::DOUBLE END AS pagerank
   FROM cand c LEFT JOIN pagerank p ON p.repo_id = c.repo_id AND p.id = c.path
   LEFT JOIN (SELECT repo_id, max(pagerank) AS mx, bool_and(converged) AS ok FROM pagerank GROUP BY repo_id) m ON m.repo_id = c.repo_id)""",
@@ -681,10 +682,155 @@ SELECT repo_id, summary, domain, array_to_string(tech_stack, '|') AS tech_stack,
   array_to_string(entry_points, '|') AS entry_points, array_to_string(keywords, '|') AS keywords FROM fin"""
 
 
+URL_RE = r"^https?://([^/?#]*)([^?#]*)"
+PAGE_RE = r"^https?://github\.com/([^/]+)/([^/?#]+)"
+
+
+def tree_listing_cte() -> str:
+    return """tl AS (SELECT repo_id, path, tree_ord, 'blob' AS type, CASE WHEN tree_ord % 10 = 9 THEN NULL ELSE size_bytes END AS size,
+  'base64' AS encoding, to_base64(encode(content)) AS content_b64 FROM files)"""
+
+
+def after_first(x: str, sep: str) -> str:
+    return f"(CASE WHEN strpos({x}, {q(sep)}) > 0 THEN substring({x}, strpos({x}, {q(sep)}) + {len(sep)}) ELSE {x} END)"
+
+
+def before_last(x: str, sep: str) -> str:
+    r = f"strpos(reverse({x}), {q(sep[::-1])})"
+    return f"(CASE WHEN {r} > 0 THEN left({x}, length({x}) - {r} - {len(sep) - 1}) ELSE {x} END)"
+
+
+def arch_ctes(src: str = "responses") -> list[str]:
+    fence = pystrip(before_last(after_first("raw", "```json"), "```"))
+
+    def ftxt(f):
+        t = f"json_type(cj, '$.{f}')"
+        return (f"CASE WHEN {t} IS NULL THEN '' WHEN {t} = 'VARCHAR' THEN json_extract_string(cj, '$.{f}') "
+                f"WHEN {t} = 'NULL' THEN NULL ELSE CAST(json_extract(cj, '$.{f}') AS VARCHAR) END")
+    ft = "json_type(cj, '$.flow_mermaid')"
+    fs = pystrip("coalesce(json_extract_string(cj, '$.flow_mermaid'), '')")
+    flow = (f"CASE WHEN {ft} = 'ARRAY' THEN json_extract_string(cj, '$.flow_mermaid[*]') "
+            f"WHEN {ft} = 'VARCHAR' AND {fs} <> '' THEN [{fs}] ELSE CAST([] AS VARCHAR[]) END")
+    return [f"""arch AS (SELECT repo_id, response_id, ok AS parse_ok,
+    CASE WHEN ok THEN {ftxt('narrative_summary')} ELSE '' END AS narrative_summary,
+    CASE WHEN ok THEN {ftxt('architecture_mermaid')} ELSE {q(K.UNPARSEABLE_ARCHITECTURE).replace(chr(10), "' || chr(10) || '")} END AS architecture_mermaid,
+    CASE WHEN ok THEN {flow} ELSE CAST([] AS VARCHAR[]) END AS flow_mermaid,
+    CAST(CASE WHEN ok AND json_type(cj, '$.evidence_map') = 'ARRAY' THEN json_array_length(cj, '$.evidence_map') ELSE 0 END AS INTEGER) AS evidence_entries
+  FROM (SELECT *, CASE WHEN ok THEN j ELSE '{{}}' END AS cj FROM (
+    SELECT *, coalesce(json_valid(j), false) AND json_type(CASE WHEN json_valid(j) THEN j ELSE '{{}}' END) = 'OBJECT' AS ok FROM (
+      SELECT repo_id, response_id, raw, CASE WHEN json_valid(raw) THEN raw ELSE {fence} END AS j FROM {src}))))"""]
+
+
+def template_sql(template: list[str], parts: dict[str, str]) -> str:
+    pieces = []
+    for i, line in enumerate(template):
+        if i:
+            pieces.append("chr(10) || chr(10)")
+        if line.startswith("{") and line.endswith("}") and line[1:-1] in parts:
+            pieces.append(f"coalesce({parts[line[1:-1]]}, '')")
+        else:
+            pieces.append(q(line))
+    return " || ".join(pieces)
+
+
+def report_ctes(budget: int) -> list[str]:
+    """Everything the end-to-end report needs: context, retrieval on the context, evidence, replies."""
+    GP = graph_ctes() + pagerank_ctes()
+    CTX = GP + ctxfiles_ctes() + parse_ctes() + ep_ctes() + [fbkw_cte(), context_final_cte()]
+    kw = """keywords AS (SELECT repo_id, CAST(unnest(range(0, len(keywords))) AS BIGINT) AS kw_ord, unnest(keywords) AS keyword FROM fin)"""
+    ret = retrieval_ctes(budget, "SELECT DISTINCT repo_id, unnest(entry_points) AS path FROM fin")
+    ev = [f"ev AS ({evidence_sql('sel', 'rank')})",
+          """evc AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id, kind ORDER BY file_rank, file, pattern_ord, match_ord) AS INTEGER) AS ev_rank FROM ev) WHERE ev_rank <= 20)"""]
+    arch_src = """lastreply AS (SELECT r.* FROM responses r JOIN (SELECT repo_id, max(response_id) AS m FROM responses GROUP BY repo_id) x
+  ON x.repo_id = r.repo_id AND x.m = r.response_id)"""
+    return CTX + [kw] + ret + ev + [central_cte("central10", K.REPORT_CENTRAL_TOP_N), arch_src] + arch_ctes("lastreply")
+
+
+def _final_queries() -> dict[str, str]:
+    from codemap.plans.prompts import ARCH_TEMPLATE, CONTEXT_TEMPLATE
+    T = [FILES] + tree_ctes()
+    hosts = inl(K.GITHUB_HOSTS)
+    norm = f"""WITH {REQUESTS},
+n AS (SELECT *, regexp_replace({pystrip('repo_url')}, '/+$', '') AS u FROM requests),
+m AS (SELECT *, starts_with(u, 'http://') OR starts_with(u, 'https://') AS is_http, regexp_extract(u, {q(URL_RE)}, 1) AS host,
+  list_filter(string_split(regexp_extract(u, {q(URL_RE)}, 2), '/'), lambda p: p <> '') AS url_parts,
+  list_filter(string_split(u, '/'), lambda p: p <> '') AS id_parts FROM n),
+e AS (SELECT *, CASE WHEN u = '' THEN 'empty repository url' WHEN is_http AND host NOT IN {hosts} THEN 'not a github url'
+    WHEN is_http AND len(url_parts) < 2 THEN 'invalid github url' WHEN NOT is_http AND len(id_parts) <> 2 THEN 'invalid repository identifier' END AS error,
+  CASE WHEN is_http THEN url_parts ELSE id_parts END AS parts FROM m),
+o AS (SELECT *, CASE WHEN error IS NULL THEN parts[1] END AS owner,
+  CASE WHEN error IS NULL THEN CASE WHEN ends_with(parts[2], '.git') THEN left(parts[2], length(parts[2]) - 4) ELSE parts[2] END END AS repo FROM e)
+SELECT page_id, repo_url, owner, repo, CASE WHEN error IS NULL THEN owner || '/' || repo END AS repo_id, error,
+  CASE WHEN regexp_extract(repo_url, {q(PAGE_RE)}, 1) <> '' THEN 'https://github.com/' || regexp_extract(repo_url, {q(PAGE_RE)}, 1) || '/' ||
+    regexp_replace(regexp_extract(repo_url, {q(PAGE_RE)}, 2), '\.git$', '') END AS page_repo_url FROM o"""
+    ctx_prompt = template_sql(CONTEXT_TEMPLATE, {"tree": "t.tr", "signals": "s.sg", "excerpts": "x.ex"})
+    CPC = graph_ctes() + pagerank_ctes() + ctxfiles_ctes() + [
+        """tree250 AS (SELECT repo_id, string_agg(path, chr(10) ORDER BY tree_ord) AS tr FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY tree_ord) AS r FROM tree) WHERE r <= 250 GROUP BY repo_id)""",
+        f"""sigs AS (SELECT repo_id, string_agg('### ' || path || chr(10) || substring(coalesce(content, ''), 1, {K.SIGNAL_EXCERPT_CHARS}), chr(10) || chr(10) ORDER BY tree_ord) AS sg
+  FROM tree WHERE is_signal GROUP BY repo_id)""",
+        f"""exc AS (SELECT repo_id, string_agg('### ' || path || chr(10) || substring(content, 1, {K.EXCERPT_CHARS}), chr(10) || chr(10) ORDER BY ctx_rank) AS ex FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ctx_rank) AS r FROM ctxf WHERE {has_content()}) WHERE r <= {K.PROMPT_EXCERPTS} GROUP BY repo_id)""",
+        f"""cprompt AS (SELECT r.repo_id, {ctx_prompt} AS prompt FROM (SELECT DISTINCT repo_id FROM files) r
+  LEFT JOIN tree250 t ON t.repo_id = r.repo_id LEFT JOIN sigs s ON s.repo_id = r.repo_id LEFT JOIN exc x ON x.repo_id = r.repo_id)"""]
+    RPT = report_ctes(K.API_TOKEN_BUDGET)
+    ev_line = "kind || ' ' || CASE WHEN method IS NOT NULL THEN method || ' ' ELSE '' END || value || ' (' || file || ')'"
+    kord = "CASE kind WHEN 'route' THEN 0 WHEN 'handler' THEN 1 ELSE 2 END * 1000 + ev_rank"
+    arch_prompt = template_sql(ARCH_TEMPLATE, {
+        "summary": "f.summary", "domain": "f.domain", "stack": "array_to_string(f.tech_stack, ', ')",
+        "modules": "array_to_string(f.main_modules, ', ')", "file_list": "fl.fl", "files": "fb.fb", "evidence": "el.el"})
+    APC = RPT + [
+        "fl AS (SELECT repo_id, string_agg('- ' || path, chr(10) ORDER BY rank) AS fl FROM sel GROUP BY repo_id)",
+        "fb AS (SELECT repo_id, string_agg('### ' || path || chr(10) || '```' || chr(10) || coalesce(content, '') || chr(10) || '```', chr(10) || chr(10) ORDER BY rank) AS fb FROM sel GROUP BY repo_id)",
+        f"el AS (SELECT repo_id, string_agg({ev_line}, chr(10) ORDER BY {kord}) AS el FROM evc GROUP BY repo_id)",
+        f"""aprompt AS (SELECT f.repo_id, {arch_prompt} AS prompt FROM fin f LEFT JOIN fl ON fl.repo_id = f.repo_id
+  LEFT JOIN fb ON fb.repo_id = f.repo_id LEFT JOIN el ON el.repo_id = f.repo_id)"""]
+    rep = RPT + evmap_ctes()[-1:] + [
+        """stats AS (SELECT repo_id, count(*) AS total_files FROM tree GROUP BY repo_id)""",
+        """estats AS (SELECT repo_id, count(*) AS graph_edges FROM edges GROUP BY repo_id)""",
+        """sigl AS (SELECT repo_id, string_agg(path, '|' ORDER BY tree_ord) AS signal_files FROM tree WHERE is_signal GROUP BY repo_id)""",
+        """cenl AS (SELECT repo_id, string_agg(path, '|' ORDER BY rank) AS top_central_files FROM central10 GROUP BY repo_id)""",
+        """sell AS (SELECT repo_id, string_agg(path, '|' ORDER BY rank) AS selected_files, count(*) AS total_selected,
+  CAST(sum(tokens) AS BIGINT) AS estimated_tokens FROM sel GROUP BY repo_id)""",
+        f"""comp AS (SELECT repo_id, string_agg(folder || ': ' || CAST(n AS VARCHAR) || {q(K.COMPRESSED_FOLDER_TEXT)}, '|' ORDER BY first_ord) AS compressed_folders
+  FROM (SELECT repo_id, regexp_extract(path, '^[^/]*') AS folder, count(*) AS n, min(tree_ord) AS first_ord FROM tree t
+        WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.repo_id = t.repo_id AND s.path = t.path) GROUP BY ALL) GROUP BY repo_id)"""]
+    rep_sql = f"""SELECT f.repo_id, f.summary AS repo_summary, array_to_string(f.tech_stack, '|') AS tech_stack,
+  array_to_string(f.main_modules, '|') AS main_modules, array_to_string(f.entry_points, '|') AS entry_points,
+  array_to_string(f.keywords, '|') AS keywords, coalesce(a.narrative_summary, '') AS narrative_summary,
+  coalesce(a.architecture_mermaid, {q(K.UNPARSEABLE_ARCHITECTURE).replace(chr(10), "' || chr(10) || '")}) AS architecture_mermaid,
+  coalesce(array_to_string(a.flow_mermaid, '|'), '') AS flow_mermaid, a.evidence_entries,
+  CAST(coalesce(st.total_files, 0) AS BIGINT) AS total_files, coalesce(sg.signal_files, '') AS signal_files,
+  CAST(coalesce(st.total_files, 0) AS BIGINT) AS graph_nodes, CAST(coalesce(es.graph_edges, 0) AS BIGINT) AS graph_edges,
+  coalesce(ce.top_central_files, '') AS top_central_files, f.domain, coalesce(sl.selected_files, '') AS selected_files,
+  CAST(coalesce(sl.total_selected, 0) AS BIGINT) AS total_selected, CAST(coalesce(sl.estimated_tokens, 0) AS BIGINT) AS estimated_tokens,
+  coalesce(cp.compressed_folders, '') AS compressed_folders, split_part(f.repo_id, '/', 1) AS repo_owner,
+  regexp_extract(f.repo_id, '[^/]*$') AS repo_name, coalesce(nullif(r.default_branch, ''), 'main') AS default_branch,
+  coalesce(CASE WHEN coalesce(a.narrative_summary, '') <> '' THEN a.narrative_summary END, f.summary) AS headline
+FROM fin f LEFT JOIN stats st ON st.repo_id = f.repo_id LEFT JOIN estats es ON es.repo_id = f.repo_id
+LEFT JOIN sigl sg ON sg.repo_id = f.repo_id LEFT JOIN cenl ce ON ce.repo_id = f.repo_id LEFT JOIN sell sl ON sl.repo_id = f.repo_id
+LEFT JOIN comp cp ON cp.repo_id = f.repo_id LEFT JOIN arch a ON a.repo_id = f.repo_id LEFT JOIN repos r ON r.repo_id = f.repo_id"""
+    return {
+        "repo_id_normalise": norm,
+        "scan_tree_listing": with_([FILES, tree_listing_cte()], "SELECT repo_id, path, tree_ord, CAST(coalesce(size, 0) AS BIGINT) AS size_bytes FROM tl WHERE type = 'blob'"),
+        "decode_content": with_([FILES, tree_listing_cte()], """SELECT t.repo_id, t.path, CAST(length(d.c) AS BIGINT) AS chars, md5(d.c) AS content_md5, d.c = f.content AS roundtrip_ok
+FROM tl t JOIN files f ON f.repo_id = t.repo_id AND f.path = t.path,
+LATERAL (SELECT CASE WHEN t.encoding = 'base64' THEN coalesce(decode(from_base64(t.content_b64)), '') ELSE '' END AS c) d"""),
+        "parse_architecture": with_([RESPONSES] + arch_ctes(), """SELECT repo_id, response_id, parse_ok, narrative_summary, architecture_mermaid,
+  array_to_string(flow_mermaid, '|') AS flow_mermaid, evidence_entries FROM arch"""),
+        "normalise_flow": with_([RESPONSES] + arch_ctes(), """SELECT repo_id, response_id, CAST(len(flow_mermaid) AS INTEGER) AS n_flows,
+  array_to_string(flow_mermaid, '|') AS flow_mermaid FROM arch WHERE parse_ok"""),
+        "context_prompt": with_(CPC, "SELECT repo_id, CAST(length(prompt) AS BIGINT) AS chars, md5(prompt) AS prompt_md5, prompt FROM cprompt"),
+        "architecture_prompt": with_(APC, "SELECT repo_id, CAST(length(prompt) AS BIGINT) AS chars, md5(prompt) AS prompt_md5, prompt FROM aprompt"),
+        "repo_report": with_(rep, rep_sql),
+    }
+
+
 def oracle() -> dict[str, str]:
     out = {}
     out.update(_ingestion_queries())
     out.update(_retrieval_queries())
     out.update(_evidence_queries())
     out.update(_context_queries())
+    out.update(_final_queries())
     return out
