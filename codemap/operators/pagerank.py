@@ -44,7 +44,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = K.PAGERANK_ALPHA
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{base}/{name}")
-        return spark.read.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
     nodes = nodes.select("repo_id", "id").distinct()
     e = edges.select("repo_id", "src", "dst").distinct()

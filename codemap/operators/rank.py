@@ -12,7 +12,6 @@ per partition before its shuffle.
 """
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,10 +124,17 @@ def select_top_k(tree: DataFrame, pr: DataFrame, keywords: DataFrame, entry_poin
     """Whole retrieval composite; returns dict with 'ranked' (all candidates) and 'selection'."""
     from .lexical import bm25_scores
     cands = candidates(tree)
-    prs = pagerank_signal(cands, pr)
-    bm = bm25_scores(cands, keywords)
+    # Per-candidate signals are bounded by the fetch quota per repository and each is read
+    # several times below, so they are materialised once instead of being recomputed.
+    prs = materialise(pagerank_signal(cands, pr), "pagerank_signal")
+    bm = materialise(bm25_scores(cands, keywords), "bm25")
     sem = semantic_shortlist(cands, prs, bm, file_vectors, repo_vectors)
-    ranked = hybrid_rank(cands, prs, bm, sem, entry_points)
-    # the pick is small (at most MAX_FILES rows per repository) and read by several later steps
-    selection = budget_select(ranked, token_budget).persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = materialise(hybrid_rank(cands, prs, bm, sem, entry_points), "ranked")
+    selection = materialise(budget_select(ranked, token_budget), "selection")
     return {"ranked": ranked, "selection": selection}
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Stage boundary (written to the checkpoint folder, read back): see session.stage."""
+    from ..session import stage
+    return stage(df, name)

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +12,12 @@ from ..operators import imports as IM
 from ..operators import ingest as I
 from ..operators import pagerank as PR
 from ..operators import resolve as RS
+from ..session import stage
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Persist (memory, spilling to disk) and fill the cache with one pass.
-
-    Lost executors recompute missing blocks from lineage; iterative steps that need a
-    cut lineage use ``checkpoint()`` instead (see operators.pagerank).
-    """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
+def materialise(df: DataFrame, name: str = "part") -> DataFrame:
+    """Stage boundary: written once to the checkpoint folder and read back (see session.stage)."""
+    return stage(df, name)
 
 
 @dataclass
@@ -43,7 +37,7 @@ class RepoGraph:
     def tree(self) -> DataFrame:
         """Kept files; reused by every later step, so it is materialised once."""
         return self._get("tree", lambda: materialise(
-            I.ingest(self.files, self.max_file_size, self.max_source_files)))
+            I.ingest(self.files, self.max_file_size, self.max_source_files), "tree"))
 
     @property
     def imports(self) -> DataFrame:
@@ -55,12 +49,12 @@ class RepoGraph:
 
     @property
     def edges(self) -> DataFrame:
-        return self._get("edges", lambda: materialise(RS.dependency_edges(self.resolved)))
+        return self._get("edges", lambda: materialise(RS.dependency_edges(self.resolved), "edges"))
 
     @property
     def pagerank(self) -> DataFrame:
         """Iterative; materialised once per RepoGraph (checkpointed inside)."""
-        return self._get("pagerank", lambda: PR.pagerank(G.nodes_of(self.tree), self.edges))
+        return self._get("pagerank", lambda: stage(PR.pagerank(G.nodes_of(self.tree), self.edges), "pagerank"))
 
     def central(self, top_n: int = K.REPORT_CENTRAL_TOP_N) -> DataFrame:
         return self._get(f"central{top_n}", lambda: G.central_files(self.pagerank, self.tree, top_n))

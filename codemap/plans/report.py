@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +47,15 @@ def analyse(files: DataFrame, context_replies: DataFrame, architecture_replies:
             token_budget: int = K.API_TOKEN_BUDGET) -> Analysis:
     """repos(repo_id, repo_url, default_branch); the request's token budget is honoured."""
     g = RepoGraph(files)
-    ctxf = CX.context_files(g.tree, g.central(K.CONTEXT_CENTRAL_TOP_N)).persist(StorageLevel.MEMORY_AND_DISK)
+    ctxf = RK.materialise(CX.context_files(g.tree, g.central(K.CONTEXT_CENTRAL_TOP_N)), "context_files")
     ctx = CX.pick_context(CX.parse_context(context_replies))
-    fin = CX.finalise_context(ctx, repos, g.tree, ctxf).persist(StorageLevel.MEMORY_AND_DISK)
+    fin = RK.materialise(CX.finalise_context(ctx, repos, g.tree, ctxf), "context")
     kw = fin.select("repo_id", F.posexplode("keywords").alias("kw_ord", "keyword"))
     eps = fin.select("repo_id", F.explode("entry_points").alias("path"))
     res = RK.select_top_k(g.tree, g.pagerank, kw, eps, file_vectors, repo_vectors, token_budget)
     sel = res["selection"]
-    ev = EV.cap_evidence(EV.extract_evidence(sel.select("repo_id", "path", "content", F.col("rank").alias("file_rank"))))
+    ev = RK.materialise(EV.cap_evidence(
+        EV.extract_evidence(sel.select("repo_id", "path", "content", F.col("rank").alias("file_rank")))), "evidence")
     comp = RK.compress_folders(g.tree, sel)
     arch = parse_architecture(latest_reply(architecture_replies))
     return Analysis(g, ctxf, fin, res["ranked"], sel, ev, comp, arch, repos)

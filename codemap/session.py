@@ -52,3 +52,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local_dir = tempfile.mkdtemp(prefix="codemap-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir()
+
+
+def stage(df, name: str):
+    """Write ``df`` as parquet under the session's checkpoint folder and read it back.
+
+    Cuts the lineage (and the logical plan) at a pipeline stage: later steps plan against a
+    scan instead of the whole upstream plan, a lost executor re-reads files instead of
+    recomputing the stage, and the data lives in the shared folder the cluster names in
+    ``spark.checkpoint.dir``. One job per stage.
+    """
+    import time
+    import uuid
+    spark = df.sparkSession
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/stage-{name}-{uuid.uuid4().hex}"
+    t0 = time.time()
+    df.write.mode("overwrite").parquet(path)
+    if os.environ.get("CODEMAP_TIMING"):
+        print(f"[stage] {name}: {time.time() - t0:.2f}s", flush=True)
+    return spark.read.schema(df.schema).parquet(path)
