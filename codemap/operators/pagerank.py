@@ -14,11 +14,12 @@ on (repo_id, id), so their join needs no exchange):
                   one row per repository; broadcast only when the repository count is
                   checked to fit, else a shuffle join)
   next state    = state ⟕ contributions (co-partitioned) ⋈ repo stats
-Each step's state is written as parquet under the session's checkpoint folder (shared
-storage on a cluster) and read back: the plan of every step has constant size (each
+Every ``steps_per_stage`` steps the state is written as parquet under the session's
+checkpoint folder (shared storage on a cluster) and read back: plans stay small (each
 step reads its predecessor three times, so an unbroken lineage would grow 3^k), and a
-lost executor only re-reads the previous step's files. Two paths alternate, so the
-folder holds at most two steps.
+lost executor only re-reads the last written state. Inside a stage each step ends in a
+hash exchange on (repo_id, id) that its three readers share (exchange reuse), so a step
+is computed once. Two paths alternate, so the folder holds at most two states.
 """
 from __future__ import annotations
 
@@ -36,7 +37,8 @@ MAX_BROADCAST_REPOS = 2_000_000
 
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = K.PAGERANK_ALPHA,
              max_iter: int = K.PAGERANK_MAX_ITER, tol: float = K.PAGERANK_TOL,
-             num_partitions: int | None = None, check_every: int = 5) -> DataFrame:
+             num_partitions: int | None = None, check_every: int = 6,
+             steps_per_stage: int = 2) -> DataFrame:
     """nodes(repo_id, id) + edges(repo_id, src, dst) -> (repo_id, id, pagerank, converged, iterations)."""
     spark = nodes.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/pagerank-{uuid.uuid4().hex}"
@@ -76,6 +78,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = K.PAGERANK_ALPHA
             F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(F.lit(0.0))).alias("dmass"),
             F.sum(F.abs(F.col("x") - F.col("xp"))).alias("err"))
 
+    writes = 0
     for step in range(1, max_iter + 1):
         contrib = (state.where(~F.col("done")).select("repo_id", "id", "x")
                    .join(ew, ["repo_id", "id"])
@@ -92,7 +95,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = K.PAGERANK_ALPHA
                        F.when(done, F.col("xp")).otherwise(F.col("x")).alias("xp"),
                        done.alias("done"),
                        F.when(done, F.col("it")).otherwise(F.lit(step)).alias("it")))
-        state = written(nxt, f"state{1 + step % 2}")
+        if step % steps_per_stage and step < max_iter:
+            # stay in the same job: the hash exchange on (repo_id, id) is shared by the three
+            # readers of this step (contributions, repo stats, next state), so it runs once
+            state = nxt.repartition(nparts, "repo_id", "id")
+            continue
+        writes += 1
+        state = written(nxt, f"state{1 + writes % 2}")
         if step % check_every == 0 and state.where(~F.col("done")).limit(1).count() == 0:
             break
 

@@ -1,0 +1,84 @@
+from codemap.operators import imports as IM
+from codemap.operators import ingest as I
+from codemap.operators import resolve as RS
+
+from conftest import files_df
+
+PY = """import os, sys.path as sp, a.b
+import routing as rt, m2
+from pkg.mod import x
+from .rel import first, second
+from . import only
+from .star import *
+from __future__ import annotations
+from .aliased import a as b, c
+from .paren import (
+    p1,
+    p2,
+)
+def f():
+    import nested.mod
+'''
+import in_docstring
+'''
+# import commented
+"""
+
+JS = """import a from "./m1";
+import "../main";
+import { x, y } from 'lib/fp';
+import * as ns from "ns";
+const b = require("req");
+export { z } from "./exported";
+const lazy = import("./dynamic");
+// import c from "./commented";
+/* const d = require("blocked"); */
+"""
+
+
+def _mods(spark, rows):
+    tree = I.ingest(files_df(spark, rows))
+    return sorted(r.module for r in IM.extract_imports(tree).collect())
+
+
+def test_python_rules(spark):
+    got = _mods(spark, [("r", "src/a.py", PY)])
+    assert got == sorted(["os", "a.b", "m2", "pkg.mod", "first", "only", "c", "p1", "nested.mod"])
+
+
+def test_javascript_rules(spark):
+    got = _mods(spark, [("r", "src/a.js", JS)])
+    assert got == sorted(["./m1", "../main", "lib/fp", "ns", "req"])
+
+
+def test_only_py_js_jsx_are_parsed(spark):
+    assert _mods(spark, [("r", "a.ts", 'import a from "./b";'), ("r", "b.jsx", 'import a from "./c";')]) == ["./c"]
+
+
+def test_resolution_rules(spark):
+    rows = [
+        ("r", "src/app.py", "from .util import helper\nimport json\nimport pkg.core\n"),
+        ("r", "src/util.py", "x = 1\n"),
+        ("r", "src/lib/json.py", "x\n"),
+        ("r", "a/json.py", "x\n"),
+        ("r", "pkg/core.py", "x\n"),
+        ("r", "web/x/app.js", 'import a from "../widget";\nimport b from "./comp";\nimport c from "./v.js";\n'),
+        ("r", "web/x/widget.js", "x\n"),
+        ("r", "web/x/comp/index.js", "x\n"),
+        ("r", "web/x/v.js", "x\n"),
+        ("r", "root.py", "from .src import x\n"),
+        ("q", "src/util.py", "import app\n"),
+    ]
+    tree = I.ingest(files_df(spark, rows))
+    res = {(r.repo_id, r.src, r.module): r.dst for r in RS.resolve_imports(IM.extract_imports(tree), tree).collect()}
+    # relative imports name the first imported item, which is then resolved as an absolute name
+    assert ("r", "src/app.py", "helper") not in res
+    assert res[("r", "src/app.py", "json")] == "a/json.py"          # suffix match: smallest path
+    assert res[("r", "src/app.py", "pkg.core")] == "pkg/core.py"    # exact from the root
+    assert res[("r", "web/x/app.js", "../widget")] == "web/x/widget.js"  # '../' flattened to './'
+    assert res[("r", "web/x/app.js", "./comp")] == "web/x/comp/index.js"
+    assert ("r", "web/x/app.js", "./v.js") not in res                # names with extension do not match
+    assert ("r", "root.py", "x") not in res
+    assert ("q", "src/util.py", "app") not in res                    # never across repositories
+    edges = {(r.src, r.dst) for r in RS.dependency_edges(RS.resolve_imports(IM.extract_imports(tree), tree)).collect()}
+    assert all(a != b for a, b in edges)
