@@ -762,7 +762,7 @@ o AS (SELECT *, CASE WHEN error IS NULL THEN parts[1] END AS owner,
   CASE WHEN error IS NULL THEN CASE WHEN ends_with(parts[2], '.git') THEN left(parts[2], length(parts[2]) - 4) ELSE parts[2] END END AS repo FROM e)
 SELECT page_id, repo_url, owner, repo, CASE WHEN error IS NULL THEN owner || '/' || repo END AS repo_id, error,
   CASE WHEN regexp_extract(repo_url, {q(PAGE_RE)}, 1) <> '' THEN 'https://github.com/' || regexp_extract(repo_url, {q(PAGE_RE)}, 1) || '/' ||
-    regexp_replace(regexp_extract(repo_url, {q(PAGE_RE)}, 2), '\.git$', '') END AS page_repo_url FROM o"""
+    regexp_replace(regexp_extract(repo_url, {q(PAGE_RE)}, 2), '\\.git$', '') END AS page_repo_url FROM o"""
     ctx_prompt = template_sql(CONTEXT_TEMPLATE, {"tree": "t.tr", "signals": "s.sg", "excerpts": "x.ex"})
     CPC = graph_ctes() + pagerank_ctes() + ctxfiles_ctes() + [
         """tree250 AS (SELECT repo_id, string_agg(path, chr(10) ORDER BY tree_ord) AS tr FROM (
