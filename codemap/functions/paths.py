@@ -93,7 +93,7 @@ def language(path) -> Column:
     pairs = []
     for ext, lang in K.EXTENSION_TO_LANGUAGE:
         pairs += [F.lit(ext), F.lit(lang)]
-    return F.element_at(F.create_map(*pairs), extension(path))
+    return F.try_element_at(F.create_map(*pairs), extension(path))
 
 
 def ends_with_any(c, suffixes) -> Column:

@@ -43,7 +43,7 @@ def python_imports(tree: DataFrame) -> DataFrame:
             _extract(F.col("code"), R.PY_FROM_STMT, 1).alias("dots"),
             _extract(F.col("code"), R.PY_FROM_STMT, 2).alias("mod"),
             _extract(F.col("code"), R.PY_FROM_STMT, 3).alias("lst"))).alias("s"))
-    first_name = F.element_at(clean_items(F.col("s.lst")), 1)
+    first_name = F.try_element_at(clean_items(F.col("s.lst")), F.lit(1))
     module = (F.when(F.col("s.dots") == "",
                      F.when(F.col("s.mod") != "__future__", F.col("s.mod")))
               .otherwise(first_name))

@@ -39,8 +39,8 @@ def normalise_repo_ids(df: DataFrame, url_col: str = "repo_url") -> DataFrame:
              .when(is_http & ~host.isin(K.GITHUB_HOSTS), F.lit("not a github url"))
              .when(is_http & (F.size(url_parts) < 2), F.lit("invalid github url"))
              .when(~is_http & (F.size(id_parts) != 2), F.lit("invalid repository identifier")))
-    owner = F.when(error.isNull(), F.element_at(parts, 1))
-    repo0 = F.element_at(parts, 2)
+    owner = F.when(error.isNull(), F.try_element_at(parts, F.lit(1)))
+    repo0 = F.try_element_at(parts, F.lit(2))
     repo = F.when(error.isNull(), F.when(repo0.endswith(".git"), repo0.substr(F.lit(1), F.length(repo0) - 4))
                   .otherwise(repo0))
     page_owner = F.regexp_extract(F.col(url_col), PAGE_RE, 1)
@@ -90,7 +90,7 @@ def read_checkouts(spark: SparkSession, root: str, max_file_size: int = K.MAX_FI
     base = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.regexp_replace(F.col("path"), "^file:", ""), "^" + base.replace(".", r"\."), "")
     parts = F.split(rel, "/")
-    return df.select(F.concat_ws("/", F.element_at(parts, 1), F.element_at(parts, 2)).alias("repo_id"),
+    return df.select(F.concat_ws("/", F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))).alias("repo_id"),
                      F.array_join(F.slice(parts, 3, 1 << 20), "/").alias("path"),
                      F.col("length").alias("size_bytes"),
                      utf8_ignore(F.col("content")).alias("content"))
