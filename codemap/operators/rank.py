@@ -120,8 +120,12 @@ def compress_folders(tree: DataFrame, selection: DataFrame) -> DataFrame:
 
 def select_top_k(tree: DataFrame, pr: DataFrame, keywords: DataFrame, entry_points: DataFrame | None,
                  file_vectors: DataFrame | None = None, repo_vectors: DataFrame | None = None,
-                 token_budget=K.TOKEN_BUDGET_DEFAULT) -> dict:
-    """Whole retrieval composite; returns dict with 'ranked' (all candidates) and 'selection'."""
+                 token_budget=K.TOKEN_BUDGET_DEFAULT, budgets: DataFrame | None = None) -> dict:
+    """Whole retrieval composite; returns dict with 'ranked' (all candidates) and 'selection'.
+
+    ``budgets(repo_id, token_budget)`` gives each repository its own budget (a request's);
+    repositories missing from it use ``token_budget``.
+    """
     from .lexical import bm25_scores
     cands = candidates(tree)
     # Per-candidate signals are bounded by the fetch quota per repository and each is read
@@ -130,7 +134,12 @@ def select_top_k(tree: DataFrame, pr: DataFrame, keywords: DataFrame, entry_poin
     bm = materialise(bm25_scores(cands, keywords), "bm25")
     sem = semantic_shortlist(cands, prs, bm, file_vectors, repo_vectors)
     ranked = materialise(hybrid_rank(cands, prs, bm, sem, entry_points), "ranked")
-    selection = materialise(budget_select(ranked, token_budget), "selection")
+    if budgets is not None:
+        per_repo = (ranked.join(budgets.select("repo_id", F.col("token_budget").alias("__budget")), "repo_id", "left")
+                    .withColumn("__budget", F.coalesce(F.col("__budget"), F.lit(token_budget))))
+        selection = materialise(budget_select(per_repo, "__budget"), "selection")
+    else:
+        selection = materialise(budget_select(ranked, token_budget), "selection")
     return {"ranked": ranked, "selection": selection}
 
 

@@ -44,15 +44,16 @@ def latest_reply(replies: DataFrame) -> DataFrame:
 
 def analyse(files: DataFrame, context_replies: DataFrame, architecture_replies: DataFrame, repos: DataFrame,
             file_vectors: DataFrame | None = None, repo_vectors: DataFrame | None = None,
-            token_budget: int = K.API_TOKEN_BUDGET) -> Analysis:
-    """repos(repo_id, repo_url, default_branch); the request's token budget is honoured."""
+            token_budget: int = K.API_TOKEN_BUDGET, budgets: DataFrame | None = None) -> Analysis:
+    """repos(repo_id, repo_url, default_branch). ``budgets(repo_id, token_budget)``: per-request
+    budgets, honoured per repository (``token_budget`` for the rest)."""
     g = RepoGraph(files)
     ctxf = RK.materialise(CX.context_files(g.tree, g.central(K.CONTEXT_CENTRAL_TOP_N)), "context_files")
     ctx = CX.pick_context(CX.parse_context(context_replies))
     fin = RK.materialise(CX.finalise_context(ctx, repos, g.tree, ctxf), "context")
     kw = fin.select("repo_id", F.posexplode("keywords").alias("kw_ord", "keyword"))
     eps = fin.select("repo_id", F.explode("entry_points").alias("path"))
-    res = RK.select_top_k(g.tree, g.pagerank, kw, eps, file_vectors, repo_vectors, token_budget)
+    res = RK.select_top_k(g.tree, g.pagerank, kw, eps, file_vectors, repo_vectors, token_budget, budgets)
     sel = res["selection"]
     ev = RK.materialise(EV.cap_evidence(
         EV.extract_evidence(sel.select("repo_id", "path", "content", F.col("rank").alias("file_rank")))), "evidence")
