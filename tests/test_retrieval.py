@@ -106,3 +106,14 @@ def test_fetch_quota_matches_pinned_then_rest(spark):
     normal = sorted([x for x in src if x[0].split("/")[-1].lower() not in K.ALWAYS_FETCH_FILENAMES], key=lambda x: (x[0].count("/"), x[1]))
     want = [p for p, _, _ in (pinned[:10] + normal[:max(0, 10 - len(pinned))])]
     assert got == want
+
+
+def test_reference_unit_cases(spark):
+    """The analysed repository's own unit expectations: 400 characters are 100 tokens; BM25 over
+    two files returns one score per file."""
+    df = spark.createDataFrame([("a" * 400,)], "t string")
+    assert df.select(RK.token_estimate(F.col("t"))).collect()[0][0] == 100
+    cands = spark.createDataFrame([("r", "src/auth/login.py", "x"), ("r", "src/payments/checkout.py", "x")],
+                                  "repo_id string, path string, content string")
+    kws = spark.createDataFrame([("r", 0, "auth"), ("r", 1, "login")], "repo_id string, kw_ord int, keyword string")
+    assert LX.bm25_scores(cands, kws).count() == 2
