@@ -21,6 +21,7 @@ from ..operators import rank as RK
 from ..operators import semantic as SM
 from ..operators import llm_output as LO
 from ..sources import fixtures as X
+from ..session import stage
 from ..sources import listing as SL
 from . import report as RP
 from .ingestion import RepoGraph, ingestion_report
@@ -274,8 +275,8 @@ def q_evidence_validate(spark, sf_dir):
 def _ctx_pieces(spark, sf_dir):
     g = _graph(spark, sf_dir)
     parsed = CX.parse_context(X.responses(spark, sf_dir))
-    ctx = CX.pick_context(parsed)
-    cf = CX.context_files(g.tree, g.central(K.CONTEXT_CENTRAL_TOP_N))
+    ctx = stage(CX.pick_context(parsed), "picked_context")
+    cf = stage(CX.context_files(g.tree, g.central(K.CONTEXT_CENTRAL_TOP_N)), "context_files")
     return g, parsed, ctx, cf
 
 

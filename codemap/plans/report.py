@@ -20,7 +20,7 @@ from ..operators import graph as G
 from ..operators import rank as RK
 from ..operators.llm_output import parse_architecture
 from .ingestion import RepoGraph
-from .prompts import architecture_prompt, context_prompt, ordered_join
+from .prompts import architecture_prompt, context_prompt
 
 
 @dataclass
@@ -49,7 +49,7 @@ def analyse(files: DataFrame, context_replies: DataFrame, architecture_replies:
     budgets, honoured per repository (``token_budget`` for the rest)."""
     g = RepoGraph(files)
     ctxf = RK.materialise(CX.context_files(g.tree, g.central(K.CONTEXT_CENTRAL_TOP_N)), "context_files")
-    ctx = CX.pick_context(CX.parse_context(context_replies))
+    ctx = RK.materialise(CX.pick_context(CX.parse_context(context_replies)), "picked_context")
     fin = RK.materialise(CX.finalise_context(ctx, repos, g.tree, ctxf), "context")
     kw = fin.select("repo_id", F.posexplode("keywords").alias("kw_ord", "keyword"))
     eps = fin.select("repo_id", F.explode("entry_points").alias("path"))
@@ -123,4 +123,4 @@ def write_reports(rep: DataFrame, path: str, fmt: str = "json") -> None:
     rep.write.mode("overwrite").partitionBy("repo_id").format(fmt).save(path)
 
 
-__all__ = ["analyse", "report", "prompts", "write_reports", "ordered_join", "Analysis"]
+__all__ = ["analyse", "report", "prompts", "write_reports", "Analysis"]

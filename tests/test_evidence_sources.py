@@ -3,8 +3,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from codemap.operators import evidence as EV
 from codemap.sources import listing as SL
 
