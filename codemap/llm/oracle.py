@@ -1,4 +1,47 @@
 """DuckDB SQL of the operator queries that SQL can express over whole tables."""
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+OP9 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+tri AS (SELECT r, i, list_aggregate(ws[i:i+2], 'string_agg', ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+dup AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM tri),
+cov AS (SELECT r, count(DISTINCT p) AS n_repeat FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM dup WHERE n > 1) GROUP BY r),
+m AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
+         len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}')))::BIGINT AS n_alpha_words,
+         len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]')))::BIGINT AS n_bullet_lines,
+         len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipsis_lines
+  FROM w LEFT JOIN cov USING (r)),
+f AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
+    + CASE WHEN n_dup_lines >= 3 AND 3 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 100 * n_alpha_words < 80 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN word_chars < 3 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN word_chars > 12 * n_words THEN 64 ELSE 0 END
+    + CASE WHEN n_lines >= 3 AND 10 * n_bullet_lines > 9 * n_lines THEN 128 ELSE 0 END
+    + CASE WHEN n_lines >= 3 AND 10 * n_ellipsis_lines > 3 * n_lines THEN 256 ELSE 0 END)::BIGINT AS fail_bits FROM m)
+SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM f
+"""
+
+OP10 = r"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents),
+bw AS (SELECT row_number() OVER () AS b, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM benchmark),
+bs AS (SELECT DISTINCT b, item_id, least(5, len(ws)) AS n, unnest(CASE WHEN len(ws) <= 5 THEN [list_aggregate(ws, 'string_agg', ' ')]
+         ELSE list_transform(range(1, len(ws) - 3), lambda i: list_aggregate(ws[i:i+4], 'string_agg', ' ')) END) AS s FROM bw WHERE len(ws) > 0),
+size AS (SELECT b, count(*) AS q FROM bs GROUP BY b),
+ds AS (SELECT DISTINCT r, doc_id, k.n, list_aggregate(ws[i:i+k.n-1], 'string_agg', ' ') AS s
+       FROM (SELECT DISTINCT n FROM bs) k, (SELECT r, doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM dw WHERE len(ws) > 0) d WHERE i + k.n - 1 <= len(ws)),
+hit AS (SELECT r, doc_id, b, item_id, count(*) AS found FROM ds JOIN bs USING (n, s) GROUP BY r, doc_id, b, item_id)
+SELECT doc_id::BIGINT AS doc_id, item_id::BIGINT AS item_id, q::BIGINT AS n_shingles, found::BIGINT AS n_found, found / q AS containment
+FROM hit JOIN size USING (b) WHERE 5 * found >= 4 * q
+"""
+
+SQL: dict[str, str] = {"op9_quality": OP9, "op10_decontamination": OP10}

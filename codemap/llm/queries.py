@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codemap.llm import simhash
+from codemap.llm import decontaminate, packing, quality, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,4 +15,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), ngram=3, max_bits=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash,)}
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: fixed patterns and token-inefficient runs."""
+    return secrets.summarise(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces(docs, capacity=4096), capacity=4096)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of documents under policy v2."""
+    book = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality.apply_policy(book, "v2")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of documents that contain a benchmark item: 5-word shingles, containment 0.8."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ngram=5, threshold=0.8)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op5_secrets, op7_packing, op9_quality, op10_decontamination)}
