@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codemap.llm import decontaminate, packing, quality, secrets, simhash
+from codemap.llm import decontaminate, packing, quality, secrets, simhash, warc
+from codemap.llm.common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, capacity=4096), capacity=4096)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives in the shared folder and read back."""
+    path = Scratch(spark, "warc").path("archive")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    return warc.catalogue(warc.read(spark, path))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule ledger of documents under policy v2."""
     book = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -37,4 +45,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ngram=5, threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op5_secrets, op7_packing, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op5_secrets, op7_packing, op8_warc, op9_quality, op10_decontamination)}
