@@ -1,6 +1,41 @@
 """DuckDB SQL of the operator queries that SQL can express over whole tables."""
 from __future__ import annotations
 
+from codemap.llm import licences
+from codemap.llm.licence_texts import NOTICES, TEXTS
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _licence_sql() -> str:
+    """Canonical lines with string functions and unnested lines instead of arrays; the known texts stand in the statement."""
+    def canonical(line: str) -> str:
+        words = f"trim(regexp_replace(lower({line}), '{licences.NOT_WORD}', ' ', 'g'))"
+        for old, new in licences.SPELLINGS:
+            words = f"replace({words}, '{old}', '{new}')"
+        return f"CASE WHEN regexp_matches(lower({line}), '{licences.COPYRIGHT_LINE}') THEN '' ELSE {words} END"
+
+    def forms(texts: dict) -> str:
+        return ", ".join(f"({_quoted(name)}, {_quoted(f)})" for name, fs in texts.items() for f in fs)
+
+    return f"""
+WITH given(kind, licence_id, t) AS (
+  SELECT 'whole', * FROM (VALUES {forms(TEXTS)}) UNION ALL SELECT 'notice', * FROM (VALUES {forms(NOTICES)})),
+src AS (SELECT row_number() OVER () AS r, 'doc' AS kind, doc_id, NULL AS licence_id, coalesce(text, '') AS t FROM documents
+        UNION ALL SELECT -row_number() OVER (), kind, NULL, licence_id, t FROM given),
+lines AS (SELECT r, i, {canonical("l")} AS c FROM (SELECT r, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM src)),
+whole AS (SELECT src.r, any_value(kind) AS kind, any_value(doc_id) AS doc_id, any_value(licence_id) AS licence_id,
+                 md5(coalesce(string_agg(c, ' ' ORDER BY i) FILTER (c <> ''), '')) AS digest FROM src LEFT JOIN lines USING (r) GROUP BY src.r),
+known AS (SELECT kind, digest, min(licence_id) AS licence_id FROM whole WHERE kind <> 'doc' GROUP BY kind, digest),
+hits AS (SELECT r, string_agg(DISTINCT licence_id, ',' ORDER BY licence_id) AS notices
+         FROM lines JOIN known ON known.kind = 'notice' AND known.digest = md5(c) WHERE c <> '' GROUP BY r)
+SELECT w.doc_id::BIGINT AS doc_id, w.digest, k.licence_id, coalesce(notices, '') AS notices
+FROM whole w LEFT JOIN known k ON k.kind = 'whole' AND k.digest = w.digest LEFT JOIN hits USING (r) WHERE w.kind = 'doc'
+"""
+
+
 OP9 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -44,4 +79,4 @@ SELECT doc_id::BIGINT AS doc_id, item_id::BIGINT AS item_id, q::BIGINT AS n_shin
 FROM hit JOIN size USING (b) WHERE 5 * found >= 4 * q
 """
 
-SQL: dict[str, str] = {"op9_quality": OP9, "op10_decontamination": OP10}
+SQL: dict[str, str] = {"op3_licences": _licence_sql(), "op9_quality": OP9, "op10_decontamination": OP10}

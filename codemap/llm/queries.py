@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codemap.llm import decontaminate, html_extract, packing, quality, secrets, simhash, warc
+from codemap.llm import decontaminate, html_extract, licences, packing, quality, secrets, simhash, warc
 from codemap.llm.common import Scratch
 
 
@@ -16,6 +16,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), ngram=3, max_bits=2)
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that documents are, and licence notices in them, by canonical digests."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by wrapper induction over the pages of its host."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
@@ -50,4 +55,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ngram=5, threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_html, op5_secrets, op7_packing, op8_warc, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_licences, op4_html, op5_secrets, op7_packing, op8_warc, op9_quality, op10_decontamination)}
