@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codemap.llm import decontaminate, html_extract, licences, packing, quality, secrets, simhash, warc
+from codemap.llm import decontaminate, html_extract, licences, packing, quality, secrets, simhash, suffix_dedup, warc
 from codemap.llm.common import Scratch
 
 
@@ -31,6 +32,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summarise(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 200-byte strings that occur more than once."""
+    done = suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=200)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     docs = table(spark, sf_dir, "documents")
@@ -55,4 +62,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ngram=5, threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_licences, op4_html, op5_secrets, op7_packing, op8_warc, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_licences, op4_html, op5_secrets, op6_substrings, op7_packing, op8_warc, op9_quality, op10_decontamination)}
