@@ -36,6 +36,24 @@ FROM whole w LEFT JOIN known k ON k.kind = 'whole' AND k.digest = w.digest LEFT
 """
 
 
+OP2 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+tok AS (SELECT r, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, len(ws) AS n FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+total AS (SELECT count(*) AS t FROM tok),
+c1 AS (SELECT w, count(*) AS c FROM tok GROUP BY w), o1 AS (SELECT r, w, count(*) AS c FROM tok GROUP BY r, w),
+c2 AS (SELECT v, w, count(*) AS c FROM tok WHERE v IS NOT NULL GROUP BY v, w), o2 AS (SELECT r, v, w, count(*) AS c FROM tok WHERE v IS NOT NULL GROUP BY r, v, w),
+j AS (SELECT tok.r, tok.v, tok.n, c1.c - o1.c AS uni, coalesce(c2.c - o2.c, 0) AS bi, cv.c - ov.c AS ctx
+      FROM tok JOIN c1 USING (w) JOIN o1 ON o1.r = tok.r AND o1.w = tok.w
+      LEFT JOIN c2 ON c2.v = tok.v AND c2.w = tok.w LEFT JOIN o2 ON o2.r = tok.r AND o2.v = tok.v AND o2.w = tok.w
+      LEFT JOIN c1 cv ON cv.w = tok.v LEFT JOIN o1 ov ON ov.r = tok.r AND ov.w = tok.v),
+s AS (SELECT r, sum(CASE WHEN bi > 0 THEN ln(bi / ctx)
+                         ELSE CASE WHEN v IS NULL THEN 0 ELSE ln(0.4) END
+                              + CASE WHEN uni > 0 THEN ln(uni / (t - n)) ELSE ln(0.4) - ln(greatest(t - n, 1)) END END) AS x FROM j, total GROUP BY r)
+SELECT doc_id::BIGINT AS doc_id, len(ws)::BIGINT AS n_words, round(coalesce(x, 0), 6)::DOUBLE AS log_score,
+       CASE WHEN len(ws) > 0 THEN round(x / len(ws), 6)::DOUBLE END AS mean_log_score
+FROM d LEFT JOIN s USING (r)
+"""
+
 OP9 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -79,4 +97,4 @@ SELECT doc_id::BIGINT AS doc_id, item_id::BIGINT AS item_id, q::BIGINT AS n_shin
 FROM hit JOIN size USING (b) WHERE 5 * found >= 4 * q
 """
 
-SQL: dict[str, str] = {"op3_licences": _licence_sql(), "op9_quality": OP9, "op10_decontamination": OP10}
+SQL: dict[str, str] = {"op2_lm_score": OP2, "op3_licences": _licence_sql(), "op9_quality": OP9, "op10_decontamination": OP10}

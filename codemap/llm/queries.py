@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codemap.llm import decontaminate, html_extract, licences, packing, quality, secrets, simhash, suffix_dedup, warc
+from codemap.llm import decontaminate, html_extract, licences, lm_score, packing, quality, secrets, simhash, suffix_dedup, warc
 from codemap.llm.common import Scratch
 
 
@@ -17,6 +17,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), ngram=3, max_bits=2)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff bigram scores of documents by the counts of all other documents; rounded to 6 digits."""
+    done = lm_score.score(table(spark, sf_dir, "documents"), order=2)
+    return done.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that documents are, and licence notices in them, by canonical digests."""
     return licences.scan(table(spark, sf_dir, "documents"))
@@ -62,4 +68,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ngram=5, threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_licences, op4_html, op5_secrets, op6_substrings, op7_packing, op8_warc, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_score, op3_licences, op4_html, op5_secrets, op6_substrings, op7_packing, op8_warc, op9_quality, op10_decontamination)}
