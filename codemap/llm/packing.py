@@ -16,51 +16,83 @@ import os
 import random
 import zlib
 from collections import defaultdict
+from string import punctuation
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codemap.llm.common import Scratch, rows
+from codemap.llm.common import Scratch, chunks, rows
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED_WORDS, CACHED_LENGTH = 200_000, 64
+#: Entries of a worker's caches of words and of parts of words; a full cache starts again.
+CACHED = 600_000
+#: The vocabulary's own rule for cutting normalised text into parts; fixed value.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class WordIds:
-    """Ids (little-endian uint32 bytes) of whitespace-separated words.
+    """Ids (little-endian uint32 bytes) of texts, word by word.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in
-    order; frequent words are looked up instead of encoded again.
+    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in order, and a
+    word's are those of its parts. Both are looked up; only new parts go through the vocabulary's merges, many in one call.
     """
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
-        self.cache: dict[bytes, bytes] = {}
-
-    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """Ids of every word of the texts."""
-        new = {w for words in texts for w in words}.difference(self.cache)
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            keep = {w for words in texts for w in words}
-            self.cache = {w: ids for w, ids in self.cache.items() if w in keep}
-        new = list(new)
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        return self.cache
+        from tokenizers import Tokenizer, pre_tokenizers
+        whole = Tokenizer.from_file(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary))
+        self.normalizer = whole.normalizer
+        self.merges = Tokenizer(whole.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def cut(self, word: bytes) -> list[str]:
+        """The parts of a word after normalisation."""
+        text = word.decode("utf-8", "replace")
+        if max(text) >= "\u0250":  # below, text is composed and lower case is by character
+            return _PARTS.findall(self.normalizer.normalize_str(text))
+        text = text.lower()
+        letters = text.rstrip(punctuation)
+        if letters.isalpha():
+            return [letters, text[len(letters):]] if len(letters) < len(text) else [letters]
+        return _PARTS.findall(text)
+
+    def learn(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 512):
+            some = parts[i:i + 512]
+            found = self.merges.encode(" ".join(some), add_special_tokens=False)
+            ids, ends = np.array(found.ids, "<u4").tobytes(), np.cumsum(np.bincount(found.word_ids, minlength=len(some))).tolist()
+            self.parts.update(zip(some, (ids[4 * a:4 * b] for a, b in zip([0, *ends], ends))))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        ids = self.learn(words)
-        return [b"".join(map(ids.__getitem__, w)) for w in words]
+        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        needed = {w for words in split for w in words}
+        if len(self.words) + len(needed) > CACHED:
+            self.words = {w: ids for w, ids in self.words.items() if w in needed}
+        new = [(w, self.cut(w)) for w in needed if w not in self.words]
+        parts = {p for _, cut in new for p in cut}
+        if len(self.parts) + len(parts) > CACHED:
+            self.parts = {p: ids for p, ids in self.parts.items() if p in parts}
+        self.learn([p for p in parts if p not in self.parts])
+        known = self.parts.__getitem__
+        self.words.update((w, b"".join(map(known, cut))) for w, cut in new)
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+
+_WORKER: dict[str, WordIds] = {}
+
+
+def word_ids(vocabulary: str) -> WordIds:
+    """The worker's WordIds of a vocabulary; tasks that a worker runs one after the other share its caches."""
+    if vocabulary not in _WORKER:
+        _WORKER[vocabulary] = WordIds(vocabulary)
+    return _WORKER[vocabulary]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, vocabulary: str = VOCABULARY,
@@ -69,15 +101,13 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     A null text is empty, so it is the end id alone.
     """
-    from codemap.llm.common import chunks
-
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        word_ids, end = WordIds(vocabulary), np.array([end_id], "<u4").tobytes()
+        ids_of, end = word_ids(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []
             for part in chunks(rows(batch, "id", "text"), 1_000_000, lambda r: len(r[1] or "")):
-                for (doc, _), ids in zip(part, word_ids([t for _, t in part])):
+                for (doc, _), ids in zip(part, ids_of([t for _, t in part])):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at:at + 4 * capacity]
