@@ -14,9 +14,9 @@ from __future__ import annotations
 import math
 import os
 import random
+import re
 import zlib
 from collections import defaultdict
-from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -29,17 +29,21 @@ from codemap.llm.common import Scratch, chunks, rows
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Entries of a worker's caches of words and of parts of words; a full cache starts again.
-CACHED = 600_000
+#: Entries of a worker's cache of parts; a full cache keeps what the next texts need.
+CACHED = 1_000_000
 #: The vocabulary's own rule for cutting normalised text into parts; fixed value.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Text without these is composed already, its lower case is by character, and the rule's classes are the ones below.
+_BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
+_LETTERS, _NUMBERS, _SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
+_LATIN_PARTS = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 
 
 class WordIds:
-    """Ids (little-endian uint32 bytes) of texts, word by word.
+    """Ids (little-endian uint32 bytes) of texts, part by part.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in order, and a
-    word's are those of its parts. Both are looked up; only new parts go through the vocabulary's merges, many in one call.
+    The tokenizer cuts normalised text into parts (runs of letters, digits, runs of signs), drops white space and applies its
+    merges within a part. Texts are cut by the same rule and the parts looked up; only new ones go through the merges, many in one call.
     """
 
     def __init__(self, vocabulary: str):
@@ -49,40 +53,30 @@ class WordIds:
         self.normalizer = whole.normalizer
         self.merges = Tokenizer(whole.model)
         self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def cut(self, word: bytes) -> list[str]:
-        """The parts of a word after normalisation."""
-        text = word.decode("utf-8", "replace")
-        if max(text) >= "\u0250":  # below, text is composed and lower case is by character
+    def cut(self, text: str) -> list[str]:
+        """The parts of a text after normalisation."""
+        low = text.lower()
+        if _BEYOND_LATIN.search(low) or _BEYOND_LATIN.search(text):
             return _PARTS.findall(self.normalizer.normalize_str(text))
-        text = text.lower()
-        letters = text.rstrip(punctuation)
-        if letters.isalpha():
-            return [letters, text[len(letters):]] if len(letters) < len(text) else [letters]
-        return _PARTS.findall(text)
+        return _LATIN_PARTS.findall(low)
 
     def learn(self, parts: list[str]) -> None:
         for i in range(0, len(parts), 512):
             some = parts[i:i + 512]
             found = self.merges.encode(" ".join(some), add_special_tokens=False)
-            ids, ends = np.array(found.ids, "<u4").tobytes(), np.cumsum(np.bincount(found.word_ids, minlength=len(some))).tolist()
-            self.parts.update(zip(some, (ids[4 * a:4 * b] for a, b in zip([0, *ends], ends))))
+            ids, ends = np.array(found.ids, "<u4").tobytes(), np.cumsum(4 * np.bincount(found.word_ids, minlength=len(some))).tolist()
+            self.parts.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends))))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        needed = {w for words in split for w in words}
-        if len(self.words) + len(needed) > CACHED:
-            self.words = {w: ids for w, ids in self.words.items() if w in needed}
-        new = [(w, self.cut(w)) for w in needed if w not in self.words]
-        parts = {p for _, cut in new for p in cut}
-        if len(self.parts) + len(parts) > CACHED:
-            self.parts = {p: ids for p, ids in self.parts.items() if p in parts}
-        self.learn([p for p in parts if p not in self.parts])
+        cut = [self.cut(t) if t else [] for t in texts]
+        needed = set().union(*cut)
+        if len(self.parts) + len(needed) > CACHED:
+            self.parts = {p: ids for p, ids in self.parts.items() if p in needed}
+        self.learn([p for p in needed if p not in self.parts])
         known = self.parts.__getitem__
-        self.words.update((w, b"".join(map(known, cut))) for w, cut in new)
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        return [b"".join(map(known, parts)) for parts in cut]
 
 
 _WORKER: dict[str, WordIds] = {}

@@ -78,3 +78,14 @@ def test_crossover_keeps_every_item_once():
         a, b = b, child
     best = packing.evolve(lengths, 100, [], seed=1)
     assert len(best) <= len(packing.Bins(lengths, 100).fit(range(300)).bins)
+
+
+def test_parts_of_any_text_equal_the_vocabularys_rule():
+    rnd = random.Random(1)
+    ids = packing.WordIds("word_bpe_49k.json")
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    whole.encode_special_tokens = True
+    alphabet = [chr(i) for i in range(1, 0x2B0)] + list("'stmdrelv ,.#") * 20 + list("ΑΣςσΌ́̇中\U0001f600 ")
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(6000)]
+    for text, got in zip(texts, ids(texts)):
+        assert got == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
