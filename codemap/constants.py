@@ -41,7 +41,6 @@ DEFAULT_BRANCH = "main"
 # ---------------------------------------------------------------------------
 # FIXED VALUES: import parsing and noise paths
 # ---------------------------------------------------------------------------
-PARSED_EXTENSIONS = [".py", ".js", ".jsx"]
 NOISE_DIRS = [
     "tests", "test", "examples", "docs", "docs_src", ".github", "__pycache__",
     "build", "dist", "node_modules", ".venv", "venv", "scripts",
@@ -137,8 +136,6 @@ API_TOKEN_BUDGET = 8000
 MAX_CHARS_PER_FILE = 6000
 TRUNCATION_MARKER = "\n\n# ... (file continues)"
 CHARS_PER_TOKEN = 4
-BM25_PREFIX_CHARS = 300
-SEMANTIC_PREFIX_CHARS = 512
 SEMANTIC_SHORTLIST = 50
 BM25_K1 = 1.5
 BM25_B = 0.75

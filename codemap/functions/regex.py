@@ -1,8 +1,7 @@
-"""Regular expressions shared by the import and evidence extraction jobs.
+"""Regular expressions of the import extraction (JVM) and the whitespace class shared with the oracle.
 
-Patterns are written once with a ``{m}`` flag slot so the same text runs on the
-JVM (``(?md)``: only ``\\n`` ends a line, like Python) and in RE2 (``(?m)``).
-No look-around and no back-references, so both engines accept them.
+Sources are read left to right by one ordered alternation per language, so a comment hides a quote
+and a string hides a comment, whichever starts first.
 """
 from __future__ import annotations
 
@@ -10,35 +9,34 @@ IDENT = r"[\p{L}_][\p{L}\p{N}_]*"
 DOTTED = IDENT + r"(?:\." + IDENT + r")*"
 DOTTED_FULL = "^" + DOTTED + "$"
 
-# Python: an `import a, b.c as d` statement on its own line; group 1 = the item list.
-PY_IMPORT_STMT = (r"{m}^[ \t]*import[ \t]+(" + DOTTED + r"(?:[ \t]+as[ \t]+" + IDENT + r")?"
-                  r"(?:[ \t]*,[ \t]*" + DOTTED + r"(?:[ \t]+as[ \t]+" + IDENT + r")?)*)"
-                  r"[ \t]*;?[ \t]*(?:#[^\n]*)?$")
-# Python: `from (dots)(module) import (list)`; group 1 = leading dots, 2 = module, 3 = list
-# (a parenthesised list may span lines).
-PY_FROM_STMT = (r"{m}^[ \t]*from[ \t]+(\.*)(" + DOTTED + r")?[ \t]+import[ \t]*"
-                r"(\([^)]*\)|[^\n(][^\n]*)")
-# Triple-quoted strings hold no imports.
-PY_TRIPLE_QUOTED = '(?s)""".*?"""' + "|'''.*?'''"
-# List clean-up: comments, parentheses, line continuations.
-PY_LIST_NOISE = r"#[^\n]*|[()\\]"
+# Line ends as Python reads them, and a backslash at the end of a line.
+LINE_END = r"\r\n?"
+CONTINUATION = r"\\\n"
+
+# Python strings (with escapes; unclosed ones end nowhere and are no string) and comments.
+PY_STRING_OR_COMMENT = (r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""' + r"|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''"
+                        r'|"(?:[^"\\\n]++|\\.)*+"' + r"|'(?:[^'\\\n]++|\\.)*+'|#[^\n]*")
+PY_ITEM = DOTTED + r"(?:[ \t]+as[ \t]+" + IDENT + ")?"
+# A statement starts a line, or follows ';' or the ':' of a one-line compound statement.
+PY_STATEMENT = (r"(?md)(?:^|[;:])[ \t]*(?:import[ \t]+" + PY_ITEM + r"(?:[ \t]*,[ \t]*" + PY_ITEM + r")*[ \t]*(?=;|$)"
+                r"|from(?:[ \t]+|(?=\.))\.*[ \t]*(?:" + DOTTED + r"[ \t]+)?import\b[ \t]*(?:\([^)]*\)|[^\n(;][^\n;]*))")
+PY_IS_FROM = r"(?md)^[;: \t]*from\b"
+PY_IMPORT_LIST = r"(?md)^[;: \t]*import[ \t]+([^\n]*)"
+# group 1 = leading dots, 2 = module, 3 = list (a parenthesised list may span lines)
+PY_FROM_PARTS = r"(?d)from[ \t]*(\.*)[ \t]*(?:(" + DOTTED + r")[ \t]+)?import\b[ \t]*([\s\S]*)"
+PY_LIST_NOISE = r"[()]"
 EDGE_SPACE = r"^[ \t\r\n]+|[ \t\r\n]+$"
 
-# JavaScript: `import ... from "x"` / `import "x"` and `require("x")`; group 1 = the module string.
-JS_IMPORT = (r"(?:^|[^\w$.])import[ \t\r\n]*(?:[\w$*{}, \t\r\n]+?from[ \t\r\n]*)?"
-             r"""["']([^"'\r\n]*)["']""")
-JS_REQUIRE = r"(?:^|[^\w$.])require[ \t\r\n]*\([ \t\r\n]*" + r"""["']([^"'\r\n]*)["']"""
-JS_BLOCK_COMMENT = r"(?s)/\*.*?\*/"
-JS_LINE_COMMENT = r"{m}^[ \t]*//[^\n]*"
+# JavaScript: `import ... from "x"`, `import "x"`, `require("x")`; group 1 or 2 = the module string. Comments, strings and
+# templates stand in the same alternation, so what is inside them is passed over.
+JS_QUOTED = r"""["']([^"'\r\n]*)["']"""
+JS_TOKEN = (r"/\*[\s\S]*?\*/|//[^\n]*"
+            r"|(?<![\w$.])import[ \t\r\n]*(?:[\w$*{}, \t\r\n]+?from[ \t\r\n]*)?" + JS_QUOTED
+            + r"|(?<![\w$.])require[ \t\r\n]*\([ \t\r\n]*" + JS_QUOTED
+            + r'|"(?:[^"\\\n]++|\\.)*+"' + r"|'(?:[^'\\\n]++|\\.)*+'" + r"|`(?:[^`\\]++|\\[\s\S])*+`")
+JS_IS_MODULE = r"^(?:import|require)"
+JS_MODULE = JS_QUOTED + r"$"
 
 # Whitespace as Python's str.split() sees it (fixed set of code points).
 PY_WHITESPACE = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                  r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
-
-
-def spark(p: str) -> str:
-    return p.replace("{m}", "(?md)")
-
-
-def duck(p: str) -> str:
-    return p.replace("{m}", "(?m)")

@@ -16,6 +16,7 @@ from .. import constants as K
 from ..functions import paths as P
 from ..functions import regex as R
 
+SALTS = 16
 WS_EDGES = "^" + R.PY_WHITESPACE + "|" + R.PY_WHITESPACE + "$"
 
 
@@ -39,15 +40,23 @@ def _str_field(v: Column, field: str) -> Column:
     return F.when(_typ(v, field) == "STRING", F.variant_get(v, f"$.{field}", "string")).otherwise(F.lit(""))
 
 
+def allow_duplicate_keys(spark) -> None:
+    """Of equal keys in a JSON object the last value counts, as JSON readers have it."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def _list_field(v: Column, field: str) -> Column:
+    """The strings of a JSON list; its other elements are left out."""
     empty = F.array().cast("array<string>")
-    return F.when(_typ(v, field).startswith("ARRAY"),
-                  F.coalesce(F.try_variant_get(v, f"$.{field}", "array<string>"), empty)).otherwise(empty)
+    items = F.coalesce(F.try_variant_get(v, f"$.{field}", "array<variant>"), F.array().cast("array<variant>"))
+    strings = F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.variant_get(x, "$", "string"))
+    return F.when(_typ(v, field).startswith("ARRAY"), strings).otherwise(empty)
 
 
 def parse_context(responses: DataFrame) -> DataFrame:
     """responses(repo_id, response_id, raw) -> one typed row per reply:
     (repo_id, response_id, parse_ok, summary, domain, tech_stack, main_modules, entry_points, keywords)."""
+    allow_duplicate_keys(responses.sparkSession)
     v = F.try_parse_json(clean_llm_json(F.col("raw")))
     ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     return (responses.select("repo_id", "response_id", v.alias("v"), ok.alias("parse_ok"))
@@ -133,7 +142,9 @@ def normalise_entry_points(raw: DataFrame, tree: DataFrame) -> DataFrame:
     exact -> 'src/'+p -> unique path ending with p -> unique file name; else null.
 
     All four steps are equi-joins. The suffix step is not segment-aligned, so each path is
-    cut at the (few, distinct) candidate lengths of its repository and matched on equality.
+    cut at the distinct candidate lengths of its repository (a reply names a handful) and matched
+    on equality. The lengths meet the paths by repository and salt, so that the paths of a large
+    repository are split over ``SALTS`` tasks.
     """
     cand = (raw.select("repo_id", "ep_ord", "raw",
                        F.regexp_replace(py_strip(F.col("raw")), r"^[./]+", "").alias("cand"))
@@ -144,8 +155,10 @@ def normalise_entry_points(raw: DataFrame, tree: DataFrame) -> DataFrame:
     src = (cand.withColumn("sc", F.concat(F.lit("src/"), "cand"))
            .join(paths.withColumnRenamed("path", "sc"), ["repo_id", "sc"], "left_semi")
            .select("repo_id", "ep_ord", F.col("sc").alias("p2")))
-    lens = cand.select("repo_id", F.length("cand").alias("len")).distinct()
-    sfx = (paths.join(lens, "repo_id").where(F.length("path") >= F.col("len"))
+    lens = (cand.groupBy("repo_id").agg(F.collect_set(F.length("cand")).alias("lens"))
+            .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))))
+    sfx = (paths.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS))).join(lens, ["repo_id", "salt"])
+           .select("repo_id", "path", F.explode("lens").alias("len")).where(F.length("path") >= F.col("len"))
            .select("repo_id", "path", F.expr("substring(path, -len)").alias("cand"))
            .groupBy("repo_id", "cand").agg(F.count(F.lit(1)).alias("n3"), F.min("path").alias("p3")))
     by_name = (paths.groupBy("repo_id", P.filename("path").alias("fname"))
@@ -201,10 +214,10 @@ def top_entry_points(scored: DataFrame, k: int = K.MAX_ENTRY_POINTS) -> DataFram
 
 
 def fallback_keywords(ctx_files: DataFrame, repos: DataFrame) -> DataFrame:
-    """Which fixed terms occur in the context files' excerpts (content[:800]) or paths, in term
+    """Which fixed terms occur in the context files' contents or paths, in term
     order; none -> the six defaults; at most 12. -> (repo_id, kw_ord, keyword)."""
     terms = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(K.KEYWORD_TERMS)])
-    files = ctx_files.select("repo_id", F.lower(F.substring(content_or_empty(), 1, K.EXCERPT_CHARS)).alias("x"),
+    files = ctx_files.select("repo_id", F.lower(content_or_empty()).alias("x"),
                              F.lower("path").alias("p"))
     hits = (files.select("repo_id", "x", "p", F.explode(terms).alias("term"))
             .where(F.col("x").contains(F.col("term.t")) | F.col("p").contains(F.col("term.t")))

@@ -87,9 +87,9 @@ def match_nodes(nodes: DataFrame, evidence_map: DataFrame) -> DataFrame:
     stem occurs in the lower-cased label, else whose file name occurs in it.
 
     nodes(repo_id, node_id, label); evidence_map(repo_id, ord, node_id, file, start_line, end_line)
-    -> (repo_id, node_id, label, rule, ord). Containment is an equi-join: every substring of the
-    (short) label is looked up in a per-repository index of stems and names, pre-aggregated to the
-    first entry, so no pairs of nodes and entries are formed.
+    -> (repo_id, node_id, label, rule, ord). Containment is an equi-join: the label's substrings, of the
+    lengths that stems and names of its repository have, are looked up in an index of these, pre-aggregated
+    to the first entry, so no pairs of nodes and entries are formed. An empty label contains nothing.
     """
     em = evidence_map.select("repo_id", "ord", F.col("node_id").alias("e_node"), "file")
     by_id = (nodes.where(F.col("node_id") != "").select("repo_id", "node_id")
@@ -100,17 +100,17 @@ def match_nodes(nodes: DataFrame, evidence_map: DataFrame) -> DataFrame:
             .unionByName(em.select("repo_id", "ord", F.lit(2).alias("rule"), F.lower(P.filename("file")).alias("key")))
             .groupBy("repo_id", "rule", "key").agg(F.min("ord").alias("ord")))
     low = F.lower(F.coalesce(F.col("label"), F.lit("")))
-    subs = (nodes.select("repo_id", "node_id", low.alias("low"))
-            .where(F.length("low") > 0)
-            .select("repo_id", "node_id", "low", F.explode(F.sequence(F.lit(1), F.length("low"))).alias("i"))
-            .select("repo_id", "node_id", "low", "i",
-                    F.explode(F.sequence(F.lit(1), F.length("low") - F.col("i") + 1)).alias("n"))
+    labelled = nodes.select("repo_id", "node_id", low.alias("low")).where(F.length("low") > 0)
+    lens = (keys.where(F.col("key") != "").groupBy("repo_id").agg(F.collect_set(F.length("key")).alias("lens")))
+    subs = (labelled.join(lens, "repo_id")
+            .select("repo_id", "node_id", "low", F.explode("lens").alias("n")).where(F.length("low") >= F.col("n"))
+            .select("repo_id", "node_id", "low", "n", F.explode(F.sequence(F.lit(1), F.length("low") - F.col("n") + 1)).alias("i"))
             .select("repo_id", "node_id", F.expr("substring(low, i, n)").alias("key"))
             .distinct())
     by_text = subs.join(keys.where(F.col("key") != ""), ["repo_id", "key"]).select("repo_id", "node_id", "rule", "ord")
-    # an empty stem or name is contained in every label
+    # an empty stem or name is contained in every label that is not empty
     empty = (keys.where(F.col("key") == "").groupBy("repo_id", "rule").agg(F.min("ord").alias("ord"))
-             .join(nodes.select("repo_id", "node_id"), "repo_id")
+             .join(labelled.select("repo_id", "node_id"), "repo_id")
              .select("repo_id", "node_id", "rule", "ord"))
     best = (by_id.unionByName(by_text).unionByName(empty)
             .groupBy("repo_id", "node_id").agg(F.min(F.struct("rule", "ord")).alias("b")))

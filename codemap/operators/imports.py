@@ -19,47 +19,39 @@ from ..functions import regex as R
 from .ingest import has_content
 
 
-def _extract(c, pattern: str, group: int):
-    return F.regexp_extract_all(c, F.lit(R.spark(pattern)), F.lit(group))
+def _items(lst):
+    """The names of an import list that are plain dotted names (aliased ones are not)."""
+    items = F.split(F.regexp_replace(lst, F.lit(R.PY_LIST_NOISE), F.lit("")), ",")
+    items = F.transform(items, lambda x: F.regexp_replace(x, F.lit(R.EDGE_SPACE), F.lit("")))
+    return F.filter(items, lambda x: x.rlike(R.DOTTED_FULL))
+
+
+def _python_statement(s):
+    """The modules of one import statement."""
+    dots, module, names = (F.regexp_extract(s, R.PY_FROM_PARTS, i) for i in (1, 2, 3))
+    first = F.try_element_at(_items(names), F.lit(1))
+    from_ = F.when(dots == "", F.when(module != "__future__", module)).otherwise(first)
+    return (F.when(s.rlike(R.PY_IS_FROM), F.filter(F.array(from_), lambda m: m.isNotNull() & (m != "")))
+            .otherwise(_items(F.regexp_extract(s, R.PY_IMPORT_LIST, 1))))
 
 
 def python_imports(tree: DataFrame) -> DataFrame:
-    """tree -> (repo_id, src, module) for .py files."""
-    py = (tree.where((F.col("extension") == ".py") & has_content())
-          .select("repo_id", F.col("path").alias("src"),
-                  F.regexp_replace("content", F.lit(R.PY_TRIPLE_QUOTED), F.lit("")).alias("code")))
-
-    def clean_items(lst):
-        items = F.split(F.regexp_replace(lst, F.lit(R.PY_LIST_NOISE), F.lit("")), ",")
-        items = F.transform(items, lambda x: F.regexp_replace(x, F.lit(R.EDGE_SPACE), F.lit("")))
-        return F.filter(items, lambda x: x.rlike(R.DOTTED_FULL))
-
-    plain = (py.select("repo_id", "src", F.explode(_extract(F.col("code"), R.PY_IMPORT_STMT, 1)).alias("lst"))
-             .select("repo_id", "src", F.explode(clean_items(F.col("lst"))).alias("module")))
-
-    stmts = py.select(
-        "repo_id", "src",
-        F.explode(F.arrays_zip(
-            _extract(F.col("code"), R.PY_FROM_STMT, 1).alias("dots"),
-            _extract(F.col("code"), R.PY_FROM_STMT, 2).alias("mod"),
-            _extract(F.col("code"), R.PY_FROM_STMT, 3).alias("lst"))).alias("s"))
-    first_name = F.try_element_at(clean_items(F.col("s.lst")), F.lit(1))
-    module = (F.when(F.col("s.dots") == "",
-                     F.when(F.col("s.mod") != "__future__", F.col("s.mod")))
-              .otherwise(first_name))
-    from_ = (stmts.select("repo_id", "src", module.alias("module"))
-             .where(F.col("module").isNotNull() & (F.col("module") != "")))
-    return plain.unionByName(from_)
+    """tree -> (repo_id, src, module) for .py files, in one pass over the contents."""
+    code = F.regexp_replace(F.regexp_replace("content", F.lit(R.LINE_END), F.lit("\n")),
+                            F.lit(R.PY_STRING_OR_COMMENT), F.lit(""))
+    code = F.regexp_replace(code, F.lit(R.CONTINUATION), F.lit(" "))
+    statements = F.regexp_extract_all(code, F.lit(R.PY_STATEMENT), F.lit(0))
+    return (tree.where((F.col("extension") == ".py") & has_content())
+            .select("repo_id", F.col("path").alias("src"), F.explode(statements).alias("s"))
+            .select("repo_id", "src", F.explode(_python_statement(F.col("s"))).alias("module")))
 
 
 def javascript_imports(tree: DataFrame) -> DataFrame:
-    """tree -> (repo_id, src, module) for .js / .jsx files."""
-    js = (tree.where(F.col("extension").isin(".js", ".jsx") & has_content())
-          .select("repo_id", F.col("path").alias("src"),
-                  F.regexp_replace(F.regexp_replace("content", F.lit(R.JS_BLOCK_COMMENT), F.lit("")),
-                                   F.lit(R.spark(R.JS_LINE_COMMENT)), F.lit("")).alias("code")))
-    mods = F.concat(_extract(F.col("code"), R.JS_IMPORT, 1), _extract(F.col("code"), R.JS_REQUIRE, 1))
-    return js.select("repo_id", "src", F.explode(mods).alias("module"))
+    """tree -> (repo_id, src, module) for .js / .jsx files, in one pass over the contents."""
+    tokens = F.regexp_extract_all("content", F.lit(R.JS_TOKEN), F.lit(0))
+    modules = F.transform(F.filter(tokens, lambda t: t.rlike(R.JS_IS_MODULE)), lambda t: F.regexp_extract(t, R.JS_MODULE, 1))
+    return (tree.where(F.col("extension").isin(".js", ".jsx") & has_content())
+            .select("repo_id", F.col("path").alias("src"), F.explode(modules).alias("module")))
 
 
 def extract_imports(tree: DataFrame) -> DataFrame:

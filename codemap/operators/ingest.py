@@ -1,9 +1,9 @@
-"""Ingestion: metadata filters, signal flag and the per-repository source-file quota.
+"""Ingestion: path and size filters, signal flag, and which files' contents are analysed.
 
-Input ``files(repo_id, path, tree_ord, size_bytes, content)`` is a listing of every
-file of every repository (content may be read lazily by the scan). Output ``tree``
-has one row per kept file with ``content`` only where the analysis fetched it:
-signal files and the quota-selected source files.
+Input ``files(repo_id, path, tree_ord, size_bytes, content)`` is a listing of every file of every
+repository. ``ingest`` is a projection of it: nothing is joined, shuffled or written, so a query over
+paths reads no text at all. ``content`` is kept for signal and source files. A fetch quota and a
+size limit exist as parameters (they were limits of a network client); neither applies by default.
 """
 from __future__ import annotations
 
@@ -14,12 +14,13 @@ from .. import constants as K
 from ..functions import paths as P
 
 
-def filter_tree(files: DataFrame, max_file_size: int = K.MAX_FILE_SIZE) -> DataFrame:
-    """Skip filter (dirs and extensions) and size filter; adds extension, is_signal, size default 0."""
+def filter_tree(files: DataFrame, max_file_size: int | None = None) -> DataFrame:
+    """Skip filter (dirs and extensions) and, if given, size limit; adds extension, is_signal, size default 0."""
     size = F.coalesce(F.col("size_bytes"), F.lit(0)).cast("bigint")
-    return (files
-            .withColumn("size_bytes", size)
-            .where(~P.should_skip("path") & (F.col("size_bytes") <= F.lit(max_file_size)))
+    kept = files.withColumn("size_bytes", size).where(~P.should_skip("path"))
+    if max_file_size is not None:
+        kept = kept.where(F.col("size_bytes") <= F.lit(max_file_size))
+    return (kept
             .withColumn("extension", P.extension("path"))
             .withColumn("is_signal", P.is_signal("path")))
 
@@ -43,17 +44,20 @@ def quota_ranks(tree: DataFrame, max_source_files: int | None = K.MAX_SOURCE_FIL
     return ranked
 
 
-def ingest(files: DataFrame, max_file_size: int = K.MAX_FILE_SIZE,
-           max_source_files: int = K.MAX_SOURCE_FILES) -> DataFrame:
-    """files -> tree(repo_id, path, tree_ord, extension, size_bytes, is_signal, fetched, content)."""
+def ingest(files: DataFrame, max_file_size: int | None = None, max_source_files: int | None = None) -> DataFrame:
+    """files -> tree(repo_id, path, tree_ord, extension, size_bytes, is_signal, fetched, content).
+
+    With a quota, the ranks are computed on paths and sizes, and joined to the tree by path.
+    """
     tree = filter_tree(files, max_file_size)
-    picked = (quota_ranks(tree, max_source_files)
-              .select("repo_id", "path", F.lit(True).alias("quota_pick")))
-    out = (tree.join(picked, ["repo_id", "path"], "left")
-           .withColumn("fetched", F.col("is_signal") | F.coalesce(F.col("quota_pick"), F.lit(False))))
-    return out.select(
-        "repo_id", "path", "tree_ord", "extension", "size_bytes", "is_signal", "fetched",
-        F.when(F.col("fetched"), F.col("content")).alias("content"))
+    if max_source_files is None:
+        out = tree.withColumn("fetched", F.col("is_signal") | F.col("extension").isin(K.SOURCE_EXTENSIONS))
+    else:
+        picked = quota_ranks(tree, max_source_files).select("repo_id", "path", F.lit(True).alias("quota_pick"))
+        out = (tree.join(picked, ["repo_id", "path"], "left")
+               .withColumn("fetched", F.col("is_signal") | F.coalesce(F.col("quota_pick"), F.lit(False))))
+    return out.select("repo_id", "path", "tree_ord", "extension", "size_bytes", "is_signal", "fetched",
+                      F.when(F.col("fetched"), F.col("content")).alias("content"))
 
 
 def has_content(c="content"):

@@ -1,6 +1,6 @@
 """BM25 (Okapi) scoring of every candidate file of every repository against its keywords.
 
-Per repository: documents are ``lower(path + ' ' + content[:300])`` split on whitespace
+Per repository: documents are ``lower(path + ' ' + content)`` split on whitespace
 (the path is one token); the query is the repository's keywords joined by spaces,
 lower-cased and split, duplicates counting twice. With N documents, df(t) documents
 containing t, idf(t) = ln(N - df + 0.5) - ln(df + 0.5); the average idf over the whole
@@ -24,23 +24,23 @@ def tokens(text) -> "F.Column":
     return F.filter(F.split(text, R.PY_WHITESPACE), lambda t: t != "")
 
 
-def doc_terms(cands: DataFrame, prefix: int = K.BM25_PREFIX_CHARS) -> DataFrame:
-    """(repo_id, path, term) one row per token occurrence."""
-    text = F.lower(F.concat(F.col("path"), F.lit(" "), F.substring(F.coalesce("content", F.lit("")), 1, prefix)))
+def doc_terms(cands: DataFrame) -> DataFrame:
+    """(repo_id, path, term) one row per token occurrence of the whole text."""
+    text = F.lower(F.concat(F.col("path"), F.lit(" "), F.coalesce("content", F.lit(""))))
     return cands.select("repo_id", "path", F.explode(tokens(text)).alias("term"))
 
 
-def corpus_stats(cands: DataFrame, prefix: int = K.BM25_PREFIX_CHARS, epsilon: float = K.BM25_EPSILON) -> dict:
+def corpus_stats(cands: DataFrame, epsilon: float = K.BM25_EPSILON) -> dict:
     """Per-repository corpus statistics and floored idf.
 
     Returns dict of DataFrames: docs(repo_id, path, dl), repo(repo_id, n_docs, avgdl, average_idf),
-    tf(repo_id, path, term, tf), idf(repo_id, term, df, idf).
+    tf(repo_id, path, term, tf), idf(repo_id, term, df, idf). The texts are read once: tf is written,
+    and lengths, document frequencies and the statistics come from it (a path is a token, so every
+    candidate has a row).
     """
-    terms = doc_terms(cands, prefix)
-    tf = terms.groupBy("repo_id", "path", "term").agg(F.count(F.lit(1)).alias("tf"))
-    docs = (cands.select("repo_id", "path")
-            .join(terms.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("dl")), ["repo_id", "path"], "left")
-            .select("repo_id", "path", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl")))
+    from ..session import stage
+    tf = stage(doc_terms(cands).groupBy("repo_id", "path", "term").agg(F.count(F.lit(1)).alias("tf")), "bm25_tf")
+    docs = tf.groupBy("repo_id", "path").agg(F.sum("tf").alias("dl"))
     nd = docs.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     df_ = tf.groupBy("repo_id", "term").agg(F.count(F.lit(1)).alias("df"))
     raw = (df_.join(nd, "repo_id")
@@ -62,9 +62,9 @@ def query_terms(keywords: DataFrame) -> DataFrame:
 
 
 def bm25_scores(cands: DataFrame, keywords: DataFrame, k1: float = K.BM25_K1, b: float = K.BM25_B,
-                prefix: int = K.BM25_PREFIX_CHARS, epsilon: float = K.BM25_EPSILON) -> DataFrame:
+                epsilon: float = K.BM25_EPSILON) -> DataFrame:
     """(repo_id, path, bm25_raw, bm25) for every candidate; bm25 = raw / max(raw) when max > 0."""
-    st = corpus_stats(cands, prefix, epsilon)
+    st = corpus_stats(cands, epsilon)
     q = query_terms(keywords)
     contrib = (st["tf"].join(q, ["repo_id", "term"])
                .join(st["idf"].select("repo_id", "term", "idf"), ["repo_id", "term"])

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .context import py_strip
+from .context import allow_duplicate_keys, py_strip
 
-EVIDENCE_TYPE = "array<struct<node_id:string,file:string,start_line:int,end_line:int>>"
+#: Entries of the evidence map pass through as given: the JSON text of each.
+EVIDENCE_TYPE = "array<string>"
 
 
 def _after_first(c: Column, sep: str) -> Column:
@@ -58,12 +59,13 @@ def normalise_flow(v: Column, field: str = "flow_mermaid") -> Column:
 
 def parse_architecture(replies: DataFrame) -> DataFrame:
     """replies(repo_id, response_id, raw) -> (repo_id, response_id, parse_ok, narrative_summary,
-    architecture_mermaid, flow_mermaid array<string>, evidence_map array<struct>)."""
+    architecture_mermaid, flow_mermaid array<string>, evidence_map array<JSON text of each entry>)."""
+    allow_duplicate_keys(replies.sparkSession)
     first = _obj(F.try_parse_json(F.col("raw")))
     second = _obj(F.try_parse_json(fence_cleaned(F.col("raw"))))
     v = F.when(F.try_parse_json(F.col("raw")).isNotNull(), first).otherwise(second)
     p = replies.select("repo_id", "response_id", v.alias("v"))
-    ev = F.try_variant_get(F.col("v"), "$.evidence_map", EVIDENCE_TYPE)
+    ev = F.transform(F.try_variant_get(F.col("v"), "$.evidence_map", "array<variant>"), lambda x: F.coalesce(F.to_json(x), F.lit("null")))
     ok = F.col("v").isNotNull()
     return p.select(
         "repo_id", "response_id", ok.alias("parse_ok"),

@@ -7,32 +7,24 @@ frozen. Freezing is per repository, so a score never depends on other graphs in
 corpus. Repositories that do not converge in ``max_iter`` steps keep their last
 vector and ``converged = false``.
 
-Physical shape of one step (node state and weighted edges are both hash-partitioned
-on (repo_id, id), so their join needs no exchange):
-  contributions = state ⋈ edges, summed per (repo, dst) with map-side partial aggregation
-  repo stats    = dangling mass and last L1 change per repository (partial aggregation,
-                  one row per repository; broadcast only when the repository count is
-                  checked to fit, else a shuffle join)
-  next state    = state ⟕ contributions (co-partitioned) ⋈ repo stats
-Every ``steps_per_stage`` steps the state is written as parquet under the session's
-checkpoint folder (shared storage on a cluster) and read back: plans stay small (each
-step reads its predecessor three times, so an unbroken lineage would grow 3^k), and a
-lost executor only re-reads the last written state. Inside a stage each step ends in a
-hash exchange on (repo_id, id) that its three readers share (exchange reuse), so a step
-is computed once. Two paths alternate, so the folder holds at most two states.
+Physical shape of one step (node state and weighted edges are both checkpointed with the same hash
+partitioning on (repo_id, id), which a reliable checkpoint keeps, so edges are exchanged once in all):
+  contributions = state ⋈ edges in place, summed per (repo, dst) with map-side partial aggregation
+  repo stats    = dangling mass and last L1 change per repository (partial aggregation, one row per repository)
+  next state    = state ⟕ contributions (exchanged to the state's partitioning) ⋈ repo stats
+Every ``steps_per_stage`` steps the state is checkpointed to the folder in spark.checkpoint.dir (shared storage on a
+cluster): plans stay small (each step reads its predecessor three times, so an unbroken lineage would grow
+3^k), and a lost executor only re-reads the last state.
 """
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..session import ensure_checkpoint_dir
 
-# A per-repository stats row is ~40 bytes; 2M repositories stay under ~80 MB broadcast.
-MAX_BROADCAST_REPOS = 2_000_000
+EDGES_PER_PARTITION = 2_000_000
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = K.PAGERANK_ALPHA,
@@ -41,27 +33,20 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = K.PAGERANK_ALPHA
              steps_per_stage: int = 2) -> DataFrame:
     """nodes(repo_id, id) + edges(repo_id, src, dst) -> (repo_id, id, pagerank, converged, iterations)."""
     spark = nodes.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/pagerank-{uuid.uuid4().hex}"
-    nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{base}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
-
+    ensure_checkpoint_dir(spark)
     nodes = nodes.select("repo_id", "id").distinct()
     e = edges.select("repo_id", "src", "dst").distinct()
-    outdeg = e.groupBy("repo_id", "src").agg(F.count(F.lit(1)).alias("deg"))
-    ew = (e.join(outdeg, ["repo_id", "src"])
-          .select("repo_id", F.col("src").alias("id"), "dst", (F.lit(1.0) / F.col("deg")).alias("w"))
-          .repartition(nparts, "repo_id", "id"))
-    ew = written(ew, "edges")
-    n = written(nodes.groupBy("repo_id").agg(F.count(F.lit(1)).cast("double").alias("n")), "n")
-    small_repo_table = n.count() <= MAX_BROADCAST_REPOS
+    nparts = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-e.count() // EDGES_PER_PARTITION))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.repartition(nparts, "repo_id", "id").checkpoint()
 
-    def per_repo(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small_repo_table else df
+    outdeg = e.groupBy("repo_id", "src").agg(F.count(F.lit(1)).alias("deg"))
+    ew = placed(e.join(outdeg, ["repo_id", "src"])
+                .select("repo_id", F.col("src").alias("id"), "dst", (F.lit(1.0) / F.col("deg")).alias("w")))
+    n = nodes.groupBy("repo_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
-    state = (nodes.join(per_repo(n), "repo_id")
+    state = (nodes.join(n, "repo_id")
              .join(outdeg.select("repo_id", F.col("src").alias("id"), F.lit(False).alias("has_out")),
                    ["repo_id", "id"], "left")
              .select("repo_id", "id", "n",
@@ -69,16 +54,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = K.PAGERANK_ALPHA
                      (F.lit(1.0) / F.col("n")).alias("x"),
                      F.lit(None).cast("double").alias("xp"),
                      F.lit(False).alias("done"),
-                     F.lit(0).alias("it"))
-             .repartition(nparts, "repo_id", "id"))
-    state = written(state, "state0")
+                     F.lit(0).alias("it")))
+    state = placed(state)
 
     def repo_stats(s: DataFrame) -> DataFrame:
         return s.groupBy("repo_id").agg(
             F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(F.lit(0.0))).alias("dmass"),
             F.sum(F.abs(F.col("x") - F.col("xp"))).alias("err"))
 
-    writes = 0
     for step in range(1, max_iter + 1):
         contrib = (state.where(~F.col("done")).select("repo_id", "id", "x")
                    .join(ew, ["repo_id", "id"])
@@ -89,7 +72,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = K.PAGERANK_ALPHA
         x_new = (F.lit(alpha) * (F.coalesce(F.col("c"), F.lit(0.0)) + F.col("dmass") / F.col("n"))
                  + F.lit(1.0 - alpha) / F.col("n"))
         nxt = (state.join(contrib, ["repo_id", "id"], "left")
-               .join(per_repo(repo_stats(state)), "repo_id")
+               .join(repo_stats(state), "repo_id")
                .select("repo_id", "id", "n", "dangling",
                        F.when(done, F.col("x")).otherwise(x_new).alias("x"),
                        F.when(done, F.col("xp")).otherwise(F.col("x")).alias("xp"),
@@ -100,12 +83,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = K.PAGERANK_ALPHA
             # readers of this step (contributions, repo stats, next state), so it runs once
             state = nxt.repartition(nparts, "repo_id", "id")
             continue
-        writes += 1
-        state = written(nxt, f"state{1 + writes % 2}")
+        state = placed(nxt)
         if step % check_every == 0 and state.where(~F.col("done")).limit(1).count() == 0:
             break
 
-    final = state.join(per_repo(repo_stats(state).select("repo_id", "err")), "repo_id")
+    final = state.join(repo_stats(state).select("repo_id", "err"), "repo_id")
     converged = F.col("done") | (F.col("err").isNotNull() & (F.col("err") < F.col("n") * F.lit(tol)))
     return final.select("repo_id", "id", F.col("x").alias("pagerank"), converged.alias("converged"),
                         F.col("it").alias("iterations"))

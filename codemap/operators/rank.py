@@ -36,10 +36,27 @@ def token_estimate(text) -> Column:
     return F.floor(F.length(t) / F.lit(K.CHARS_PER_TOKEN)).cast("bigint")
 
 
+def truncated_chars(chars) -> Column:
+    """Length of ``truncated`` content from the content's length."""
+    n = F.col(chars) if isinstance(chars, str) else chars
+    return F.when(n > K.MAX_CHARS_PER_FILE, F.lit(K.MAX_CHARS_PER_FILE + len(K.TRUNCATION_MARKER))).otherwise(n)
+
+
 def candidates(tree: DataFrame) -> DataFrame:
     return tree.where(has_content()).select("repo_id", "path", "tree_ord", "content")
 
 
+def candidate_keys(tree: DataFrame) -> DataFrame:
+    """The candidates without their texts: (repo_id, path, tree_ord, chars)."""
+    return tree.where(has_content()).select("repo_id", "path", "tree_ord", F.length("content").alias("chars"))
+
+
+def with_texts(selection: DataFrame, tree: DataFrame) -> DataFrame:
+    """The picked files with ``full_content`` and the ``content`` cut for prompts."""
+    texts = tree.select("repo_id", "path", F.col("content").alias("full_content"))
+    return selection.join(texts, ["repo_id", "path"]).withColumn("content", truncated("full_content"))
+
+
 def pagerank_signal(cands: DataFrame, pr: DataFrame) -> DataFrame:
     """(repo_id, path, pagerank): normalised by the max over all nodes; unconverged repos score 0."""
     mx = pr.groupBy("repo_id").agg(F.max("pagerank").alias("mx"),
@@ -73,8 +90,8 @@ def semantic_shortlist(cands: DataFrame, pr_sig: DataFrame, bm25: DataFrame,
 
 def hybrid_rank(cands: DataFrame, pr_sig: DataFrame, bm25: DataFrame, sem: DataFrame,
                 entry_points: DataFrame | None) -> DataFrame:
-    """(repo_id, path, tree_ord, pagerank, bm25, semantic, penalty, bonus, score) for every candidate."""
-    s = (cands.select("repo_id", "path", "tree_ord", "content")
+    """(repo_id, path, tree_ord, chars, pagerank, bm25, semantic, penalty, bonus, score) for every candidate."""
+    s = (cands.select("repo_id", "path", "tree_ord", "chars")
          .join(pr_sig, ["repo_id", "path"])
          .join(bm25.select("repo_id", "path", "bm25"), ["repo_id", "path"])
          .join(sem.select("repo_id", "path", "semantic"), ["repo_id", "path"], "left"))
@@ -88,26 +105,25 @@ def hybrid_rank(cands: DataFrame, pr_sig: DataFrame, bm25: DataFrame, sem: DataF
     pen = P.path_penalty("path")
     score = ((F.lit(K.WEIGHT_PAGERANK) * F.col("pagerank") + F.lit(K.WEIGHT_BM25) * F.col("bm25")
               + F.lit(K.WEIGHT_SEMANTIC) * sem_c) * pen * bonus)
-    return s.select("repo_id", "path", "tree_ord", "content", "pagerank", "bm25", sem_c.alias("semantic"),
+    return s.select("repo_id", "path", "tree_ord", "chars", "pagerank", "bm25", sem_c.alias("semantic"),
                     pen.alias("penalty"), bonus.alias("bonus"), score.alias("score"))
 
 
 def budget_select(ranked: DataFrame, token_budget=K.TOKEN_BUDGET_DEFAULT,
                   min_files: int = K.MIN_FILES, max_files: int = K.MAX_FILES) -> DataFrame:
-    """(repo_id, rank, path, score, tokens, cum_tokens, content) of the picked files.
+    """ranked(repo_id, path, tree_ord, chars, score) -> (repo_id, rank, path, tree_ord, score, tokens, cum_tokens) of the picked files.
 
-    ``token_budget`` is an int or a column name holding each repository's budget.
+    Tokens are those of the truncated content, so its length is enough. ``token_budget`` is an int or a column name holding each repository's budget.
     """
     w = Window.partitionBy("repo_id").orderBy(F.round("score", RANK_DIGITS).desc(), F.col("tree_ord"))
     top = (ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(max_files))
-           .withColumn("content", truncated("content"))
-           .withColumn("tokens", token_estimate("content")))
+           .withColumn("tokens", F.floor(truncated_chars("chars") / F.lit(K.CHARS_PER_TOKEN)).cast("bigint")))
     cw = Window.partitionBy("repo_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     budget = F.col(token_budget) if isinstance(token_budget, str) else F.lit(token_budget)
     return (top.withColumn("cum_tokens", F.sum("tokens").over(cw))
             .where((F.col("rank") <= F.lit(min_files)) | (F.col("cum_tokens") <= budget))
             .select("repo_id", F.col("rank").cast("int").alias("rank"), "path", "tree_ord", "score", "tokens",
-                    F.col("cum_tokens").cast("bigint").alias("cum_tokens"), "content"))
+                    F.col("cum_tokens").cast("bigint").alias("cum_tokens")))
 
 
 def compress_folders(tree: DataFrame, selection: DataFrame) -> DataFrame:
@@ -127,19 +143,19 @@ def select_top_k(tree: DataFrame, pr: DataFrame, keywords: DataFrame, entry_poin
     repositories missing from it use ``token_budget``.
     """
     from .lexical import bm25_scores
-    cands = candidates(tree)
-    # Per-candidate signals are bounded by the fetch quota per repository and each is read
-    # several times below, so they are materialised once instead of being recomputed.
+    # keys and numbers only until the files are picked; each is read several times below, so it is written once
+    cands = materialise(candidate_keys(tree), "candidates")
     prs = materialise(pagerank_signal(cands, pr), "pagerank_signal")
-    bm = materialise(bm25_scores(cands, keywords), "bm25")
+    bm = materialise(bm25_scores(candidates(tree), keywords), "bm25")
     sem = semantic_shortlist(cands, prs, bm, file_vectors, repo_vectors)
     ranked = materialise(hybrid_rank(cands, prs, bm, sem, entry_points), "ranked")
     if budgets is not None:
         per_repo = (ranked.join(budgets.select("repo_id", F.col("token_budget").alias("__budget")), "repo_id", "left")
                     .withColumn("__budget", F.coalesce(F.col("__budget"), F.lit(token_budget))))
-        selection = materialise(budget_select(per_repo, "__budget"), "selection")
+        picked = budget_select(per_repo, "__budget")
     else:
-        selection = materialise(budget_select(ranked, token_budget), "selection")
+        picked = budget_select(ranked, token_budget)
+    selection = materialise(with_texts(materialise(picked, "picked"), tree), "selection")
     return {"ranked": ranked, "selection": selection}
 
 

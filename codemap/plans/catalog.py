@@ -40,10 +40,21 @@ def joined(c: str, alias: str | None = None):
 # ---------------------------------------------------------------------------
 # A/B: scans, path predicates
 # ---------------------------------------------------------------------------
+def _quota_filter(spark, sf_dir, quota):
+    """The ingest filter with a size limit and a fetch quota; content lengths are taken before the join."""
+    f = X.files(spark, sf_dir).withColumn("content", F.length("content"))
+    return I.ingest(f, K.MAX_FILE_SIZE, quota).select(
+        "repo_id", "path", "tree_ord", "extension", "size_bytes", "is_signal", "fetched",
+        F.coalesce("content", F.lit(0)).cast("bigint").alias("content_chars"))
+
+
 def q_ingest_filter(spark, sf_dir):
-    g = _graph(spark, sf_dir)
-    return g.tree.select("repo_id", "path", "tree_ord", "extension", "size_bytes", "is_signal", "fetched",
-                         F.coalesce(F.length("content"), F.lit(0)).cast("bigint").alias("content_chars"))
+    return _quota_filter(spark, sf_dir, K.MAX_SOURCE_FILES)
+
+
+def q_ingest_filter_quota10(spark, sf_dir):
+    """The same with a quota of 10 files, which binds in every repository."""
+    return _quota_filter(spark, sf_dir, 10)
 
 
 def q_signal_files(spark, sf_dir):
@@ -53,7 +64,7 @@ def q_signal_files(spark, sf_dir):
 
 
 def q_source_quota(spark, sf_dir):
-    t = I.filter_tree(X.files(spark, sf_dir))
+    t = I.filter_tree(X.files(spark, sf_dir), K.MAX_FILE_SIZE)
     return I.quota_ranks(t, K.MAX_SOURCE_FILES).select(
         "repo_id", "path", F.col("quota_rank").cast("int").alias("quota_rank"), "pinned",
         F.col("depth").cast("bigint").alias("depth"), "size_bytes")
@@ -138,6 +149,11 @@ def q_graph_payload(spark, sf_dir):
     return G.graph_payload(g.central(K.REPORT_CENTRAL_TOP_N), g.edges)
 
 
+def q_graph_links(spark, sf_dir):
+    """Links of the graph page: (repo_id, source, target) between its nodes."""
+    return _graph(spark, sf_dir).edges.select("repo_id", F.col("src").alias("source"), F.col("dst").alias("target"))
+
+
 def q_ingestion_report(spark, sf_dir):
     r = ingestion_report(_graph(spark, sf_dir))
     return r.select("repo_id", "total_files", joined("signal_files"), "graph_nodes", "graph_edges",
@@ -202,9 +218,9 @@ def q_cosine_rank(spark, sf_dir):
 
 def q_semantic_shortlist(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    c = RK.candidates(g.tree)
+    c = RK.candidate_keys(g.tree)
     prs = RK.pagerank_signal(c, g.pagerank)
-    bm = LX.bm25_scores(c, X.keywords(g.files))
+    bm = LX.bm25_scores(RK.candidates(g.tree), X.keywords(g.files))
     s = RK.semantic_shortlist(c, prs, bm, X.file_vectors(spark, sf_dir, g.files), X.repo_vectors(spark, sf_dir))
     return s.select("repo_id", "path", "pre_rank", r9("semantic"))
 
@@ -254,14 +270,15 @@ def q_evidence_db_calls(spark, sf_dir):
 
 def q_evidence_capped(spark, sf_dir):
     _, res = _retrieval(spark, sf_dir, K.API_TOKEN_BUDGET)
-    sel = res["selection"].select("repo_id", "path", "content", F.col("rank").alias("file_rank"))
+    sel = res["selection"].select("repo_id", "path", F.col("full_content").alias("content"), F.col("rank").alias("file_rank"))
     return EV.cap_evidence(EV.extract_evidence(sel)).select(
         "repo_id", "kind", "ev_rank", "file", "pattern_ord", "match_ord", "method", "value")
 
 
 def q_evidence_links(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return EV.evidence_links(X.diagram_nodes(g.tree), X.evidence_map(g.tree), X.repos(g.files))
+    links = EV.evidence_links(X.diagram_nodes(g.tree), X.evidence_map(g.tree), X.repos(g.files))
+    return links.withColumn("rule", F.coalesce("rule", F.lit(-1)))
 
 
 def q_evidence_validate(spark, sf_dir):
@@ -412,8 +429,14 @@ def q_repo_report(spark, sf_dir):
                       for c in r.columns])
 
 
+def q_repo_report_lists(spark, sf_dir):
+    """The growing lists of the report, one row per entry."""
+    return RP.report_lists(_analysis(spark, sf_dir))
+
+
 QUERIES = {
     "ingest_filter": q_ingest_filter,
+    "ingest_filter_quota10": q_ingest_filter_quota10,
     "signal_files": q_signal_files,
     "source_quota": q_source_quota,
     "ext_profile": q_ext_profile,
@@ -430,6 +453,7 @@ QUERIES = {
     "repo_stats": q_repo_stats,
     "degree_stats": q_degree_stats,
     "graph_payload": q_graph_payload,
+    "graph_links": q_graph_links,
     "ingestion_report": q_ingestion_report,
     "truncate_tokens": q_truncate_tokens,
     "repo_fits_budget": q_repo_fits_budget,
@@ -466,4 +490,5 @@ QUERIES = {
     "context_prompt": q_context_prompt,
     "architecture_prompt": q_architecture_prompt,
     "repo_report": q_repo_report,
+    "repo_report_lists": q_repo_report_lists,
 }

@@ -24,8 +24,8 @@ def materialise(df: DataFrame, name: str = "part") -> DataFrame:
 class RepoGraph:
     """Lazily built pieces of the dependency analysis of every repository in ``files``."""
     files: DataFrame
-    max_source_files: int = K.MAX_SOURCE_FILES
-    max_file_size: int = K.MAX_FILE_SIZE
+    max_source_files: int | None = None
+    max_file_size: int | None = None
     _cache: dict = field(default_factory=dict, repr=False)
 
     def _get(self, name, build):
@@ -35,13 +35,13 @@ class RepoGraph:
 
     @property
     def tree(self) -> DataFrame:
-        """Kept files; reused by every later step, so it is materialised once."""
-        return self._get("tree", lambda: materialise(
-            I.ingest(self.files, self.max_file_size, self.max_source_files), "tree"))
+        """Kept files: a projection of ``files``, neither joined nor written, so each reader prunes it to its columns."""
+        return self._get("tree", lambda: I.ingest(self.files, self.max_file_size, self.max_source_files))
 
     @property
     def imports(self) -> DataFrame:
-        return self._get("imports", lambda: IM.extract_imports(self.tree))
+        """Distinct (repo_id, src, module), written once: small, and read by every resolution rule."""
+        return self._get("imports", lambda: materialise(IM.extract_imports(self.tree).distinct(), "imports"))
 
     @property
     def resolved(self) -> DataFrame:

@@ -28,9 +28,9 @@ ARCH_TEMPLATE = [
     "## Domain", "{domain}",
     "## Tech stack", "{stack}",
     "## Main modules", "{modules}",
-    "## Files (use exactly these paths)", "{file_list}",
-    "## File contents", "{files}",
-    "## Evidence (routes, handlers, database calls)", "{evidence}",
+    "## Paths of the chosen files", "{file_list}",
+    "## What these files contain", "{files}",
+    "## Facts found in them", "{evidence}",
     "Answer with one JSON object with the keys narrative_summary, architecture_mermaid, flow_mermaid, evidence_map.",
 ]
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -36,10 +36,10 @@ class Analysis:
     repos: DataFrame
 
 
-def latest_reply(replies: DataFrame) -> DataFrame:
-    """One architecture reply per repository: the latest (largest response_id)."""
-    last = replies.groupBy("repo_id").agg(F.max("response_id").alias("response_id"))
-    return replies.join(last, ["repo_id", "response_id"])
+def latest_reply(parsed: DataFrame) -> DataFrame:
+    """One parsed architecture reply per repository: the latest that parses, else the latest."""
+    last = parsed.groupBy("repo_id").agg(F.max(F.struct("parse_ok", "response_id")).alias("b"))
+    return parsed.join(last.select("repo_id", F.col("b.response_id").alias("response_id")), ["repo_id", "response_id"])
 
 
 def analyse(files: DataFrame, context_replies: DataFrame, architecture_replies: DataFrame, repos: DataFrame,
@@ -56,16 +56,41 @@ def analyse(files: DataFrame, context_replies: DataFrame, architecture_replies:
     res = RK.select_top_k(g.tree, g.pagerank, kw, eps, file_vectors, repo_vectors, token_budget, budgets)
     sel = res["selection"]
     ev = RK.materialise(EV.cap_evidence(
-        EV.extract_evidence(sel.select("repo_id", "path", "content", F.col("rank").alias("file_rank")))), "evidence")
+        EV.extract_evidence(sel.select("repo_id", "path", F.col("full_content").alias("content"), F.col("rank").alias("file_rank")))), "evidence")
     comp = RK.compress_folders(g.tree, sel)
-    arch = parse_architecture(latest_reply(architecture_replies))
+    arch = latest_reply(parse_architecture(architecture_replies)).drop("parse_ok")
     return Analysis(g, ctxf, fin, res["ranked"], sel, ev, comp, arch, repos)
 
 
-def report(a: Analysis) -> DataFrame:
-    """The report row (lists as arrays, compressed folders as an ordered array of 'folder: text')."""
+def report_lists(a: Analysis) -> DataFrame:
+    """The two lists of a report that grow with the repository, one row per entry: (repo_id, list, ord, value).
+
+    ``signal_files`` in tree order; ``compressed_folders`` in the order of each folder's first file.
+    """
+    signals = a.graph.tree.where(F.col("is_signal")).select("repo_id", F.lit("signal_files").alias("list"), F.col("tree_ord").alias("ord"), F.col("path").alias("value"))
+    rest = a.graph.tree.join(a.selection.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    first = (rest.groupBy("repo_id", F.substring_index("path", "/", 1).alias("folder")).agg(F.min("tree_ord").alias("ord")))
+    folders = (a.compressed.join(first, ["repo_id", "folder"])
+               .select("repo_id", F.lit("compressed_folders").alias("list"), "ord", F.concat(F.col("folder"), F.lit(": "), F.col("summary")).alias("value")))
+    return signals.unionByName(folders)
+
+
+def _first(lists: DataFrame, name: str, limit: int | None) -> DataFrame:
+    """A list of ``report_lists`` as an ordered array, cut at ``limit`` entries if given."""
+    part = lists.where(F.col("list") == name)
+    if limit is not None:
+        w = Window.partitionBy("repo_id").orderBy("ord")
+        part = part.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit)
+    return G.ordered_list(part, "repo_id", ["ord"], "value", name)
+
+
+def report(a: Analysis, list_limit: int | None = None) -> DataFrame:
+    """The report row. Its lists of signal files and of compressed folders grow with the repository: ``list_limit`` bounds them
+    (``report_lists`` has them whole, as rows); the others are bounded by their own rules.
+    """
     stats = G.repo_stats(a.graph.tree, a.graph.edges).drop("signal_files")
-    signals = G.ordered_list(a.graph.tree.where(F.col("is_signal")), "repo_id", ["tree_ord"], "path", "signal_files")
+    lists = report_lists(a)
+    signals, comp = _first(lists, "signal_files", list_limit), _first(lists, "compressed_folders", list_limit)
     central = G.ordered_list(a.graph.central(K.REPORT_CENTRAL_TOP_N), "repo_id", ["rank"], "path", "top_central_files")
     picked = (a.selection.groupBy("repo_id")
               .agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("s"),
@@ -73,13 +98,6 @@ def report(a: Analysis) -> DataFrame:
                    F.sum("tokens").cast("bigint").alias("estimated_tokens"))
               .select("repo_id", F.transform("s", lambda x: x["path"]).alias("selected_files"),
                       "total_selected", "estimated_tokens"))
-    rest = a.graph.tree.join(a.selection.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
-    folder_first = (rest.groupBy("repo_id", F.substring_index("path", "/", 1).alias("folder"))
-                    .agg(F.min("tree_ord").alias("first_ord")))
-    comp = (a.compressed.join(folder_first, ["repo_id", "folder"])
-            .groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct(
-                "first_ord", F.concat(F.col("folder"), F.lit(": "), F.col("summary")).alias("t")))).alias("c"))
-            .select("repo_id", F.transform("c", lambda x: x["t"]).alias("compressed_folders")))
     empty = F.array().cast("array<string>")
     arch_default = F.lit(K.UNPARSEABLE_ARCHITECTURE)
     out = (a.context.join(stats, "repo_id", "left").join(signals, "repo_id", "left")
@@ -119,8 +137,8 @@ def prompts(a: Analysis) -> tuple[DataFrame, DataFrame]:
 
 
 def write_reports(rep: DataFrame, path: str, fmt: str = "json") -> None:
-    """Sink: one report per repository, partitioned by repository."""
-    rep.write.mode("overwrite").partitionBy("repo_id").format(fmt).save(path)
+    """Sink: one report per repository and line, in as many files as there are tasks (no folder per repository)."""
+    rep.write.mode("overwrite").format(fmt).save(path)
 
 
-__all__ = ["analyse", "report", "prompts", "write_reports", "Analysis"]
+__all__ = ["analyse", "report", "report_lists", "prompts", "write_reports", "Analysis"]

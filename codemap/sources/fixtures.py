@@ -13,8 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# files(repo_id, path, tree_ord, doc_id, size_bytes, content) from documents:
-# 20 repositories; a row's place in its repository's tree is floor(doc_id / 20).
+# files(repo_id, path, tree_ord, doc_id, size_bytes, content) from documents: every third row is in one hot
+# repository, the others in max(20, rows / 50) repositories. gap: ids between neighbours of a repository; j: place in its tree.
 _FILES_EXPRS = [
     "concat('org/repo', CAST(r AS STRING)) AS repo_id",
     """CASE j WHEN 0 THEN 'README.md' WHEN 1 THEN 'Dockerfile' WHEN 2 THEN 'package.json' ELSE concat(
@@ -28,12 +28,15 @@ _FILES_EXPRS = [
     "n_chars * 20 AS size_bytes",
     """concat(
         CASE ext
-          WHEN '.py' THEN concat('import m', CAST(doc_id - 20 AS STRING), chr(10),
-            'from pkg.m', CAST(doc_id - 140 AS STRING), ' import x', chr(10), 'import main', chr(10),
-            'import routing as rt, m', CAST(doc_id + 20 AS STRING), chr(10),
-            'from .m import m', CAST(doc_id + 140 AS STRING), chr(10))
-          WHEN '.js' THEN concat('import a from "./m', CAST(doc_id - 120 AS STRING), '";', chr(10),
-            'import "../main";', chr(10), 'const b = require("m', CAST(doc_id - 140 AS STRING), '");', chr(10))
+          WHEN '.py' THEN concat('import m', CAST(doc_id - gap AS STRING), CASE WHEN j % 4 = 0 THEN chr(13) ELSE '' END, chr(10),
+            'from pkg.m', CAST(doc_id - 7 * gap AS STRING), ' import x', chr(10), 'import main', CASE WHEN j % 3 = 0 THEN '; y = 1' ELSE '' END, chr(10),
+            'import routing as rt, ', CASE WHEN j % 5 = 0 THEN concat(chr(92), chr(10), '  ') ELSE '' END, 'm', CAST(doc_id + gap AS STRING), chr(10),
+            'from .m import m', CAST(doc_id + 7 * gap AS STRING), chr(10),
+            '# it''s a ', chr(39), chr(39), chr(39), ' in a comment', chr(10), 'try: import fast', ds, chr(10),
+            's = ', chr(39), chr(39), chr(39), chr(10), 'import hidden', chr(10), chr(39), chr(39), chr(39), chr(10))
+          WHEN '.js' THEN concat('import a from "./m', CAST(doc_id - 6 * gap AS STRING), '";', CASE WHEN j % 4 = 0 THEN chr(13) ELSE '' END, chr(10),
+            'const u = "/*"; import "../main"; const w = "*/";', chr(10), 'f(); // import "commented"', chr(10),
+            'const b = require("m', CAST(doc_id - 7 * gap AS STRING), '");', chr(10))
           ELSE '' END,
         CASE WHEN ext IN ('.py', '.js') THEN concat('@app.get("/r', ds, '")', chr(10), 'def h', ds, '(a):', chr(10),
             '    return db.query(a)', chr(10), 'class C', ds, ':', chr(10)) ELSE '' END,
@@ -42,20 +45,32 @@ _FILES_EXPRS = [
 ]
 
 
+def n_repos(spark: SparkSession, sf_dir: str) -> int:
+    """Repositories beside the hot one; grows with the documents table."""
+    return max(20, table(spark, sf_dir, "documents").count() // 50)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "text", "n_chars",
-        "CAST(floor(doc_id / 20) AS BIGINT) AS j", "doc_id % 20 AS r")
+    docs = table(spark, sf_dir, "documents")
+    n = n_repos(spark, sf_dir)
+    d = docs.selectExpr(
+        "doc_id", "text", "n_chars", f"CASE WHEN doc_id % 3 = 0 THEN 3 ELSE {n} END AS gap",
+        f"CAST(floor(doc_id / CASE WHEN doc_id % 3 = 0 THEN 3 ELSE {n} END) AS BIGINT) AS j",
+        f"CASE WHEN doc_id % 3 = 0 THEN {n} ELSE doc_id % {n} END AS r")
     s = d.selectExpr(
         "*", "CAST(doc_id AS STRING) AS ds", "CAST(CAST(floor(j / 24) AS BIGINT) AS STRING) AS bs",
         """CASE WHEN j < 3 THEN '' WHEN j % 7 = 1 THEN '.js' WHEN j % 7 = 4 THEN '.ts'
                 WHEN j % 7 = 5 THEN '.md' WHEN j % 7 = 6 THEN '.png' ELSE '.py' END AS ext""")
-    return s.selectExpr(*_FILES_EXPRS)
+    # the stand-in columns go through a generator, so queries see attributes, as of a table, and not their long expressions
+    head, content = _FILES_EXPRS[:-1], _FILES_EXPRS[-1]
+    named = ", ".join(f"'{e.rsplit(' AS ', 1)[-1].strip()}', {e.rsplit(' AS ', 1)[0]}" for e in head)
+    rows = s.selectExpr("text", f"inline(array(named_struct({named}, 'ext', ext, 'ds', ds, 'gap', gap, 'j', j)))")
+    return rows.selectExpr("repo_id", "path", "tree_ord", "doc_id", "size_bytes", content)
 
 
 _RESPONSE_RAW = """CASE turn % 4
-    WHEN 0 THEN concat('```json', chr(10), '{"summary":"', md5(text), '","tech_stack":["spark","python","spark"],"main_modules":["routing","src/app.py","api.py"," routing ",""],"entry_points":["./main.py","routing.py","nope.py"],"flow_mermaid":" graph TD "}', chr(10), '```')
-    WHEN 1 THEN concat('{"summary":"', md5(text), '","tech_stack":[],"main_modules":[],"entry_points":["main.py"],"keywords":["the","import"],"flow_mermaid":["a","b"]}')
+    WHEN 0 THEN concat('```json', chr(10), '{"summary":"', md5(text), '","tech_stack":["spark","python","spark"],"main_modules":[1,"routing",true,{"k":1},null,"src/app.py","api.py"," routing ",""],"entry_points":["./main.py","routing.py","nope.py"],"flow_mermaid":" graph TD "}', chr(10), '```')
+    WHEN 1 THEN concat('{"summary":"', md5(text), '","tech_stack":[],"main_modules":[],"entry_points":["main.py"],"keywords":["the",2,"import"],"flow_mermaid":["a","b"],"evidence_map":[{"node_id":"a","start_line":12.5},"loose",7]}')
     WHEN 2 THEN '{"summary":7,"tech_stack":"spark","main_modules":null,"flow_mermaid":{"k":1}}'
     ELSE concat('Sure! ', md5(text)) END AS raw"""
 
@@ -63,7 +78,7 @@ _RESPONSE_RAW = """CASE turn % 4
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model replies as a table: responses(repo_id, response_id, raw)."""
     return table(spark, sf_dir, "conversations").selectExpr(
-        "concat('org/repo', CAST(conv_id % 20 AS STRING)) AS repo_id",
+        f"concat('org/repo', CAST(conv_id % {n_repos(spark, sf_dir) + 1} AS STRING)) AS repo_id",
         "conv_id * 100 + turn AS response_id",
         _RESPONSE_RAW)
 
@@ -83,14 +98,15 @@ def file_vectors(spark: SparkSession, sf_dir: str, files_df: DataFrame) -> DataF
     """file_vectors(repo_id, path, embedding array<double>)."""
     emb = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return (files_df.select("repo_id", "path", (F.col("doc_id") % 500).alias("vec_id"))
+    n = table(spark, sf_dir, "embeddings").count()
+    return (files_df.select("repo_id", "path", (F.col("doc_id") % n).alias("vec_id"))
             .join(emb, "vec_id").drop("vec_id"))
 
 
 def repo_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_vectors(repo_id, embedding): the summary embedding of each repository."""
     emb = table(spark, sf_dir, "embeddings")
-    return (emb.where(F.col("vec_id") < 20)
+    return (emb.where(F.col("vec_id") <= n_repos(spark, sf_dir))
             .select(F.concat(F.lit("org/repo"), F.col("vec_id").cast("string")).alias("repo_id"),
                     F.col("embedding").cast("array<double>").alias("embedding")))
 
@@ -112,22 +128,22 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_listing(files_df: DataFrame) -> DataFrame:
     """tree_listing(repo_id, path, type, size, encoding, content_b64): a saved listing with encoded contents."""
     return files_df.selectExpr(
-        "repo_id", "path", "tree_ord", "'blob' AS type",
+        "repo_id", "path", "tree_ord", "CASE WHEN tree_ord % 11 = 5 THEN 'tree' WHEN tree_ord % 11 = 8 THEN 'commit' ELSE 'blob' END AS type",
         "CASE WHEN tree_ord % 10 = 9 THEN NULL ELSE size_bytes END AS size",
-        "'base64' AS encoding",
-        "base64(encode(content, 'UTF-8')) AS content_b64")
+        "CASE WHEN tree_ord % 13 = 4 THEN 'utf-8' ELSE 'base64' END AS encoding",
+        "CASE WHEN tree_ord % 17 = 3 THEN '!' ELSE base64(encode(content, 'UTF-8')) END AS content_b64")
 
 
 def evidence_map(tree: DataFrame) -> DataFrame:
     """evidence_map(repo_id, ord, node_id, label, file, start_line, end_line): a model-style
-    evidence list over the first 12 non-noise source files of each repository; every third
+    evidence list over the non-noise source files of each repository; every third
     node id is blank (forces the label fallback), every fifth file is 'missing.py'."""
     from pyspark.sql import Window
     from ..functions import paths as P
     from .. import constants as K
     w = Window.partitionBy("repo_id").orderBy("tree_ord")
     src = (tree.where(F.col("extension").isin(K.SOURCE_EXTENSIONS) & ~P.is_noise("path"))
-           .withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= 12))
+           .withColumn("ord", F.row_number().over(w)))
     return src.selectExpr(
         "repo_id", "CAST(ord AS INT) AS ord",
         "CASE WHEN ord % 3 = 0 THEN '' ELSE concat('n', CAST(tree_ord AS STRING)) END AS node_id",
@@ -144,7 +160,7 @@ def diagram_nodes(tree: DataFrame) -> DataFrame:
     from .. import constants as K
     w = Window.partitionBy("repo_id").orderBy("tree_ord")
     src = (tree.where(F.col("extension").isin(K.SOURCE_EXTENSIONS) & ~P.is_noise("path"))
-           .withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= 12))
+           .withColumn("ord", F.row_number().over(w)))
     return src.selectExpr("repo_id", "concat('n', CAST(tree_ord AS STRING)) AS node_id",
                           "concat(upper(substring_index(path, '/', -1)), ' handler') AS label")
 

@@ -67,7 +67,10 @@ def has_content(c: str = "content") -> str:
 # ---------------------------------------------------------------------------
 FILES = """files AS (
   WITH d AS (
-    SELECT doc_id, text, n_chars, CAST(floor(doc_id / 20) AS BIGINT) AS j, doc_id % 20 AS r FROM documents
+    SELECT doc_id, text, n_chars, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE n END AS gap,
+      CAST(floor(doc_id / CASE WHEN doc_id % 3 = 0 THEN 3 ELSE n END) AS BIGINT) AS j,
+      CASE WHEN doc_id % 3 = 0 THEN n ELSE doc_id % n END AS r
+    FROM documents, (SELECT greatest(20, count(*) // 50) AS n FROM documents)
   ), s AS (
     SELECT d.*, CAST(doc_id AS STRING) AS ds, CAST(CAST(floor(j / 24) AS BIGINT) AS STRING) AS bs,
       CASE WHEN j < 3 THEN '' WHEN j % 7 = 1 THEN '.js' WHEN j % 7 = 4 THEN '.ts'
@@ -84,12 +87,15 @@ FILES = """files AS (
     j AS tree_ord, doc_id, n_chars * 20 AS size_bytes,
     concat(
       CASE ext
-        WHEN '.py' THEN concat('import m', CAST(doc_id - 20 AS STRING), chr(10),
-          'from pkg.m', CAST(doc_id - 140 AS STRING), ' import x', chr(10), 'import main', chr(10),
-          'import routing as rt, m', CAST(doc_id + 20 AS STRING), chr(10),
-          'from .m import m', CAST(doc_id + 140 AS STRING), chr(10))
-        WHEN '.js' THEN concat('import a from "./m', CAST(doc_id - 120 AS STRING), '";', chr(10),
-          'import "../main";', chr(10), 'const b = require("m', CAST(doc_id - 140 AS STRING), '");', chr(10))
+        WHEN '.py' THEN concat('import m', CAST(doc_id - gap AS STRING), CASE WHEN j % 4 = 0 THEN chr(13) ELSE '' END, chr(10),
+            'from pkg.m', CAST(doc_id - 7 * gap AS STRING), ' import x', chr(10), 'import main', CASE WHEN j % 3 = 0 THEN '; y = 1' ELSE '' END, chr(10),
+            'import routing as rt, ', CASE WHEN j % 5 = 0 THEN concat(chr(92), chr(10), '  ') ELSE '' END, 'm', CAST(doc_id + gap AS STRING), chr(10),
+            'from .m import m', CAST(doc_id + 7 * gap AS STRING), chr(10),
+            '# it''s a ', chr(39), chr(39), chr(39), ' in a comment', chr(10), 'try: import fast', ds, chr(10),
+            's = ', chr(39), chr(39), chr(39), chr(10), 'import hidden', chr(10), chr(39), chr(39), chr(39), chr(10))
+          WHEN '.js' THEN concat('import a from "./m', CAST(doc_id - 6 * gap AS STRING), '";', CASE WHEN j % 4 = 0 THEN chr(13) ELSE '' END, chr(10),
+            'const u = "/*"; import "../main"; const w = "*/";', chr(10), 'f(); // import "commented"', chr(10),
+            'const b = require("m', CAST(doc_id - 7 * gap AS STRING), '");', chr(10))
         ELSE '' END,
       CASE WHEN ext IN ('.py', '.js') THEN concat('@app.get("/r', ds, '")', chr(10), 'def h', ds, '(a):', chr(10),
           '    return db.query(a)', chr(10), 'class C', ds, ':', chr(10)) ELSE '' END,
@@ -99,10 +105,10 @@ FILES = """files AS (
 )"""
 
 RESPONSES = """responses AS (
-  SELECT concat('org/repo', CAST(conv_id % 20 AS STRING)) AS repo_id, conv_id * 100 + turn AS response_id,
+  SELECT concat('org/repo', CAST(conv_id % (SELECT greatest(20, count(*) // 50) + 1 FROM documents) AS STRING)) AS repo_id, conv_id * 100 + turn AS response_id,
     CASE turn % 4
-      WHEN 0 THEN concat('```json', chr(10), '{"summary":"', md5(text), '","tech_stack":["spark","python","spark"],"main_modules":["routing","src/app.py","api.py"," routing ",""],"entry_points":["./main.py","routing.py","nope.py"],"flow_mermaid":" graph TD "}', chr(10), '```')
-      WHEN 1 THEN concat('{"summary":"', md5(text), '","tech_stack":[],"main_modules":[],"entry_points":["main.py"],"keywords":["the","import"],"flow_mermaid":["a","b"]}')
+      WHEN 0 THEN concat('```json', chr(10), '{"summary":"', md5(text), '","tech_stack":["spark","python","spark"],"main_modules":[1,"routing",true,{"k":1},null,"src/app.py","api.py"," routing ",""],"entry_points":["./main.py","routing.py","nope.py"],"flow_mermaid":" graph TD "}', chr(10), '```')
+      WHEN 1 THEN concat('{"summary":"', md5(text), '","tech_stack":[],"main_modules":[],"entry_points":["main.py"],"keywords":["the",2,"import"],"flow_mermaid":["a","b"],"evidence_map":[{"node_id":"a","start_line":12.5},"loose",7]}')
       WHEN 2 THEN '{"summary":7,"tech_stack":"spark","main_modules":null,"flow_mermaid":{"k":1}}'
       ELSE concat('Sure! ', md5(text)) END AS raw
   FROM conversations
@@ -119,12 +125,12 @@ def keywords_cte() -> str:
 
 FILE_VECTORS = """file_vectors AS (
   SELECT f.repo_id, f.path, CAST(e.embedding AS DOUBLE[]) AS embedding
-  FROM files f JOIN embeddings e ON e.vec_id = f.doc_id % 500
+  FROM files f JOIN embeddings e ON e.vec_id = f.doc_id % (SELECT count(*) FROM embeddings)
 )"""
 
 REPO_VECTORS = """repo_vectors AS (
   SELECT concat('org/repo', CAST(vec_id AS STRING)) AS repo_id, CAST(embedding AS DOUBLE[]) AS embedding
-  FROM embeddings WHERE vec_id < 20
+  FROM embeddings WHERE vec_id <= (SELECT greatest(20, count(*) // 50) FROM documents)
 )"""
 
 REQUESTS = """requests AS (
@@ -143,14 +149,16 @@ REQUESTS = """requests AS (
 # ---------------------------------------------------------------------------
 # ingestion
 # ---------------------------------------------------------------------------
-def tree_ctes(max_source_files: int = K.MAX_SOURCE_FILES) -> list[str]:
+def tree_ctes(max_source_files: int | None = None, max_file_size: int | None = None) -> list[str]:
     skip = (f"list_has_any(string_split(path, '/'), {lst(K.SKIP_DIRS)}) "
             f"OR {ext('path')} IN {inl(K.SKIP_EXTENSIONS)}")
+    size = f" AND coalesce(size_bytes, 0) <= {max_file_size}" if max_file_size is not None else ""
+    quota = "true" if max_source_files is None else f"quota_rank <= {max_source_files}"
     return [
         f"""ft AS (
-  SELECT repo_id, path, tree_ord, CAST(coalesce(size_bytes, 0) AS BIGINT) AS size_bytes, content,
+  SELECT repo_id, path, tree_ord, CAST(coalesce(size_bytes, 0) AS BIGINT) AS size_bytes, content, doc_id,
     {ext('path')} AS extension, {fname('path')} IN {inl(K.SIGNAL_FILENAMES)} AS is_signal
-  FROM files WHERE NOT ({skip}) AND coalesce(size_bytes, 0) <= {K.MAX_FILE_SIZE}
+  FROM files WHERE NOT ({skip}){size}
 )""",
         f"""qr AS (
   SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY
@@ -158,45 +166,30 @@ def tree_ctes(max_source_files: int = K.MAX_SOURCE_FILES) -> list[str]:
   FROM ft WHERE extension IN {inl(K.SOURCE_EXTENSIONS)} AND NOT is_signal
 )""",
         f"""tree AS (
-  SELECT ft.repo_id, ft.path, ft.tree_ord, ft.extension, ft.size_bytes, ft.is_signal,
-    (ft.is_signal OR coalesce(qr.quota_rank <= {max_source_files}, false)) AS fetched,
-    CASE WHEN ft.is_signal OR coalesce(qr.quota_rank <= {max_source_files}, false) THEN ft.content END AS content
+  SELECT ft.repo_id, ft.path, ft.tree_ord, ft.extension, ft.size_bytes, ft.is_signal, ft.doc_id,
+    (ft.is_signal OR coalesce(qr.quota_rank IS NOT NULL AND {quota}, false)) AS fetched,
+    CASE WHEN ft.is_signal OR coalesce(qr.quota_rank IS NOT NULL AND {quota}, false) THEN ft.content END AS content
   FROM ft LEFT JOIN qr USING (repo_id, path)
 )"""]
 
 
 def import_ctes() -> list[str]:
-    d = R.duck
-    clean = (lambda x: f"list_filter(list_transform(string_split(regexp_replace({x}, {q(R.PY_LIST_NOISE)}, '', 'g'), ','), "
-             f"lambda t: regexp_replace(t, {q(R.EDGE_SPACE)}, '', 'g')), lambda t: regexp_matches(t, {q(R.DOTTED_FULL)}))")
+    """What the generated headers import, stated from the row numbers: none of the engine's patterns is used.
+
+    Names that would need a negative number are not identifiers, so Python statements with them import nothing.
+    """
+    def name(prefix: str, shift: str) -> str:
+        return f"CASE WHEN doc_id {shift} >= 0 THEN '{prefix}' || CAST(doc_id {shift} AS VARCHAR) END"
+    py = ", ".join([name("m", "- gap"), name("pkg.m", "- 7 * gap"), "'main'", name("m", "+ gap"), name("m", "+ 7 * gap"),
+                    "'fast' || CAST(doc_id AS VARCHAR)"])
+    js = ", ".join(["'./m' || CAST(doc_id - 6 * gap AS VARCHAR)", "'../main'", "'m' || CAST(doc_id - 7 * gap AS VARCHAR)"])
     return [
-        f"""pyc AS (
-  SELECT repo_id, path AS src, regexp_replace(content, {q(R.PY_TRIPLE_QUOTED)}, '', 'g') AS code
-  FROM tree WHERE extension = '.py' AND {has_content()}
-)""",
-        f"""py_plain AS (
-  SELECT repo_id, src, unnest({clean('lst')}) AS module
-  FROM (SELECT repo_id, src, unnest(regexp_extract_all(code, {q(d(R.PY_IMPORT_STMT))}, 1)) AS lst FROM pyc)
-)""",
-        f"""py_from AS (
-  SELECT repo_id, src, CASE WHEN dots = '' THEN CASE WHEN md <> '__future__' THEN md END
-                            ELSE {clean('lst')}[1] END AS module
-  FROM (SELECT repo_id, src,
-          unnest(regexp_extract_all(code, {q(d(R.PY_FROM_STMT))}, 1)) AS dots,
-          unnest(regexp_extract_all(code, {q(d(R.PY_FROM_STMT))}, 2)) AS md,
-          unnest(regexp_extract_all(code, {q(d(R.PY_FROM_STMT))}, 3)) AS lst FROM pyc)
-)""",
-        f"""jsc AS (
-  SELECT repo_id, path AS src,
-    regexp_replace(regexp_replace(content, {q(R.JS_BLOCK_COMMENT)}, '', 'g'), {q(d(R.JS_LINE_COMMENT))}, '', 'g') AS code
-  FROM tree WHERE extension IN ('.js', '.jsx') AND {has_content()}
-)""",
-        f"""imports AS (
-  SELECT repo_id, src, module FROM py_plain
-  UNION ALL SELECT repo_id, src, module FROM py_from WHERE module IS NOT NULL AND module <> ''
-  UNION ALL SELECT repo_id, src, unnest(list_concat(regexp_extract_all(code, {q(d(R.JS_IMPORT))}, 1),
-                                               regexp_extract_all(code, {q(d(R.JS_REQUIRE))}, 1))) FROM jsc
-)"""]
+        """gaps AS (SELECT repo_id, path AS src, extension, doc_id,
+    CASE WHEN doc_id % 3 = 0 THEN 3 ELSE (SELECT greatest(20, count(*) // 50) FROM documents) END AS gap
+  FROM tree WHERE content IS NOT NULL)""",
+        f"""py_imports AS (SELECT * FROM (SELECT repo_id, src, unnest([{py}]) AS module FROM gaps WHERE extension = '.py') WHERE module IS NOT NULL)""",
+        f"""js_imports AS (SELECT repo_id, src, unnest([{js}]) AS module FROM gaps WHERE extension = '.js')""",
+        """imports AS (SELECT * FROM py_imports UNION ALL SELECT * FROM js_imports)"""]
 
 
 def resolve_ctes() -> list[str]:
@@ -303,9 +296,13 @@ def _ingestion_queries() -> dict[str, str]:
     PRC = GR + pagerank_ctes()
     content_chars = "CAST(coalesce(length(content), 0) AS BIGINT) AS content_chars"
     out = {
-        "ingest_filter": with_(T, f"SELECT repo_id, path, tree_ord, extension, size_bytes, is_signal, fetched, {content_chars} FROM tree"),
+        "ingest_filter": with_([FILES] + tree_ctes(K.MAX_SOURCE_FILES, K.MAX_FILE_SIZE),
+                               f"SELECT repo_id, path, tree_ord, extension, size_bytes, is_signal, fetched, {content_chars} FROM tree"),
+        "ingest_filter_quota10": with_([FILES] + tree_ctes(10, K.MAX_FILE_SIZE),
+                                       f"SELECT repo_id, path, tree_ord, extension, size_bytes, is_signal, fetched, {content_chars} FROM tree"),
+        "graph_links": with_(GR, "SELECT repo_id, src AS source, dst AS target FROM edges"),
         "signal_files": with_(T, f"SELECT repo_id, path, tree_ord, {content_chars} FROM tree WHERE is_signal"),
-        "source_quota": with_(T, f"""SELECT repo_id, path, CAST(quota_rank AS INTEGER) AS quota_rank,
+        "source_quota": with_([FILES] + tree_ctes(K.MAX_SOURCE_FILES, K.MAX_FILE_SIZE), f"""SELECT repo_id, path, CAST(quota_rank AS INTEGER) AS quota_rank,
   lower({fname('path')}) IN {inl(K.ALWAYS_FETCH_FILENAMES)} AS pinned, CAST({depth('path')} AS BIGINT) AS depth, size_bytes
 FROM qr JOIN ft USING (repo_id, path) WHERE quota_rank <= {K.MAX_SOURCE_FILES}"""),
         "ext_profile": with_([FILES], f"""SELECT repo_id, {ext('path')} AS extension, count(*) AS n_files,
@@ -313,14 +310,8 @@ FROM qr JOIN ft USING (repo_id, path) WHERE quota_rank <= {K.MAX_SOURCE_FILES}""
         "language_profile": with_(T, f"SELECT repo_id, {_lang_case('path')} AS language, count(*) AS n_files FROM tree GROUP BY ALL"),
         "noise_files": with_(T, f"SELECT repo_id, path, {noise('path')} AS is_noise FROM tree"),
         "path_penalty": with_(T, f"SELECT repo_id, path, {penalty('path')} AS penalty FROM tree"),
-        "py_imports": with_([FILES] + tree_ctes() + import_ctes(),
-                            """SELECT repo_id, src, module, count(*) AS n FROM (
-  SELECT repo_id, src, module FROM py_plain UNION ALL
-  SELECT repo_id, src, module FROM py_from WHERE module IS NOT NULL AND module <> '') GROUP BY ALL"""),
-        "js_imports": with_([FILES] + tree_ctes() + import_ctes(), f"""SELECT repo_id, src, module, count(*) AS n FROM (
-  SELECT repo_id, src, unnest(list_concat(regexp_extract_all(code, {q(R.duck(R.JS_IMPORT))}, 1),
-                                          regexp_extract_all(code, {q(R.duck(R.JS_REQUIRE))}, 1))) AS module FROM jsc)
-GROUP BY ALL"""),
+        "py_imports": with_(T + import_ctes(), "SELECT repo_id, src, module, count(*) AS n FROM py_imports GROUP BY ALL"),
+        "js_imports": with_(T + import_ctes(), "SELECT repo_id, src, module, count(*) AS n FROM js_imports GROUP BY ALL"),
         "resolve_relative": with_(GR, "SELECT repo_id, src, module, dst, CAST(rule AS INTEGER) AS rule FROM resolved WHERE starts_with(module, '.')"),
         "resolve_absolute": with_(GR, "SELECT repo_id, src, module, dst, CAST(rule AS INTEGER) AS rule FROM resolved WHERE NOT starts_with(module, '.')"),
         "dependency_edges": with_(GR, "SELECT repo_id, src, dst FROM edges"),
@@ -375,7 +366,7 @@ def bm25_ctes() -> list[str]:
     k1, b, eps = K.BM25_K1, K.BM25_B, K.BM25_EPSILON
     return [
         f"cand AS (SELECT repo_id, path, tree_ord, content FROM tree WHERE {has_content()})",
-        f"""dterm AS (SELECT repo_id, path, unnest({toks(f"lower(path || ' ' || substring(coalesce(content, ''), 1, {K.BM25_PREFIX_CHARS}))")}) AS term FROM cand)""",
+        f"""dterm AS (SELECT repo_id, path, unnest({toks("lower(path || ' ' || coalesce(content, ''))")}) AS term FROM cand)""",
         "tf AS (SELECT repo_id, path, term, count(*) AS tf FROM dterm GROUP BY ALL)",
         """docs AS (SELECT c.repo_id, c.path, CAST(coalesce(d.dl, 0) AS BIGINT) AS dl FROM cand c
   LEFT JOIN (SELECT repo_id, path, count(*) AS dl FROM dterm GROUP BY ALL) d USING (repo_id, path))""",
@@ -417,7 +408,7 @@ def retrieval_ctes(budget: int, ep_sql: str | None = None) -> list[str]:
       * {penalty('c.path')} * CASE WHEN e.path IS NOT NULL THEN {K.ENTRY_BONUS}::DOUBLE ELSE 1.0::DOUBLE END AS score
   FROM cand c JOIN prs p USING (repo_id, path) JOIN bm25 b USING (repo_id, path)
   LEFT JOIN sem s USING (repo_id, path) LEFT JOIN ep e USING (repo_id, path))""",
-        f"""top AS (SELECT repo_id, rank, path, tree_ord, score, {trunc('content')} AS content, {tokest(trunc('content'))} AS tokens FROM (
+        f"""top AS (SELECT repo_id, rank, path, tree_ord, score, {trunc('content')} AS content, content AS full_content, {tokest(trunc('content'))} AS tokens FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY round(score, 9) DESC, tree_ord) AS INTEGER) AS rank FROM ranked)
   WHERE rank <= {K.MAX_FILES})""",
         f"""sel AS (SELECT * FROM (SELECT *, CAST(sum(tokens) OVER (PARTITION BY repo_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_tokens FROM top)
@@ -464,6 +455,8 @@ EVIDENCE_PATTERNS = [
 
 def evidence_sql(src: str, rank_col: str = "NULL") -> str:
     """Union of all pattern extractions over relation ``src(repo_id, path, content[, rank])``."""
+    if src == "sel":  # whole contents, not the cut ones
+        src = "(SELECT * REPLACE (full_content AS content) FROM sel)"
     parts = []
     for kind, pord, pat, mg, vg, ml in EVIDENCE_PATTERNS:
         rp = q(("(?m)" if ml else "") + pat.replace(r"\w", WORD))
@@ -478,7 +471,7 @@ def evidence_sql(src: str, rank_col: str = "NULL") -> str:
 def evmap_ctes() -> list[str]:
     return [
         f"""evsrc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY tree_ord) AS ord FROM tree
-   WHERE extension IN {inl(K.SOURCE_EXTENSIONS)} AND NOT {noise('path')}) WHERE ord <= 12)""",
+   WHERE extension IN {inl(K.SOURCE_EXTENSIONS)} AND NOT {noise('path')}))""",
         f"""evidence_map AS (SELECT repo_id, CAST(ord AS INTEGER) AS ord,
     CASE WHEN ord % 3 = 0 THEN '' ELSE 'n' || CAST(tree_ord AS VARCHAR) END AS node_id, {fname('path')} AS label,
     CASE WHEN ord % 5 = 0 THEN 'missing.py' ELSE path END AS file,
@@ -512,7 +505,7 @@ WHERE ev_rank <= 20""")
   SELECT n.repo_id, n.node_id, 2 AS rule, e.ord FROM diagram_nodes n JOIN evidence_map e
     ON e.repo_id = n.repo_id AND contains(lower(n.label), lower({fname('e.file')})) AND length(n.label) > 0)""",
         """best AS (SELECT repo_id, node_id, rule, ord FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, node_id ORDER BY rule, ord) AS rn FROM cand_m) WHERE rn = 1)"""],
-        """SELECT n.repo_id, n.node_id, CAST(b.rule AS INTEGER) AS rule, e.file,
+        """SELECT n.repo_id, n.node_id, CAST(coalesce(b.rule, -1) AS INTEGER) AS rule, e.file,
   CASE WHEN e.file IS NOT NULL THEN r.repo_url || '/blob/' || coalesce(nullif(r.default_branch, ''), 'main') || '/' || e.file ||
     CASE WHEN coalesce(e.start_line, 0) <> 0 THEN '#L' || CAST(e.start_line AS VARCHAR) ||
       CASE WHEN coalesce(e.end_line, 0) <> 0 THEN '-L' || CAST(e.end_line AS VARCHAR) ELSE '' END ELSE '' END END AS url
@@ -574,8 +567,8 @@ def parse_ctes() -> list[str]:
         return f"CASE WHEN ok AND json_type(cj, '$.{f}') = 'VARCHAR' THEN json_extract_string(cj, '$.{f}') ELSE '' END AS {f}"
 
     def lf(f):
-        return (f"CASE WHEN ok AND json_type(cj, '$.{f}') = 'ARRAY' THEN json_extract_string(cj, '$.{f}[*]') "
-                f"ELSE CAST([] AS VARCHAR[]) END AS {f}")
+        return (f"CASE WHEN ok AND json_type(cj, '$.{f}') = 'ARRAY' THEN list_transform(list_filter(json_extract(cj, '$.{f}[*]'), "
+                f"lambda x: json_type(x) = 'VARCHAR'), lambda x: x ->> '$') ELSE CAST([] AS VARCHAR[]) END AS {f}")
     return [RESPONSES,
             f"""parsed AS (SELECT repo_id, response_id, ok AS parse_ok, {sf('summary')}, {sf('domain')},
   {lf('tech_stack')}, {lf('main_modules')}, {lf('entry_points')}, {lf('keywords')}
@@ -626,11 +619,11 @@ def fbkw_cte() -> str:
     return f"""fbkw AS (SELECT repo_id, CAST(kw_ord AS INTEGER) AS kw_ord, keyword FROM (
   SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY kw_ord) AS r FROM (
     SELECT DISTINCT c.repo_id, k.i AS kw_ord, k.t AS keyword FROM ctxf c, (VALUES {terms}) k(i, t)
-      WHERE contains(lower(substring(coalesce(c.content, ''), 1, {K.EXCERPT_CHARS})), k.t) OR contains(lower(c.path), k.t)
+      WHERE contains(lower(coalesce(c.content, '')), k.t) OR contains(lower(c.path), k.t)
     UNION ALL
     SELECT r.repo_id, d.i, d.t FROM (SELECT DISTINCT repo_id FROM files) r, (VALUES {defs}) d(i, t)
       WHERE r.repo_id NOT IN (SELECT c.repo_id FROM ctxf c, (VALUES {terms}) k(i, t)
-        WHERE contains(lower(substring(coalesce(c.content, ''), 1, {K.EXCERPT_CHARS})), k.t) OR contains(lower(c.path), k.t))))
+        WHERE contains(lower(coalesce(c.content, '')), k.t) OR contains(lower(c.path), k.t))))
   WHERE r <= {K.MAX_KEYWORDS})"""
 
 
@@ -687,8 +680,9 @@ PAGE_RE = r"^https?://github\.com/([^/]+)/([^/?#]+)"
 
 
 def tree_listing_cte() -> str:
-    return """tl AS (SELECT repo_id, path, tree_ord, 'blob' AS type, CASE WHEN tree_ord % 10 = 9 THEN NULL ELSE size_bytes END AS size,
-  'base64' AS encoding, to_base64(encode(content)) AS content_b64 FROM files)"""
+    return """tl AS (SELECT repo_id, path, tree_ord, CASE WHEN tree_ord % 11 = 5 THEN 'tree' WHEN tree_ord % 11 = 8 THEN 'commit' ELSE 'blob' END AS type, CASE WHEN tree_ord % 10 = 9 THEN NULL ELSE size_bytes END AS size,
+  CASE WHEN tree_ord % 13 = 4 THEN 'utf-8' ELSE 'base64' END AS encoding,
+  CASE WHEN tree_ord % 17 = 3 THEN '!' ELSE to_base64(encode(content)) END AS content_b64 FROM files)"""
 
 
 def after_first(x: str, sep: str) -> str:
@@ -741,9 +735,9 @@ def report_ctes(budget: int) -> list[str]:
     ret = retrieval_ctes(budget, "SELECT DISTINCT repo_id, unnest(entry_points) AS path FROM fin")
     ev = [f"ev AS ({evidence_sql('sel', 'rank')})",
           """evc AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id, kind ORDER BY file_rank, file, pattern_ord, match_ord) AS INTEGER) AS ev_rank FROM ev) WHERE ev_rank <= 20)"""]
-    arch_src = """lastreply AS (SELECT r.* FROM responses r JOIN (SELECT repo_id, max(response_id) AS m FROM responses GROUP BY repo_id) x
-  ON x.repo_id = r.repo_id AND x.m = r.response_id)"""
-    return CTX + [kw] + ret + ev + [central_cte("central10", K.REPORT_CENTRAL_TOP_N), arch_src] + arch_ctes("lastreply")
+    return CTX + [kw] + ret + ev + [central_cte("central10", K.REPORT_CENTRAL_TOP_N)] + [
+        c.replace("arch AS (", "arch_all AS (", 1) for c in arch_ctes()] + [
+        """arch AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY parse_ok DESC, response_id DESC) AS rn FROM arch_all) WHERE rn = 1)"""]
 
 
 def _final_queries() -> dict[str, str]:
@@ -815,7 +809,7 @@ LEFT JOIN comp cp ON cp.repo_id = f.repo_id LEFT JOIN arch a ON a.repo_id = f.re
         "scan_tree_listing": with_([FILES, tree_listing_cte()], "SELECT repo_id, path, tree_ord, CAST(coalesce(size, 0) AS BIGINT) AS size_bytes FROM tl WHERE type = 'blob'"),
         "decode_content": with_([FILES, tree_listing_cte()], """SELECT t.repo_id, t.path, CAST(length(d.c) AS BIGINT) AS chars, md5(d.c) AS content_md5, d.c = f.content AS roundtrip_ok
 FROM tl t JOIN files f ON f.repo_id = t.repo_id AND f.path = t.path,
-LATERAL (SELECT CASE WHEN t.encoding = 'base64' THEN coalesce(decode(from_base64(t.content_b64)), '') ELSE '' END AS c) d"""),
+LATERAL (SELECT CASE WHEN t.encoding = 'base64' THEN CASE WHEN t.content_b64 = '!' THEN '' ELSE decode(from_base64(nullif(t.content_b64, '!'))) END ELSE '' END AS c) d"""),
         "parse_architecture": with_([RESPONSES] + arch_ctes(), """SELECT repo_id, response_id, parse_ok, narrative_summary, architecture_mermaid,
   array_to_string(flow_mermaid, '|') AS flow_mermaid, evidence_entries FROM arch"""),
         "normalise_flow": with_([RESPONSES] + arch_ctes(), """SELECT repo_id, response_id, CAST(len(flow_mermaid) AS INTEGER) AS n_flows,
@@ -823,6 +817,9 @@ LATERAL (SELECT CASE WHEN t.encoding = 'base64' THEN coalesce(decode(from_base64
         "context_prompt": with_(CPC, "SELECT repo_id, CAST(length(prompt) AS BIGINT) AS chars, md5(prompt) AS prompt_md5, prompt FROM cprompt"),
         "architecture_prompt": with_(APC, "SELECT repo_id, CAST(length(prompt) AS BIGINT) AS chars, md5(prompt) AS prompt_md5, prompt FROM aprompt"),
         "repo_report": with_(rep, rep_sql),
+        "repo_report_lists": with_(RPT, f"""SELECT repo_id, 'signal_files' AS list, tree_ord AS ord, path AS value FROM tree WHERE is_signal
+UNION ALL SELECT repo_id, 'compressed_folders', min(tree_ord), regexp_extract(path, '^[^/]*') || ': ' || CAST(count(*) AS VARCHAR) || {q(K.COMPRESSED_FOLDER_TEXT)}
+FROM tree t WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.repo_id = t.repo_id AND s.path = t.path) GROUP BY repo_id, regexp_extract(path, '^[^/]*')"""),
     }
 
 

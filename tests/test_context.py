@@ -1,8 +1,11 @@
+import json
+
 from pyspark.sql import functions as F
 
 from codemap.operators import context as CX
 from codemap.operators import ingest as I
 from codemap.operators import llm_output as LO
+from codemap.plans.report import latest_reply
 
 from conftest import files_df
 
@@ -60,7 +63,26 @@ def test_architecture_reply_parsing(spark):
     df = spark.createDataFrame(raw, "repo_id string, response_id bigint, raw string")
     got = {r.response_id: r for r in LO.parse_architecture(df).collect()}
     assert got[1].parse_ok and got[1].narrative_summary == "n" and got[1].flow_mermaid == ["graph TD"]
-    assert got[1].evidence_map[0].file == "f.py" and got[1].architecture_mermaid == ""
+    assert json.loads(got[1].evidence_map[0]) == {"node_id": "a", "file": "f.py", "start_line": 1, "end_line": 2} and got[1].architecture_mermaid == ""
     assert got[2].flow_mermaid == ["a", "b"] and got[2].narrative_summary == ""
     assert not got[3].parse_ok and got[3].architecture_mermaid.startswith("graph TD")
     assert got[4].flow_mermaid == [] and not got[5].parse_ok
+
+
+def test_replies_with_equal_keys_and_mixed_lists(spark):
+    raw = [("r", 1, '{"summary": "a", "summary": "b", "main_modules": [1, "routing", true, {"k": 1}, null, "cli"], "entry_points": ["main.py", 3]}')]
+    got = CX.parse_context(spark.createDataFrame(raw, "repo_id string, response_id bigint, raw string")).collect()[0]
+    assert got.parse_ok and got.summary == "b" and got.main_modules == ["routing", "cli"] and got.entry_points == ["main.py"]
+
+
+def test_evidence_entries_pass_through(spark):
+    raw = [("r", 1, '{"evidence_map": [{"file": "f.py", "start_line": 12.5, "end_line": "12-20", "note": "x"}, "loose", null, 7], "narrative_summary": "x", "narrative_summary": "y"}')]
+    got = LO.parse_architecture(spark.createDataFrame(raw, "repo_id string, response_id bigint, raw string")).collect()[0]
+    assert [json.loads(e) for e in got.evidence_map] == [{"file": "f.py", "start_line": 12.5, "end_line": "12-20", "note": "x"}, "loose", None, 7]
+    assert got.narrative_summary == "y"
+
+
+def test_latest_reply_that_parses(spark):
+    raw = [("r", 1, '{"narrative_summary": "one"}'), ("r", 2, '{"narrative_summary": "two"}'), ("r", 3, "Sure!"), ("s", 1, "Sure!"), ("s", 2, "No.")]
+    parsed = LO.parse_architecture(spark.createDataFrame(raw, "repo_id string, response_id bigint, raw string"))
+    assert {(r.repo_id, r.response_id) for r in latest_reply(parsed).collect()} == {("r", 2), ("s", 2)}

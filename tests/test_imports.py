@@ -46,6 +46,27 @@ def test_python_rules(spark):
     assert got == sorted(["os", "a.b", "m2", "pkg.mod", "first", "only", "c", "p1", "nested.mod"])
 
 
+def test_python_line_ends_continuations_and_one_liners(spark):
+    crlf = "import os\r\nimport a.b\r\nfrom pkg.m import x\r\nx = 1\r\n"
+    assert _mods(spark, [("r", "a.py", crlf)]) == ["a.b", "os", "pkg.m"]
+    joined = "import os, \\\n    sys\nfrom p import \\\n  q\nimport one; import two; y = 1\ntry: import fast\nexcept ImportError: from slow import z\n"
+    assert _mods(spark, [("r", "a.py", joined)]) == sorted(["os", "sys", "p", "one", "two", "fast", "slow"])
+    assert _mods(spark, [("r", "a.py", "important = 1\nfromage = 2\nfrom importlib import x\nfrom .import y\n")]) == ["importlib", "y"]
+
+
+def test_python_strings_and_comments_hide_each_other(spark):
+    code = ("# don't use '''\nimport real\n# '''\nx = '#'; import after\ns = \"import no\"\n"
+            "t = \"\"\"\nimport hidden  # \"\n\"\"\"\nu = 'it\\'s'; import escaped\n")
+    assert _mods(spark, [("r", "a.py", code)]) == ["after", "escaped", "real"]
+    assert _mods(spark, [("r", "a.py", "x = '" + "y" * 200_000 + "'\nimport late\n'''" + "z\n" * 100_000 + "'''\nimport last")]) == ["last", "late"]
+
+
+def test_javascript_strings_and_comments_hide_each_other(spark):
+    code = ('const a = "/*"; import "./real"; const b = "*/";\nf(); // import "./commented"\n/* require("./blocked") */\n'
+            "const s = 'import \"./quoted\"'; const t = `require('./template')`;\r\nimport c from './last'\r\nimporter('x'); obj.require('./member');\n")
+    assert _mods(spark, [("r", "a.js", code)]) == ["./last", "./real"]
+
+
 def test_javascript_rules(spark):
     got = _mods(spark, [("r", "src/a.js", JS)])
     assert got == sorted(["./m1", "../main", "lib/fp", "ns", "req"])

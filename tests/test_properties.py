@@ -1,4 +1,4 @@
-"""Property tests: the windowed formulations equal the sequential loops they replace."""
+"""Properties of the fetch quota and of the budgeted pick, on generated inputs."""
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -9,52 +9,38 @@ from codemap.operators import rank as RK
 from conftest import files_df
 
 NAMES = ["main.py", "App.py", "util.py", "x.ts", "index.js", "a.jsx", "README.md", "setup.py", "b.go"]
+SLOW = dict(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 
 
-def _quota_loop(rows, cap):
-    src = [(p, s, o) for o, (p, s) in enumerate(rows)
-           if ("." + p.rsplit(".", 1)[-1] if "." in p else "") in K.SOURCE_EXTENSIONS
-           and p.split("/")[-1] not in K.SIGNAL_FILENAMES]
-    key = lambda x: (x[0].count("/"), x[1])
-    pinned = sorted([x for x in src if x[0].split("/")[-1].lower() in K.ALWAYS_FETCH_FILENAMES], key=key)
-    normal = sorted([x for x in src if x not in pinned], key=key)
-    return [p for p, _, _ in pinned[:cap] + normal[:max(0, cap - len(pinned))]]
-
-
-@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(**SLOW)
 @given(st.lists(st.tuples(st.lists(st.sampled_from(["src", "pkg", "lib"]), max_size=3), st.sampled_from(NAMES),
                           st.integers(0, 4)), min_size=1, max_size=25),
        st.integers(1, 8))
-def test_quota_equals_loop(spark, items, cap):
-    rows, seen = [], set()
-    for i, (dirs, name, size) in enumerate(items):
-        p = "/".join(dirs + [f"{i}{name}" if i % 3 else name])
-        if p not in seen:
-            seen.add(p)
-            rows.append((p, size))
-    df = files_df(spark, [("r", p, "x", s) for p, s in rows])
-    got = [r.path for r in I.quota_ranks(I.filter_tree(df), cap).orderBy("quota_rank").collect()]
-    assert got == _quota_loop(rows, cap)
-
-
-def _budget_loop(sizes, budget):
-    sel, used = [], 0
-    for i, s in enumerate(sizes):
-        if len(sel) >= K.MAX_FILES:
-            break
-        t = min(s, K.MAX_CHARS_PER_FILE + len(K.TRUNCATION_MARKER) if s > K.MAX_CHARS_PER_FILE else s) // 4
-        if len(sel) < K.MIN_FILES:
-            sel.append(i); used += t; continue
-        if used + t > budget:
-            break
-        sel.append(i); used += t
-    return sel
-
-
-@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+def test_quota_takes_the_smallest_keys(spark, items, cap):
+    paths = {"/".join([*dirs, f"{i}{name}" if i % 3 else name]): size for i, (dirs, name, size) in enumerate(items)}
+    tree = I.filter_tree(files_df(spark, [("r", p, "x", s) for p, s in paths.items()]))
+    every = I.quota_ranks(tree, None).collect()
+    got = I.quota_ranks(tree, cap).collect()
+    key = lambda r: (not r.pinned, r.depth, r.size_bytes, r.tree_ord)
+    assert len(got) == min(cap, len(every))
+    assert sorted(r.quota_rank for r in got) == list(range(1, len(got) + 1))
+    picked = {r.path for r in got}
+    left = [key(r) for r in every if r.path not in picked]
+    assert not left or max(key(r) for r in got) < min(left)  # no file that is left sorts before a picked one
+    assert all(r.path.endswith(tuple(K.SOURCE_EXTENSIONS)) and r.path.split("/")[-1] not in K.SIGNAL_FILENAMES for r in every)
+
+
+@settings(**SLOW)
 @given(st.lists(st.integers(0, 9000), min_size=1, max_size=14), st.integers(0, 20000))
-def test_budget_equals_loop(spark, sizes, budget):
-    rows = [("r", f"f{i}.py", i, "y" * s, float(100 - i)) for i, s in enumerate(sizes)]
-    ranked = spark.createDataFrame(rows, "repo_id string, path string, tree_ord bigint, content string, score double")
-    got = [int(r.path[1:-3]) for r in RK.budget_select(ranked, budget).orderBy("rank").collect()]
-    assert got == _budget_loop(sizes, budget)
+def test_pick_is_a_prefix_that_fits(spark, sizes, budget):
+    rows = [("r", f"f{i}.py", i, s, float(100 - i)) for i, s in enumerate(sizes)]
+    ranked = spark.createDataFrame(rows, "repo_id string, path string, tree_ord bigint, chars int, score double")
+    got = sorted(RK.budget_select(ranked, budget).collect(), key=lambda r: r.rank)
+    assert [r.path for r in got] == [f"f{i}.py" for i in range(len(got))]  # best first, none skipped
+    assert min(K.MIN_FILES, len(sizes)) <= len(got) <= min(K.MAX_FILES, len(sizes))
+    assert all(r.tokens <= (K.MAX_CHARS_PER_FILE + len(K.TRUNCATION_MARKER)) // K.CHARS_PER_TOKEN for r in got)
+    assert all(r.cum_tokens == sum(x.tokens for x in got[: i + 1]) for i, r in enumerate(got))
+    assert all(r.cum_tokens <= budget for r in got[K.MIN_FILES:])
+    if len(got) < min(K.MAX_FILES, len(sizes)):  # the next one would overflow
+        more = RK.budget_select(ranked, 10 ** 9).where(f"rank = {len(got) + 1}").first()
+        assert got[-1].cum_tokens + more.tokens > budget

@@ -49,71 +49,42 @@ def test_bm25_matches_plain_python(spark):
                                 "repo_id string, kw_ord int, keyword string")
     got = {r.path: r.bm25_raw for r in LX.bm25_scores(cands, kws).collect()}
     assert len(got) == 4  # one score per file
-    corpus = [(p + " " + c[:300]).lower().split() for p, c in docs]
+    corpus = [(p + " " + c).lower().split() for p, c in docs]
     want = bm25_py(corpus, "auth login auth import".split())
     for (p, _), w in zip(docs, want):
         assert abs(got[p] - w) < 1e-9
 
 
-def test_budget_pick_breaks_at_first_overflow(spark):
-    # scores descending; token sizes chosen so file 8 overflows and file 9 would still fit
-    sizes = [4000, 4000, 100, 100, 100, 100, 100, 40000, 40, 40, 40]
-    rows = [("r", f"f{i}.py", i, "x" * s, float(100 - i)) for i, s in enumerate(sizes)]
-    ranked = spark.createDataFrame(rows, "repo_id string, path string, tree_ord bigint, content string, score double")
-    picked = [r.path for r in RK.budget_select(ranked, 2500).orderBy("rank").collect()]
-
-    def brute(budget):
-        sel, used = [], 0
-        for path, s in [(r[1], r[3]) for r in rows]:
-            if len(sel) >= K.MAX_FILES:
-                break
-            t = len(RK_trunc(s)) // 4
-            if len(sel) < K.MIN_FILES:
-                sel.append(path); used += t; continue
-            if used + t > budget:
-                break
-            sel.append(path); used += t
-        return sel
-    assert picked == brute(2500)
-    assert [r.path for r in RK.budget_select(ranked, 10 ** 9).orderBy("rank").collect()] == brute(10 ** 9)
-
-
-def RK_trunc(c):
-    return c if len(c) <= K.MAX_CHARS_PER_FILE else c[:K.MAX_CHARS_PER_FILE] + K.TRUNCATION_MARKER
-
-
-def test_fetch_quota_matches_pinned_then_rest(spark):
-    import random
-    rnd = random.Random(5)
-    names = ["main.py", "app.js", "util.py", "x.ts", "index.ts", "lib.jsx", "README.md", "a.png", "core.py"]
-    rows = []
-    for i in range(60):
-        d = "/".join(rnd.choice(["src", "pkg", "a", "b"]) for _ in range(rnd.randint(0, 3)))
-        path = (d + "/" if d else "") + f"{i}_" + rnd.choice(names) if rnd.random() < 0.5 else (d + "/" if d else "") + rnd.choice(names)
-        rows.append(("r", path, "x", rnd.randint(1, 5)))
-    seen, uniq = set(), []
-    for r in rows:
-        if r[1] not in seen:
-            seen.add(r[1]); uniq.append(r)
-    tree = I.filter_tree(files_df(spark, uniq))
-    got = [r.path for r in I.quota_ranks(tree, 10).orderBy("quota_rank").collect()]
-    kept = [(p, s, o) for o, (_, p, _, s) in enumerate(uniq)
-            if not any(part in K.SKIP_DIRS for part in p.split("/"))
-            and ("." + p.rsplit(".", 1)[-1] if "." in p else "") not in K.SKIP_EXTENSIONS]
-    src = [(p, s, o) for p, s, o in kept if ("." + p.rsplit(".", 1)[-1] if "." in p else "") in K.SOURCE_EXTENSIONS
-           and p.split("/")[-1] not in K.SIGNAL_FILENAMES]
-    pinned = sorted([x for x in src if x[0].split("/")[-1].lower() in K.ALWAYS_FETCH_FILENAMES], key=lambda x: (x[0].count("/"), x[1]))
-    normal = sorted([x for x in src if x[0].split("/")[-1].lower() not in K.ALWAYS_FETCH_FILENAMES], key=lambda x: (x[0].count("/"), x[1]))
-    want = [p for p, _, _ in (pinned[:10] + normal[:max(0, 10 - len(pinned))])]
-    assert got == want
-
-
-def test_reference_unit_cases(spark):
-    """The analysed repository's own unit expectations: 400 characters are 100 tokens; BM25 over
-    two files returns one score per file."""
-    df = spark.createDataFrame([("a" * 400,)], "t string")
-    assert df.select(RK.token_estimate(F.col("t"))).collect()[0][0] == 100
-    cands = spark.createDataFrame([("r", "src/auth/login.py", "x"), ("r", "src/payments/checkout.py", "x")],
-                                  "repo_id string, path string, content string")
-    kws = spark.createDataFrame([("r", 0, "auth"), ("r", 1, "login")], "repo_id string, kw_ord int, keyword string")
-    assert LX.bm25_scores(cands, kws).count() == 2
+def test_budget_pick_stops_at_first_overflow(spark):
+    """The eighth file does not fit; the ninth would, but comes after it."""
+    chars = [4000, 4000, 100, 100, 100, 100, 100, 40000, 40, 40, 40]
+    rows = [("r", f"f{i}.py", i, n, float(100 - i)) for i, n in enumerate(chars)]
+    ranked = spark.createDataFrame(rows, "repo_id string, path string, tree_ord bigint, chars int, score double")
+    picked = RK.budget_select(ranked, 2500).orderBy("rank").collect()
+    assert [r.path for r in picked] == ["f0.py", "f1.py", "f2.py", "f3.py", "f4.py", "f5.py", "f6.py"]
+    assert [r.tokens for r in picked] == [1000, 1000, 25, 25, 25, 25, 25] and picked[-1].cum_tokens == 2125
+    every = RK.budget_select(ranked, 10 ** 9).orderBy("rank").collect()
+    assert [r.path for r in every] == [f"f{i}.py" for i in range(10)]
+    assert every[7].tokens == 1506  # 6,000 characters and the marker
+
+
+def test_picked_files_get_their_texts(spark):
+    tree = files_df(spark, [("r", "a.py", "x" * 7000), ("r", "b.py", "short")])
+    picked = spark.createDataFrame([("r", "a.py", 1), ("r", "b.py", 2)], "repo_id string, path string, rank int")
+    got = {r.path: r for r in RK.with_texts(picked, tree).collect()}
+    assert len(got["a.py"].full_content) == 7000 and len(got["a.py"].content) == 6000 + len(K.TRUNCATION_MARKER)
+    assert got["b.py"].content == got["b.py"].full_content == "short"
+
+
+def test_fetch_quota_takes_pinned_names_first(spark):
+    tree = I.filter_tree(files_df(spark, [
+        ("r", "deep/er/main.py", "x", 9), ("r", "z.py", "x", 5), ("r", "a.py", "x", 5), ("r", "app.js", "x", 7), ("r", "src/b.ts", "x", 1),
+        ("r", "README.md", "x", 1), ("r", "setup.py", "x", 1), ("r", "small.py", "x", 2), ("r", "logo.png", "x", 1), ("r", "dist/c.py", "x", 1)]))
+    got = [r.path for r in I.quota_ranks(tree, 5).orderBy("quota_rank").collect()]
+    assert got == ["app.js", "deep/er/main.py", "small.py", "z.py", "a.py"]
+
+
+def test_scores_cover_every_file(spark):
+    cands = spark.createDataFrame([("r", "lib/session.py", "x"), ("r", "lib/orders.py", "y")], "repo_id string, path string, content string")
+    kws = spark.createDataFrame([("r", 0, "orders"), ("r", 1, "session")], "repo_id string, kw_ord int, keyword string")
+    assert {r.path for r in LX.bm25_scores(cands, kws).collect()} == {"lib/session.py", "lib/orders.py"}
