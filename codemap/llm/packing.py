@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codemap.llm.common import Scratch, chunks, rows
+from codemap.llm.common import Scratch, chunks, map_batches, rows
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=[id_col, "piece", "start", "length", "ids_crc32"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long")
+    return map_batches(source, run, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:
