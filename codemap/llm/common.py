@@ -39,6 +39,19 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Most bytes of a batch that a Python worker gets: long texts make batches of few rows.
+BATCH_BYTES = 16 << 20
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most BATCH_BYTES (or one row); lowers the session's limit if that is higher."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def rows(batch: pa.RecordBatch, *names: str):
     """The named columns of a batch as Python lists, zipped."""
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codemap.llm.common import chunks, rows
+from codemap.llm.common import chunks, map_batches, rows
 
 _WORD = re.compile(r"\w+")
 CHUNK_CHARS = 2_000_000
@@ -144,7 +144,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 cols = list(zip(*found)) or [()] * 4
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=[id_col, item_col, "n_shingles", "n_found"])
 
-        part = source.mapInArrow(run, schema)
+        part = map_batches(source, run, schema)
         result = part if result is None else result.unionByName(part)
     if result is None:
         result = spark.createDataFrame([], schema)
@@ -166,5 +166,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                     free += [not hits for hits in block.verified([words(t) for (t,) in part])]
                 yield batch.filter(pa.array(free, pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = map_batches(docs, run, schema)
     return docs

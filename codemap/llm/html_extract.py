@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codemap.llm.common import Scratch, rows
+from codemap.llm.common import Scratch, map_batches, rows
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong "
                    "sub sup time tt u var wbr img".split())
@@ -302,7 +302,7 @@ def nodes_of(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, pa.schema([("host", pa.string()), ("skeleton", pa.string()), ("nodes", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))]))
 
     source = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("host is not null")
-    return source.mapInArrow(run, "host string, skeleton string, nodes array<int>, hashes array<long>")
+    return map_batches(source, run, "host string, skeleton string, nodes array<int>, hashes array<long>")
 
 
 def templates(pages: DataFrame, scratch: Scratch, url_col: str = "url", html_col: str = "html", min_share: float = 0.9, min_pages: int = 5) -> DataFrame:
@@ -325,7 +325,7 @@ def templates(pages: DataFrame, scratch: Scratch, url_col: str = "url", html_col
             yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(list(votes.values()), pa.int64())],
                                   names=["host", "node", "hash", "n"])
 
-    votes = (seen.join(reference.filter(F.col("pages") >= min_pages), "host").mapInArrow(vote, "host string, node int, hash long, n long")
+    votes = (map_batches(seen.join(reference.filter(F.col("pages") >= min_pages), "host"), vote, "host string, node int, hash long, n long")
              .groupBy("host", "node", "hash").agg(F.sum("n").alias("n")))
     votes = scratch.keep(votes.filter(F.col("n") >= min_pages), "votes")
     having = votes.filter("hash = -1").select("host", "node", F.col("n").alias("having"))
@@ -372,4 +372,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                                   names=[id_col, "url", "text", "n_chars", "n_template"])
 
     joined = source.join(found, "host", "left").select(id_col, "url", "html", "host", "reference", "nodes", "hashes")
-    return joined.mapInArrow(run, f"`{id_col}` long, url string, text string, n_chars long, n_template long")
+    return map_batches(joined, run, f"`{id_col}` long, url string, text string, n_chars long, n_template long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codemap.llm.common import SPACE_CODES, rows
+from codemap.llm.common import SPACE_CODES, map_batches, rows
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]")
@@ -96,7 +96,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     schema = docs.select([f.name for f in passed]).schema
     for m in MEASURES:
         schema = schema.add(m, "long")
-    measured = docs.select(*[F.col(f"`{f.name}`") for f in passed], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    measured = map_batches(docs.select(*[F.col(f"`{f.name}`") for f in passed], F.col(text_col).alias("__text")), run, schema)
     bits: Column = F.lit(0).cast("long")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
@@ -135,6 +135,6 @@ def accepted(docs: DataFrame, policy: str = "v2", id_col: str = "doc_id", text_c
     schema = docs.limit(0).schema
     for m in MEASURES:
         schema = schema.add(f"__{m}", "long")
-    measured = docs.mapInArrow(run, schema)
+    measured = map_batches(docs, run, schema)
     fails = [re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"__\1", r.fails) for r in RULES if r.name in {*POLICIES["base"], *POLICIES[policy]}]
     return measured.filter(F.expr(" and ".join(f"not ({x})" for x in fails))).select([F.col(f"`{n}`") for n in names])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codemap.llm.common import rows
+from codemap.llm.common import map_batches, rows
 
 #: Fixed by the contract: kinds in order, their patterns, the group that is measured and its least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -103,7 +103,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             yield pa.record_batch([batch.column(0), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], names=[id_col, "spans"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"`{id_col}` long, spans array<struct<kind:string,start:long,end:long>>")
+    return map_batches(source, run, f"`{id_col}` long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def summarise(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -140,7 +140,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", voca
             texts = pa.array([redact_text(t, encode, mark, max_ratio) for (t,) in rows(batch, text_col)], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    done = docs.mapInArrow(run, schema)
+    done = map_batches(docs, run, schema)
     if "n_chars" in schema.names:
         kind = schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(text_col)).cast(kind))

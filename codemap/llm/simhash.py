@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codemap.llm.common import Scratch, components, rows, shingle_hashes
+from codemap.llm.common import Scratch, components, map_batches, rows, shingle_hashes
 
 SEED = 42
 
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([ids, pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, fp long")
+    return map_batches(source, run, "id long, fp long")
 
 
 def _masks(max_bits: int) -> np.ndarray:
@@ -111,7 +111,7 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
             u, v = (np.concatenate([f[i] for f in found] or [np.empty(0, np.uint64)]).view(np.int64) for i in (0, 1))
             yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return lists.mapInArrow(run, "u long, v long")
+    return map_batches(lists, run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, max_bits: int = 2) -> DataFrame:
