@@ -53,6 +53,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver delete a scratch folder when it ends: until then a returned DataFrame may read it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def stage(df, name: str):
     """Write ``df`` as parquet under the session's checkpoint folder and read it back.
 
@@ -69,4 +75,5 @@ def stage(df, name: str):
     df.write.mode("overwrite").parquet(path)
     if os.environ.get("CODEMAP_TIMING"):
         print(f"[stage] {name}: {time.time() - t0:.2f}s", flush=True)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
