@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codemap.llm.common import Scratch, chunks, rows
+from codemap.llm.common import Scratch, chunks, map_batches, rows
 
 GRAM = 32
 HOT = 2000
@@ -187,6 +187,25 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs that intervals cover; touching ones are one."""
+    if not len(lo):
+        return []
+    order = np.argsort(lo)
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    first = np.flatnonzero(np.concatenate(([True], lo[1:] > reach[:-1])))
+    return list(zip(lo[first].tolist(), reach[np.append(first[1:], len(lo)) - 1].tolist()))
+
+
+def structs(batch: pa.RecordBatch, name: str, n: int = 4):
+    """For each row of a column of arrays of structs, the fields as numpy arrays; n empty ones for null."""
+    column = batch.column(batch.schema.get_field_index(name))
+    fields = [f.to_numpy(zero_copy_only=False) for f in column.values.flatten()] or [np.empty(0, np.int64)] * n
+    ends = column.offsets.to_numpy().tolist()
+    for a, b in zip(ends, ends[1:]):
+        yield [f[a:b] for f in fields]
+
+
 def _key(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit("|"), F.coalesce(F.col(text_col), F.lit("")))))
 
@@ -202,7 +221,7 @@ def _all_stretches(docs: DataFrame, id_col: str, text_col: str, length: int) ->
                                       names=["k", "start", "windows", "h", "c"])
 
     source = docs.select(_key(id_col, text_col).alias("k"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= length)
-    return source.mapInArrow(run, "k binary, start int, windows int, h long, c long")
+    return map_batches(source, run, "k binary, start int, windows int, h long, c long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
@@ -211,11 +230,11 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, lengt
         for batch in batches:
             out: list[tuple] = []
             size = 0
-            for k, text, places in rows(batch, "k", "text", "places"):
+            for (k, text), places in zip(rows(batch, "k", "text"), structs(batch, "places")):
                 data = text.encode("utf-8", "replace")
-                for p in places:
-                    cut = data[p["start"]:p["start"] + p["windows"] + length - 1]
-                    out.append((k, p["start"], p["h"], p["hot"], cut))
+                for start, windows, h, hot in zip(*(p.tolist() for p in places)):
+                    cut = data[start:start + windows + length - 1]
+                    out.append((k, start, h, hot, cut))
                     size += len(cut)
                 if size > 4 << 20:
                     yield record(out)
@@ -228,7 +247,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, lengt
 
     places = wanted.groupBy("k").agg(F.collect_list(F.struct("start", "windows", "h", "hot")).alias("places"))
     source = docs.select(_key(id_col, text_col).alias("k"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= length)
-    return source.join(places, "k").mapInArrow(run, "k binary, start int, h long, hot boolean, data binary")
+    return map_batches(source.join(places, "k"), run, "k binary, start int, h long, hot boolean, data binary")
 
 
 def _sorted_runs(cut: DataFrame, length: int) -> DataFrame:
@@ -256,7 +275,7 @@ def _sorted_runs(cut: DataFrame, length: int) -> DataFrame:
         if held:
             yield found(held)
 
-    return cut.repartition("h").sortWithinPartitions("h").mapInArrow(run, "k binary, lo long, hi long")
+    return map_batches(cut.repartition("h").sortWithinPartitions("h"), run, "k binary, lo long, hi long")
 
 
 def _hashed_runs(cut: DataFrame, length: int, scratch: Scratch) -> DataFrame:
@@ -271,7 +290,7 @@ def _hashed_runs(cut: DataFrame, length: int, scratch: Scratch) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
                 yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["h", "w", "k", "lo"])
 
-    windows = scratch.keep(cut.mapInArrow(run, "h long, w long, k binary, lo long"), "windows")
+    windows = scratch.keep(map_batches(cut, run, "h long, w long, k binary, lo long"), "windows")
     again = scratch.keep(windows.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w"), "windows-again")
     return windows.join(again, ["h", "w"]).select("k", "lo", (F.col("lo") + length).alias("hi"))
 
@@ -310,20 +329,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text, found in rows(batch, "id", "text", "spans"):
-                data, at, kept, removed, n = (text or "").encode("utf-8", "replace"), 0, [], 0, 0
-                last = -1
-                for lo, hi in sorted((s["lo"], s["hi"]) for s in found or ()):
-                    if lo > last:
-                        n += 1
-                        kept.append(data[at:lo])
-                    if hi > last:
-                        removed += hi - max(lo, last)
-                        last = at = hi
+            for (doc, text), (lo, hi) in zip(rows(batch, "id", "text"), structs(batch, "spans", 2)):
+                data, at, kept, removed = (text or "").encode("utf-8", "replace"), 0, [], 0
+                merged = union(lo, hi)
+                for a, b in merged:
+                    kept.append(data[at:a])
+                    removed += b - a
+                    at = b
                 kept.append(data[at:])
-                out.append((doc, b"".join(kept), len(data), removed, n))
+                out.append((doc, b"".join(kept), len(data), removed, len(merged)))
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[id_col, "kept", "n_bytes", "n_removed", "n_spans"])
 
     source = docs.select(_key(id_col, text_col).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.join(spans, "k", "left").mapInArrow(run, f"`{id_col}` long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return map_batches(source.join(spans, "k", "left"), run, f"`{id_col}` long, kept binary, n_bytes long, n_removed long, n_spans long")
