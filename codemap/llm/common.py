@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codemap.session import ensure_checkpoint_dir
+from codemap.session import delete_on_exit, ensure_checkpoint_dir
 
 #: Bytes that separate words: space and tab to carriage return. ``bytes.split()`` uses the same set.
 SPACE_CODES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -18,7 +18,8 @@ class Scratch:
     """Tables of one operator run, in a folder of their own under ``spark.checkpoint.dir``.
 
     ``keep`` writes a DataFrame as Parquet and reads it back: lineage is cut, and after the loss of
-    an executor the files are read again. ``drop`` deletes a table that no later step reads.
+    an executor the files are read again. ``drop`` deletes a table that no later step reads; what is left, the
+    driver deletes when it ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -30,6 +31,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        delete_on_exit(self.spark, self.root)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
