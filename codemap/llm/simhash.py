@@ -41,15 +41,14 @@ def fingerprint(text: str | None, ngram: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3) -> DataFrame:
-    """(id, fp long) of every row; a null text counts as empty."""
+    """(id, t, fp) of every row: its id, a hash that tells texts of one id apart, its fingerprint; a null text counts as empty."""
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
             fps = [fingerprint(t, ngram) for (t,) in rows(batch, "text")]
-            yield pa.record_batch([ids, pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "t", "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_batches(source, run, "id long, fp long")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    return map_batches(source, run, "id long, t long, fp long")
 
 
 def _masks(max_bits: int) -> np.ndarray:
@@ -114,6 +113,20 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     return map_batches(lists, run, "u long, v long")
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, ngram: int, max_bits: int) -> DataFrame:
+    """(id, t, fp, least): every row with the smallest (no_id, id, t) of its component; a null id comes last."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    each = scratch.keep(fingerprints(docs, id_col, text_col, ngram), "fingerprints")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "t"))
+    distinct = scratch.keep(each.groupBy("fp").agg(least.alias("least")), "distinct")
+    roots = components(links(distinct, max_bits), scratch).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = scratch.keep(rooted, "rooted")
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    labels = scratch.keep(rooted.select("fp", "root").join(firsts, "root").select("fp", "least"), "labels")
+    return each.join(labels, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, max_bits: int = 2) -> DataFrame:
     """(id_col, fingerprint, component_id) of every row; linked if within max_bits bits, transitively.
 
@@ -121,20 +134,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked like any other; a null id is never a component's id unless all its ids are null. Repeated
     rows each give a row. An empty table gives an empty result; further columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    each = scratch.keep(fingerprints(docs, id_col, text_col, ngram), "fingerprints")
-    distinct = scratch.keep(each.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct, max_bits), scratch).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = scratch.keep(rooted, "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = scratch.keep(rooted.join(ids, "root").select("fp", "component_id"), "labels")
-    return each.join(labels, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _labelled(docs, id_col, text_col, ngram, max_bits).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of docs, one for each component (its smallest id). Rows without an id cannot be named and stay."""
-    found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, ngram, max_bits)
-    stay = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    one = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col])
+    """The rows of docs, one for each component: that of its smallest id (of equal ids, any one of one text).
+
+    Rows without an id cannot be named and stay.
+    """
+    named = docs.filter(F.col(id_col).isNotNull())
+    stay = (_labelled(named, id_col, text_col, ngram, max_bits).filter((F.col("id") == F.col("least.id")) & (F.col("t") == F.col("least.t")))
+            .select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct())
+    keyed = named.withColumn("__id", F.col(id_col).cast("long")).withColumn("__t", F.xxhash64(text_col))
+    one = keyed.join(stay, ["__id", "__t"], "left_semi").dropDuplicates(["__id", "__t"])
     return one.select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

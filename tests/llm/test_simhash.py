@@ -72,6 +72,14 @@ def test_null_ids_and_empty_table(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_equal_ids_of_different_texts(spark):
+    """Rows of one id are one document only if they are of one component."""
+    rows = [(7, "alpha beta gamma delta"), (7, "quite another text here"), (7, "alpha beta gamma delta"), (8, "alpha beta gamma delta"), (7, "ALPHA beta gamma delta")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 2 and {r.doc_id for r in kept} == {7}
+    assert sorted(r.text.lower() for r in kept) == ["alpha beta gamma delta", "quite another text here"]
+
+
 @pytest.mark.parametrize("bad", [0, 9])
 def test_bit_limit(spark, bad):
     with pytest.raises(ValueError):
