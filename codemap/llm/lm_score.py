@@ -23,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codemap.llm.common import Scratch, chunks, rows
+from codemap.llm.common import Scratch, chunks, map_batches, rows
 
 ALPHA = 0.4
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 PARTITION_ENTRIES = 1 << 22
+#: Bits of an n-gram's key: with 10^12 different n-grams, one in 70,000 shares its key with another.
+KEY_BITS = 56
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,7 +42,11 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         sizes[i] = len(words)
         parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
-    return sizes, np.concatenate(parts) if parts else np.empty(0, np.uint32), hashes
+    words = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+    order = np.argsort(-np.bincount(words, minlength=len(hashes)), kind="stable")  # frequent words get small numbers
+    number = np.empty(len(hashes), np.uint32)
+    number[order] = np.arange(len(hashes), dtype=np.uint32)
+    return sizes, number[words], hashes[order]
 
 
 class Ngrams:
@@ -54,6 +60,7 @@ class Ngrams:
         for i in range(n):
             key = (key ^ hashes[words[self.at - (n - 1 - i)]]) * _M
             key ^= key >> np.uint64(31)
+        key >>= np.uint64(64 - KEY_BITS)
         order = np.argsort(key, kind="stable")  # within an n-gram, documents stay in order
         key, doc = key[order], doc[self.at][order]
         new = np.ones(len(key), bool)
@@ -68,32 +75,42 @@ class Ngrams:
         self.own[order] = np.repeat(runs, runs)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Integers as one plane for each of their bytes: the upper ones are almost all zero and compress."""
+    size = values.dtype.itemsize
+    return values.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes()
+
+
+def from_planes(data, size: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(f"<u{size}").ravel()
+
+
 def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences in 4 + 2 bytes; in 8 if one is larger."""
+    """Sorted keys as differences in 4 + 1 bytes; in 8 if one is larger."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    if len(steps) and steps[1:].max(initial=0) < 1 << 48:
-        return b"\6" + keys[:1].tobytes() + steps[1:].astype("<u4").tobytes() + (steps[1:] >> np.uint64(32)).astype("<u2").tobytes()
+    if len(steps) and steps[1:].max(initial=0) < 1 << 40:
+        return b"\5" + keys[:1].tobytes() + steps[1:].astype("<u4").tobytes() + (steps[1:] >> np.uint64(32)).astype("u1").tobytes()
     return b"\10" + keys.tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
     if data[0] == 8:
         return np.frombuffer(data, np.uint64, offset=1)
-    n = (len(data) - 9) // 6
+    n = (len(data) - 9) // 5
     steps = np.empty(n + 1, np.uint64)
     steps[0] = np.frombuffer(data, np.uint64, 1, 1)[0]
-    steps[1:] = np.frombuffer(data, "<u4", n, 9).astype(np.uint64) | np.frombuffer(data, "<u2", n, 9 + 4 * n).astype(np.uint64) << np.uint64(32)
+    steps[1:] = np.frombuffer(data, "<u4", n, 9).astype(np.uint64) | np.frombuffer(data, "u1", n, 9 + 4 * n).astype(np.uint64) << np.uint64(32)
     return np.cumsum(steps, dtype=np.uint64)
 
 
 def _small(values: np.ndarray) -> bytes:
     """Unsigned integers in as few bytes each as the largest needs."""
     kind = np.min_scalar_type(int(values.max(initial=0)))
-    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+    return bytes([kind.itemsize]) + planes(values.astype(kind))
 
 
 def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    return from_planes(memoryview(data)[1:], data[0]).astype(np.int64)
 
 
 BLOCKS = "block long, ids binary, nulls binary, sizes binary, words binary, hashes binary, n long"
@@ -108,20 +125,20 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for part in chunks(records(), BLOCK_BYTES, lambda r: len(r[1] or "") + 8):
             sizes, words, hashes = encode([t for _, t in part])
             ids = np.array([i or 0 for i, _ in part], np.int64)
-            cols = [[uuid.uuid4().int >> 65], [ids.tobytes()], [np.array([i is None for i, _ in part]).tobytes()], [sizes.tobytes()], [words.tobytes()], [hashes.tobytes()], [len(words)]]
+            cols = [[uuid.uuid4().int >> 65], [ids.tobytes()], [np.array([i is None for i, _ in part]).tobytes()], [sizes.tobytes()], [planes(words)], [hashes.tobytes()], [len(words)]]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.binary()] * 5, pa.int64()))], names=["block", "ids", "nulls", "sizes", "words", "hashes", "n"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, BLOCKS)
+    return map_batches(source, run, BLOCKS)
 
 
 def _arrays(sizes: bytes, words: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(sizes, np.int64), np.frombuffer(words, np.uint32), np.frombuffer(hashes, np.uint64)
+    return np.frombuffer(sizes, np.int64), from_planes(words, 4), np.frombuffer(hashes, np.uint64)
 
 
 def _posted(blocks: DataFrame, order: int, partitions: int) -> DataFrame:
     """(part, block, n, keys, counts): the entries of a block in a partition of the count table."""
-    edges = np.array([(i << 64) // partitions for i in range(1, partitions)], np.uint64)
+    edges = np.array([(i << KEY_BITS) // partitions for i in range(1, partitions)], np.uint64)
 
     def run(batches):
         for batch in batches:
@@ -134,7 +151,7 @@ def _posted(blocks: DataFrame, order: int, partitions: int) -> DataFrame:
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["part", "block", "n", "keys", "counts"])
 
-    return blocks.select("block", "sizes", "words", "hashes").mapInArrow(run, "part int, block long, n int, keys binary, counts binary")
+    return map_batches(blocks.select("block", "sizes", "words", "hashes"), run, "part int, block long, n int, keys binary, counts binary")
 
 
 def _answer(table: pa.Table) -> pa.Table:
