@@ -7,22 +7,25 @@ frozen. Freezing is per repository, so a score never depends on other graphs in
 corpus. Repositories that do not converge in ``max_iter`` steps keep their last
 vector and ``converged = false``.
 
-Physical shape of one step (node state and weighted edges are both checkpointed with the same hash
-partitioning on (repo_id, id), which a reliable checkpoint keeps, so edges are exchanged once in all):
-  contributions = state ⋈ edges in place, summed per (repo, dst) with map-side partial aggregation
+Physical shape of one step:
+  contributions = state ⋈ edges, summed per (repo, dst) with map-side partial aggregation
   repo stats    = dangling mass and last L1 change per repository (partial aggregation, one row per repository)
-  next state    = state ⟕ contributions (exchanged to the state's partitioning) ⋈ repo stats
-Every ``steps_per_stage`` steps the state is checkpointed to the folder in spark.checkpoint.dir (shared storage on a
-cluster): plans stay small (each step reads its predecessor three times, so an unbroken lineage would grow
-3^k), and a lost executor only re-reads the last state.
+  next state    = state ⟕ contributions ⋈ repo stats
+The weighted edges are a table bucketed and sorted on (repo_id, id): they are exchanged once, when it is written, and every
+step reads them in place; only the node state, one row a file, moves to them. The table lies in the folder of spark.checkpoint.dir
+(shared storage on a cluster) and is dropped at the end. Every ``steps_per_stage`` steps the state is written there and read
+back: plans stay small (each step reads its predecessor three times, so an unbroken lineage would grow 3^k), and a lost
+executor only re-reads the last state. Two paths alternate, so the folder holds at most two states.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import ensure_checkpoint_dir
+from ..session import delete_on_exit, ensure_checkpoint_dir
 
 EDGES_PER_PARTITION = 2_000_000
 
@@ -33,17 +36,23 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = K.PAGERANK_ALPHA
              steps_per_stage: int = 2) -> DataFrame:
     """nodes(repo_id, id) + edges(repo_id, src, dst) -> (repo_id, id, pagerank, converged, iterations)."""
     spark = nodes.sparkSession
-    ensure_checkpoint_dir(spark)
+    run = f"pagerank_{uuid.uuid4().hex}"
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{run}"
     nodes = nodes.select("repo_id", "id").distinct()
     e = edges.select("repo_id", "src", "dst").distinct()
     nparts = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-e.count() // EDGES_PER_PARTITION))
 
-    def placed(df: DataFrame) -> DataFrame:
-        return df.repartition(nparts, "repo_id", "id").checkpoint()
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        delete_on_exit(spark, base)
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
     outdeg = e.groupBy("repo_id", "src").agg(F.count(F.lit(1)).alias("deg"))
-    ew = placed(e.join(outdeg, ["repo_id", "src"])
-                .select("repo_id", F.col("src").alias("id"), "dst", (F.lit(1.0) / F.col("deg")).alias("w")))
+    (e.join(outdeg, ["repo_id", "src"])
+     .select("repo_id", F.col("src").alias("id"), "dst", (F.lit(1.0) / F.col("deg")).alias("w"))
+     .repartition(nparts, "repo_id", "id").write.bucketBy(nparts, "repo_id", "id").sortBy("repo_id", "id")
+     .option("path", f"{base}/edges").saveAsTable(run))
+    ew = spark.table(run)
     n = nodes.groupBy("repo_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
     state = (nodes.join(n, "repo_id")
@@ -55,13 +64,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = K.PAGERANK_ALPHA
                      F.lit(None).cast("double").alias("xp"),
                      F.lit(False).alias("done"),
                      F.lit(0).alias("it")))
-    state = placed(state)
+    state = written(state, "state0")
 
     def repo_stats(s: DataFrame) -> DataFrame:
         return s.groupBy("repo_id").agg(
             F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(F.lit(0.0))).alias("dmass"),
             F.sum(F.abs(F.col("x") - F.col("xp"))).alias("err"))
 
+    writes = 0
     for step in range(1, max_iter + 1):
         contrib = (state.where(~F.col("done")).select("repo_id", "id", "x")
                    .join(ew, ["repo_id", "id"])
@@ -83,10 +93,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = K.PAGERANK_ALPHA
             # readers of this step (contributions, repo stats, next state), so it runs once
             state = nxt.repartition(nparts, "repo_id", "id")
             continue
-        state = placed(nxt)
+        writes += 1
+        state = written(nxt, f"state{1 + writes % 2}")
         if step % check_every == 0 and state.where(~F.col("done")).limit(1).count() == 0:
             break
 
+    spark.sql(f"DROP TABLE {run}")
     final = state.join(repo_stats(state).select("repo_id", "err"), "repo_id")
     converged = F.col("done") | (F.col("err").isNotNull() & (F.col("err") < F.col("n") * F.lit(tol)))
     return final.select("repo_id", "id", F.col("x").alias("pagerank"), converged.alias("converged"),
