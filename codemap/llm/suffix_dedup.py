@@ -309,7 +309,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     whole = lambda df: df.select("k", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("windows") + length - 1).cast("long").alias("hi"))
     mixed = found.filter("mixed")
     kinds = scratch.keep(mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "start", "windows")).alias("one")), "kinds")
-    often = mixed.join(kinds.filter("n > 1").select("h", "c"), ["h", "c"])
+    # a sort-merge join: adaptive execution splits it where a stretch is very frequent
+    often = mixed.join(kinds.filter("n > 1").select("h", "c").hint("merge"), ["h", "c"])
     hot = kinds.groupBy("h").agg((F.count("*") > HOT).alias("hot"))
     wanted = kinds.join(hot, "h").select("one.k", "one.start", "one.windows", "h", "hot")
     cut = scratch.keep(_texts(docs, wanted, id_col, text_col, length), "cut")
