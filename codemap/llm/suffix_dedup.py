@@ -30,6 +30,7 @@ from codemap.llm.common import Scratch, chunks, map_batches, rows
 
 GRAM = 32
 HOT = 2000
+SALT_ROWS = 4096
 SEGMENT = 1 << 18
 SORT_BYTES = 1 << 18
 _LOW = (1 << 20) - 1
@@ -302,15 +303,18 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     every = scratch.keep(_all_stretches(docs, id_col, text_col, length), "stretches")
     shared = (every.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1")
-              .select("h", (F.col("low") != F.col("high")).alias("mixed")))
+              .select("h", (F.col("low") != F.col("high")).alias("mixed"), F.ceil(F.col("n") / F.lit(SALT_ROWS)).alias("parts")))
     shared = scratch.keep(shared, "shared")
     found = scratch.keep(every.join(shared, "h"), "found")
     scratch.drop("stretches")
     whole = lambda df: df.select("k", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("windows") + length - 1).cast("long").alias("hi"))
     mixed = found.filter("mixed")
-    kinds = scratch.keep(mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "start", "windows")).alias("one")), "kinds")
-    # a sort-merge join: adaptive execution splits it where a stretch is very frequent
-    often = mixed.join(kinds.filter("n > 1").select("h", "c").hint("merge"), ["h", "c"])
+    kinds = scratch.keep(mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "start", "windows")).alias("one"),
+                                                      F.max("parts").alias("parts")), "kinds")
+    # the stretches of a frequent anchor meet their kinds in as many parts as it has SALT_ROWS rows
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    often = (mixed.withColumn("salt", F.pmod(F.xxhash64("k"), F.col("parts")))
+             .join(kinds.filter("n > 1").select("h", "c", salts.alias("salt")), ["h", "c", "salt"]))
     hot = kinds.groupBy("h").agg((F.count("*") > HOT).alias("hot"))
     wanted = kinds.join(hot, "h").select("one.k", "one.start", "one.windows", "h", "hot")
     cut = scratch.keep(_texts(docs, wanted, id_col, text_col, length), "cut")
