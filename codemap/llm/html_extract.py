@@ -2,14 +2,15 @@
 
 1. Every page is parsed into a tree of block elements; runs of siblings with the same tag and classes are
    one repeated node, so a tree is small however long the page is (its skeleton).
-2. Each host's reference is its most frequent skeleton. The tree of every page of the host is aligned to it by
-   simple tree matching (matched nodes have equal keys; children are matched in order).
-3. Every aligned page votes for the texts of its nodes. A text that a node has in at least ``min_share`` of the
+2. Pages of a host with the same possible content (copies, crawls, mirrors) are one page from here on. Each host's reference
+   is its most frequent skeleton. The tree of every different page of the host is aligned to it by simple tree matching
+   (matched nodes have equal keys; children are matched in order).
+3. Every different page votes once for the texts of its nodes. A text that a node has in at least ``min_share`` of the
    pages that have the node, and in ``min_pages`` of them, is constant: template. Varying slots are content.
 4. A page's text is what stands in its article (else its body) without template texts and without elements whose
    tag, role or class says that they are no content (menus, headers, footers, asides, notices, adverts, forms, comments).
 
-Steps 1 to 3 keep only skeletons and hashes, added up before they are shuffled. The pages themselves are moved once,
+Steps 1 to 3 keep only skeletons and hashes; copies and votes are merged before they are shuffled. The pages themselves are moved once,
 to meet their host's template; a host with very many pages is split there by adaptive execution.
 """
 from __future__ import annotations
@@ -290,24 +291,32 @@ def _dump(tree: list) -> str:
 
 
 def nodes_of(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, skeleton, nodes, hashes): skeletons and hashes of the possible content blocks of every page with a host."""
+    """(host, content, skeleton, nodes, hashes) of every page with a host: digest and hashes of its possible content blocks, and its skeleton."""
     def run(batches):
         for batch in batches:
             out = []
             for h, html in rows(batch, "host", "html"):
                 page = Page(html or "")
                 tree = _dump(skeleton(page.root))
-                seen = {(b[0].number, _hash(b[1])) for b in page.content()[0]}
-                out.append({"host": h, "skeleton": tree, "nodes": [n for n, _ in seen], "hashes": [x for _, x in seen]})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("host", pa.string()), ("skeleton", pa.string()), ("nodes", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))]))
+                placed = [(b[0].number, _hash(b[1])) for b in page.content()[0]]
+                seen = sorted(set(placed))
+                content = xxhash.xxh3_128_digest(np.array([x for _, x in placed], np.int64).tobytes())
+                out.append({"host": h, "content": content, "skeleton": tree, "nodes": [n for n, _ in seen], "hashes": [x for _, x in seen]})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("host", pa.string()), ("content", pa.binary()), ("skeleton", pa.string()), ("nodes", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))]))
 
     source = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("host is not null")
-    return map_batches(source, run, "host string, skeleton string, nodes array<int>, hashes array<long>")
+    return map_batches(source, run, "host string, content binary, skeleton string, nodes array<int>, hashes array<long>")
+
+
+def different(pages: DataFrame) -> DataFrame:
+    """(host, skeleton, nodes, hashes), one row for all pages of a host with equal content; the smallest skeleton stands for them."""
+    one = pages.groupBy("host", "content").agg(F.min(F.struct("skeleton", "nodes", "hashes")).alias("page"))
+    return one.select("host", "page.skeleton", "page.nodes", "page.hashes")
 
 
 def templates(pages: DataFrame, scratch: Scratch, url_col: str = "url", html_col: str = "html", min_share: float = 0.9, min_pages: int = 5) -> DataFrame:
     """(host, reference, nodes, hashes): each host's reference skeleton and its constant texts."""
-    seen = scratch.keep(nodes_of(pages, url_col, html_col), "nodes")
+    seen = scratch.keep(different(nodes_of(pages, url_col, html_col)), "nodes")
     common = seen.groupBy("host", "skeleton").agg(F.count("*").alias("n"))
     reference = common.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), "skeleton")).alias("best"), F.sum("n").alias("pages"))
     reference = scratch.keep(reference.select("host", F.col("best.skeleton").alias("reference"), "pages"), "reference")
@@ -349,7 +358,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id_col, url, text, n_chars, n_template) of every row of pages.
 
     A null html gives an empty text; a null or unparsable url has no host and so no template. Hosts with fewer than
-    min_pages pages have none either. Repeated rows repeat, an empty table gives an empty result.
+    min_pages different pages have none either. Repeated rows repeat, an empty table gives an empty result.
     """
     scratch = Scratch(pages.sparkSession, "wrappers")
     found = templates(pages, scratch, url_col, html_col, min_share, min_pages)

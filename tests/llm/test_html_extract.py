@@ -37,6 +37,22 @@ def test_constant_nodes_are_template(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_vote_once(spark):
+    """Copies on one host, alone or beside other pages, keep their text; the others' template stays."""
+    others, want = pages(12, seed=3)
+    body = "<p>First of the copied page.</p><table><tr><td>only here</td></tr></table><p>Last of the copied page.</p>"
+    text = "Title c First of the copied page. only here Last of the copied page."
+    for n in (5, 60, 1000):
+        copies = [(100 + i, f"http://www.one.example/copy{i}", SITE.format(i="c", body=body)) for i in range(n)]
+        alone = [(5000 + i, "http://alone.example/same", "<article><h1>A</h1><p>Equal text.</p></article>") for i in range(n)]
+        # mirrors: the same article in different pages round it
+        mirrored = [(9000 + i, f"http://mirror.example/{i}", f"<nav>{i}</nav>{'<div>' * (i % 3)}<article><p>Mirrored.</p></article>") for i in range(n)]
+        df = spark.createDataFrame(others + copies + alone + mirrored, "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+        expected = want | {i: text for i, _, _ in copies} | {i: "A Equal text." for i, _, _ in alone} | {i: "Mirrored." for i, _, _ in mirrored}
+        assert got == expected
+
+
 def test_article_markup():
     cases = {
         "<article><h1>A &amp; B&nbsp;c</h1><p>one<br>two <b>th</b>ree</p><script>var t='</p>';</script><div class='ad'>x</div><p>four<p>five</article><footer>f</footer>":
