@@ -48,6 +48,7 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
            "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 _SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Skeletons reach to this depth, because they are matched recursively: elements below share the node above them. Pages are parsed to any depth.
 MAX_DEPTH = 150
 
 
@@ -66,6 +67,7 @@ class Page(HTMLParser):
         self.root = Node("", "", False, 0)
         self.stack, self.blocks, self.parts, self.linked, self.articles, self.mains = [self.root], [], [], 0, 0, 0
         self.link_depth, self.total = 0, 0
+        self.open: Counter = Counter()  # tags on the stack
         self.feed(html)
         self.close()
         self._flush()
@@ -102,8 +104,6 @@ class Page(HTMLParser):
             return
         self._imply(tag)
         up = self.stack[-1]
-        if len(self.stack) > MAX_DEPTH:
-            return
         names = " ".join((v or "") for k, v in attrs if k == "class") if attrs else ""
         key = tag + "." + re.sub(r"\d+", "", names).strip().lower() if names else tag
         inside = up.article
@@ -129,6 +129,7 @@ class Page(HTMLParser):
         node = Node(tag, key, dropped, inside, heading)
         up.children.append(node)
         self.stack.append(node)
+        self.open[tag] += 1
         self.link_depth = 0 if tag not in ("li", "td") else self.link_depth
 
     @staticmethod
@@ -146,18 +147,24 @@ class Page(HTMLParser):
                 return True
         return False
 
+    def _cut(self, at):
+        """Close the elements from a place of the stack on."""
+        for node in self.stack[at:]:
+            self.open[node.tag] -= 1
+        del self.stack[at:]
+
     def _imply(self, tag):
         """Close what a start tag closes."""
         if tag not in INLINE and self.stack[-1].tag == "p":
-            self.stack.pop()
+            self._cut(-1)
         closes = _CLOSES.get(tag)
-        if closes:
+        if closes and any(self.open[c] for c in closes):
             scope = _SCOPES.get(tag, ("table",))
             for i in range(len(self.stack) - 1, 0, -1):
                 if self.stack[i].tag in scope:
                     break
                 if self.stack[i].tag in closes and (tag in _SCOPES or tag == "option" or self.stack[i].tag != "tr" or tag != "td"):
-                    del self.stack[i:]
+                    self._cut(i)
                     break
 
     def handle_endtag(self, tag):
@@ -169,10 +176,10 @@ class Page(HTMLParser):
             if tag == "br":
                 self.parts.append(" ")
             return
-        for i in range(len(self.stack) - 1, 0, -1):
+        for i in range(len(self.stack) - 1 if self.open[tag] else 0, 0, -1):
             if self.stack[i].tag == tag:
                 self._flush()
-                del self.stack[i:]
+                self._cut(i)
                 return
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd") and self.stack[i].tag in ("article", "main", "section", "div", "nav", "table", "ul", "ol", "dl", "body"):
                 break
@@ -195,23 +202,30 @@ class Page(HTMLParser):
 
 
 def skeleton(root: Node) -> list:
-    """[key, children...] with runs of equal siblings merged; numbers the nodes in preorder."""
+    """[key, children...] with runs of equal siblings merged; numbers the nodes in preorder. Elements below MAX_DEPTH get the number of the node there."""
     count = 0
 
-    def build(nodes):
+    def build(nodes, depth=0):
         nonlocal count
         for n in nodes:
             n.number = count
         count += 1
         out = [nodes[0].key]
+        if depth == MAX_DEPTH:
+            below = [c for n in nodes for c in n.children]
+            while below:
+                n = below.pop()
+                n.number = nodes[0].number
+                below += n.children
+            return out
         run: list = []
         for child in (c for n in nodes for c in n.children):
             if run and run[0].key != child.key:
-                out.append(build(run))
+                out.append(build(run, depth + 1))
                 run = []
             run.append(child)
         if run:
-            out.append(build(run))
+            out.append(build(run, depth + 1))
         return out
 
     return build([root])

@@ -71,6 +71,24 @@ def test_article_markup():
         assert page_text(source)[0] == want, source[:60]
 
 
+def test_deep_nesting(spark):
+    """Elements at any depth close their own start tag, and are dropped like others."""
+    def deep(n, i=""):
+        menu = "<nav><ul><li>menu</li></ul></nav><script>var s = 1;</script><aside>a</aside><form>f</form><div hidden>h</div>"
+        return (f"<div><article><h1>T{i}</h1>{'<div>' * n}<p>in{i}</p>{menu}{'</div>' * n}<p>after{i}</p><p>end</p></article></div><footer>foot</footer>")
+
+    for n in (10, 149, 150, 200, 5000):
+        assert page_text(deep(n))[0] == "T in after end", n
+    # over Spark, with a template: the constant text goes, at any depth
+    rows = [(1000 * n + i, f"http://h{n}.example/{i}", deep(n, f" {i}").replace(f"<p>in {i}</p>", f"<p>same</p><p>in {i}</p>")) for n in (20, 200, 3000) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_extract.extract(df).collect():
+        i = r.page_id % 1000
+        assert r.text == f"T {i} in {i} after {i}", r.page_id
+    # many open elements and end tags that match none of them
+    assert page_text("<x-a>" * 50_000 + "</x-b><td>" * 50_000 + "deep")[0] == "deep"
+
+
 def test_given_pages_equal_their_articles(spark):
     """Articles of the test pages, cut out by a pattern that knows their markup."""
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
