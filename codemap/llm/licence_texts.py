@@ -1,6 +1,9 @@
-"""Public licence texts and one-line notices, by SPDX identifier."""
+"""Public licence texts and one-line notices, by SPDX identifier. Long texts are files of ``licence_files``."""
 from __future__ import annotations
 
+import pkgutil
+import re
+
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
 _MIT_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _MIT = f"""{_MIT_GRANT}
@@ -55,16 +58,35 @@ def _forms(text: str, *titles: str) -> list[str]:
     return [text] + [f"{t}\n\n{text}" for t in titles]
 
 
+_FSF_ADDRESS = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor, Boston,? MA\s+02110-1301,?\s+USA")
+_FSF_ADDRESSES = ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA",
+                  "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA")
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _file(name: str) -> list[str]:
+    """The forms of a text of ``licence_files``: as it is, without what says how to apply it, and under the publisher's addresses."""
+    text = pkgutil.get_data("codemap.llm", f"licence_files/{name}.txt").decode("utf-8")
+    forms = [text]
+    if _FSF_ADDRESS.search(text):
+        forms += [_FSF_ADDRESS.sub(a, text) for a in _FSF_ADDRESSES]
+    forms += [f[:f.index(_END) + len(_END)] for f in forms if _END in f]
+    return list(dict.fromkeys(forms))
+
+
 TEXTS: dict[str, list[str]] = {
     "MIT": _forms(_MIT, "MIT License", "The MIT License", "The MIT License (MIT)"),
     "MIT-0": _forms(_MIT_0, "MIT No Attribution"),
     "ISC": _forms(_ISC, "ISC License"),
     "0BSD": _forms(_0BSD, "Zero-Clause BSD", "BSD Zero Clause License"),
     "BSD-2-Clause": _forms(f"{_BSD_HEAD}\n\n{_BSD_TAIL}", "BSD 2-Clause License"),
-    "BSD-3-Clause": _forms(f"{_BSD_HEAD}\n\n{_BSD_3RD}\n\n{_BSD_TAIL}", "BSD 3-Clause License"),
+    "BSD-3-Clause": _forms(f"{_BSD_HEAD}\n\n{_BSD_3RD}\n\n{_BSD_TAIL}", "BSD 3-Clause License") + _file("BSD-3-Clause"),
     "Zlib": _forms(_ZLIB, "zlib License"),
     "Unlicense": _forms(_UNLICENSE, "The Unlicense"),
-    "Apache-2.0": _forms(_APACHE_NOTICE),
+    "Apache-2.0": _forms(_APACHE_NOTICE) + _file("Apache-2.0") + [_file("Apache-2.0")[0].split(_END)[0]],
+    "CC0-1.0": _file("CC0-1.0") + [_file("CC0-1.0")[0].removeprefix("Creative Commons Legal Code")],
+    **{name: _file(name) for name in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "GFDL-1.2", "GFDL-1.3", "MPL-1.1", "MPL-2.0", "Artistic-1.0-Perl",
+                                      "BSL-1.0", "CC-BY-SA-4.0", "Unicode-3.0")},
 }
 
 _NAMES = {

@@ -8,14 +8,39 @@ as long as the list of licences (Spark broadcasts it if its size allows, else it
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codemap.llm.common import Scratch
 from codemap.llm.licence_texts import NOTICES, TEXTS
 
-#: A line that only states a copyright (a word or sign, then a sign, a year or a placeholder), or reserves all rights.
-COPYRIGHT_LINE = r"^[^a-z0-9©]*((copyright|©|\(c\))[^a-z0-9©]*(copyright|©|\(c\)|[0-9]{4}|<|\[)|all rights reserved[^a-z0-9]*$)"
+#: Words that follow "copyright" in sentences, also where a licence's lines are broken before it; a holder's name begins with none of them.
+NOT_HOLDERS = ("holder holders owner owners owned ownership notice notices law laws line interest interests disclaimer treaty permission license licenses licence statement statements patent "
+               "doctrines resulting and or on those then of more like including if are also the by to in is for from as that this which will must may shall with without "
+               "infringement protection protected act claims terms information registration rights work works material").split()
+
+
+def _other_word(words: list[str], first: bool = True) -> str:
+    """A pattern for every word of a-z and 0-9 but these, without lookahead, which not every engine has."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    runs = re.findall(r"\w+", "".join(" " if c in heads else c for c in "abcdefghijklmnopqrstuvwxyz"))
+    rest = "".join(r if len(r) < 3 else f"{r[0]}-{r[-1]}" for r in runs) + "0-9"
+    found = "(" + "|".join([f"[{rest}][a-z0-9]*"] + [h + _other_word(r, False) for h, r in sorted(heads.items())]) + ")"
+    return found if first or "" in words else found + "?"
+
+
+_HOLDER_ENDS = "(19|20)[0-9]{2}|present|authors|contributors|developers|maintainers|inc|incorporated|ltd|limited|llc|gmbh|corp|corporation|foundation|university"
+#: A line that only states a copyright, or reserves all rights: a word or sign, then a sign, a year or a placeholder; a holder's name in
+#: a line of up to a dozen words; "the" or "by" and what ends as a name or with a year; "(c)" alone only where a year or name ends the line.
+COPYRIGHT_LINE = (r"^[^a-z0-9©]*((copyright|©|\(c\))[^a-z0-9©]*(copyright|©|\(c\)|[0-9]{4}|<|\[)|all rights reserved[^a-z0-9]*$"
+                  rf"|(copyright|©)[^a-z0-9©]+{_other_word(NOT_HOLDERS)}([^a-z0-9]+[a-z0-9]+){{0,11}}[^a-z0-9]*$"
+                  r"|(copyright|©)[^a-z0-9©]*[À-῿぀-퟿][^a-z0-9]*$"
+                  rf"|((copyright|©)[^a-z0-9©]+(the|by)|\(c\))([^a-z0-9]+[a-z0-9]+){{0,12}}[^a-z0-9]+({_HOLDER_ENDS})([^a-z0-9]+all rights reserved)?[^a-z0-9]*$)")
 #: Equivalent spellings, as (pattern, replacement) on lower-case text; fixed values.
 SPELLINGS = (
     ("licence", "license"), ("licencing", "licensing"), ("licencor", "licensor"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"),
@@ -26,6 +51,7 @@ SPELLINGS = (
     ("modelling", "modeling"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"),
     ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"),
     ("whilst", "while"), ("wilful", "willful"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
+    ("https", "http"),
 )
 ANY_SPELLING = "|".join(a for a, _ in SPELLINGS)
 NOT_WORD = r"[^\p{L}\p{N}]+"

@@ -1,5 +1,6 @@
 import hashlib
 import re
+from pathlib import Path
 
 import regex
 
@@ -54,6 +55,46 @@ def test_own_table(spark):
     assert got == {1: ("A", ""), 2: (None, "N")}
 
 
+FULL = {"Apache-2.0": "Apache License", "GPL-1.0": "GNU GENERAL PUBLIC LICENSE", "GPL-2.0": "GNU GENERAL PUBLIC LICENSE", "GPL-3.0": "GNU GENERAL PUBLIC LICENSE",
+        "LGPL-2.0": "GNU LIBRARY GENERAL PUBLIC LICENSE", "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE", "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE",
+        "GFDL-1.2": "GNU Free Documentation License", "GFDL-1.3": "GNU Free Documentation License", "MPL-1.1": "MOZILLA PUBLIC LICENSE", "MPL-2.0": "Mozilla Public License Version 2.0",
+        "CC0-1.0": "CC0 1.0 Universal", "CC-BY-SA-4.0": "Attribution-ShareAlike 4.0 International", "Artistic-1.0-Perl": "The \"Artistic License\"",
+        "BSL-1.0": "Boost Software License", "Unicode-3.0": "UNICODE LICENSE V3", "BSD-3-Clause": "The Regents of the University of California"}
+
+
+def test_whole_licence_files(spark):
+    """Each long text as a file: as published, filled in, as a comment, with other line ends, under an older address, and cut or changed."""
+    folder = Path(licences.__file__).parent / "licence_files"
+    files = {f.stem: f.read_text() for f in folder.iterdir()}
+    assert set(files) == set(FULL)
+    rows = []
+    for name, text in files.items():
+        assert FULL[name] in text[:400]
+        filled = text.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 Acme").replace("http://", "https://")
+        old = text.replace("51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA")
+        for t in (text, "Copyright The X Authors\n\n" + filled, "\n".join(" * " + x.upper() for x in text.split("\n")), text.replace("\n", "\r\n"), old):
+            rows.append((name, t))
+        rows += [(None, text[len(text) // 2:]), (None, text + "\nand more")]
+        if name.startswith(("Apache", "GPL")):
+            rows.append((name, text[:text.index("END OF TERMS") + 27]))
+    got = licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licence_id for r in got} == {i: name for i, (name, _) in enumerate(rows)}
+
+
+def test_copyright_lines(spark):
+    """Lines that name a holder are left out; lines of a licence that begin with the word are not."""
+    stated = ["Copyright Acme Inc. 2020", "Copyright The X Authors", "Copyright The X Authors. All rights reserved.", "// Copyright Jane Doe <j@x.org>", "Copyright by Foo Ltd.", "(c) Acme 2020",
+              "© Acme", "Copyright {yyyy} {name of copyright owner}", "Copyright Contributors to the X project", "Copyright Émile Zola", "Copyright 中文", "Copyright (c) 2019 A. Nother"]
+    words = ["copyright", "copyright holders may sue", "COPYRIGHT HOLDERS AND CONTRIBUTORS", "copyright notice and this permission notice", "copyright treaty adopted on 20 December 1996",
+             "(c) You must retain, in the Source form", "copyright the software, and (2) offer you this license", "Copyright and Related Rights", "copyrighted by the Free Software Foundation"]
+    rows = [(i, f"MIT License\n\n{x}\n\n{MIT}") for i, x in enumerate(stated + words)]
+    got = {r.doc_id: r.licence_id for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == ["MIT"] * len(stated) + [None] * len(words)
+    # MIT broken before every word
+    broken = [(i, MIT[:m.start()] + "\n" + MIT[m.start() + 1:]) for i, m in enumerate(re.finditer(" ", MIT))]
+    assert {r.licence_id for r in licences.scan(spark.createDataFrame(broken, "doc_id long, text string")).collect()} == {"MIT"}
+
+
 def test_plan_is_native(spark, capsys):
     licences.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string")).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
