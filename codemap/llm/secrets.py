@@ -4,7 +4,8 @@ A run of key characters is suspicious if a byte-level BPE needs many tokens for
 vocabulary has seen gives four or more characters a token, random strings about two. Runs are first
 stripped of what is random but no secret: UUIDs, digests that a word before them names (sha256:, md5,
 commit, ...), data: URI bodies, file and code identifiers (letters with few digits, or parts joined by
-``_ - . /`` that are words or numbers). What is left and stays under ``max_ratio`` characters a token is a span.
+``_ - . /`` that have the form of words or numbers, and whose letters, split into words, give at least ``WORD_RATIO``
+characters a token: random letters give about 1.7). What is left and stays under ``max_ratio`` characters a token is a span.
 """
 from __future__ import annotations
 
@@ -31,10 +32,13 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _DIGEST_WORD = re.compile(r"(sha-?(1|224|256|384|512)|md5|digest|checksum|integrity|commit|revision|etag|blake2b?|crc)[\"']?\s*[:=-]?\s*[\"']?$", re.IGNORECASE)
 _DATA_URI = re.compile(r"base64,$")
 _WORDLIKE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}")
+_WORD = re.compile(r"[A-Z][a-z]{3,}|[a-z]{4,}|[A-Z]{4,}")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
 MIN_RUN = 20
 MAX_RATIO = 2.4
+#: Least characters a token of an identifier's words, and the letters from which that is measured.
+WORD_RATIO, MIN_LETTERS = 2.2, 12
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -65,13 +69,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_identifier(run: str) -> bool:
-    """Words, numbers and camel or snake case parts: names in code, paths, slugs."""
+    """The form of words, numbers and camel or snake case parts: names in code, paths, slugs."""
     parts = [p for p in re.split(r"[_\-/=+]+", run) if p]
     if not any(c.isdigit() for c in run):
         return len(_WORDLIKE.findall(run)) <= max(1, len(run) // 4)
     return all(re.fullmatch(r"[A-Za-z]+[0-9]{0,4}|[0-9]{1,8}", p) and len(_WORDLIKE.findall(p)) <= max(2, len(p) // 4) for p in parts)
 
 
+def has_words(run: str, encode) -> bool:
+    """Whether the parts of four letters or more read as words to the vocabulary, or there are too few letters to tell; alphabets in order count as read."""
+    parts = [w for w in map(str.lower, _WORD.findall(run)) if 2 * sum(abs(ord(a) - ord(b)) == 1 for a, b in zip(w, w[1:])) < len(w)]
+    n = sum(map(len, parts))
+    return n < MIN_LETTERS or n / len(encode(" " + " ".join(parts))) >= WORD_RATIO
+
+
 def known_digest(text: str, start: int, end: int) -> bool:
     """A hex run of a digest's length that a word before it names as a digest or revision."""
     return end - start in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-fA-F]+", text[start:end]) is not None and bool(_DIGEST_WORD.search(text[max(0, start - 24):start]))
@@ -84,7 +95,7 @@ def random_spans(text: str, encode, max_ratio: float = MAX_RATIO) -> list[tuple[
         run, (start, end) = m.group(), m.span()
         if len(set(run)) < 8 or _UUID.fullmatch(run) or known_digest(text, start, end) or _DATA_URI.search(text[max(0, start - 8):start]):
             continue
-        if not is_identifier(run) and len(run) / len(encode(run)) < max_ratio:
+        if not (is_identifier(run) and has_words(run, encode)) and len(run) / len(encode(run)) < max_ratio:
             found.append((start, end, 3))
     return found
 

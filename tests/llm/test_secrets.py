@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import pytest
 
@@ -59,3 +61,24 @@ def test_redaction(spark):
 @pytest.mark.parametrize("run,is_name", [("getElementsByClassName", True), ("my_table_2024_backup_v12", True), ("q7Xr2Tz9LmK4vB8nWc5Yd3Hs6Jf1", False)])
 def test_identifiers(run, is_name):
     assert secrets.is_identifier(run) is is_name
+
+
+def test_random_letters(spark):
+    """Random strings of one case, alone, with digits behind them or in groups, are found and redacted; names and words are not."""
+    rnd, encode = random.Random(5), secrets.encoder().encode_ordinary
+    letters = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    for alphabet in (string.ascii_lowercase, string.ascii_uppercase):
+        for n in (20, 24, 40):
+            for end in ("", "7", "2024"):
+                runs = [letters(alphabet, n) + end for _ in range(300)]
+                assert sum(secrets.scan_text(f"see {r} end", encode) == [(4, 4 + len(r), 3)] for r in runs) >= 0.96 * len(runs), (n, end)
+        grouped = ["-".join(letters(alphabet, 6) for _ in range(4)) for _ in range(300)]
+        assert sum(secrets.scan_text(r, encode) == [(0, 27, 3)] for r in grouped) >= 0.96 * len(grouped)
+    names = ["getElementsByClassName", "my_table_2024_backup_v12", "some_long_identifier_name_here12", "HAVE_NCURSES_CURSES_H", "TLS_DHE_RSA_WITH_AES_128_GCM_SHA256", "abcdefghijklmnopqrstuvwxyz",
+             "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "=A0=C3=A4=C3=A9=C3=A8=C4=99", "2024-01-02_03-04-05_ab", "internationalization", "COUNTERREVOLUTIONARIES", "MAX_CONNECTIONS_PER_SERVER",
+             "/usr/local/lib/python/site-packages", "rechtsschutzversicherungsgesellschaften"]
+    assert [n for n in names if secrets.scan_text(n, encode)] == []
+    key = "xqjwvkzphtbnmfrdglsycwaq"
+    df = spark.createDataFrame([(1, f"my {key} and {key.upper()} here")], "doc_id long, text string")
+    assert secrets.redact(df).first().text == "my [SECRET] and [SECRET] here"
+    assert secrets.summarise(secrets.scan(df)).first().n_random == 2
