@@ -12,7 +12,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from codemap.llm.common import SPACE_CODES, map_batches, rows
@@ -79,6 +79,15 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
+def fail_bits(rules: tuple[Rule, ...] = RULES, prefix: str = "") -> Column:
+    """One failure bit for each rule, over the MEASURES (their columns' names begin with the prefix)."""
+    bits: Column = F.lit(0).cast("long")
+    for rule in rules:
+        fails = re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"{prefix}\1", rule.fails)
+        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
+    return bits
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All columns of docs but the text, the MEASURES and ``fail_bits``, one row for each row of docs.
 
@@ -97,10 +106,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     for m in MEASURES:
         schema = schema.add(m, "long")
     measured = map_batches(docs.select(*[F.col(f"`{f.name}`") for f in passed], F.col(text_col).alias("__text")), run, schema)
-    bits: Column = F.lit(0).cast("long")
-    for rule in rules:
-        bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("fail_bits", bits)
+    return measured.withColumn("fail_bits", fail_bits(rules))
 
 
 def apply_policy(book: DataFrame, policy: str = "v2") -> DataFrame:
@@ -123,8 +129,20 @@ def ablations(book: DataFrame, policies: tuple[str, ...] = tuple(POLICIES), rule
                  total(hit == 0).alias("kept"), total((hit == 0) | (hit == F.col("c.bit"))).alias("kept_without")))
 
 
-def accepted(docs: DataFrame, policy: str = "v2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, unchanged and in one pass over the texts."""
+def counts_of(policy: str = "v2", bits: str = "fail_bits") -> list[Column]:
+    """The counts of ``ablations`` for one policy as aggregates: kept, and failing_, sole_ and kept_without_ of every rule."""
+    hit = F.col(bits).bitwiseAND(F.lit(mask(policy)))
+    total = lambda cond: F.count(F.when(cond, 1))
+    counts = [total(hit == 0).alias("kept")]
+    for r in (r for r in RULES if r.name in POLICIES[policy]):
+        bit = F.lit(1 << r.bit).cast("long")
+        counts += [total(hit.bitwiseAND(bit) != 0).alias(f"failing_{r.name}"), total(hit == bit).alias(f"sole_{r.name}"),
+                   total((hit == 0) | (hit == bit)).alias(f"kept_without_{r.name}")]
+    return counts
+
+
+def accepted(docs: DataFrame, policy: str = "v2", id_col: str = "doc_id", text_col: str = "text", counts: Observation | None = None) -> DataFrame:
+    """The rows of docs that the policy's mask keeps, unchanged and in one pass over the texts; counts observes the policy's ``counts_of``."""
     names = docs.columns
 
     def run(batches):
@@ -135,6 +153,7 @@ def accepted(docs: DataFrame, policy: str = "v2", id_col: str = "doc_id", text_c
     schema = docs.limit(0).schema
     for m in MEASURES:
         schema = schema.add(f"__{m}", "long")
-    measured = map_batches(docs, run, schema)
-    fails = [re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"__\1", r.fails) for r in RULES if r.name in {*POLICIES["base"], *POLICIES[policy]}]
-    return measured.filter(F.expr(" and ".join(f"not ({x})" for x in fails))).select([F.col(f"`{n}`") for n in names])
+    book = map_batches(docs, run, schema).select(*(F.col(f"`{n}`") for n in names), fail_bits(prefix="__").alias("__fail_bits"))
+    if counts is not None:
+        book = book.observe(counts, *counts_of(policy, "__fail_bits"))
+    return book.filter(F.col("__fail_bits").bitwiseAND(F.lit(mask(policy) | mask("base"))) == 0).select([F.col(f"`{n}`") for n in names])

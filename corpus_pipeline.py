@@ -5,15 +5,17 @@ but the last return the columns of documents; the last one returns the packed pi
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import logging
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from codemap.llm import decontaminate, packing, quality, secrets, simhash
 from codemap.llm.common import Scratch
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that policy v2 of the rule ledger keeps."""
-    return quality.accepted(docs, "v2")
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, counts: Observation | None = None) -> DataFrame:
+    """Documents that policy v2 of the rule ledger keeps; counts observes what each rule rejects."""
+    return quality.accepted(docs, "v2", counts=counts)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents table, one after the other."""
+    """The stages over the documents table, one after the other; logs the ledger's counts of the quality rules."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"{i}-{name}")
+        if stage is quality_rules:
+            counts = Observation("quality_rules")
+            docs = scratch.keep(stage(spark, docs, sf_dir, counts), f"{i}-{name}")
+            logging.getLogger(__name__).info("%s: %s", name, counts.get)
+        else:
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"{i}-{name}")
         if i:
             scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs

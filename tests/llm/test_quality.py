@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import Observation
+
 from codemap.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -54,6 +56,19 @@ def test_ledger_policies_and_ablations(spark):
             assert r.kept_without == sum(1 for g in got if not g.fail_bits & (m & ~bit))
 
 
+def test_accepted_reads_the_ledger(spark):
+    """accepted() keeps what the ledger's bits and the policy's mask keep, and observes the counts of ablations()."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 2)], "doc_id long, text string")
+    book = quality.ledger(df)
+    for policy in quality.POLICIES:
+        seen = Observation(f"counts_{policy}")
+        got = sorted(r.doc_id for r in quality.accepted(df, policy, counts=seen).collect())
+        assert got == sorted(r.doc_id for r in quality.apply_policy(book, policy).collect() if r.kept)
+        counts = dict(seen.get)
+        ab = quality.ablations(book, (policy,)).collect()
+        assert counts == {"kept": len(got)} | {f"{k}_{r.rule}": r[k] for r in ab for k in ("failing", "sole", "kept_without")}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert quality.apply_policy(quality.ledger(df)).count() == 0
