@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codemap.llm import decontaminate, html_extract, licences, lm_score, packing, quality, secrets, simhash, suffix_dedup, warc
+from codemap.llm import decontaminate, html_extract, licences, lm_score, packing, periodic_runs, quality, secrets, simhash, suffix_dedup, warc
 from codemap.llm.common import Scratch
 
 
@@ -68,4 +68,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ngram=5, threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_score, op3_licences, op4_html, op5_secrets, op6_substrings, op7_packing, op8_warc, op9_quality, op10_decontamination)}
+def repeated_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): with h = crc32(doc_id) and g = h / 10, where h % 10 = 0 the words from a = g % n on repeat the first p of them."""
+    words = F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    source = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w"))
+    source = source.withColumn("a", F.expr("cast(floor(h / 10) % n as int)"))
+    source = source.withColumn("p", F.expr("cast(1 + floor((n - a) / (3 + floor(h / 10) % 8)) as int)"))
+    tail = "slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)"
+    text = F.expr(f"CASE WHEN h % 10 = 0 AND n > 0 THEN array_join(concat(slice(w, 1, a), {tail}), ' ') ELSE text END")
+    return source.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words with at least 24 words and three periods in every document, the greatest one, and digests."""
+    done = periodic_runs.collapse(repeated_documents(table(spark, sf_dir, "documents")))
+    # runs are ordered by start, then period, so the first of equal exponents stays; a null length compares as no run yet
+    best = F.expr("""aggregate(runs, cast(null as struct<start:bigint,period:bigint,length:bigint>),
+        (b, r) -> CASE WHEN b IS NULL OR cast(r.length as decimal(19,0)) * b.period > cast(b.length as decimal(19,0)) * r.period THEN r ELSE b END)""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    done = done.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), "collapsed_sha256")
+    return done.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_score, op3_licences, op4_html, op5_secrets, op6_substrings, op7_packing, op8_warc, op9_quality, op10_decontamination,
+                                   op11_periodic_runs)}
