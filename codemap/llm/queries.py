@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codemap.llm import decontaminate, html_extract, licences, lm_score, packing, periodic_runs, quality, secrets, simhash, suffix_dedup, warc
+from codemap.llm import decontaminate, html_extract, licences, lm_score, packing, periodic_runs, quality, secrets, simhash, suffix_dedup, topk_search, warc, whitening
 from codemap.llm.common import Scratch
 
 
@@ -91,5 +91,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings on their 16 leading principal components, whitened; deviations that no long holds are null."""
+    done = whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+    return done.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 greatest integer inner products of every embedding whose vec_id is divisible by 20."""
+    return topk_search.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_score, op3_licences, op4_html, op5_secrets, op6_substrings, op7_packing, op8_warc, op9_quality, op10_decontamination,
-                                   op11_periodic_runs)}
+                                   op11_periodic_runs, op12_whitening, op13_topk)}
