@@ -11,14 +11,17 @@ which all their equals must be, and whatever equality alone can decide never bec
    shuffled, and joined back, so a passage that very many documents share is split like any skewed join.
 3. The distinct stretches of the remaining buckets are sorted: two-stage sorting orders directly only the suffixes that are
    smaller than their successors, a scan over the first-byte buckets induces all others, and adjacent common prefixes of the
-   suffix array tell the repeated windows. A bucket with more than ``HOT`` distinct stretches is dealt on by the hashes of its windows
-   instead, so that no task holds an unbounded bucket.
+   suffix array tell the repeated windows. A bucket with more than ``BUCKET`` distinct stretches is dealt on first, until none is larger, so that
+   no task holds an unbounded bucket: a window has the anchor in its left or in its right half, so each stretch is cut into the windows of
+   either kind, at most two parts, and these meet in buckets by the anchor with the bytes that all windows of the kind have around it. Parts that are
+   equal are one, and their windows repeated; each further deal halves the places that the anchor can have.
 4. Repeated stretches become intervals for each document, are merged there, and the rest of the text is kept.
 
 Rows are told apart by a digest of id and text; rows that are equal in both have equal results.
 """
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from codemap.llm.common import Scratch, chunks, map_batches, rows
 
 GRAM = 32
-HOT = 2000
+BUCKET = 2000
 SALT_ROWS = 4096
 SEGMENT = 1 << 18
 SORT_BYTES = 1 << 18
@@ -279,21 +282,45 @@ def _sorted_runs(cut: DataFrame, length: int) -> DataFrame:
     return map_batches(cut.repartition("h").sortWithinPartitions("h"), run, "k binary, lo long, hi long")
 
 
-def _hashed_runs(cut: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """(k, lo, hi) of repeated windows of the hot buckets: windows are counted by anchor and digest."""
+def _halves(cut: DataFrame, length: int) -> DataFrame:
+    """(k, start, h, a, low, high, data): stretches whose windows have low to high bytes before the anchor, cut in the middle of that range.
+
+    ``a`` is the anchor's place in the data (null: the first place with the hash h); the new h is a hash of the bytes that all windows of a part have
+    in common around the anchor.
+    """
     def run(batches):
         for batch in batches:
-            for part in chunks(rows(batch, "k", "start", "h", "data"), 1 << 20, lambda r: len(r[3])):
+            for part in chunks(rows(batch, "k", "start", "h", "a", "low", "high", "data"), 4 << 20, lambda r: len(r[6])):
                 out = []
-                for k, start, h, data in part:
-                    view = memoryview(data)
-                    out += [(h, xxhash.xxh3_64_intdigest(view[i:i + length]) - (1 << 63), k, start + i) for i in range(len(data) - length + 1)]
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
-                yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["h", "w", "k", "lo"])
-
-    windows = scratch.keep(map_batches(cut, run, "h long, w long, k binary, lo long"), "windows")
-    again = scratch.keep(windows.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w"), "windows-again")
-    return windows.join(again, ["h", "w"]).select("k", "lo", (F.col("lo") + length).alias("hi"))
+                for k, start, h, a, low, high, data in part:
+                    if a is None:
+                        a = int(np.argmax(gram_hashes(data).view(np.int64) == h))
+                    middle = (low + high + 1) // 2
+                    for x, y in ((low, middle - 1), (middle, high)):
+                        first, last = max(0, a - y), min(len(data) - length, a - x)
+                        if first <= last:
+                            common = xxhash.xxh3_64_intdigest(data[a - x:a + length - y], seed=x << 32 | y) - (1 << 63)
+                            out.append((k, start + first, common, a - first, x, y, data[first:last + length]))
+                kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["k", "start", "h", "a", "low", "high", "data"])
+
+    return map_batches(cut, run, "k binary, start int, h long, a int, low int, high int, data binary")
+
+
+def _dealt_on(hot: DataFrame, length: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Hot buckets dealt on until none has more than BUCKET distinct parts: (the buckets to sort, the parts found to be repeated)."""
+    hot = hot.select("k", "start", "h", F.lit(None).cast("int").alias("a"), F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"), "data")
+    ready, again, turn = [], [], 0
+    while not hot.isEmpty():
+        parts = scratch.keep(_halves(hot, length), f"halves-{turn}")
+        kinds = scratch.keep(parts.groupBy("h", "data").agg(F.count("*").alias("n"), F.min(F.struct("k", "start", "a", "low", "high")).alias("one")), f"kinds-{turn}")
+        again.append(parts.join(kinds.filter("n > 1").select("h", "data"), ["h", "data"]))
+        large = kinds.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET).select("h", F.lit(True).alias("large"))
+        rest = kinds.select("h", "data", "one.*").join(large, "h", "left").withColumn("hot", F.coalesce("large", F.lit(False)) & F.expr("low < high"))
+        rest = scratch.keep(rest.drop("large"), f"dealt-{turn}")
+        ready.append(rest.filter("not hot"))
+        hot, turn = rest.filter("hot"), turn + 1
+    return ready, again
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, scratch: Scratch | None = None) -> DataFrame:
@@ -315,11 +342,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
     often = (mixed.withColumn("salt", F.pmod(F.xxhash64("k"), F.col("parts")))
              .join(kinds.filter("n > 1").select("h", "c", salts.alias("salt")), ["h", "c", "salt"]))
-    hot = kinds.groupBy("h").agg((F.count("*") > HOT).alias("hot"))
+    hot = kinds.groupBy("h").agg((F.count("*") > BUCKET).alias("hot"))
     wanted = kinds.join(hot, "h").select("one.k", "one.start", "one.windows", "h", "hot")
     cut = scratch.keep(_texts(docs, wanted, id_col, text_col, length), "cut")
-    return (whole(found.filter("not mixed")).unionByName(whole(often))
-            .unionByName(_sorted_runs(cut.filter("not hot"), length)).unionByName(_hashed_runs(cut.filter("hot"), length, scratch)))
+    columns = ("k", "start", "h", "data")
+    ready, again = _dealt_on(cut.filter("hot"), length, scratch)
+    same = [df.select("k", F.col("start").cast("long").alias("lo"), (F.col("start") + F.length("data")).cast("long").alias("hi")) for df in again]
+    to_sort = reduce(DataFrame.unionByName, [df.select(*columns) for df in ready], cut.filter("not hot").select(*columns))
+    return reduce(DataFrame.unionByName, same, whole(found.filter("not mixed")).unionByName(whole(often)).unionByName(_sorted_runs(to_sort, length)))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:

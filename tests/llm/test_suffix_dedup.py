@@ -74,17 +74,32 @@ def test_stretches_cover_every_window_once(monkeypatch):
     assert seen == {(n, i) for n, t in enumerate(texts) for i in range(len(t) - 40 + 1)}
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("bucket", [2000, 3, 1])
+def test_equals_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
     monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 5000)
-    monkeypatch.setattr(suffix_dedup, "SALT_ROWS", 4096 if hot > 3 else 2)
+    monkeypatch.setattr(suffix_dedup, "SALT_ROWS", 4096 if bucket > 3 else 2)
     texts = corpus(5)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'q' as k", "2 as c").repartition(3)
     got = {r.doc_id: (bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(df, length=40).collect()}
     assert got == dict(enumerate(brute(texts, 40)))
 
 
+def test_a_bucket_of_very_many_near_copies(spark):
+    """10,000 texts that differ in two bytes: their stretches meet in buckets of thousands, which are dealt on and sorted."""
+    rnd = random.Random(9)
+    base = [rnd.choice("abcdefgh ") for _ in range(150)]
+    texts = set()
+    while len(texts) < 10000:
+        t = list(base)
+        for _ in range(2):
+            t[rnd.randrange(150)] = chr(rnd.randrange(33, 127))
+        texts.add("".join(t))
+    texts = sorted(texts)
+    got = {r.doc_id: (bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=64).collect()}
+    assert got == dict(enumerate(brute(texts, 64)))
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(100))
     rows = [(1, text), (1, text), (None, "a" * 60), (None, "b" + "a" * 50), (None, None), (2, text[:45] + "!")]
