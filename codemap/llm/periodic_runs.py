@@ -190,7 +190,9 @@ def collapse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scratch = Scratch(docs.sparkSession, "periodic-runs")
     seen = scratch.keep(scan(docs, id_col, text_col), "scan")
     tiles = seen.filter(F.size("tiles") > 0).select("k", F.explode("tiles").alias("t")).select("k", "t.*")
-    found = scratch.keep(solve(tiles.repartition("k", "step", "start")), "fragments")
+    # tiles take far more time for their bytes than other rows, so their partitions are not merged by size
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = scratch.keep(solve(tiles.repartition(parts, "k", "step", "start")), "fragments")
     runs = scratch.keep(stitch(found).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs")), "runs")
     scratch.drop("fragments")
 
