@@ -5,7 +5,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codemap.session import delete_on_exit, ensure_checkpoint_dir
@@ -51,7 +51,28 @@ def map_batches(df: DataFrame, function, schema) -> DataFrame:
     now = conf.get(key).rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    names = df.columns
+    if not any("." in n or "`" in n for n in names):
+        return df.mapInArrow(function, schema)
+    # mapInArrow looks its columns up by name and takes a dot for a field: the columns go under other names and get theirs back in the task
+    return df.toDF(*fresh(names, *(f"column{i}" for i in range(len(names))))).mapInArrow(
+        lambda batches: function(b.rename_columns(names) for b in batches), schema)
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, whatever its letters' case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def rows(batch: pa.RecordBatch, *names: str):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from codemap.llm.common import SPACE_CODES, map_batches, rows
+from codemap.llm.common import SPACE_CODES, fresh, map_batches, named, rows
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]")
@@ -79,11 +79,11 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def fail_bits(rules: tuple[Rule, ...] = RULES, prefix: str = "") -> Column:
-    """One failure bit for each rule, over the MEASURES (their columns' names begin with the prefix)."""
+def fail_bits(rules: tuple[Rule, ...] = RULES, names: dict[str, str] | None = None) -> Column:
+    """One failure bit for each rule, over the MEASURES (``names``: the columns that hold them, if they are named otherwise)."""
     bits: Column = F.lit(0).cast("long")
     for rule in rules:
-        fails = re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"{prefix}\1", rule.fails)
+        fails = re.sub(r"\b(" + "|".join(MEASURES) + r")\b", lambda m: f"`{(names or {}).get(m[0], m[0])}`", rule.fails)
         bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
     return bits
 
@@ -144,16 +144,17 @@ def counts_of(policy: str = "v2", bits: str = "fail_bits") -> list[Column]:
 def accepted(docs: DataFrame, policy: str = "v2", id_col: str = "doc_id", text_col: str = "text", counts: Observation | None = None) -> DataFrame:
     """The rows of docs that the policy's mask keeps, unchanged and in one pass over the texts; counts observes the policy's ``counts_of``."""
     names = docs.columns
+    *measures, bits = fresh(names, *(f"measured_{m}" for m in MEASURES), "fail_bits")
 
     def run(batches):
         for batch in batches:
             cols = list(zip(*(measure(t) for (t,) in rows(batch, text_col)))) or [()] * len(MEASURES)
-            yield pa.record_batch([*batch.columns, *(pa.array(c, pa.int64()) for c in cols)], names=[*names, *(f"__{m}" for m in MEASURES)])
+            yield pa.record_batch([*batch.columns, *(pa.array(c, pa.int64()) for c in cols)], names=[*names, *measures])
 
     schema = docs.limit(0).schema
-    for m in MEASURES:
-        schema = schema.add(f"__{m}", "long")
-    book = map_batches(docs, run, schema).select(*(F.col(f"`{n}`") for n in names), fail_bits(prefix="__").alias("__fail_bits"))
+    for m in measures:
+        schema = schema.add(m, "long")
+    book = map_batches(docs, run, schema).select(*map(named, names), fail_bits(names=dict(zip(MEASURES, measures))).alias(bits))
     if counts is not None:
-        book = book.observe(counts, *counts_of(policy, "__fail_bits"))
-    return book.filter(F.col("__fail_bits").bitwiseAND(F.lit(mask(policy) | mask("base"))) == 0).select([F.col(f"`{n}`") for n in names])
+        book = book.observe(counts, *counts_of(policy, bits))
+    return book.filter(F.col(bits).bitwiseAND(F.lit(mask(policy) | mask("base"))) == 0).select([named(n) for n in names])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codemap.llm.common import map_batches, rows
+from codemap.llm.common import map_batches, named, rows
 
 #: Fixed by the contract: kinds in order, their patterns, the group that is measured and its least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -102,7 +102,7 @@ def random_spans(text: str, encode, max_ratio: float = MAX_RATIO) -> list[tuple[
 
 def scan_text(text: str | None, encode, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
     """All spans (start, end, kind index) of a text by start and kind; none for null or empty."""
-    return sorted(base_spans(text) + random_spans(text, encode, max_ratio)) if text else []
+    return sorted(base_spans(text) + random_spans(text, encode, max_ratio), key=lambda s: (s[0], s[2], s[1])) if text else []
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> DataFrame:
@@ -141,7 +141,10 @@ def redact_text(text: str | None, encode, mark: str = "[SECRET]", max_ratio: flo
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> DataFrame:
-    """docs with the secrets of the text column replaced; a column n_chars, if there is one, follows the text."""
+    """docs with the secrets of the text column replaced; a column n_chars, if there is one, follows the text.
+
+    Null and empty texts, repeated rows, null ids and all other columns, whatever their names, stay as they are.
+    """
     schema = docs.schema
     at = schema.names.index(text_col)
 
@@ -154,5 +157,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", voca
     done = map_batches(docs, run, schema)
     if "n_chars" in schema.names:
         kind = schema["n_chars"].dataType
-        done = done.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(text_col)).cast(kind))
-    return done.select(docs.columns)
+        done = done.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(named(text_col))).cast(kind))
+    return done

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codemap.llm.common import Scratch, components, map_batches, rows, shingle_hashes
+from codemap.llm.common import Scratch, components, fresh, map_batches, named, rows, shingle_hashes
 
 SEED = 42
 
@@ -141,11 +141,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of docs, one for each component: that of its smallest id (of equal ids, any one of one text).
 
-    Rows without an id cannot be named and stay.
+    Rows without an id cannot be named and stay. All columns stay as they are, whatever their names; an empty table stays empty.
     """
-    named = docs.filter(F.col(id_col).isNotNull())
-    stay = (_labelled(named, id_col, text_col, ngram, max_bits).filter((F.col("id") == F.col("least.id")) & (F.col("t") == F.col("least.t")))
-            .select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct())
-    keyed = named.withColumn("__id", F.col(id_col).cast("long")).withColumn("__t", F.xxhash64(text_col))
-    one = keyed.join(stay, ["__id", "__t"], "left_semi").dropDuplicates(["__id", "__t"])
-    return one.select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    with_id = docs.filter(named(id_col).isNotNull())
+    key = fresh(docs.columns, "key_id", "key_text")
+    stay = (_labelled(with_id, id_col, text_col, ngram, max_bits).filter((F.col("id") == F.col("least.id")) & (F.col("t") == F.col("least.t")))
+            .select(F.col("id").alias(key[0]), F.col("t").alias(key[1])).distinct())
+    keyed = with_id.withColumn(key[0], named(id_col).cast("long")).withColumn(key[1], F.xxhash64(named(text_col)))
+    one = keyed.join(stay, key, "left_semi").dropDuplicates(key)
+    return one.select([named(c) for c in docs.columns]).unionByName(docs.filter(named(id_col).isNull()))

@@ -97,6 +97,21 @@ def test_stages_and_run(spark, tmp_path):
     assert test_packing.check(packed, 4096) <= -(-sum(by_id.values()) // 4096) + 1
 
 
+def test_columns_of_any_name_stay_as_they_are(spark, tmp_path):
+    rows, items = corpus()
+    extra = [(*r, i, f"l{i}", i + 0.5, -i) for i, r in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __id int, `meta.lang` string, __n_words double, `key_id` int"
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(extra, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, docs, str(tmp_path))
+        assert done.schema.simpleString() == docs.schema.simpleString(), name
+        before, after = {r[5]: r for r in docs.collect()}, done.collect()
+        assert after and all(r[0] == before[r[5]][0] and r[5:] == before[r[5]][5:] for r in after), name
+        docs = spark.createDataFrame(after, schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
