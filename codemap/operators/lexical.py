@@ -12,7 +12,7 @@ per-repository scalars are joined back (small: AQE broadcasts them after measuri
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -25,27 +25,41 @@ def tokens(text) -> "F.Column":
 
 
 def doc_terms(cands: DataFrame) -> DataFrame:
-    """(repo_id, path, term) one row per token occurrence of the whole text."""
+    """(repo_id, path, dl, first, term, tf): one row per distinct term of a file's whole text; ``first`` marks one of a file's rows.
+
+    A file's terms are counted where its text lies: its sorted tokens are cut where they change, so nothing is shuffled. (Tokens and cuts go
+    through a generator, so that the lambdas see attributes and not the expressions that make them.)
+    """
     text = F.lower(F.concat(F.col("path"), F.lit(" "), F.coalesce("content", F.lit(""))))
-    return cands.select("repo_id", "path", F.explode(tokens(text)).alias("term"))
+    sorted_ = cands.select("repo_id", "path", F.inline(F.array(F.struct(F.array_sort(tokens(text)).alias("t")))))
+    change = F.expr("filter(sequence(1, size(t)), i -> i = 1 OR t[i - 1] <> t[i - 2])")
+    cut = sorted_.where(F.size("t") > 0).select("repo_id", "path", F.size("t").cast("bigint").alias("dl"), F.inline(F.array(F.struct("t", change.alias("at")))))
+    each = F.expr("transform(at, (a, i) -> named_struct('first', i = 0, 'term', t[a - 1], 'tf', cast(coalesce(get(at, i + 1), size(t) + 1) - a as bigint)))")
+    return cut.select("repo_id", "path", "dl", F.inline(each))
+
+
+def raw_idf(df: Column, n_docs: Column) -> Column:
+    return F.log(n_docs - df + F.lit(0.5)) - F.log(df + F.lit(0.5))
 
 
 def corpus_stats(cands: DataFrame, epsilon: float = K.BM25_EPSILON) -> dict:
     """Per-repository corpus statistics and floored idf.
 
     Returns dict of DataFrames: docs(repo_id, path, dl), repo(repo_id, n_docs, avgdl, average_idf),
-    tf(repo_id, path, term, tf), idf(repo_id, term, df, idf). The texts are read once: tf is written,
-    and lengths, document frequencies and the statistics come from it (a path is a token, so every
+    tf(repo_id, path, term, tf), idf(repo_id, term, df, idf). The texts are read once: the counted terms are written,
+    and lengths, document frequencies and the statistics come from them (a path is a token, so every
     candidate has a row).
     """
     from ..session import stage
-    tf = stage(doc_terms(cands).groupBy("repo_id", "path", "term").agg(F.count(F.lit(1)).alias("tf")), "bm25_tf")
-    docs = tf.groupBy("repo_id", "path").agg(F.sum("tf").alias("dl"))
+    return statistics(stage(doc_terms(cands), "bm25_tf"), epsilon)
+
+
+def statistics(tf: DataFrame, epsilon: float = K.BM25_EPSILON) -> dict:
+    """``corpus_stats`` of the rows of ``doc_terms``."""
+    docs = tf.where("first").select("repo_id", "path", "dl")
     nd = docs.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     df_ = tf.groupBy("repo_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = (df_.join(nd, "repo_id")
-           .select("repo_id", "term", "df",
-                   (F.log(F.col("n_docs") - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))).alias("raw_idf")))
+    raw = df_.join(nd, "repo_id").select("repo_id", "term", "df", raw_idf(F.col("df"), F.col("n_docs")).alias("raw_idf"))
     avg_idf = raw.groupBy("repo_id").agg(F.avg("raw_idf").alias("average_idf"))
     idf = (raw.join(avg_idf, "repo_id")
            .select("repo_id", "term", "df",
@@ -66,17 +80,22 @@ def bm25_scores(cands: DataFrame, keywords: DataFrame, k1: float = K.BM25_K1, b:
     """(repo_id, path, bm25_raw, bm25) for every candidate; bm25 = raw / max(raw) when max > 0."""
     st = corpus_stats(cands, epsilon)
     q = query_terms(keywords)
-    contrib = (st["tf"].join(q, ["repo_id", "term"])
-               .join(st["idf"].select("repo_id", "term", "idf"), ["repo_id", "term"])
-               .join(st["docs"], ["repo_id", "path"])
-               .join(st["repo"].select("repo_id", "avgdl"), "repo_id")
-               .select("repo_id", "path",
-                       (F.col("qn") * F.col("idf") * (F.col("tf") * F.lit(k1 + 1))
-                        / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))))
-                       .alias("s")))
-    raw = (st["docs"].select("repo_id", "path")
-           .join(contrib.groupBy("repo_id", "path").agg(F.sum("s").alias("s")), ["repo_id", "path"], "left")
-           .select("repo_id", "path", F.coalesce("s", F.lit(0.0)).alias("bm25_raw")))
+    # the query's terms with their idf: few rows, met once by the counted terms
+    known = q.join(st["idf"].select("repo_id", "term", "idf"), ["repo_id", "term"]).join(st["repo"].select("repo_id", "avgdl"), "repo_id")
+    hits = (st["tf"].join(known, ["repo_id", "term"])
+            .select("repo_id", "path", (F.col("qn") * F.col("idf") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("s")))
+    none = st["docs"].select("repo_id", "path", F.lit(0.0).alias("s"))
+    raw = hits.unionByName(none).groupBy("repo_id", "path").agg(F.sum("s").alias("bm25_raw"))
+    return normalised(raw)
+
+
+def impact(tf: Column, dl: Column, avgdl: Column, k1: float = K.BM25_K1, b: float = K.BM25_B) -> Column:
+    """What a term's occurrences in a file count for, before its idf: between 0 and k1 + 1."""
+    return tf * F.lit(k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / avgdl))
+
+
+def normalised(raw: DataFrame) -> DataFrame:
+    """Adds bm25 = bm25_raw / the repository's largest, where that is positive."""
     mx = raw.groupBy("repo_id").agg(F.max("bm25_raw").alias("mx"))
     return (raw.join(mx, "repo_id")
             .select("repo_id", "path", "bm25_raw",

@@ -6,6 +6,8 @@ and runs the library's own operators over the whole tables. Outputs are flat row
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,13 @@ from ..operators import graph as G
 from ..operators import imports as IM
 from ..operators import ingest as I
 from ..operators import lexical as LX
+from ..operators import pagerank as PR
 from ..operators import rank as RK
 from ..operators import semantic as SM
+from ..operators import text_index as TI
 from ..operators import llm_output as LO
 from ..sources import fixtures as X
-from ..session import stage
+from ..session import delete_on_exit, ensure_checkpoint_dir, stage
 from ..sources import listing as SL
 from . import report as RP
 from .ingestion import RepoGraph, ingestion_report
@@ -128,6 +132,13 @@ def q_pagerank(spark, sf_dir):
                              "converged", F.col("iterations").cast("int").alias("iterations"))
 
 
+def q_pagerank_spread(spark, sf_dir):
+    """The same with every graph spread over the cluster, as graphs too large for a task are."""
+    g = _graph(spark, sf_dir)
+    pr = PR.pagerank(G.nodes_of(g.tree), g.edges, in_task=0)
+    return pr.select("repo_id", F.col("id").alias("path"), F.round("pagerank", 9).alias("pagerank"), "converged", "iterations")
+
+
 def q_central_files(spark, sf_dir):
     g = _graph(spark, sf_dir)
     return g.central(K.REPORT_CENTRAL_TOP_N).select("repo_id", "rank", "path",
@@ -210,6 +221,27 @@ def q_bm25_rank(spark, sf_dir):
     return b.select("repo_id", "path", r9("bm25_raw"), r9("bm25"))
 
 
+def _text_index(spark, g):
+    """The corpus's inverted index, stored in the checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/text-index-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    return TI.build(RK.candidates(g.tree), path)
+
+
+def q_bm25_index(spark, sf_dir):
+    """The scores of every file, read from the stored index."""
+    g = _graph(spark, sf_dir)
+    b = _text_index(spark, g).scores(X.keywords(g.files))
+    return b.select("repo_id", "path", r9("bm25_raw"), r9("bm25"))
+
+
+def q_bm25_top(spark, sf_dir):
+    """The shortlist's number of best files of each repository, with blocks skipped by their bounds."""
+    g = _graph(spark, sf_dir)
+    top = _text_index(spark, g).top(X.keywords(g.files), K.SEMANTIC_SHORTLIST)
+    return top.select("repo_id", "rank", "path", r9("bm25_raw"))
+
+
 def q_cosine_rank(spark, sf_dir):
     g = _graph(spark, sf_dir)
     s = SM.cosine_scores(RK.candidates(g.tree), X.file_vectors(spark, sf_dir, g.files), X.repo_vectors(spark, sf_dir))
@@ -449,6 +481,7 @@ QUERIES = {
     "resolve_absolute": q_resolve_absolute,
     "dependency_edges": q_dependency_edges,
     "pagerank": q_pagerank,
+    "pagerank_spread": q_pagerank_spread,
     "central_files": q_central_files,
     "repo_stats": q_repo_stats,
     "degree_stats": q_degree_stats,
@@ -459,6 +492,8 @@ QUERIES = {
     "repo_fits_budget": q_repo_fits_budget,
     "bm25_corpus_stats": q_bm25_corpus_stats,
     "bm25_rank": q_bm25_rank,
+    "bm25_index": q_bm25_index,
+    "bm25_top": q_bm25_top,
     "cosine_rank": q_cosine_rank,
     "semantic_shortlist": q_semantic_shortlist,
     "hybrid_rank": q_hybrid_rank,

@@ -316,6 +316,8 @@ FROM qr JOIN ft USING (repo_id, path) WHERE quota_rank <= {K.MAX_SOURCE_FILES}""
         "resolve_absolute": with_(GR, "SELECT repo_id, src, module, dst, CAST(rule AS INTEGER) AS rule FROM resolved WHERE NOT starts_with(module, '.')"),
         "dependency_edges": with_(GR, "SELECT repo_id, src, dst FROM edges"),
         "pagerank": with_(PRC, """SELECT repo_id, id AS path, round(pagerank, 9) AS pagerank, converged,
+  CAST(iterations AS INTEGER) AS iterations FROM pagerank"""),
+        "pagerank_spread": with_(PRC, """SELECT repo_id, id AS path, round(pagerank, 9) AS pagerank, converged,
   CAST(iterations AS INTEGER) AS iterations FROM pagerank"""),
         "central_files": with_(PRC + [central_cte("central", K.REPORT_CENTRAL_TOP_N)],
                                "SELECT repo_id, rank, path, round(pagerank, 9) AS pagerank FROM central"),
@@ -428,6 +430,10 @@ def _retrieval_queries() -> dict[str, str]:
         "bm25_corpus_stats": with_(BM, """SELECT n.repo_id, n.n_docs, round(n.avgdl, 9) AS avgdl, round(a.average_idf, 9) AS average_idf, t.n_terms
   FROM nd n JOIN avgidf a USING (repo_id) JOIN (SELECT repo_id, count(*) AS n_terms FROM idf GROUP BY repo_id) t USING (repo_id)"""),
         "bm25_rank": with_(BM, "SELECT repo_id, path, round(bm25_raw, 9) AS bm25_raw, round(bm25, 9) AS bm25 FROM bm25"),
+        "bm25_index": with_(BM, "SELECT repo_id, path, round(bm25_raw, 9) AS bm25_raw, round(bm25, 9) AS bm25 FROM bm25"),
+        "bm25_top": with_(BM, f"""SELECT repo_id, CAST(r AS INTEGER) AS rank, path, round(bm25_raw, 9) AS bm25_raw FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY round(bm25_raw, 9) DESC, path) AS r FROM bm
+  WHERE (repo_id, path) IN (SELECT (repo_id, path) FROM tf JOIN qt USING (repo_id, term))) WHERE r <= {K.SEMANTIC_SHORTLIST}"""),
         "cosine_rank": with_(T + [FILE_VECTORS, REPO_VECTORS, f"""sr AS (SELECT c.repo_id, c.path, greatest(0.0::DOUBLE, {cosine_sql('rv.embedding', 'fv.embedding')}) AS cos_raw
   FROM tree c LEFT JOIN file_vectors fv ON fv.repo_id = c.repo_id AND fv.path = c.path LEFT JOIN repo_vectors rv ON rv.repo_id = c.repo_id
   WHERE {has_content('c.content')})"""], """SELECT s.repo_id, s.path, round(s.cos_raw, 9) AS cos_raw, round(s.cos_raw / CASE WHEN m.mx > 0 THEN m.mx ELSE 1.0::DOUBLE END, 9) AS semantic
