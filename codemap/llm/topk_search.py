@@ -229,7 +229,10 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     least = F.array_min(F.zip_with("need", lengths, lambda t, n: F.when(n > 0, t / n).otherwise(F.lit(-math.inf))))
     within = F.size(F.filter(numbers([n * (1 + 1e-9) + 1e-6 for n in norms]), lambda n: n >= F.col("least")))
     cells = questions.withColumn("least", least).withColumn("stop", F.element_at(numbers([0, *ends]), within + 1).cast("int")).filter("stop > 1")
-    cells = cells.select("qb", "qc", "qcols", "need", F.explode(F.expr("sequence(1, stop - 1)")).alias("cb")).join(candidates, "cb")
+    cells = cells.select("qb", "qc", "qcols", "need", F.explode(F.expr("sequence(1, stop - 1)")).alias("cb"))
+    # blocks are small once compressed and take long to meet: they are neither broadcast nor their partitions merged by size
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(tasks, "cb").join(candidates.repartition(tasks, "cb").hint("merge"), "cb")
     found = scratch.keep(best(meet(cells, m).unionByName(seeds.drop("place")), m).select("q", "c", "score"), "found")
 
     # back to rows: the members of the winning vectors, ranked again, less the query itself
