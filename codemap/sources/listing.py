@@ -4,21 +4,19 @@ The analysed service fetched listings and contents over HTTP; here they are tabl
 * ``normalise_repo_ids`` turns request URLs / ``owner/repo`` strings into (owner, repo) columns,
   with an ``error`` column instead of an exception;
 * ``read_tree_listings`` reads saved JSON listings (``{"tree": [{path, type, size, ...}]}``);
-* ``read_checkouts`` lists files of checked-out repositories with ``binaryFile`` (paths and lengths only); skipped paths go
-  first, and tasks then read the bytes of the files whose contents are analysed;
+* ``read_checkouts`` reads checked-out repositories through a store that opens every analysed file once (``sources.store``);
 * ``files_of_listing`` joins a listing with decoded contents; both give ``files(repo_id, path, tree_ord, size_bytes, content)``;
 * ``decode_content`` decodes base64 contents as UTF-8, dropping undecodable bytes.
 """
 from __future__ import annotations
 
-import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions import paths as P
 from ..functions import regex as R
 
 WS_EDGES = "^" + R.PY_WHITESPACE + "|" + R.PY_WHITESPACE + "$"
@@ -97,54 +95,17 @@ def files_of_listing(listing: DataFrame, contents: DataFrame) -> DataFrame:
             .select("repo_id", "path", "tree_ord", "size_bytes", "content"))
 
 
-def _read_texts(uris: list[str]) -> list[str | None]:
-    """Contents by URI, as UTF-8 without undecodable bytes."""
-    import pyarrow.fs as pafs
-    out = []
-    for uri in uris:
-        scheme, _, rest = uri.partition(":")
-        if scheme == "file" or not rest:
-            fs, path = pafs.LocalFileSystem(), "/" + (rest or uri).lstrip("/")
-        else:
-            authority, _, tail = rest.lstrip("/").partition("/")
-            fs, base = pafs.FileSystem.from_uri(f"{scheme}://{authority}/")
-            path = base.rstrip("/") + "/" + tail
-        with fs.open_input_stream(path, compression=None) as source:
-            out.append(source.read().decode("utf-8", "ignore"))
-    return out
-
-
-def read_checkouts(spark: SparkSession, root: str, max_file_size: int | None = None) -> DataFrame:
-    """Files under ``root/<owner>/<repo>/...`` as files(repo_id, path, tree_ord, size_bytes, content).
-
-    Paths and lengths are listed without opening a file. Skipped paths (and, if given, larger files) are dropped, the rest is put
-    in path order by a range shuffle of the metadata, and only then are the signal and source files read; others have a null content.
-    Spark's file listing leaves out files without bytes.
+def read_checkouts(spark: SparkSession, root: str, max_file_size: int | None = None, store: str | None = None) -> DataFrame:
+    """Files under ``root/<owner>/<repo>/...`` as files(repo_id, path, tree_ord, size_bytes, content); see ``sources.store``.
+
+    ``store``: the folder that keeps what was read, so that another call opens only changed files; without it, one that the driver deletes when it ends.
     """
-    import pyarrow as pa
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("uri"), "length")
-    base = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.regexp_replace(F.col("uri"), "^file:/+", "/"), "^" + re.escape(re.sub("^file:/+", "/", base)), "")
-    parts = F.split(rel, "/")
-    kept = listed.select("uri", F.col("length").alias("size_bytes"),
-                         F.concat_ws("/", F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))).alias("repo_id"),
-                         F.array_join(F.slice(parts, 3, 1 << 20), "/").alias("path")).where(~P.should_skip("path"))
-    if max_file_size is not None:
-        kept = kept.where(F.col("size_bytes") <= F.lit(max_file_size))
-    wanted = P.is_signal("path") | P.extension("path").isin(K.SOURCE_EXTENSIONS)
-    placed = (kept.withColumn("uri", F.when(wanted, F.col("uri"))).repartitionByRange("repo_id", "path").sortWithinPartitions("repo_id", "path")
-              .withColumn("tree_ord", F.monotonically_increasing_id()).select("repo_id", "path", "tree_ord", "size_bytes", "uri"))
-
-    def read(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                uris = part.column(4).to_pylist()
-                texts = iter(_read_texts([u for u in uris if u is not None]))
-                contents = pa.array([None if u is None else next(texts) for u in uris], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], contents], names=["repo_id", "path", "tree_ord", "size_bytes", "content"])
-
-    return placed.mapInArrow(read, "repo_id string, path string, tree_ord long, size_bytes long, content string")
+    from ..session import delete_on_exit, ensure_checkpoint_dir
+    from .store import CheckoutStore
+    if store is None:
+        store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/checkouts-{uuid.uuid4().hex}"
+        delete_on_exit(spark, store)
+    return CheckoutStore(spark, root, store, max_file_size).files()
 
 
 def utf8_ignore(b: Column) -> Column:
