@@ -29,6 +29,7 @@ from ..session import delete_on_exit, ensure_checkpoint_dir, stage
 from ..sources import listing as SL
 from . import report as RP
 from .ingestion import RepoGraph, ingestion_report
+from .versioned import VersionedTable
 
 SEP = "|"
 
@@ -453,7 +454,10 @@ def q_architecture_prompt(spark, sf_dir):
 
 
 def q_repo_report(spark, sf_dir):
-    r = RP.report(_analysis(spark, sf_dir))
+    return _report_row(RP.report(_analysis(spark, sf_dir)))
+
+
+def _report_row(r):
     arrays = ["tech_stack", "main_modules", "entry_points", "keywords", "flow_mermaid", "signal_files",
               "top_central_files", "selected_files", "compressed_folders"]
     return r.select(*[joined(c) if c in arrays else
@@ -461,6 +465,15 @@ def q_repo_report(spark, sf_dir):
                       for c in r.columns])
 
 
+def q_repo_report_stored(spark, sf_dir):
+    """The reports as the versioned sink has them after a run with reuse."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    f, replies = X.files(spark, sf_dir), X.responses(spark, sf_dir)
+    RP.refresh_reports(path, f, replies, replies, X.repos(f), X.file_vectors(spark, sf_dir, f), X.repo_vectors(spark, sf_dir), K.API_TOKEN_BUDGET)
+    return _report_row(VersionedTable(spark, f"{path}/reports").read())
+
+
 def q_repo_report_lists(spark, sf_dir):
     """The growing lists of the report, one row per entry."""
     return RP.report_lists(_analysis(spark, sf_dir))
@@ -525,5 +538,6 @@ QUERIES = {
     "context_prompt": q_context_prompt,
     "architecture_prompt": q_architecture_prompt,
     "repo_report": q_repo_report,
+    "repo_report_stored": q_repo_report_stored,
     "repo_report_lists": q_repo_report_lists,
 }

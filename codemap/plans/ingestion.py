@@ -33,6 +33,10 @@ class RepoGraph:
             self._cache[name] = build()
         return self._cache[name]
 
+    def preset(self, **pieces: DataFrame) -> None:
+        """Take pieces (edges, pagerank, ...) that are known already, e.g. from a stored version, for these files."""
+        self._cache.update(pieces)
+
     @property
     def tree(self) -> DataFrame:
         """Kept files: a projection of ``files``, neither joined nor written, so each reader prunes it to its columns."""

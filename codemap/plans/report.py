@@ -17,10 +17,13 @@ from .. import constants as K
 from ..operators import context as CX
 from ..operators import evidence as EV
 from ..operators import graph as G
+from ..operators import pagerank as PR
 from ..operators import rank as RK
 from ..operators.llm_output import parse_architecture
+from ..session import stage
 from .ingestion import RepoGraph
 from .prompts import architecture_prompt, context_prompt
+from .versioned import VersionedTable, fingerprint
 
 
 @dataclass
@@ -44,10 +47,10 @@ def latest_reply(parsed: DataFrame) -> DataFrame:
 
 def analyse(files: DataFrame, context_replies: DataFrame, architecture_replies: DataFrame, repos: DataFrame,
             file_vectors: DataFrame | None = None, repo_vectors: DataFrame | None = None,
-            token_budget: int = K.API_TOKEN_BUDGET, budgets: DataFrame | None = None) -> Analysis:
+            token_budget: int = K.API_TOKEN_BUDGET, budgets: DataFrame | None = None, graph: RepoGraph | None = None) -> Analysis:
     """repos(repo_id, repo_url, default_branch). ``budgets(repo_id, token_budget)``: per-request
-    budgets, honoured per repository (``token_budget`` for the rest)."""
-    g = RepoGraph(files)
+    budgets, honoured per repository (``token_budget`` for the rest). ``graph``: that of ``files``, if it is there already."""
+    g = graph or RepoGraph(files)
     ctxf = RK.materialise(CX.context_files(g.tree, g.central(K.CONTEXT_CENTRAL_TOP_N)), "context_files")
     ctx = RK.materialise(CX.pick_context(CX.parse_context(context_replies)), "picked_context")
     fin = RK.materialise(CX.finalise_context(ctx, repos, g.tree, ctxf), "context")
@@ -141,4 +144,36 @@ def write_reports(rep: DataFrame, path: str, fmt: str = "json") -> None:
     rep.write.mode("overwrite").format(fmt).save(path)
 
 
-__all__ = ["analyse", "report", "report_lists", "prompts", "write_reports", "Analysis"]
+#: Part of every fingerprint: raised when a change of the code changes its results.
+RULES = "1"
+
+
+def refresh_reports(path: str, files: DataFrame, context_replies: DataFrame, architecture_replies: DataFrame, repos: DataFrame,
+                    file_vectors: DataFrame | None = None, repo_vectors: DataFrame | None = None, token_budget: int = K.API_TOKEN_BUDGET) -> DataFrame:
+    """The reports of ``repos``, kept under ``path`` and computed only for repositories of which anything has changed since the last call.
+
+    Edges and PageRank are kept by the fingerprint of a repository's files, reports by that of all their inputs: another reply leaves
+    the graph as it is, another file of one repository touches no other one.
+    """
+    spark = files.sparkSession
+    of_files = stage(fingerprint(files.select("repo_id", "path", "tree_ord", "size_bytes", "content"), rules=RULES), "files_fingerprint")
+    inputs = [df for df in (repos, of_files, context_replies, architecture_replies, file_vectors, repo_vectors) if df is not None]
+    of_all = fingerprint(*inputs, rules=f"{RULES}/{token_budget}/{file_vectors is not None}/{repo_vectors is not None}")
+
+    def only(df: DataFrame | None, ids: DataFrame) -> DataFrame | None:
+        return None if df is None else df.join(ids, "repo_id", "left_semi")
+
+    edges = VersionedTable(spark, f"{path}/edges").refresh(of_files, lambda ids: RepoGraph(only(files, ids)).edges)
+    nodes = G.nodes_of(RepoGraph(files).tree)
+    ranks = VersionedTable(spark, f"{path}/pagerank").refresh(of_files, lambda ids: PR.pagerank(only(nodes, ids), only(edges, ids)))
+
+    def compute(ids: DataFrame) -> DataFrame:
+        g = RepoGraph(only(files, ids))
+        g.preset(edges=only(edges, ids), pagerank=only(ranks, ids))
+        parts = [only(df, ids) for df in (context_replies, architecture_replies, repos, file_vectors, repo_vectors)]
+        return report(analyse(g.files, *parts, token_budget, graph=g))
+
+    return VersionedTable(spark, f"{path}/reports").refresh(of_all, compute)
+
+
+__all__ = ["refresh_reports", "analyse", "report", "report_lists", "prompts", "write_reports", "Analysis"]

@@ -823,6 +823,7 @@ LATERAL (SELECT CASE WHEN t.encoding = 'base64' THEN CASE WHEN t.content_b64 = '
         "context_prompt": with_(CPC, "SELECT repo_id, CAST(length(prompt) AS BIGINT) AS chars, md5(prompt) AS prompt_md5, prompt FROM cprompt"),
         "architecture_prompt": with_(APC, "SELECT repo_id, CAST(length(prompt) AS BIGINT) AS chars, md5(prompt) AS prompt_md5, prompt FROM aprompt"),
         "repo_report": with_(rep, rep_sql),
+        "repo_report_stored": with_(rep, rep_sql),
         "repo_report_lists": with_(RPT, f"""SELECT repo_id, 'signal_files' AS list, tree_ord AS ord, path AS value FROM tree WHERE is_signal
 UNION ALL SELECT repo_id, 'compressed_folders', min(tree_ord), regexp_extract(path, '^[^/]*') || ': ' || CAST(count(*) AS VARCHAR) || {q(K.COMPRESSED_FOLDER_TEXT)}
 FROM tree t WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.repo_id = t.repo_id AND s.path = t.path) GROUP BY repo_id, regexp_extract(path, '^[^/]*')"""),
