@@ -1,7 +1,7 @@
 """Regular expressions of the import extraction (JVM) and the whitespace class shared with the oracle.
 
-Sources are read left to right by one ordered alternation per language, so a comment hides a quote
-and a string hides a comment, whichever starts first.
+Python sources are read left to right by one ordered alternation, so a comment hides a quote and a string hides a comment,
+whichever starts first. JavaScript needs a state as well: see ``functions.js_lexer``.
 """
 from __future__ import annotations
 
@@ -27,16 +27,6 @@ PY_FROM_PARTS = r"(?d)from[ \t]*(\.*)[ \t]*(?:(" + DOTTED + r")[ \t]+)?import\b[
 PY_LIST_NOISE = r"[()]"
 EDGE_SPACE = r"^[ \t\r\n]+|[ \t\r\n]+$"
 
-# JavaScript: `import ... from "x"`, `import "x"`, `require("x")`; group 1 or 2 = the module string. Comments, strings and
-# templates stand in the same alternation, so what is inside them is passed over.
-JS_QUOTED = r"""["']([^"'\r\n]*)["']"""
-JS_TOKEN = (r"/\*[\s\S]*?\*/|//[^\n]*"
-            r"|(?<![\w$.])import[ \t\r\n]*(?:[\w$*{}, \t\r\n]+?from[ \t\r\n]*)?" + JS_QUOTED
-            + r"|(?<![\w$.])require[ \t\r\n]*\([ \t\r\n]*" + JS_QUOTED
-            + r'|"(?:[^"\\\n]++|\\.)*+"' + r"|'(?:[^'\\\n]++|\\.)*+'" + r"|`(?:[^`\\]++|\\[\s\S])*+`")
-JS_IS_MODULE = r"^(?:import|require)"
-JS_MODULE = JS_QUOTED + r"$"
-
 # Whitespace as Python's str.split() sees it (fixed set of code points).
 PY_WHITESPACE = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                  r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")

@@ -7,14 +7,15 @@ JVM regex + ``explode``; no Python worker is involved.
 Python rules: ``import a, b.c`` yields each item that is not aliased; ``from m import
 ...`` yields ``m``; a relative ``from .x import y, z`` yields the first non-aliased
 imported name (``y``); ``from . import *`` and ``from __future__ import ...`` yield
-nothing. JavaScript rules: ``import ... from 'x'``, ``import 'x'`` and ``require('x')``
-yield ``x``; ``export ... from``, dynamic ``import()`` and template strings do not.
+nothing. JavaScript rules: ``import ... from 'x'``, ``import 'x'`` and every string argument of ``require('x')``
+yield ``x``, also within a template's ``${...}``; ``export ... from``, dynamic ``import()`` and template strings do not.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import js_lexer as JS
 from ..functions import regex as R
 from .ingest import has_content
 
@@ -47,11 +48,13 @@ def python_imports(tree: DataFrame) -> DataFrame:
 
 
 def javascript_imports(tree: DataFrame) -> DataFrame:
-    """tree -> (repo_id, src, module) for .js / .jsx files, in one pass over the contents."""
-    tokens = F.regexp_extract_all("content", F.lit(R.JS_TOKEN), F.lit(0))
-    modules = F.transform(F.filter(tokens, lambda t: t.rlike(R.JS_IS_MODULE)), lambda t: F.regexp_extract(t, R.JS_MODULE, 1))
-    return (tree.where(F.col("extension").isin(".js", ".jsx") & has_content())
-            .select("repo_id", F.col("path").alias("src"), F.explode(modules).alias("module")))
+    """tree -> (repo_id, src, module) for .js / .jsx files, in one pass over the contents that name an import at all.
+
+    Lexemes go through a generator, so that the fold sees an attribute and not the expression that cuts them.
+    """
+    files = tree.where(F.col("extension").isin(".js", ".jsx") & has_content() & (F.col("content").contains("import") | F.col("content").contains("require")))
+    cut = files.select("repo_id", F.col("path").alias("src"), F.inline(F.array(F.struct(JS.lexemes(F.col("content")).alias("lexemes")))))
+    return cut.select("repo_id", "src", F.explode(JS.modules("lexemes")).alias("module"))
 
 
 def extract_imports(tree: DataFrame) -> DataFrame:

@@ -67,6 +67,51 @@ def test_javascript_strings_and_comments_hide_each_other(spark):
     assert _mods(spark, [("r", "a.js", code)]) == ["./last", "./real"]
 
 
+JS_CASES = [
+    (r"""const r = /['"]/; import a from 'x';""", ["x"]),
+    (r"""const r = /https?:\/\//; import 'z';""", ["z"]),
+    (r"""const r = /[/'"]+/g.test(s) ? 1 : 2; require('a');""", ["a"]),
+    ("let x = a / b; import 'c'; let y = d / e;", ["c"]),
+    ("x = (1 + 2) / 3; require('d') / 4;", ["d"]),
+    ("i++ / 2; import 'e' // it's\nimport 'f'", ["e", "f"]),
+    ("return /'/.test(s); require('g')", ["g"]),
+    ("""const t = `a ${require('h')} b ${`inner ${require("i")} '`} '`; import 'j';""", ["h", "i", "j"]),
+    ("const t = `import 'no' ${ {a: {b: 1}}.a } require('no')`; import 'k'", ["k"]),
+    ("const price = `$${x} it's`; import 'l'", ["l"]),
+    ("""import {a as b, c} from 'm'; import * as n from "n"; import o, {p} from 'o'""", ["m", "n", "o"]),
+    ("import /* 'c' */ a // 'd'\n from /* e */ 'p'", ["p"]),
+    ("import('dyn'); import.meta.url; x.import('no'); export {a} from 'no'; export * from 'no'", []),
+    ("require('a', 'b'); require('a' + 'c'); require(f('d'), 'e'); require(x ? 'f' : 'g')", ["a", "b", "e"]),
+    ("require /* c */ ( 'q' )", ["q"]),
+    ("/** it's a 'doc' // require('no') */ require('r') /*/ require('no') /*/", ["r"]),
+    (r"""const s = 'don\'t'; import 's'""", ["s"]),
+    ("const s = 'unclosed\nimport 't'", ["t"]),
+    ("const s = 'a\\\nb'; import 'u'", ["u"]),
+    ("return <div className='c'>don</div>\n}\nimport 'v'", ["v"]),
+    ("const a = <br/>, b = <p>it's</p>\nimport 'w'", ["w"]),
+    ("a = b // c\n/ 2; import 'x1'", ["x1"]),
+    ("a = // c's\n/'/; import 'x2'", ["x2"]),
+    ("const o = {import: 'no', require: 1}; var from = 'no'; import from from 'from'", ["from"]),
+    ("import\n  z\n  from\n  'y'", ["y"]),
+    ("", []), ("import", []), ("require(", []), ("`${", []),
+]
+
+
+def test_javascript_lexer(spark):
+    rows = [("r", f"f{i}.js", code) for i, (code, _) in enumerate(JS_CASES)]
+    tree = I.ingest(files_df(spark, rows))
+    got = {}
+    for r in IM.javascript_imports(tree).collect():
+        got.setdefault(r.src, []).append(r.module)
+    for i, (code, want) in enumerate(JS_CASES):
+        assert got.get(f"f{i}.js", []) == want, code
+
+
+def test_javascript_files_of_any_size(spark):
+    code = "const a = {" + "k: 'v', " * 20000 + "};\nimport 'end';\n" + "`" + "${ {a: `x` } } " * 3000 + "`; require('last')"
+    assert _mods(spark, [("r", "a.js", code)]) == ["end", "last"]
+
+
 def test_javascript_rules(spark):
     got = _mods(spark, [("r", "src/a.js", JS)])
     assert got == sorted(["./m1", "../main", "lib/fp", "ns", "req"])
