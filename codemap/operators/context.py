@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import paths as P
 from ..functions import regex as R
+from .sorted_lookup import endings
 
-SALTS = 16
 WS_EDGES = "^" + R.PY_WHITESPACE + "|" + R.PY_WHITESPACE + "$"
 
 
@@ -150,10 +150,8 @@ def normalise_entry_points(raw: DataFrame, tree: DataFrame) -> DataFrame:
     """raw(repo_id, ep_ord, raw) -> (repo_id, ep_ord, raw, path): repair cascade
     exact -> 'src/'+p -> unique path ending with p -> unique file name; else null.
 
-    All four steps are equi-joins. The suffix step is not segment-aligned, so each path is
-    cut at the distinct candidate lengths of its repository (a reply names a handful) and matched
-    on equality. The lengths meet the paths by repository and salt, so that the paths of a large
-    repository are split over ``SALTS`` tasks.
+    Three steps are equi-joins. The suffix step is not segment-aligned: it looks candidates up in the sorted order of the
+    reversed paths, in which every path stands once (``sorted_lookup.endings``).
     """
     cand = (raw.select("repo_id", "ep_ord", "raw",
                        F.regexp_replace(py_strip(F.col("raw")), r"^[./]+", "").alias("cand"))
@@ -164,12 +162,8 @@ def normalise_entry_points(raw: DataFrame, tree: DataFrame) -> DataFrame:
     src = (cand.withColumn("sc", F.concat(F.lit("src/"), "cand"))
            .join(paths.withColumnRenamed("path", "sc"), ["repo_id", "sc"], "left_semi")
            .select("repo_id", "ep_ord", F.col("sc").alias("p2")))
-    lens = (cand.groupBy("repo_id").agg(F.collect_set(F.length("cand")).alias("lens"))
-            .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))))
-    sfx = (paths.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS))).join(lens, ["repo_id", "salt"])
-           .select("repo_id", "path", F.explode("lens").alias("len")).where(F.length("path") >= F.col("len"))
-           .select("repo_id", "path", F.expr("substring(path, -len)").alias("cand"))
-           .groupBy("repo_id", "cand").agg(F.count(F.lit(1)).alias("n3"), F.min("path").alias("p3")))
+    sfx = (endings(paths.withColumnRenamed("path", "text"), cand.select("repo_id", F.col("cand").alias("suffix")).distinct())
+           .select("repo_id", F.col("suffix").alias("cand"), F.col("n").alias("n3"), F.col("first").alias("p3")))
     by_name = (paths.groupBy("repo_id", P.filename("path").alias("fname"))
                .agg(F.count(F.lit(1)).alias("n4"), F.min("path").alias("p4")))
     j = (cand.join(exact, ["repo_id", "ep_ord"], "left").join(src, ["repo_id", "ep_ord"], "left")

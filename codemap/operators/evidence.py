@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import paths as P
+from .sorted_lookup import longest_prefixes
 
 WORD = r"[\p{L}\p{N}_]"
 
@@ -87,9 +88,10 @@ def match_nodes(nodes: DataFrame, evidence_map: DataFrame) -> DataFrame:
     stem occurs in the lower-cased label, else whose file name occurs in it.
 
     nodes(repo_id, node_id, label); evidence_map(repo_id, ord, node_id, file, start_line, end_line)
-    -> (repo_id, node_id, label, rule, ord). Containment is an equi-join: the label's substrings, of the
-    lengths that stems and names of its repository have, are looked up in an index of these, pre-aggregated
-    to the first entry, so no pairs of nodes and entries are formed. An empty label contains nothing.
+    -> (repo_id, node_id, label, rule, ord). Containment goes by the places of a label, one row each: in the order of texts, every stem or name that a
+    label has at a place is the one before that place's text or a prefix of it (``sorted_lookup.longest_prefixes``), and carries its prefixes along
+    with the first entry that any of them up to there has. So rows are as many as characters in labels and in names, and
+    no pairs of nodes and entries are formed. An empty label contains nothing.
     """
     em = evidence_map.select("repo_id", "ord", F.col("node_id").alias("e_node"), "file")
     by_id = (nodes.where(F.col("node_id") != "").select("repo_id", "node_id")
@@ -101,13 +103,19 @@ def match_nodes(nodes: DataFrame, evidence_map: DataFrame) -> DataFrame:
             .groupBy("repo_id", "rule", "key").agg(F.min("ord").alias("ord")))
     low = F.lower(F.coalesce(F.col("label"), F.lit("")))
     labelled = nodes.select("repo_id", "node_id", low.alias("low")).where(F.length("low") > 0)
-    lens = (keys.where(F.col("key") != "").groupBy("repo_id").agg(F.collect_set(F.length("key")).alias("lens")))
-    subs = (labelled.join(lens, "repo_id")
-            .select("repo_id", "node_id", "low", F.explode("lens").alias("n")).where(F.length("low") >= F.col("n"))
-            .select("repo_id", "node_id", "low", "n", F.explode(F.sequence(F.lit(1), F.length("low") - F.col("n") + 1)).alias("i"))
-            .select("repo_id", "node_id", F.expr("substring(low, i, n)").alias("key"))
-            .distinct())
-    by_text = subs.join(keys.where(F.col("key") != ""), ["repo_id", "key"]).select("repo_id", "node_id", "rule", "ord")
+    firsts = keys.where(F.col("key") != "").groupBy("repo_id", "key").agg(F.min(F.struct("rule", "ord")).alias("best"))
+    cuts = firsts.select("repo_id", "key", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("n")).withColumn("prefix", F.expr("left(key, n)"))
+    chains = (cuts.join(firsts.select("repo_id", F.col("key").alias("prefix"), "best"), ["repo_id", "prefix"])
+              .groupBy("repo_id", "key").agg(F.array_sort(F.collect_list(F.struct("n", "best"))).alias("c")))
+    # a key's prefixes that are keys, with the first entry of all that are as long or shorter: at most as many as it has characters
+    value = F.expr("transform(c, (p, i) -> named_struct('n', p.n, 'best', array_min(transform(slice(c, 1, i + 1), q -> q.best))))")
+    longest = firsts.groupBy("repo_id").agg(F.max(F.length("key")).alias("longest"))
+    texts = (labelled.join(longest, "repo_id").select("repo_id", F.col("node_id").alias("id"), "low", "longest", F.explode(F.sequence(F.lit(1), F.length("low"))).alias("i"))
+             .select("repo_id", "id", F.expr("substring(low, i, longest)").alias("text")).distinct())
+    got = longest_prefixes(chains.select("repo_id", "key", value.alias("value")), texts)
+    held = got.where(F.col("key").isNotNull()).select("repo_id", F.col("id").alias("node_id"), F.expr("filter(value, p -> startswith(text, left(key, p.n)))").alias("held"))
+    by_text = (held.where(F.size("held") > 0).select("repo_id", "node_id", F.element_at("held", -1)["best"].alias("b"))
+               .groupBy("repo_id", "node_id").agg(F.min("b").alias("b")).select("repo_id", "node_id", "b.rule", "b.ord"))
     # an empty stem or name is contained in every label that is not empty
     empty = (keys.where(F.col("key") == "").groupBy("repo_id", "rule").agg(F.min("ord").alias("ord"))
              .join(labelled.select("repo_id", "node_id"), "repo_id")
