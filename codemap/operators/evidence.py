@@ -39,18 +39,18 @@ def _as_match(kind: str, pord: int):
     return build
 
 
-def extract_evidence(files: DataFrame) -> DataFrame:
+def extract_evidence(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """files(repo_id, path, content[, file_rank]) -> evidence(repo_id, kind, file, file_rank,
     pattern_ord, match_ord, method, value); match_ord counts from 1 within (file, pattern).
 
-    One pass: every pattern yields an array of match structs, the arrays are concatenated
+    ``kinds``: the kinds to look for (all, if none are given); patterns of others are not run. One pass: every pattern yields an array of match structs, the arrays are concatenated
     and exploded once, so the input is scanned a single time.
     """
     if "file_rank" not in files.columns:
         files = files.withColumn("file_rank", F.lit(None).cast("int"))
     src = files.where(F.col("content").isNotNull() & (F.length("content") > 0))
     arrays = []
-    for kind, pord, pat, (mg, vg), ml in PATTERNS:
+    for kind, pord, pat, (mg, vg), ml in (p for p in PATTERNS if kinds is None or p[0] in kinds):
         jp = F.lit(portable(pat, ml))
         vals = F.regexp_extract_all("content", jp, F.lit(vg))
         meth = (F.regexp_extract_all("content", jp, F.lit(mg)) if mg

@@ -29,6 +29,7 @@ from ..session import delete_on_exit, ensure_checkpoint_dir, stage
 from ..sources import listing as SL
 from . import report as RP
 from .ingestion import RepoGraph, ingestion_report
+from .prompts import context_prompt, context_prompt_parts, prompt_manifest
 from .versioned import VersionedTable
 
 SEP = "|"
@@ -285,8 +286,8 @@ def q_compress_folders(spark, sf_dir):
 # ---------------------------------------------------------------------------
 def _evidence_of(spark, sf_dir, kind):
     g = _graph(spark, sf_dir)
-    ev = EV.extract_evidence(RK.candidates(g.tree))
-    return ev.where(F.col("kind") == kind).select("repo_id", "file", "pattern_ord", "match_ord", "method", "value")
+    ev = EV.extract_evidence(RK.candidates(g.tree), (kind,))
+    return ev.select("repo_id", "file", "pattern_ord", "match_ord", "method", "value")
 
 
 def q_evidence_routes(spark, sf_dir):
@@ -442,11 +443,16 @@ def _analysis(spark, sf_dir):
 
 def q_context_prompt(spark, sf_dir):
     g, _, _, cf = _ctx_pieces(spark, sf_dir)
-    from .prompts import context_prompt
     p = context_prompt(g.tree, cf, X.repos(g.files))
     return p.select("repo_id", F.length("prompt").cast("bigint").alias("chars"), F.md5("prompt").alias("prompt_md5"), "prompt")
 
 
+def q_context_prompt_parts(spark, sf_dir):
+    """The manifest of the context prompts' parts."""
+    g, _, _, cf = _ctx_pieces(spark, sf_dir)
+    return prompt_manifest(context_prompt_parts(g.tree, cf, X.repos(g.files)))
+
+
 def q_architecture_prompt(spark, sf_dir):
     a = _analysis(spark, sf_dir)
     _, p = RP.prompts(a)
@@ -536,6 +542,7 @@ QUERIES = {
     "parse_architecture": q_parse_architecture,
     "normalise_flow": q_normalise_flow,
     "context_prompt": q_context_prompt,
+    "context_prompt_parts": q_context_prompt_parts,
     "architecture_prompt": q_architecture_prompt,
     "repo_report": q_repo_report,
     "repo_report_stored": q_repo_report_stored,

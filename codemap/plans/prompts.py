@@ -53,29 +53,63 @@ def _fill(template: list[str], parts: dict[str, Column]) -> Column:
     return F.concat(*pieces)
 
 
-def context_prompt(tree: DataFrame, ctx_files: DataFrame, repos: DataFrame) -> DataFrame:
-    """(repo_id, prompt)."""
+def _context_sections(tree: DataFrame, ctx_files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(repo_id, tree) of the first paths, the signal files with their piece of text, (repo_id, excerpts) of the context files."""
     w = Window.partitionBy("repo_id").orderBy("tree_ord")
     first = tree.select("repo_id", "path", "tree_ord").withColumn("r", F.row_number().over(w)) \
         .where(F.col("r") <= F.lit(K.PROMPT_TREE_FILES))
     tree_s = ordered_join(first, "repo_id", "tree_ord", F.col("path"), "\n", "tree")
-    sig = tree.where(F.col("is_signal"))
-    sig_s = ordered_join(sig, "repo_id", "tree_ord",
-                         F.concat(F.lit("### "), F.col("path"), F.lit("\n"),
-                                  F.substring(F.coalesce("content", F.lit("")), 1, K.SIGNAL_EXCERPT_CHARS)),
-                         "\n\n", "signals")
+    signals = tree.where(F.col("is_signal")).select("repo_id", "tree_ord", F.concat(
+        F.lit("### "), F.col("path"), F.lit("\n"), F.substring(F.coalesce("content", F.lit("")), 1, K.SIGNAL_EXCERPT_CHARS)).alias("piece"))
     exc = ctx_files.where(F.col("content").isNotNull() & (F.length("content") > 0))
     wx = Window.partitionBy("repo_id").orderBy("ctx_rank")
     exc = exc.withColumn("r", F.row_number().over(wx)).where(F.col("r") <= F.lit(K.PROMPT_EXCERPTS))
     exc_s = ordered_join(exc, "repo_id", "ctx_rank",
                          F.concat(F.lit("### "), F.col("path"), F.lit("\n"),
                                   F.substring("content", 1, K.EXCERPT_CHARS)), "\n\n", "excerpts")
+    return tree_s, signals, exc_s
+
+
+def context_prompt(tree: DataFrame, ctx_files: DataFrame, repos: DataFrame) -> DataFrame:
+    """(repo_id, prompt). A prompt lists every signal file: see ``context_prompt_parts`` for repositories with very many."""
+    tree_s, signals, exc_s = _context_sections(tree, ctx_files)
+    sig_s = ordered_join(signals, "repo_id", "tree_ord", F.col("piece"), "\n\n", "signals")
     j = (repos.select("repo_id").join(tree_s, "repo_id", "left").join(sig_s, "repo_id", "left")
          .join(exc_s, "repo_id", "left"))
     return j.select("repo_id", _fill(CONTEXT_TEMPLATE, {
         "tree": F.col("tree"), "signals": F.col("signals"), "excerpts": F.col("excerpts")}).alias("prompt"))
 
 
+#: Places of the tree whose signal files make one part of a prompt: at most so many excerpts.
+PART_FILES = 256
+
+
+def context_prompt_parts(tree: DataFrame, ctx_files: DataFrame, repos: DataFrame, part_files: int = PART_FILES) -> DataFrame:
+    """(repo_id, section, part, text): the context prompt in parts of bounded size; in the order of section and part they concatenate to it.
+
+    Section 0 goes up to the signal files, section 2 begins after them; between, a part holds the signal files of ``part_files`` places of
+    the tree, so a part is joined from a bounded group wherever its repository's other parts are, and no row grows with the repository.
+    """
+    tree_s, signals, exc_s = _context_sections(tree, ctx_files)
+    at = CONTEXT_TEMPLATE.index("{signals}")
+    base = repos.select("repo_id").join(tree_s, "repo_id", "left").join(exc_s, "repo_id", "left")
+    head = base.select("repo_id", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("part"),
+                       F.concat(_fill(CONTEXT_TEMPLATE[:at], {"tree": F.col("tree")}), F.lit("\n\n")).alias("text"))
+    tail = base.select("repo_id", F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("part"),
+                       F.concat(F.lit("\n\n"), _fill(CONTEXT_TEMPLATE[at + 1:], {"excerpts": F.col("excerpts")})).alias("text"))
+    signals = signals.join(repos.select("repo_id"), "repo_id", "left_semi").withColumn("part", F.floor(F.col("tree_ord") / F.lit(part_files)))
+    first = signals.groupBy("repo_id").agg(F.min("part").alias("first"))
+    joined = (signals.groupBy("repo_id", "part").agg(F.array_sort(F.collect_list(F.struct("tree_ord", "piece"))).alias("a")).join(first, "repo_id")
+              .select("repo_id", F.lit(1).alias("section"), "part",
+                      F.concat(F.when(F.col("part") == F.col("first"), F.lit("")).otherwise(F.lit("\n\n")), F.array_join("a.piece", "\n\n")).alias("text")))
+    return head.unionByName(joined).unionByName(tail)
+
+
+def prompt_manifest(parts: DataFrame) -> DataFrame:
+    """(repo_id, n_parts, chars): what a prompt's parts must add up to."""
+    return parts.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_parts"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+
+
 def evidence_line(kind: Column, method: Column, value: Column, file: Column) -> Column:
     return F.concat(kind, F.lit(" "), F.when(method.isNotNull(), F.concat(method, F.lit(" "))).otherwise(F.lit("")),
                     value, F.lit(" ("), file, F.lit(")"))

@@ -821,6 +821,8 @@ LATERAL (SELECT CASE WHEN t.encoding = 'base64' THEN CASE WHEN t.content_b64 = '
         "normalise_flow": with_([RESPONSES] + arch_ctes(), """SELECT repo_id, response_id, CAST(len(flow_mermaid) AS INTEGER) AS n_flows,
   array_to_string(flow_mermaid, '|') AS flow_mermaid FROM arch WHERE parse_ok"""),
         "context_prompt": with_(CPC, "SELECT repo_id, CAST(length(prompt) AS BIGINT) AS chars, md5(prompt) AS prompt_md5, prompt FROM cprompt"),
+        "context_prompt_parts": with_(CPC, """SELECT repo_id, CAST(2 + coalesce(n, 0) AS BIGINT) AS n_parts, CAST(length(prompt) AS BIGINT) AS chars FROM cprompt
+  LEFT JOIN (SELECT repo_id, count(DISTINCT tree_ord // 256) AS n FROM tree WHERE is_signal GROUP BY repo_id) USING (repo_id)"""),
         "architecture_prompt": with_(APC, "SELECT repo_id, CAST(length(prompt) AS BIGINT) AS chars, md5(prompt) AS prompt_md5, prompt FROM aprompt"),
         "repo_report": with_(rep, rep_sql),
         "repo_report_stored": with_(rep, rep_sql),

@@ -88,3 +88,23 @@ def test_scores_cover_every_file(spark):
     cands = spark.createDataFrame([("r", "lib/session.py", "x"), ("r", "lib/orders.py", "y")], "repo_id string, path string, content string")
     kws = spark.createDataFrame([("r", 0, "orders"), ("r", 1, "session")], "repo_id string, kw_ord int, keyword string")
     assert {r.path for r in LX.bm25_scores(cands, kws).collect()} == {"lib/session.py", "lib/orders.py"}
+
+
+def test_prompt_parts_concatenate_to_the_prompt(spark):
+    from codemap.operators import context as CX
+    from codemap.operators import graph as G
+    from codemap.plans import prompts as PM
+    rows = [("o/a", f"pkg{i}/README.md", "é" * (i % 1500)) for i in range(1500)] + [("o/a", "main.py", "import x"), ("o/b", "main.py", "y = 1"), ("o/b", "lib.py", None)]
+    tree = I.ingest(files_df(spark, rows))
+    central = G.nodes_of(tree).select("repo_id", F.col("id").alias("path")).where("path LIKE '%.py'")
+    files = CX.context_files(tree, central)
+    repos = spark.createDataFrame([("o/a",), ("o/b",), ("o/none",)], "repo_id string")
+    whole = {r.repo_id: r.prompt for r in PM.context_prompt(tree, files, repos).collect()}
+    parts = PM.context_prompt_parts(tree, files, repos, part_files=100)
+    got = {}
+    for r in parts.orderBy("repo_id", "section", "part").collect():
+        got[r.repo_id] = got.get(r.repo_id, "") + r.text
+        assert len(r.text) <= 100 * (K.SIGNAL_EXCERPT_CHARS + 40) + 20_000
+    assert got == whole
+    assert {(r.repo_id, r.n_parts, r.chars) for r in PM.prompt_manifest(parts).collect()} == {
+        ("o/a", 17, len(whole["o/a"])), ("o/b", 2, len(whole["o/b"])), ("o/none", 2, len(whole["o/none"]))}
