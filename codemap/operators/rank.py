@@ -149,14 +149,18 @@ def select_top_k(tree: DataFrame, pr: DataFrame, keywords: DataFrame, entry_poin
     bm = materialise(bm25_scores(candidates(tree), keywords), "bm25")
     sem = semantic_shortlist(cands, prs, bm, file_vectors, repo_vectors)
     ranked = materialise(hybrid_rank(cands, prs, bm, sem, entry_points), "ranked")
+    return {"ranked": ranked, "selection": pick(ranked, tree, token_budget, budgets)}
+
+
+def pick(ranked: DataFrame, tree: DataFrame, token_budget=K.TOKEN_BUDGET_DEFAULT, budgets: DataFrame | None = None) -> DataFrame:
+    """The selection of ranked files for one budget, or for each repository's own: the only part of retrieval that depends on it."""
     if budgets is not None:
         per_repo = (ranked.join(budgets.select("repo_id", F.col("token_budget").alias("__budget")), "repo_id", "left")
                     .withColumn("__budget", F.coalesce(F.col("__budget"), F.lit(token_budget))))
         picked = budget_select(per_repo, "__budget")
     else:
         picked = budget_select(ranked, token_budget)
-    selection = materialise(with_texts(materialise(picked, "picked"), tree), "selection")
-    return {"ranked": ranked, "selection": selection}
+    return materialise(with_texts(materialise(picked, "picked"), tree), "selection")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ read back as tables.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,12 +57,21 @@ def analyse(files: DataFrame, context_replies: DataFrame, architecture_replies:
     kw = fin.select("repo_id", F.posexplode("keywords").alias("kw_ord", "keyword"))
     eps = fin.select("repo_id", F.explode("entry_points").alias("path"))
     res = RK.select_top_k(g.tree, g.pagerank, kw, eps, file_vectors, repo_vectors, token_budget, budgets)
-    sel = res["selection"]
+    arch = latest_reply(parse_architecture(architecture_replies)).drop("parse_ok")
+    return Analysis(g, ctxf, fin, res["ranked"], *_picked(g, res["selection"]), arch, repos)
+
+
+def _picked(g: RepoGraph, sel: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A selection with its evidence and what it leaves."""
     ev = RK.materialise(EV.cap_evidence(
         EV.extract_evidence(sel.select("repo_id", "path", F.col("full_content").alias("content"), F.col("rank").alias("file_rank")))), "evidence")
-    comp = RK.compress_folders(g.tree, sel)
-    arch = latest_reply(parse_architecture(architecture_replies)).drop("parse_ok")
-    return Analysis(g, ctxf, fin, res["ranked"], sel, ev, comp, arch, repos)
+    return sel, ev, RK.compress_folders(g.tree, sel)
+
+
+def repick(a: Analysis, budgets: DataFrame, token_budget: int = K.API_TOKEN_BUDGET) -> Analysis:
+    """The analysis with other budgets(repo_id, token_budget): the graph, the context and the ranking stay, files are picked again."""
+    sel, ev, comp = _picked(a.graph, RK.pick(a.ranked, a.graph.tree, token_budget, budgets))
+    return replace(a, selection=sel, evidence=ev, compressed=comp)
 
 
 def report_lists(a: Analysis) -> DataFrame:
@@ -176,4 +185,4 @@ def refresh_reports(path: str, files: DataFrame, context_replies: DataFrame, arc
     return VersionedTable(spark, f"{path}/reports").refresh(of_all, compute)
 
 
-__all__ = ["refresh_reports", "analyse", "report", "report_lists", "prompts", "write_reports", "Analysis"]
+__all__ = ["refresh_reports", "repick", "analyse", "report", "report_lists", "prompts", "write_reports", "Analysis"]

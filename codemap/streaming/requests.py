@@ -30,9 +30,8 @@ def analyse_batch(requests: DataFrame, files: DataFrame, context_replies: DataFr
                   repo_vectors: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame]:
     """One batch of requests -> (one report row per valid request, rejected requests).
 
-    A report carries its request's id and budget. Requests with equal repository and budget share an analysis; the
-    k-th different budgets of all repositories are analysed together, so there are as many passes as the
-    most budgets that one repository has in the batch. No valid request: no reports (None).
+    A report carries its request's id and budget. All repositories are analysed once, up to the ranking of their files; requests with equal repository
+    and budget share a pick, and the k-th different budgets of all repositories are picked together. No valid request: no reports (None).
     """
     norm = normalise_repo_ids(requests)
     rejected = norm.where(F.col("error").isNotNull()).select("request_id", "repo_url", "error")
@@ -41,16 +40,19 @@ def analyse_batch(requests: DataFrame, files: DataFrame, context_replies: DataFr
     turns = (ok.select("repo_id", "token_budget").distinct()
              .withColumn("turn", F.row_number().over(Window.partitionBy("repo_id").orderBy("token_budget"))))
     turns = stage(turns, "budgets")
-    done = None
+    done, a = None, None
     for turn in range(1, (turns.agg(F.max("turn")).first()[0] or 0) + 1):
         budgets = turns.where(F.col("turn") == turn).select("repo_id", "token_budget")
-        keep = budgets.select("repo_id")
-        repos = keep.select("repo_id", F.concat(F.lit("https://github.com/"), F.col("repo_id")).alias("repo_url"),
-                            F.lit(None).cast("string").alias("default_branch"))
-        a = RP.analyse(files.join(keep, "repo_id", "left_semi"),
-                       context_replies.join(keep, "repo_id", "left_semi"),
-                       architecture_replies.join(keep, "repo_id", "left_semi"),
-                       repos, file_vectors, repo_vectors, K.API_TOKEN_BUDGET, budgets)
+        if a is None:  # the first turn has every repository
+            keep = budgets.select("repo_id")
+            repos = keep.select("repo_id", F.concat(F.lit("https://github.com/"), F.col("repo_id")).alias("repo_url"),
+                                F.lit(None).cast("string").alias("default_branch"))
+            a = RP.analyse(files.join(keep, "repo_id", "left_semi"),
+                           context_replies.join(keep, "repo_id", "left_semi"),
+                           architecture_replies.join(keep, "repo_id", "left_semi"),
+                           repos, file_vectors, repo_vectors, K.API_TOKEN_BUDGET, budgets)
+        else:
+            a = RP.repick(a, budgets)
         part = RP.report(a).join(budgets, "repo_id")
         done = part if done is None else done.unionByName(part)
     if done is None:
