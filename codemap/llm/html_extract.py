@@ -1,14 +1,15 @@
 """Main text of web pages by wrapper induction.
 
-1. Every page is parsed into a tree of block elements; runs of siblings with the same tag and classes are
-   one repeated node, so a tree is small however long the page is (its skeleton).
+1. Every page is parsed into a tree of block elements; runs of siblings with the same tag and classes, and of equal groups of such
+   siblings, are one repeated node, so a tree is small however long the page is (its skeleton).
 2. Pages of a host with the same possible content (copies, crawls, mirrors) are one page from here on. Each host's reference
    is its most frequent skeleton. The tree of every different page of the host is aligned to it by simple tree matching
    (matched nodes have equal keys; children are matched in order).
 3. Every different page votes once for the texts of its nodes. A text that a node has in at least ``min_share`` of the
    pages that have the node, and in ``min_pages`` of them, is constant: template. Varying slots are content.
 4. A page's text is what stands in its article (else its body) without template texts and without elements whose
-   tag, role or class says that they are no content (menus, headers, footers, asides, notices, adverts, forms, comments).
+   tag, role or class says that they are no content (menus, headers, footers, asides, notices, adverts, forms, comments). Inside an article a class or id
+   only counts if it says nothing else ("ad-box", not "social-history"); headings are never judged by theirs.
 
 Steps 1 to 3 keep only skeletons and hashes; copies and votes are merged before they are shuffled. The pages themselves are moved once,
 to meet their host's template; a host with very many pages is split there by adaptive execution.
@@ -41,6 +42,11 @@ _MARKS = re.compile(
     r"ad-?(slot|box|unit|container|wrapper|banner)|promo|promoted|promotion|sponsor|sponsored|cookies?|consent|gdpr|notice|notification|popup|pop-?over|modal|overlay|"
     r"newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|related|recommended|recommendations|read-?more|comments?|comment-?(list|section|form|area|thread)|"
     r"disqus|replies|respond|pagination|pager|paging|toolbar|skip-?link|widget|hidden|visually-hidden|sr-only|site-?header|page-?header|search-?(box|form))($|[^a-z])")
+#: Inside an article a name counts only if it says nothing else: all its parts are marks or words for a kind of box.
+_PARTS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar banner advert adverts advertisement ad ads adsense promo promoted promotion "
+                   "sponsor sponsored cookie cookies consent gdpr notice notification popup popover modal overlay newsletter subscribe subscription signup login share sharing social related "
+                   "recommended recommendations comment comments disqus replies respond pagination pager paging toolbar widget hidden visually sr only search".split())
+_BOXES = frozenset("box slot unit container wrapper wrap section list area thread form block bar inner outer panel links buttons button icons posts articles stories items site page left right top bottom".split())
 _OUTSIDE_MARKS = re.compile(r"(^|\s)header($|\s)")
 _NEGATED = re.compile(r"\b(has|no|with|without|hide|show)-[a-z-]+")
 _OTHER_ARTICLES = frozenset("comment reply related teaser promo ad advert sponsored".split())
@@ -50,13 +56,21 @@ _SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Skeletons reach to this depth, because they are matched recursively: elements below share the node above them. Pages are parsed to any depth.
 MAX_DEPTH = 150
+#: Most siblings of a group whose repetitions are one group of the skeleton.
+GROUP = 8
+
+
+def _only_marks(name: str) -> bool:
+    """Whether every part of a class or id name is a mark or a word for a box, and one is a mark."""
+    parts = [p for p in name.split("-") if p and not p.isdigit()]
+    return any(p in _PARTS for p in parts) and all(p in _PARTS or p in _BOXES for p in parts)
 
 
 class Node:
-    __slots__ = ("tag", "key", "children", "dropped", "article", "number", "heading")
+    __slots__ = ("tag", "key", "children", "dropped", "article", "number", "heading", "form")
 
-    def __init__(self, tag, key, dropped, article, heading=False):
-        self.tag, self.key, self.children, self.dropped, self.article, self.number, self.heading = tag, key, [], dropped, article, 0, heading
+    def __init__(self, tag, key, dropped, article, heading=False, form=False):
+        self.tag, self.key, self.children, self.dropped, self.article, self.number, self.heading, self.form = tag, key, [], dropped, article, 0, heading, form
 
 
 class Page(HTMLParser):
@@ -93,7 +107,7 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in INLINE:
-            if not (attrs and self._hidden(tag, attrs)):
+            if not (attrs and self._hidden(tag, attrs, self.stack[-1].article != 0)):
                 self.link_depth += tag == "a"
                 return
         if tag == "br":
@@ -107,7 +121,8 @@ class Page(HTMLParser):
         names = " ".join((v or "") for k, v in attrs if k == "class") if attrs else ""
         key = tag + "." + re.sub(r"\d+", "", names).strip().lower() if names else tag
         inside = up.article
-        dropped = up.dropped and tag != "main" or tag in DROPPED or bool(attrs) and self._hidden(tag, attrs)
+        form = up.form or tag == "form" and not inside  # a form may be the frame of the whole page: see content()
+        dropped = up.dropped and tag != "main" or tag in DROPPED and not (tag == "form" and not inside) or bool(attrs) and self._hidden(tag, attrs, inside != 0)
         dropped = dropped or not inside and _OUTSIDE_MARKS.search(names.lower()) is not None
         heading = up.heading
         if tag == "header":
@@ -126,14 +141,15 @@ class Page(HTMLParser):
         elif inside < 0 and tag == "article" and not dropped:
             self.articles += 1
             inside = self.articles
-        node = Node(tag, key, dropped, inside, heading)
+        node = Node(tag, key, dropped, inside, heading, form and not inside)
         up.children.append(node)
         self.stack.append(node)
         self.open[tag] += 1
         self.link_depth = 0 if tag not in ("li", "td") else self.link_depth
 
     @staticmethod
-    def _hidden(tag, attrs):
+    def _hidden(tag, attrs, inside):
+        """Whether an element's attributes say that it is no content; ``inside`` an article or main element, names must say nothing else."""
         if tag in ("html", "body", "main"):
             return False
         if tag == "article":
@@ -141,7 +157,10 @@ class Page(HTMLParser):
         for k, v in attrs:
             v = (v or "").lower()
             if k in ("class", "id"):
-                if _MARKS.search(_NEGATED.sub("", v.replace("_", "-"))):
+                if tag in _HEADINGS:  # headings are named after what they say
+                    continue
+                names = _NEGATED.sub("", v.replace("_", "-"))
+                if any(_only_marks(name) for name in names.split()) if inside else _MARKS.search(names):
                     return True
             elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and v in ROLES or k == "style" and re.search(r"display\s*:\s*none", v):
                 return True
@@ -197,12 +216,40 @@ class Page(HTMLParser):
         elif size:
             chosen = set(size)
         else:
-            return [b for b in self.blocks if not b[0].dropped and not (b[2] and b[0].tag == "li")], False
+            blocks = [b for b in self.blocks if not b[0].dropped and not (b[2] and b[0].tag == "li")]
+            framed = sum(len(text) for node, text, _ in blocks if node.form)
+            if 2 * framed <= sum(len(text) for _, text, _ in blocks):  # else a form is the frame of the page
+                blocks = [b for b in blocks if not b[0].form]
+            return blocks, False
         return [b for b in self.blocks if not b[0].dropped and b[0].article in chosen], True
 
 
+def _merged(children: list) -> list[list]:
+    """Siblings in groups that are one node of the skeleton: runs of equal keys, and the members of repeated groups of up to GROUP runs, merged place by place."""
+    out: list[list] = []
+    for child in children:
+        if out and out[-1][0].key == child.key:
+            out[-1].append(child)
+            continue
+        out.append([child])
+        for p in range(2, min(GROUP, len(out) // 2) + 1):
+            # a group is complete when the next one begins, with its first key; so what repeats is looked for before the new run
+            if len(out) > 2 * p and all(out[-1 - i][0].key == out[-1 - i - p][0].key for i in range(1, p + 1)):
+                for i in range(1, p + 1):
+                    out[-1 - i - p] += out[-1 - i]
+                del out[-1 - p:-1]
+                break
+    for p in range(2, min(GROUP, len(out) // 2) + 1):
+        if all(out[-i][0].key == out[-i - p][0].key for i in range(1, p + 1)):
+            for i in range(1, p + 1):
+                out[-i - p] += out[-i]
+            del out[-p:]
+            break
+    return out
+
+
 def skeleton(root: Node) -> list:
-    """[key, children...] with runs of equal siblings merged; numbers the nodes in preorder. Elements below MAX_DEPTH get the number of the node there."""
+    """[key, children...] with runs of equal siblings, and of equal groups of siblings, merged; numbers the nodes in preorder. Elements below MAX_DEPTH get the number of the node there."""
     count = 0
 
     def build(nodes, depth=0):
@@ -218,61 +265,96 @@ def skeleton(root: Node) -> list:
                 n.number = nodes[0].number
                 below += n.children
             return out
-        run: list = []
-        for child in (c for n in nodes for c in n.children):
-            if run and run[0].key != child.key:
-                out.append(build(run, depth + 1))
-                run = []
-            run.append(child)
-        if run:
-            out.append(build(run, depth + 1))
+        for group in _merged([c for n in nodes for c in n.children]):
+            out.append(build(group, depth + 1))
         return out
 
     return build([root])
 
 
+class _Match:
+    """Simple tree matching of two skeletons. Equal subtrees have one number, and a pair of numbers is scored once."""
+
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.keys, self.parts, self.sizes, self.scored = [], [], [], {}
+
+    def intern(self, tree: list) -> int:
+        parts = tuple(self.intern(t) for t in tree[1:])
+        found = self.number.setdefault((tree[0], parts), len(self.keys))
+        if found == len(self.keys):
+            self.keys.append(tree[0])
+            self.parts.append(np.array(parts, np.int64))
+            self.sizes.append(1 + sum(self.sizes[p] for p in parts))
+        return found
+
+    def score(self, x: int, y: int) -> int:
+        """Number of pairs of a largest matching of two trees with equal roots; 0 if the roots differ."""
+        if x == y:
+            return self.sizes[x]
+        if self.keys[x] != self.keys[y]:
+            return 0
+        if (x, y) not in self.scored:
+            xs, ys = self.parts[x], self.parts[y]
+            at, end = self.trimmed(xs, ys)
+            ends = sum(self.sizes[t] for t in xs[:at].tolist()) + sum(self.sizes[t] for t in xs[len(xs) - end:].tolist())
+            xs, ys = xs[at:len(xs) - end], ys[at:len(ys) - end]
+            self.scored[x, y] = 1 + ends + int(self.row(xs, ys)[-1])
+        return self.scored[x, y]
+
+    @staticmethod
+    def trimmed(xs: np.ndarray, ys: np.ndarray) -> tuple[int, int]:
+        """How many first and last trees are equal: some largest matching pairs them. The last ones go first: of equal matchings, the latest places are taken."""
+        n = min(len(xs), len(ys))
+        end = int(np.argmax(np.append((xs[len(xs) - n:] != ys[len(ys) - n:])[::-1], True)))
+        n -= end
+        return int(np.argmax(np.append(xs[:n] != ys[:n], True))), end
+
+    def row(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """For every number of first ys, the score of the best order-preserving matching with xs; memory for one row."""
+        best = np.zeros(len(ys) + 1, np.int64)
+        if not len(xs) or not len(ys):
+            return best
+        kinds, place = np.unique(ys, return_inverse=True)
+        scores = {x: np.array([self.score(x, y) for y in kinds.tolist()], np.int64)[place] for x in np.unique(xs).tolist()}
+        for x in xs.tolist():
+            best[1:] = np.maximum(best[1:], best[:-1] + scores[x])
+            np.maximum.accumulate(best, out=best)
+        return best
+
+    def align(self, xs: np.ndarray, ys: np.ndarray) -> list[tuple[int, int]]:
+        """Places of the trees that a largest matching pairs, by halves (Hirschberg), so no table of all pairs is kept."""
+        at, end = self.trimmed(xs, ys)
+        pairs = [(i, i) for i in range(at)] + [(len(xs) - i, len(ys) - i) for i in range(end, 0, -1)]
+        xs, ys = xs[at:len(xs) - end], ys[at:len(ys) - end]
+        if not len(xs) or not len(ys):
+            return pairs
+        if len(xs) == 1:
+            scores = [self.score(int(xs[0]), y) for y in ys.tolist()]
+            j = len(scores) - 1 - int(np.argmax(scores[::-1]))
+            inner = [(0, j)] if scores[j] else []
+        else:
+            half = len(xs) // 2
+            ahead, behind = self.row(xs[:half], ys), self.row(xs[half:][::-1], ys[::-1])[::-1]
+            cut = len(ys) - int(np.argmax((ahead + behind)[::-1]))
+            inner = self.align(xs[:half], ys[:cut]) + [(i + half, j + cut) for i, j in self.align(xs[half:], ys[cut:])]
+        return sorted(pairs + [(i + at, j + at) for i, j in inner])
+
+
 def tree_match(a: list, b: list) -> list[tuple[int, int]]:
     """Simple tree matching of two skeletons: pairs of preorder numbers of a largest order-preserving matching."""
-    size = lambda t: 1 + sum(map(size, t[1:]))
-
-    def match(x, y):
-        if x[0] != y[0]:
-            return 0, None
-        xs, ys = x[1:], y[1:]
-        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        found = {}
-        for i, u in enumerate(xs):
-            for j, v in enumerate(ys):
-                score, inner = match(u, v)
-                found[i, j] = score, inner
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + score)
-        return best[-1][-1] + 1, (best, found)
-
-    pairs = []
-
-    def trace(x, y, at_x, at_y, inner):
-        pairs.append((at_x, at_y))
-        best, found = inner
-        start_x, start_y = [at_x + 1], [at_y + 1]
-        for t in x[1:]:
-            start_x.append(start_x[-1] + size(t))
-        for t in y[1:]:
-            start_y.append(start_y[-1] + size(t))
-        i, j = len(x) - 1, len(y) - 1
-        while i and j:
-            score, deeper = found[i - 1, j - 1]
-            if score and best[i][j] == best[i - 1][j - 1] + score:
-                trace(x[i], y[j], start_x[i - 1], start_y[j - 1], deeper)
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-
-    score, inner = match(a, b)
-    if score:
-        trace(a, b, 0, 0, inner)
-    return pairs
+    match, pairs = _Match(), []
+    todo = [(match.intern(a), match.intern(b), 0, 0)]
+    while todo:
+        x, y, at_x, at_y = todo.pop()
+        if x == y:
+            pairs += [(at_x + i, at_y + i) for i in range(match.sizes[x])]
+        elif match.keys[x] == match.keys[y]:
+            pairs.append((at_x, at_y))
+            xs, ys = match.parts[x], match.parts[y]
+            from_x, from_y = ([at + 1, *(at + 1 + np.cumsum([match.sizes[t] for t in parts.tolist()], dtype=np.int64)).tolist()] for at, parts in ((at_x, xs), (at_y, ys)))
+            todo += [(int(xs[i]), int(ys[j]), from_x[i], from_y[j]) for i, j in match.align(xs, ys)]
+    return sorted(pairs)
 
 
 def _hash(text: str) -> int:

@@ -71,6 +71,56 @@ def test_article_markup():
         assert page_text(source)[0] == want, source[:60]
 
 
+def test_names_inside_an_article_must_say_nothing_else():
+    cases = {
+        "<article><h2 id='related-work'>Related work</h2><p>a</article>": "Related work a",
+        "<article><h3 id='comments'>Comments on the proof</h3><p>a</article>": "Comments on the proof a",
+        "<article><h2 id='menu' class='menu'>The menu</h2><p>a</article>": "The menu a",
+        "<article><section class='social-history'><p>a</section></article>": "a",
+        "<article><div class='hidden-gem'>a</div><p class='notice-board'>b<p class='search-for-truth'>c</article>": "a b c",
+        "<article><p>a</p><div class='ad-slot-3'>x</div><div class='related-posts'>x</div><div id='comments'><p>x</div><ul class='share_buttons'><li>x</ul><p>b</article>": "a b",
+        "<article><p>a<div class='newsletter signup'>x</div><div class='cookie-notice'>x</div><aside>x</aside><form><p>x</form></article>": "a",
+        "<form id='aspnet'><div><h1>T</h1><p>body of the page</p></div><nav>n</nav></form><footer>f</footer>": "T body of the page",
+        "<p>the text of a page without an article</p><form><label>name</label><p>send</form>": "the text of a page without an article",
+        "<form><article><p>a</p><form><p>x</p></form></article></form>": "a",
+        "<h2 id='search'>Search</h2><p>is a word</p>": "Search is a word",
+    }
+    for source, want in cases.items():
+        assert page_text(source)[0] == want, source[:60]
+
+
+def test_long_alternating_pages_are_matched_in_bounded_memory():
+    """Repeated groups are one group; siblings in no order are aligned row by row."""
+    import resource
+    import time
+    rnd = random.Random(8)
+    long = "<article>" + "".join(f"<h2>t{i}</h2><p>a</p><ul><li>b</ul>" for i in range(30_000)) + "</article>"
+    assert len(long) > 1_000_000
+    mixed = ["<body>" + "".join(rnd.choice(("<h2>t</h2>", "<p>a</p>", "<pre>c</pre>", "<h3>d</h3>", "<ul><li>e</ul>")) for _ in range(6_000)) + "</body>" for _ in range(2)]
+    before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    small = html_extract.skeleton(html_extract.Page(long).root)
+    assert len(html_extract._dump(small)) < 200
+    trees = [html_extract.skeleton(html_extract.Page(m).root) for m in mixed]
+    pairs = tree_match(*trees)
+    assert len(pairs) > 2_000 and pairs == sorted(pairs, key=lambda p: p[1])
+    assert tree_match(trees[0], trees[0]) == [(i, i) for i in range(len(tree_match(trees[0], trees[0])))]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000 and time.time() - start < 60
+
+
+def test_boilerplate_that_only_induction_finds(spark):
+    """Neutral tags and class names: what all pages of the host say is template, what varies is content."""
+    rnd = random.Random(9)
+    say = lambda k: " ".join(f"w{rnd.randrange(900)}" for _ in range(k))
+    rows, want = [], {}
+    for i in range(30):
+        parts = [say(rnd.randint(4, 30)) for _ in range(rnd.randint(1, 9))]
+        rows.append((i, f"https://plain.example/{i}", "<html><body><div class='a'><p>Plain Example, since 1999</p></div><div class='b'><div class='c'>All sections of the house</div>"
+                     + f"<h1>{parts[0]}</h1>" + "".join(f"<p>{p}</p><h2>{p} too</h2>" for p in parts) + "<p>Printed by the house</p></div><div class='d'><p>Write to us</p></div></body></html>"))
+        want[i] = " ".join([parts[0], *(f"{p} {p} too" for p in parts)])
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want and all(r.n_template == 4 for r in got)
+
+
 def test_deep_nesting(spark):
     """Elements at any depth close their own start tag, and are dropped like others."""
     def deep(n, i=""):
