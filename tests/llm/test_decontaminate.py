@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from codemap.llm import decontaminate
 from codemap.llm.decontaminate import words
 
@@ -38,19 +40,32 @@ def corpus(seed=1):
     return docs + [(200, None), (201, ""), (5, docs[0][1]), (None, docs[0][1])], items
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("bits", [decontaminate.BITS, 1 << 15])
+def test_equals_brute_force(spark, monkeypatch, bits):
+    """Also where the bitmap is full of the items' bits and lets nearly everything pass."""
+    monkeypatch.setattr(decontaminate, "BITS", bits)
     docs, items = corpus()
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as n_found")
     b = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "3 as doc_id")
     want = brute(docs, items)
     assert len(want) > 40
-    for block in (16 << 20, 400):  # one block, many blocks
-        got = decontaminate.contaminated(d, b, block_bytes=block)
-        assert sorted(((r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in got.collect()), key=str) == want
-        free = decontaminate.clean(d, b, block_bytes=block)
-        bad = {t for _, t in docs if t and brute([(0, t)], items)}
-        assert free.columns == d.columns
-        assert sorted(str(r.doc_id) for r in free.collect()) == sorted(str(i) for i, t in docs if t not in bad)
+    got = decontaminate.contaminated(d, b)
+    assert sorted(((r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in got.collect()), key=str) == want
+    free = decontaminate.clean(d, b)
+    bad = {t for _, t in docs if t and brute([(0, t)], items)}
+    assert free.columns == d.columns
+    assert sorted(str(r.doc_id) for r in free.collect()) == sorted(str(i) for i, t in docs if t not in bad)
+
+
+def test_documents_are_read_once_whatever_the_benchmark(spark):
+    """A benchmark of many items: one pass over the documents, and nothing but bits in a bounded broadcast."""
+    docs, _ = corpus()
+    rnd = random.Random(3)
+    items = [(i, " ".join(f"v{rnd.randrange(5000)}" for _ in range(40))) for i in range(3000)] + [(9999, docs[30][1])]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(decontaminate.bitmap(decontaminate.item_table(b, "item_id", "text", 5, decontaminate.Fraction("0.8"), decontaminate.Scratch(spark, "t")))) == decontaminate.BITS // 8
+    assert (30, 9999) in {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
 
 
 def test_empty_tables(spark):
