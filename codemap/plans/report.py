@@ -101,6 +101,7 @@ def report(a: Analysis, list_limit: int | None = None) -> DataFrame:
     (``report_lists`` has them whole, as rows); the others are bounded by their own rules.
     """
     stats = G.repo_stats(a.graph.tree, a.graph.edges).drop("signal_files")
+    settled = a.graph.pagerank.groupBy("repo_id").agg(F.min("converged").alias("graph_converged"))
     lists = report_lists(a)
     signals, comp = _first(lists, "signal_files", list_limit), _first(lists, "compressed_folders", list_limit)
     central = G.ordered_list(a.graph.central(K.REPORT_CENTRAL_TOP_N), "repo_id", ["rank"], "path", "top_central_files")
@@ -114,7 +115,7 @@ def report(a: Analysis, list_limit: int | None = None) -> DataFrame:
     arch_default = F.lit(K.UNPARSEABLE_ARCHITECTURE)
     out = (a.context.join(stats, "repo_id", "left").join(signals, "repo_id", "left")
            .join(central, "repo_id", "left").join(picked, "repo_id", "left").join(comp, "repo_id", "left")
-           .join(a.architecture.drop("response_id"), "repo_id", "left")
+           .join(settled, "repo_id", "left").join(a.architecture.drop("response_id"), "repo_id", "left")
            .join(a.repos, "repo_id", "left"))
     return out.select(
         "repo_id",
@@ -127,6 +128,8 @@ def report(a: Analysis, list_limit: int | None = None) -> DataFrame:
         F.coalesce("signal_files", empty).alias("signal_files"),
         F.coalesce("graph_nodes", F.lit(0)).cast("bigint").alias("graph_nodes"),
         F.coalesce("graph_edges", F.lit(0)).cast("bigint").alias("graph_edges"),
+        # without convergence, centrality has no part in the ranking
+        F.coalesce("graph_converged", F.lit(True)).alias("graph_converged"),
         F.coalesce("top_central_files", empty).alias("top_central_files"),
         "domain",
         F.coalesce("selected_files", empty).alias("selected_files"),

@@ -802,12 +802,13 @@ SELECT page_id, repo_url, owner, repo, CASE WHEN error IS NULL THEN owner || '/'
   coalesce(array_to_string(a.flow_mermaid, '|'), '') AS flow_mermaid, a.evidence_entries,
   CAST(coalesce(st.total_files, 0) AS BIGINT) AS total_files, coalesce(sg.signal_files, '') AS signal_files,
   CAST(coalesce(st.total_files, 0) AS BIGINT) AS graph_nodes, CAST(coalesce(es.graph_edges, 0) AS BIGINT) AS graph_edges,
-  coalesce(ce.top_central_files, '') AS top_central_files, f.domain, coalesce(sl.selected_files, '') AS selected_files,
+  coalesce(pc.ok, true) AS graph_converged, coalesce(ce.top_central_files, '') AS top_central_files, f.domain, coalesce(sl.selected_files, '') AS selected_files,
   CAST(coalesce(sl.total_selected, 0) AS BIGINT) AS total_selected, CAST(coalesce(sl.estimated_tokens, 0) AS BIGINT) AS estimated_tokens,
   coalesce(cp.compressed_folders, '') AS compressed_folders, split_part(f.repo_id, '/', 1) AS repo_owner,
   regexp_extract(f.repo_id, '[^/]*$') AS repo_name, coalesce(nullif(r.default_branch, ''), 'main') AS default_branch,
   coalesce(CASE WHEN coalesce(a.narrative_summary, '') <> '' THEN a.narrative_summary END, f.summary) AS headline
-FROM fin f LEFT JOIN stats st ON st.repo_id = f.repo_id LEFT JOIN estats es ON es.repo_id = f.repo_id
+FROM fin f LEFT JOIN (SELECT repo_id, bool_and(converged) AS ok FROM pagerank GROUP BY repo_id) pc ON pc.repo_id = f.repo_id
+LEFT JOIN stats st ON st.repo_id = f.repo_id LEFT JOIN estats es ON es.repo_id = f.repo_id
 LEFT JOIN sigl sg ON sg.repo_id = f.repo_id LEFT JOIN cenl ce ON ce.repo_id = f.repo_id LEFT JOIN sell sl ON sl.repo_id = f.repo_id
 LEFT JOIN comp cp ON cp.repo_id = f.repo_id LEFT JOIN arch a ON a.repo_id = f.repo_id LEFT JOIN repos r ON r.repo_id = f.repo_id"""
     return {
