@@ -51,10 +51,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written to WARC archives in the shared folder and read back."""
+    """All pages written to WARC archives in the shared folder and read back: responses with their payloads, and the records that revisit them."""
     path = Scratch(spark, "warc").path("archive")
     warc.archive(table(spark, sf_dir, "pages"), path)
-    return warc.catalogue(warc.read(spark, path))
+    # record types are pushed into the reader, which passes over the blocks of the others
+    return warc.catalogue(warc.read(spark, path).filter("warc_type = 'response'").unionByName(warc.read(spark, path).filter("warc_type = 'revisit'")))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
