@@ -174,8 +174,8 @@ def crossover(into: list[list[int]], giver: list[list[int]], lengths: list[int],
     return Bins(lengths, capacity, injected + kept).fit(displaced).bins
 
 
-def evolve(lengths: list[int], capacity: int, seeds: list[list[list[int]]], seed: int, population: int = 4, generations: int = 6) -> list[list[int]]:
-    """The best packing of an island after some generations; at once if a packing meets the lower bound."""
+def evolve(lengths: list[int], capacity: int, seeds: list[list[list[int]]], seed: int, population: int = 10, patience: int = 30, generations: int = 1000) -> list[list[int]]:
+    """The best packing of an island once ``patience`` generations on end have not bettered it (``generations`` at most); at once if a packing meets the lower bound."""
     rnd = random.Random(seed)
     bound = -(-sum(lengths) // capacity)
     falling = sorted(range(len(lengths)), key=lambda i: -lengths[i])
@@ -186,15 +186,19 @@ def evolve(lengths: list[int], capacity: int, seeds: list[list[list[int]]], seed
     while len(pool) < population:
         jitter = {i: lengths[i] * rnd.uniform(0.9, 1.0) for i in falling}
         pool.append(Bins(lengths, capacity).fit(sorted(falling, key=lambda i: -jitter[i])).bins)
-    for _ in range(generations):
-        pool.sort(key=score, reverse=True)
-        if len(pool[0]) <= bound:
+    rated = sorted(((score(bins), i, bins) for i, bins in enumerate(pool)), reverse=True)
+    idle = 0
+    for i in range(generations):
+        if len(rated[0][2]) <= bound or idle >= patience:
             break
-        a, b = rnd.sample(range(len(pool)), 2)
-        child = crossover(pool[a], pool[b], lengths, capacity, rnd)
-        if score(child) > score(pool[-1]):
-            pool[-1] = child
-    return max(pool, key=score)
+        a, b = rnd.sample(range(len(rated)), 2)
+        child = crossover(rated[a][2], rated[b][2], lengths, capacity, rnd)
+        rating = score(child)
+        idle = 0 if rating > rated[0][0] else idle + 1
+        if rating > rated[-1][0]:
+            rated[-1] = rating, population + i, child
+            rated.sort(reverse=True)
+    return rated[0][2]
 
 
 def _epoch(frame: pd.DataFrame, capacity: int, epoch: int) -> pd.DataFrame:
