@@ -1,19 +1,22 @@
 """Licence scan by canonical digests, in DataFrame operations only.
 
-A text is brought into a canonical form line by line: lower case, spellings that guidelines for licence
-matching treat as equal, no copyright lines, and one space for every run of anything but letters and digits. The
-digest of the whole text is looked up among the digests of known licence texts by a hash join; the digest of every line
+A text is brought into a canonical form: lower case, one space for every run of anything but letters and digits, no copyright statements, and
+spellings that guidelines for licence matching treat as equal (over the joined words, so a phrase may be broken between lines).
+What a statement names as holder ends with its line or sentence, which re-wrapping moves. So a text has two digests: one without the lines, and the first sentences of
+lines, that only state a copyright; and one of all its words less the words "copyright", its sign, years and reserved rights, which does not depend on
+lines at all. Either is looked up among the same digests of known licence texts by a hash join; the digest of every line
 among those of known one-line notices. Texts are never shuffled: only digests leave a row, and the table of known digests is
 as long as the list of licences (Spark broadcasts it if its size allows, else it is a shuffled join).
 """
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codemap.llm.common import Scratch
+from codemap.llm.common import Scratch, named
 from codemap.llm.licence_texts import NOTICES, TEXTS
 
 #: Words that follow "copyright" in sentences, also where a licence's lines are broken before it; a holder's name begins with none of them.
@@ -35,12 +38,20 @@ def _other_word(words: list[str], first: bool = True) -> str:
 
 
 _HOLDER_ENDS = "(19|20)[0-9]{2}|present|authors|contributors|developers|maintainers|inc|incorporated|ltd|limited|llc|gmbh|corp|corporation|foundation|university"
-#: A line that only states a copyright, or reserves all rights: a word or sign, then a sign, a year or a placeholder; a holder's name in
+#: A line that only states a copyright, or reserves all rights: a word or sign, then a sign, a year or a placeholder and up to twenty words; a holder's name in
 #: a line of up to a dozen words; "the" or "by" and what ends as a name or with a year; "(c)" alone only where a year or name ends the line.
-COPYRIGHT_LINE = (r"^[^a-z0-9©]*((copyright|©|\(c\))[^a-z0-9©]*(copyright|©|\(c\)|[0-9]{4}|<|\[)|all rights reserved[^a-z0-9]*$"
+COPYRIGHT_LINE = (r"^[^a-z0-9©]*((copyright|©|\(c\))[^a-z0-9©]*(copyright|©|\(c\)|[0-9]{4}|[<\[][a-z0-9]*)([^a-z0-9]+[a-z0-9]+){0,20}[^a-z0-9]*$|all rights reserved[^a-z0-9]*$"
                   rf"|(copyright|©)[^a-z0-9©]+{_other_word(NOT_HOLDERS)}([^a-z0-9]+[a-z0-9]+){{0,11}}[^a-z0-9]*$"
                   r"|(copyright|©)[^a-z0-9©]*[À-῿぀-퟿][^a-z0-9]*$"
                   rf"|((copyright|©)[^a-z0-9©]+(the|by)|\(c\))([^a-z0-9]+[a-z0-9]+){{0,12}}[^a-z0-9]+({_HOLDER_ENDS})([^a-z0-9]+all rights reserved)?[^a-z0-9]*$)")
+#: What a line must contain to be looked at for a statement.
+COPYRIGHT_SIGNS = ("copyright", "©", "(c)", "all rights reserved")
+#: A line with this says more than who holds the copyright.
+NAMES_LICENCE = "licen"
+#: A statement that is the first sentence of a line which goes on.
+COPYRIGHT_HEAD = r"^[^a-z0-9©]*((copyright|©|\(c\))[^a-z0-9©]*)+[0-9]{4}[^.]{0,80}[.][ \t]+(all rights reserved[.]?[ \t]+)?"
+#: Words of a statement that are left out wherever they stand, in a text of words and single spaces.
+COPYRIGHT_WORDS = r"\b(copyright|c)( (copyright|c))*( [0-9]{4})+( present)?\b|\ball rights reserved\b"
 #: Equivalent spellings, as (pattern, replacement) on lower-case text; fixed values.
 SPELLINGS = (
     ("licence", "license"), ("licencing", "licensing"), ("licencor", "licensor"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"),
@@ -57,28 +68,46 @@ ANY_SPELLING = "|".join(a for a, _ in SPELLINGS)
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
-def canonical_line(line: Column) -> Column:
-    """A line in canonical form; empty for a copyright line."""
-    low = F.lower(line)
-    words = F.trim(F.regexp_replace(low, NOT_WORD, " "))
-    spelled = words
+def words_of(low: Column) -> Column:
+    """The words of a lower-case text, with single spaces."""
+    return F.trim(F.regexp_replace(low, NOT_WORD, " "))
+
+
+def spelled(words: Column) -> Column:
+    """Words with equivalent spellings made one."""
+    done = words
     for old, new in SPELLINGS:
-        spelled = F.replace(spelled, F.lit(old), F.lit(new))
-    return F.when(low.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(F.when(words.rlike(ANY_SPELLING), spelled).otherwise(words))
+        done = F.replace(done, F.lit(old), F.lit(new))
+    return F.when(words.rlike(ANY_SPELLING), done).otherwise(words)
+
+
+def lines_of(text: Column) -> Column:
+    """For each line, its words (w) and those that are left without a copyright statement (left); of null, one empty line."""
+    low = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n")
+    signed = lambda line: reduce(lambda a, b: a | b, [line.contains(sign) for sign in COPYRIGHT_SIGNS])
+    left = lambda line: F.when(~line.contains(NAMES_LICENCE) & line.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(words_of(F.regexp_replace(line, F.lit(COPYRIGHT_HEAD), F.lit(""))))
+    worded = F.transform(low, lambda line: F.struct(line.alias("line"), words_of(line).alias("w")))
+    return F.transform(worded, lambda x: F.struct(x["w"].alias("w"), F.when(signed(x["line"]), left(x["line"])).otherwise(x["w"]).alias("left")))
+
+
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
-def canonical_lines(text: Column) -> Column:
-    """The canonical lines of a text that are not empty; none for null."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return F.filter(F.transform(lines, canonical_line), lambda x: x != "")
+def digests_of(lines: str) -> tuple[Column, Column]:
+    """The two digests of a column of ``lines_of``: without statements by line and sentence, and by words alone."""
+    words = _joined(F.transform(lines, lambda x: x["w"]))
+    bare = F.when(words.contains("copyright") | words.contains(" c ") | words.contains("all rights reserved"),
+                  F.trim(F.regexp_replace(F.regexp_replace(words, F.lit(COPYRIGHT_WORDS), F.lit(" ")), F.lit(" +"), F.lit(" ")))).otherwise(words)
+    return F.md5(spelled(_joined(F.transform(lines, lambda x: x["left"])))), F.md5(spelled(bare))
 
 
 def known(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, licence_id) of texts: licence id -> its forms. Equal digests give the smallest id."""
+    """(kind, digest, licence_id) of texts: licence id -> its forms; both digests, as kinds 1 and 2. Equal digests give the smallest id."""
     given = [(name, form) for name, forms in (TEXTS if texts is None else texts).items() for form in forms]
-    frame = spark.createDataFrame(given, "licence_id string, text string")
-    digest = F.md5(F.array_join(canonical_lines(F.col("text")), " "))
-    return frame.select(digest.alias("digest"), "licence_id").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
+    frame = spark.createDataFrame(given, "licence_id string, text string").select("licence_id", lines_of(F.col("text")).alias("lines"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), d.alias("digest")) for i, d in enumerate(digests_of("lines"), 1))))
+    return frame.select("licence_id", kinds.alias("k")).groupBy("k.kind", "k.digest").agg(F.min("licence_id").alias("licence_id"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, list[str]] | None = None,
@@ -87,16 +116,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
 
     licence_id names the licence that the whole text is, else null; notices the ids of one-line notices in it,
     sorted and comma-joined. A null or empty text, or one of copyright lines only, has the digest of the empty text and no licence.
-    Repeated rows and null ids each give their row.
+    Repeated rows and null ids each give their row; other columns are not read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "licences")
-    lined = docs.select(F.col(id_col).cast("long").alias("id"), canonical_lines(F.col(text_col)).alias("lines"))
-    digests = lined.select("id", F.md5(F.array_join("lines", " ")).alias("digest"), F.transform("lines", F.md5).alias("each"))
-    digests = scratch.keep(digests, "digests")
+    # lines go through a generator, so that the digests see an attribute and cut the text once
+    lined = docs.select(named(id_col).cast("long").alias("id"), F.inline(F.array(F.struct(lines_of(named(text_col)).alias("lines")))))
+    first, second = digests_of("lines")
+    each = F.transform(F.filter("lines", lambda x: x["left"] != ""), lambda x: F.md5(spelled(x["left"])))
+    digests = scratch.keep(lined.select("id", first.alias("digest"), second.alias("bare"), each.alias("each")), "digests")
     whole, lines = known(spark, texts), known(spark, NOTICES if notices is None else notices)
     empty = F.md5(F.lit(""))
-    found = (digests.select("digest", F.explode("each").alias("line")).join(lines.withColumnRenamed("digest", "line"), "line")
+    found = (digests.select("digest", F.explode("each").alias("line")).join(lines.filter("kind = 1").select(F.col("digest").alias("line"), "licence_id"), "line")
              .groupBy("digest").agg(F.array_join(F.sort_array(F.collect_set("licence_id")), ",").alias("notices")))
-    named = digests.select("id", "digest").join(whole.filter(F.col("digest") != empty), "digest", "left")
-    return (named.join(scratch.keep(found, "found"), "digest", "left")
-            .select(F.col("id").alias(id_col), "digest", "licence_id", F.coalesce("notices", F.lit("")).alias("notices")))
+    whole = whole.filter(F.col("digest") != empty)
+    by_line = whole.filter("kind = 1").select("digest", F.col("licence_id").alias("by_line"))
+    by_word = whole.filter("kind = 2").select(F.col("digest").alias("bare"), F.col("licence_id").alias("by_word"))
+    named_ = digests.select("id", "digest", "bare").join(by_line, "digest", "left").join(by_word, "bare", "left")
+    return (named_.join(scratch.keep(found, "found"), "digest", "left")
+            .select(F.col("id").alias(id_col), "digest", F.coalesce("by_line", "by_word").alias("licence_id"), F.coalesce("notices", F.lit("")).alias("notices")))

@@ -10,29 +10,37 @@ def _quoted(text: str) -> str:
 
 
 def _licence_sql() -> str:
-    """Canonical lines with string functions and unnested lines instead of arrays; the known texts stand in the statement."""
-    def canonical(line: str) -> str:
-        words = f"trim(regexp_replace(lower({line}), '{licences.NOT_WORD}', ' ', 'g'))"
+    """Canonical forms with string functions and unnested lines instead of arrays; the known texts stand in the statement."""
+    def words(text: str) -> str:
+        return f"trim(regexp_replace({text}, '{licences.NOT_WORD}', ' ', 'g'))"
+
+    def spelled(text: str) -> str:
         for old, new in licences.SPELLINGS:
-            words = f"replace({words}, '{old}', '{new}')"
-        return f"CASE WHEN regexp_matches(lower({line}), '{licences.COPYRIGHT_LINE}') THEN '' ELSE {words} END"
+            text = f"replace({text}, '{old}', '{new}')"
+        return text
 
     def forms(texts: dict) -> str:
         return ", ".join(f"({_quoted(name)}, {_quoted(f)})" for name, fs in texts.items() for f in fs)
 
+    left = f"CASE WHEN l NOT LIKE '%licen%' AND regexp_matches(l, '{licences.COPYRIGHT_LINE}') THEN '' ELSE {words(f"regexp_replace(l, '{licences.COPYRIGHT_HEAD}', '')")} END"
+    bare = f"trim(regexp_replace(regexp_replace(w, '{licences.COPYRIGHT_WORDS}', ' ', 'g'), ' +', ' ', 'g'))"
     return f"""
 WITH given(kind, licence_id, t) AS (
   SELECT 'whole', * FROM (VALUES {forms(TEXTS)}) UNION ALL SELECT 'notice', * FROM (VALUES {forms(NOTICES)})),
-src AS (SELECT row_number() OVER () AS r, 'doc' AS kind, doc_id, NULL AS licence_id, coalesce(text, '') AS t FROM documents
-        UNION ALL SELECT -row_number() OVER (), kind, NULL, licence_id, t FROM given),
-lines AS (SELECT r, i, {canonical("l")} AS c FROM (SELECT r, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM src)),
-whole AS (SELECT src.r, any_value(kind) AS kind, any_value(doc_id) AS doc_id, any_value(licence_id) AS licence_id,
-                 md5(coalesce(string_agg(c, ' ' ORDER BY i) FILTER (c <> ''), '')) AS digest FROM src LEFT JOIN lines USING (r) GROUP BY src.r),
+src AS (SELECT row_number() OVER () AS r, 'doc' AS kind, doc_id, NULL AS licence_id, lower(coalesce(text, '')) AS t FROM documents
+        UNION ALL SELECT -row_number() OVER (), kind, NULL, licence_id, lower(t) FROM given),
+cut AS (SELECT r, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM src),
+lines AS (SELECT r, i, {words("l")} AS w, {left} AS c FROM cut),
+joined AS (SELECT src.r, any_value(kind) AS kind, any_value(doc_id) AS doc_id, any_value(licence_id) AS licence_id,
+                  coalesce(string_agg(c, ' ' ORDER BY i) FILTER (c <> ''), '') AS c, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (w <> ''), '') AS w
+           FROM src LEFT JOIN lines USING (r) GROUP BY src.r),
+whole AS (SELECT r, kind, doc_id, licence_id, md5({spelled("c")}) AS digest, md5({spelled(bare)}) AS bare FROM joined),
 known AS (SELECT kind, digest, min(licence_id) AS licence_id FROM whole WHERE kind <> 'doc' GROUP BY kind, digest),
+worded AS (SELECT bare, min(licence_id) AS licence_id FROM whole WHERE kind = 'whole' GROUP BY bare),
 hits AS (SELECT r, string_agg(DISTINCT licence_id, ',' ORDER BY licence_id) AS notices
-         FROM lines JOIN known ON known.kind = 'notice' AND known.digest = md5(c) WHERE c <> '' GROUP BY r)
-SELECT w.doc_id::BIGINT AS doc_id, w.digest, k.licence_id, coalesce(notices, '') AS notices
-FROM whole w LEFT JOIN known k ON k.kind = 'whole' AND k.digest = w.digest LEFT JOIN hits USING (r) WHERE w.kind = 'doc'
+         FROM lines JOIN known ON known.kind = 'notice' AND known.digest = md5({spelled("c")}) WHERE c <> '' GROUP BY r)
+SELECT w.doc_id::BIGINT AS doc_id, w.digest, coalesce(k.licence_id, b.licence_id) AS licence_id, coalesce(notices, '') AS notices
+FROM whole w LEFT JOIN known k ON k.kind = 'whole' AND k.digest = w.digest LEFT JOIN worded b ON b.bare = w.bare LEFT JOIN hits USING (r) WHERE w.kind = 'doc'
 """
 
 

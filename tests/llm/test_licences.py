@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 from pathlib import Path
 
 import regex
@@ -16,26 +17,52 @@ CASES = [
 ]
 
 
+def plain(text):
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", text).strip(" ")
+
+
+def spell(words):
+    for a, b in licences.SPELLINGS:
+        words = words.replace(a, b)
+    return words
+
+
 def canonical(text):
+    """The words of each line without a copyright statement."""
     out = []
-    for line in (text or "").split("\n"):
-        low = line.lower()
-        if re.search(licences.COPYRIGHT_LINE, low):
-            continue
-        w = regex.sub(r"[^\p{L}\p{N}]+", " ", low).strip(" ")
-        for a, b in licences.SPELLINGS:
-            w = w.replace(a, b)
-        if w:
-            out.append(w)
-    return out
+    for line in (text or "").lower().split("\n"):
+        if "licen" in line or not re.search(licences.COPYRIGHT_LINE, line):
+            out.append(plain(re.sub(licences.COPYRIGHT_HEAD, "", line)))
+    return [w for w in out if w]
+
+
+def bare(text):
+    """All words, whatever the lines."""
+    out, words, i = [], plain((text or "").lower()).split(), 0
+    while i < len(words):
+        j = i
+        while j < len(words) and words[j] in ("copyright", "c"):
+            j += 1
+        k = j
+        while k < len(words) and re.fullmatch("[0-9]{4}", words[k]):
+            k += 1
+        if j > i and k > j:
+            i = k + (words[k:k + 1] == ["present"])
+        elif words[i:i + 3] == ["all", "rights", "reserved"]:
+            i += 3
+        else:
+            out.append(words[i])
+            i += 1
+    return spell(" ".join(out))
 
 
 def brute(text):
     key = lambda t: hashlib.md5(t.encode()).hexdigest()
-    lines = canonical(text)
-    whole = {key(" ".join(canonical(f))): n for n, fs in sorted(TEXTS.items(), reverse=True) for f in fs}
-    notice = {key(" ".join(canonical(f))): n for n, fs in sorted(NOTICES.items(), reverse=True) for f in fs}
-    return key(" ".join(lines)), whole.get(key(" ".join(lines))), ",".join(sorted({notice[key(x)] for x in lines if key(x) in notice}))
+    lines, whole = canonical(text), lambda t: spell(" ".join(canonical(t)))
+    by_line = {whole(f): n for n, fs in sorted(TEXTS.items(), reverse=True) for f in fs}
+    by_word = {bare(f): n for n, fs in sorted(TEXTS.items(), reverse=True) for f in fs}
+    notice = {whole(f): n for n, fs in sorted(NOTICES.items(), reverse=True) for f in fs}
+    return key(whole(text)), by_line.get(whole(text)) or by_word.get(bare(text)), ",".join(sorted({notice[spell(x)] for x in lines if spell(x) in notice}))
 
 
 def test_equals_brute_force(spark):
@@ -95,6 +122,30 @@ def test_copyright_lines(spark):
     assert {r.licence_id for r in licences.scan(spark.createDataFrame(broken, "doc_id long, text string")).collect()} == {"MIT"}
 
 
+def test_known_texts_are_found_however_they_are_wrapped(spark):
+    """Every form of every known text at widths from 40 to 120, and with a line for each paragraph."""
+    rows = []
+    for name, forms in TEXTS.items():
+        for form in forms:
+            paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", form)]
+            for width in (*range(40, 121, 16), 10 ** 9):
+                wrapped = ("\n".join(textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False)) for p in paragraphs)
+                rows.append((name, "\n\n".join(wrapped)))
+    got = licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").repartition(8)).collect()
+    words = {name: {bare(f) for f in forms} for name, forms in TEXTS.items()}
+    assert all(r.licence_id == rows[r.doc_id][0] or words[r.licence_id or "?"] & words[rows[r.doc_id][0]] for r in got)
+
+
+def test_statements_take_nothing_else_along(spark):
+    one_line = "Copyright 2020 Foo. " + " ".join(MIT.split())
+    rows = [(1, one_line), (2, "Copyright 2020 Foo. SPDX-License-Identifier: MIT"), (3, "Copyright 2019 was the year in which we wrote a very long sentence that says a lot about nothing at all and goes on and on until it ends."),
+            (4, "Copyright (c) 2020 Foo Inc. All rights reserved. " + " ".join(MIT.split())), (5, "(c) 2020 Foo\n\n" + " ".join(MIT.split()))]
+    got = {r.doc_id: (r.licence_id, r.notices, r.digest) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    empty = hashlib.md5(b"").hexdigest()
+    assert got[1][0] == got[5][0] == "MIT" and got[2][1] == "MIT" and got[3][2] != empty
+    assert got[4][0] in ("MIT", None)  # "Inc." ends the sentence that names the holder
+
+
 def test_plan_is_native(spark, capsys):
     licences.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string")).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
