@@ -105,4 +105,13 @@ SELECT doc_id::BIGINT AS doc_id, item_id::BIGINT AS item_id, q::BIGINT AS n_shin
 FROM hit JOIN size USING (b) WHERE 5 * found >= 4 * q
 """
 
-SQL: dict[str, str] = {"op2_lm_score": OP2, "op3_licences": _licence_sql(), "op9_quality": OP9, "op10_decontamination": OP10}
+OP13 = r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score,
+             row_number() OVER (PARTITION BY q.r ORDER BY list_inner_product(q.x, c.x) DESC, c.vec_id ASC NULLS LAST, c.r) AS rank
+      FROM v q JOIN v c ON c.r <> q.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM s WHERE rank <= 20
+"""
+
+SQL: dict[str, str] = {"op2_lm_score": OP2, "op3_licences": _licence_sql(), "op9_quality": OP9, "op10_decontamination": OP10, "op13_topk": OP13}
