@@ -73,12 +73,12 @@ def words_of(low: Column) -> Column:
     return F.trim(F.regexp_replace(low, NOT_WORD, " "))
 
 
-def spelled(words: Column) -> Column:
-    """Words with equivalent spellings made one."""
+def spelled(words: Column, any_: Column) -> Column:
+    """Words with equivalent spellings made one, where ``any_`` (some spelling may be there) holds."""
     done = words
     for old, new in SPELLINGS:
         done = F.replace(done, F.lit(old), F.lit(new))
-    return F.when(words.rlike(ANY_SPELLING), done).otherwise(words)
+    return F.when(any_, done).otherwise(words)
 
 
 def lines_of(text: Column) -> Column:
@@ -94,19 +94,33 @@ def _joined(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
-def digests_of(lines: str) -> tuple[Column, Column]:
-    """The two digests of a column of ``lines_of``: without statements by line and sentence, and by words alone."""
-    words = _joined(F.transform(lines, lambda x: x["w"]))
-    bare = F.when(words.contains("copyright") | words.contains(" c ") | words.contains("all rights reserved"),
-                  F.trim(F.regexp_replace(F.regexp_replace(words, F.lit(COPYRIGHT_WORDS), F.lit(" ")), F.lit(" +"), F.lit(" ")))).otherwise(words)
-    return F.md5(spelled(_joined(F.transform(lines, lambda x: x["left"])))), F.md5(spelled(bare))
+def prepared(texts: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """The kept columns, the ``lines`` of a text, all its ``words``, and whether any spelling is among them (``any_spelling``).
+
+    Each goes through a generator, so that what follows sees an attribute and no expression is worked out twice.
+    """
+    lines = texts.select(*keep, F.inline(F.array(F.struct(lines_of(text).alias("lines")))))
+    words = lines.select(*keep, "lines", F.inline(F.array(F.struct(_joined(F.transform("lines", lambda x: x["w"])).alias("words")))))
+    spellings = F.array(*(F.lit(old) for old, _ in SPELLINGS))
+    found = F.exists(spellings, lambda old: F.col("words").contains(old))
+    return words.select(*keep, "lines", "words", F.inline(F.array(F.struct(found.alias("any_spelling")))))
+
+
+def digests() -> tuple[Column, Column]:
+    """The two digests of rows of ``prepared``: without statements by line and sentence, and by words alone. Most texts state no copyright: both are that of their words."""
+    words, any_ = F.col("words"), F.col("any_spelling")
+    stated = F.exists("lines", lambda x: x["left"] != x["w"])
+    bare = F.trim(F.regexp_replace(F.regexp_replace(words, F.lit(COPYRIGHT_WORDS), F.lit(" ")), F.lit(" +"), F.lit(" ")))
+    signed = words.contains("copyright") | words.contains(" c ") | words.startswith("c ") | words.contains("all rights reserved")
+    first = F.when(stated, spelled(_joined(F.transform("lines", lambda x: x["left"])), any_)).otherwise(spelled(words, any_))
+    return F.md5(first), F.md5(spelled(F.when(signed, bare).otherwise(words), any_))
 
 
 def known(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """(kind, digest, licence_id) of texts: licence id -> its forms; both digests, as kinds 1 and 2. Equal digests give the smallest id."""
     given = [(name, form) for name, forms in (TEXTS if texts is None else texts).items() for form in forms]
-    frame = spark.createDataFrame(given, "licence_id string, text string").select("licence_id", lines_of(F.col("text")).alias("lines"))
-    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), d.alias("digest")) for i, d in enumerate(digests_of("lines"), 1))))
+    frame = prepared(spark.createDataFrame(given, "licence_id string, text string"), F.col("text"), "licence_id")
+    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), d.alias("digest")) for i, d in enumerate(digests(), 1))))
     return frame.select("licence_id", kinds.alias("k")).groupBy("k.kind", "k.digest").agg(F.min("licence_id").alias("licence_id"))
 
 
@@ -119,18 +133,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
     Repeated rows and null ids each give their row; other columns are not read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "licences")
-    # lines go through a generator, so that the digests see an attribute and cut the text once
-    lined = docs.select(named(id_col).cast("long").alias("id"), F.inline(F.array(F.struct(lines_of(named(text_col)).alias("lines")))))
-    first, second = digests_of("lines")
-    each = F.transform(F.filter("lines", lambda x: x["left"] != ""), lambda x: F.md5(spelled(x["left"])))
-    digests = scratch.keep(lined.select("id", first.alias("digest"), second.alias("bare"), each.alias("each")), "digests")
+    source = prepared(docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text")), F.col("text"), "id")
+    first, second = digests()
+    line = lambda x: spelled(x["left"], F.col("any_spelling") & x["left"].rlike(ANY_SPELLING))
+    each = F.transform(F.filter("lines", lambda x: x["left"] != ""), lambda x: F.md5(line(x)))
+    found_digests = scratch.keep(source.select("id", first.alias("digest"), second.alias("bare"), each.alias("each")), "digests")
     whole, lines = known(spark, texts), known(spark, NOTICES if notices is None else notices)
     empty = F.md5(F.lit(""))
-    found = (digests.select("digest", F.explode("each").alias("line")).join(lines.filter("kind = 1").select(F.col("digest").alias("line"), "licence_id"), "line")
+    found = (found_digests.select("digest", F.explode("each").alias("line")).join(lines.filter("kind = 1").select(F.col("digest").alias("line"), "licence_id"), "line")
              .groupBy("digest").agg(F.array_join(F.sort_array(F.collect_set("licence_id")), ",").alias("notices")))
     whole = whole.filter(F.col("digest") != empty)
     by_line = whole.filter("kind = 1").select("digest", F.col("licence_id").alias("by_line"))
     by_word = whole.filter("kind = 2").select(F.col("digest").alias("bare"), F.col("licence_id").alias("by_word"))
-    named_ = digests.select("id", "digest", "bare").join(by_line, "digest", "left").join(by_word, "bare", "left")
+    named_ = found_digests.select("id", "digest", "bare").join(by_line, "digest", "left").join(by_word, "bare", "left")
     return (named_.join(scratch.keep(found, "found"), "digest", "left")
             .select(F.col("id").alias(id_col), "digest", F.coalesce("by_line", "by_word").alias("licence_id"), F.coalesce("notices", F.lit("")).alias("notices")))
