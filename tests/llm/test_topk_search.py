@@ -32,7 +32,7 @@ def small_blocks(monkeypatch):
         monkeypatch.setattr(topk_search, name, value)
 
 
-@pytest.mark.parametrize("seed,spread", [(1, 1.0), (2, 0.7), (3, 0.3)])
+@pytest.mark.parametrize("seed,spread", [(1, 1.0), (3, 0.3)])
 def test_random(spark, small_blocks, seed, spread):
     rng = np.random.default_rng(seed)
     data = rng.standard_normal((400, 13)) * spread ** np.arange(13) * rng.choice([0.1, 1, 3], (400, 1))

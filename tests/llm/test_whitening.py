@@ -43,7 +43,7 @@ def check(rows_of, got, explained, exact=1e-6):
             assert abs(r.explained / explained[c - 1] - 1) < 1e-4 and 0 <= r.identity_error < 1e-6
 
 
-@pytest.mark.parametrize("n,d,spread", [(300, 24, 1.0), (40, 5, 1.0), (200, 20, 0.7), (12, 20, 1.0)])
+@pytest.mark.parametrize("n,d,spread", [(300, 24, 1.0), (40, 5, 0.7), (12, 20, 1.0)])
 def test_against_eigenvectors(spark, n, d, spread):
     rng = np.random.default_rng(n)
     data = (rng.standard_normal((n, d)) * spread ** np.arange(d) * 2).tolist()
