@@ -23,10 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codemap.llm.common import Scratch, chunks, fresh, map_batches, named, rows
+from codemap.llm.common import Scratch, fresh, map_batches, named, rows
 
 _WORD = re.compile(r"\w+")
-CHUNK_CHARS = 2_000_000
 #: Bits of the items' bitmap (8 MB), a power of two.
 BITS = 1 << 26
 #: Bits of one of the bitmap's pieces, as Spark's bitmap functions have them.
