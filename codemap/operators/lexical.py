@@ -9,6 +9,8 @@ the vocabulary score 0. score(d) = Σ_q idf(q)·tf(q,d)·(k1+1) / (tf + k1·(1 -
 
 Everything is grouped on (repo_id, term) or (repo_id, path) with partial aggregation;
 per-repository scalars are joined back (small: AQE broadcasts them after measuring).
+Terms of the same df in a repository have the same idf, so the average needs how many terms have which df, not
+the terms; and only the query's terms need an idf of their own.
 """
 from __future__ import annotations
 
@@ -21,7 +23,7 @@ from ..functions import regex as R
 
 def tokens(text) -> "F.Column":
     """Python-style whitespace split with empties dropped."""
-    return F.filter(F.split(text, R.PY_WHITESPACE), lambda t: t != "")
+    return F.array_remove(F.split(text, R.PY_WHITESPACE), "")
 
 
 def doc_terms(cands: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def doc_terms(cands: DataFrame) -> DataFrame:
     through a generator, so that the lambdas see attributes and not the expressions that make them.)
     """
     text = F.lower(F.concat(F.col("path"), F.lit(" "), F.coalesce("content", F.lit(""))))
-    sorted_ = cands.select("repo_id", "path", F.inline(F.array(F.struct(F.array_sort(tokens(text)).alias("t")))))
+    sorted_ = cands.select("repo_id", "path", F.inline(F.array(F.struct(F.sort_array(tokens(text)).alias("t")))))
     change = F.expr("filter(sequence(1, size(t)), i -> i = 1 OR t[i - 1] <> t[i - 2])")
     cut = sorted_.where(F.size("t") > 0).select("repo_id", "path", F.size("t").cast("bigint").alias("dl"), F.inline(F.array(F.struct("t", change.alias("at")))))
     each = F.expr("transform(at, (a, i) -> named_struct('first', i = 0, 'term', t[a - 1], 'tf', cast(coalesce(get(at, i + 1), size(t) + 1) - a as bigint)))")
@@ -45,7 +47,7 @@ def raw_idf(df: Column, n_docs: Column) -> Column:
 def corpus_stats(cands: DataFrame, epsilon: float = K.BM25_EPSILON) -> dict:
     """Per-repository corpus statistics and floored idf.
 
-    Returns dict of DataFrames: docs(repo_id, path, dl), repo(repo_id, n_docs, avgdl, average_idf),
+    Returns dict of DataFrames: docs(repo_id, path, dl), repo(repo_id, n_docs, avgdl, average_idf, n_terms),
     tf(repo_id, path, term, tf), idf(repo_id, term, df, idf). The texts are read once: the counted terms are written,
     and lengths, document frequencies and the statistics come from them (a path is a token, so every
     candidate has a row).
@@ -54,18 +56,31 @@ def corpus_stats(cands: DataFrame, epsilon: float = K.BM25_EPSILON) -> dict:
     return statistics(stage(doc_terms(cands), "bm25_tf"), epsilon)
 
 
+def file_counts(docs: DataFrame) -> DataFrame:
+    """(repo_id, n_docs, avgdl) of docs(repo_id, path, dl)."""
+    return docs.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+
+def average_idf(dfs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(repo_id, average_idf, n_terms) of dfs(repo_id, term, df): the vocabulary shrinks to a row for each df before it meets the repositories."""
+    equal = dfs.groupBy("repo_id", "df").agg(F.count(F.lit(1)).alias("n")).join(counts.select("repo_id", "n_docs"), "repo_id")
+    total = F.sum(F.col("n") * raw_idf(F.col("df"), F.col("n_docs")))
+    return equal.groupBy("repo_id").agg((total / F.sum("n")).alias("average_idf"), F.sum("n").alias("n_terms"))
+
+
+def floored_idf(epsilon: float) -> Column:
+    """A term's idf from df, n_docs and average_idf."""
+    raw = raw_idf(F.col("df"), F.col("n_docs"))
+    return F.when(raw < 0, F.lit(epsilon) * F.col("average_idf")).otherwise(raw)
+
+
 def statistics(tf: DataFrame, epsilon: float = K.BM25_EPSILON) -> dict:
     """``corpus_stats`` of the rows of ``doc_terms``."""
     docs = tf.where("first").select("repo_id", "path", "dl")
-    nd = docs.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df_ = tf.groupBy("repo_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df_.join(nd, "repo_id").select("repo_id", "term", "df", raw_idf(F.col("df"), F.col("n_docs")).alias("raw_idf"))
-    avg_idf = raw.groupBy("repo_id").agg(F.avg("raw_idf").alias("average_idf"))
-    idf = (raw.join(avg_idf, "repo_id")
-           .select("repo_id", "term", "df",
-                   F.when(F.col("raw_idf") < 0, F.lit(epsilon) * F.col("average_idf"))
-                   .otherwise(F.col("raw_idf")).alias("idf")))
-    repo = nd.join(avg_idf, "repo_id", "left")
+    counts = file_counts(docs)
+    dfs = tf.groupBy("repo_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    repo = counts.join(average_idf(dfs, counts), "repo_id", "left")
+    idf = dfs.join(repo.where("n_terms IS NOT NULL"), "repo_id").select("repo_id", "term", "df", floored_idf(epsilon).alias("idf"))
     return {"docs": docs, "repo": repo, "tf": tf, "idf": idf}
 
 
@@ -78,14 +93,18 @@ def query_terms(keywords: DataFrame) -> DataFrame:
 def bm25_scores(cands: DataFrame, keywords: DataFrame, k1: float = K.BM25_K1, b: float = K.BM25_B,
                 epsilon: float = K.BM25_EPSILON) -> DataFrame:
     """(repo_id, path, bm25_raw, bm25) for every candidate; bm25 = raw / max(raw) when max > 0."""
+    from ..session import stage
     st = corpus_stats(cands, epsilon)
-    q = query_terms(keywords)
-    # the query's terms with their idf: few rows, met once by the counted terms
-    known = q.join(st["idf"].select("repo_id", "term", "idf"), ["repo_id", "term"]).join(st["repo"].select("repo_id", "avgdl"), "repo_id")
-    hits = (st["tf"].join(known, ["repo_id", "term"])
-            .select("repo_id", "path", (F.col("qn") * F.col("idf") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("s")))
+    # the query's terms are few rows: written, their size is known, and what the files hold of them is picked where the counted terms lie
+    q = stage(query_terms(keywords), "query_terms")
+    hits = stage(st["tf"].join(q, ["repo_id", "term"]).select("repo_id", "term", "path", "dl", "tf", "qn"), "query_hits")
+    # a term's hits are all files that contain it
+    dfs = hits.groupBy("repo_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    known = stage(dfs.join(st["repo"], "repo_id").select("repo_id", "term", floored_idf(epsilon).alias("idf"), "avgdl"), "query_idf")
+    scored = (hits.join(known, ["repo_id", "term"])
+              .select("repo_id", "path", (F.col("qn") * F.col("idf") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("s")))
     none = st["docs"].select("repo_id", "path", F.lit(0.0).alias("s"))
-    raw = hits.unionByName(none).groupBy("repo_id", "path").agg(F.sum("s").alias("bm25_raw"))
+    raw = scored.unionByName(none).groupBy("repo_id", "path").agg(F.sum("s").alias("bm25_raw"))
     return normalised(raw)
 
 

@@ -212,8 +212,7 @@ def q_repo_fits_budget(spark, sf_dir):
 def q_bm25_corpus_stats(spark, sf_dir):
     g = _graph(spark, sf_dir)
     st = LX.corpus_stats(RK.candidates(g.tree))
-    nterms = st["idf"].groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    return (st["repo"].join(nterms, "repo_id")
+    return (st["repo"].where(F.col("n_terms").isNotNull())
             .select("repo_id", "n_docs", r9("avgdl"), r9("average_idf"), "n_terms"))
 
 
