@@ -4,13 +4,16 @@
 
   docs      (repo_id, path, dl)
   repos     (repo_id, n_docs, avgdl, average_idf)
-  terms     (bucket, repo_id, term, df, idf, best)                           best: largest impact of the term in a file
-  postings  (bucket, repo_id, term, level, part, n, best, worst, posts)      posts: array of (path, impact), at most about BLOCK of them
+  terms     (bucket, repo_id, term, df, best)                                best: largest impact of the term in a file
+  postings  (bucket, repo_id, term, level, part, n, best, worst, posts)      posts: array of (path, impact), at most BLOCK of them; worst: null if there is one
 
 ``terms`` and ``postings`` lie in BUCKETS folders by the hash of (repo_id, term), sorted by term: a query opens only the folders of its own terms, and inside
-them only the row groups that can hold one. A term's postings are ordered by impact: LEVELS quantised levels, each in blocks that carry their
+them only the row groups that can hold one. An idf comes from a term's df and its repository's numbers when it is asked for. A term's postings are ordered by impact: LEVELS quantised levels, each in blocks that carry their
 bounds, so a block's header tells what its files can get without reading them.
 
+Two shuffles make the index: the postings are dealt once, by bucket and a hash of (repo_id, term, level), and cut into blocks where they lie; the terms'
+rows are summed up from the blocks' headers.
+
 ``scores`` gives every file's score (files without a query term: 0). ``top`` gives each repository's k best files that hold a query term, after skipping the blocks
 that cannot hold one of them:
 
@@ -24,7 +27,11 @@ that cannot hold one of them:
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +48,7 @@ SLACK = 1e-9
 SCHEMAS = {
     "docs": "repo_id string, path string, dl bigint",
     "repos": "repo_id string, n_docs bigint, avgdl double, average_idf double",
-    "terms": "repo_id string, term string, df bigint, idf double, best double, bucket int",
+    "terms": "repo_id string, term string, df bigint, best double, bucket int",
     "postings": "repo_id string, term string, level int, part int, n bigint, best double, worst double, posts array<struct<path:string,impact:double>>, bucket int",
 }
 
@@ -50,12 +57,59 @@ def _bucket():
     return F.pmod(F.xxhash64("repo_id", "term"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows of df(bucket, ...) dealt in the order of their bucket and of ``place``, a hash of the keys: tasks share a bucket, and a task holds few of them."""
+    places = -(-4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    return df.withColumn("place", F.pmod(F.xxhash64(*keys), F.lit(places)).cast("int")).repartitionByRange("bucket", "place")
+
+
+def _cut(batches, block: int):
+    """Blocks of the rows (bucket, repo_id, term, level, path, impact), in which equal (repo_id, term, level) are neighbours: at most ``block`` rows of equal (repo_id, term, level) each.
+
+    A batch's last block is held back, for the next batch may go on with it.
+    """
+    held, part = None, 0  # the rows of the block held back, and its part
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
+        if not rows:
+            continue
+        cut, held, part = _blocks(rows[0], block, part)
+        yield from cut
+    if held is not None:
+        yield from _blocks(held, block, part, last=True)[0]
+
+
+def _blocks(rows: pa.RecordBatch, block: int, part: int, last: bool = False) -> tuple[list, pa.RecordBatch | None, int]:
+    """(blocks, rows of the last one unless it is the ``last`` of all, its part); ``part``: the part of the first row's block."""
+    bucket, repo, term, level, path, impact = rows.columns
+    n = rows.num_rows
+    new = np.ones(n, bool)
+    if n > 1:
+        new[1:] = reduce(np.logical_or, (pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in (repo, term, level)))
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    inside = np.arange(n) - first
+    starts = np.flatnonzero(inside % block == 0)
+    parts = inside[starts] // block + np.where(first[starts] == 0, part, 0)
+    done = len(starts) if last else len(starts) - 1
+    end = n if last else int(starts[-1])
+    left = None if last else rows.slice(end)
+    if not done:
+        return [], left, int(parts[-1])
+    at, scores = starts[:done], impact.to_numpy()[:end]
+    posts = pa.ListArray.from_arrays(pa.array(np.append(at, end), pa.int32()), pa.StructArray.from_arrays([path.slice(0, end), impact.slice(0, end)], names=["path", "impact"]))
+    pick = lambda c: c.take(pa.array(at))
+    made = [pick(bucket), pick(repo), pick(term), pick(level), pa.array(parts[:done], pa.int32()), pa.array(np.diff(np.append(at, end)), pa.int64()),
+            pa.array(np.maximum.reduceat(scores, at)), pa.array(np.minimum.reduceat(scores, at), mask=np.diff(np.append(at, end)) == 1), posts]
+    return [pa.RecordBatch.from_arrays(made, names=["bucket", "repo_id", "term", "level", "part", "n", "best", "worst", "posts"])], left, int(parts[-1])
+
+
 @dataclass
 class TextIndex:
     spark: SparkSession
     path: str
     k1: float = K.BM25_K1
     b: float = K.BM25_B
+    epsilon: float = K.BM25_EPSILON
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
@@ -75,8 +129,10 @@ class TextIndex:
 
     def weighted(self, keywords: DataFrame) -> DataFrame:
         """(bucket, repo_id, term, weight, best) of the query's terms that the repository has."""
-        q = LX.query_terms(keywords).select(_bucket(), "*")
-        return self.of_terms("terms", q).select("bucket", "repo_id", "term", (F.col("qn") * F.col("idf")).alias("weight"), F.col("best").alias("top"))
+        from ..session import stage
+        q = stage(LX.query_terms(keywords).select(_bucket(), "*"), "index_terms")
+        known = self.of_terms("terms", q).join(self.repos, "repo_id")
+        return known.select("bucket", "repo_id", "term", (F.col("qn") * LX.floored_idf(self.epsilon)).alias("weight"), F.col("best").alias("top"))
 
     def scores(self, keywords: DataFrame) -> DataFrame:
         """(repo_id, path, bm25_raw, bm25) for every file."""
@@ -92,7 +148,7 @@ class TextIndex:
         q = stage(self.weighted(keywords), "index_query")
         blocks = self.of_terms("postings", q.drop("top"))
         # per term and level, at most LEVELS rows: how many files have at least which impact
-        levels = blocks.groupBy("repo_id", "term", "weight", "level").agg(F.sum("n").alias("n"), F.min("worst").alias("worst"))
+        levels = blocks.groupBy("repo_id", "term", "weight", "level").agg(F.sum("n").alias("n"), F.min(F.coalesce("worst", "best")).alias("worst"))
         w = Window.partitionBy("repo_id", "term").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         below = q.groupBy("repo_id").agg(F.sum(F.when(F.col("weight") < 0, F.col("weight") * F.col("top")).otherwise(F.lit(0.0))).alias("below"),
                                          F.sum(F.when(F.col("weight") > 0, F.col("weight") * F.col("top")).otherwise(F.lit(0.0))).alias("above"))
@@ -122,24 +178,24 @@ def build(cands: DataFrame, path: str, k1: float = K.BM25_K1, b: float = K.BM25_
     """Index cands(repo_id, path, content) under ``path`` (a folder on the cluster's shared storage). Whole texts are read once."""
     from ..session import stage
     spark = cands.sparkSession
-    st = LX.statistics(stage(LX.doc_terms(cands), "index_terms"), epsilon)
+    counted = stage(LX.doc_terms(cands), "index_terms")
 
-    index = TextIndex(spark, path, k1, b)
-    st["docs"].write.mode("overwrite").parquet(f"{path}/docs")
-    st["repo"].write.mode("overwrite").parquet(f"{path}/repos")
+    index = TextIndex(spark, path, k1, b, epsilon)
+    counted.where("first").select("repo_id", "path", "dl").write.mode("overwrite").parquet(f"{path}/docs")
+    counts = stage(LX.file_counts(index.docs), "index_counts")
     impact = LX.impact(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
-    posts = st["tf"].join(index.repos.select("repo_id", "avgdl"), "repo_id").select("repo_id", "term", "path", impact.alias("impact"))
-    posts = posts.withColumn("level", F.floor(F.col("impact") * F.lit(LEVELS / (k1 + 1))).cast("int"))
-    # only levels of more than a block are cut, by a hash of the path: these are at most one in BLOCK postings
-    often = (posts.groupBy("repo_id", "term", "level").agg(F.count(F.lit(1)).alias("files")).where(F.col("files") > BLOCK)
-             .select("repo_id", "term", "level", F.ceil(F.col("files") / F.lit(BLOCK)).alias("parts")))
-    parts = F.pmod(F.xxhash64("path"), F.coalesce("parts", F.lit(1))).cast("int")
-    blocks = (posts.join(often, ["repo_id", "term", "level"], "left").groupBy(_bucket(), "repo_id", "term", "level", parts.alias("part"))
-              .agg(F.count(F.lit(1)).alias("n"), F.max("impact").alias("best"), F.min("impact").alias("worst"),
-                   F.collect_list(F.struct("path", "impact")).alias("posts")))
-    (blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "repo_id", F.desc("level"), "part")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-    best = index._read("postings").groupBy("bucket", "repo_id", "term").agg(F.max("best").alias("best"))
-    (st["idf"].join(best, ["repo_id", "term"]).repartition("bucket").sortWithinPartitions("bucket", "term", "repo_id")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms"))
+    posts = counted.join(counts.select("repo_id", "avgdl"), "repo_id").select(_bucket(), "repo_id", "term", "path", impact.alias("impact"))
+    level = F.floor(F.col("impact") * F.lit(LEVELS / (k1 + 1))).cast("int")
+    posts = _dealt(posts.withColumn("level", level), "repo_id", "term", "level")
+    # equal (repo_id, term, level) must lie side by side, in whatever order: one by their hash compares numbers, and texts only where these are equal
+    posts = (posts.withColumn("h", F.xxhash64("repo_id", "term", "level")).sortWithinPartitions("h", "repo_id", "term", "level")
+             .select("bucket", "repo_id", "term", "level", "path", "impact"))
+    block, kinds = BLOCK, "bucket int, repo_id string, term string, level int, part int, n bigint, best double, worst double, posts array<struct<path:string,impact:double>>"
+    blocks = posts.mapInArrow(lambda batches: _cut(batches, block), kinds)
+    (blocks.sortWithinPartitions("bucket", "term", "repo_id", F.desc("level"), "part")
+     .write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings"))
+    heads = _dealt(index._read("postings").select("bucket", "repo_id", "term", "n", "best"), "repo_id", "term")
+    terms = heads.groupBy("bucket", "place", "repo_id", "term").agg(F.sum("n").alias("df"), F.max("best").alias("best")).drop("place")
+    terms.sortWithinPartitions("bucket", "term", "repo_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    counts.join(LX.average_idf(index._read("terms"), counts).drop("n_terms"), "repo_id", "left").write.mode("overwrite").parquet(f"{path}/repos")
     return index

@@ -2,8 +2,10 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
+from codemap import session
 from codemap.operators import lexical as LX
 from codemap.operators import text_index as TI
 
@@ -85,3 +87,54 @@ def test_terms_are_counted_without_a_shuffle(spark):
         for w in set(words):
             assert got.pop((repo, path, w)) == (words.count(w), len(words))
     assert not got
+
+
+def test_blocks_are_cut_alike_whatever_the_batches(spark):
+    rows = [("r", f"t{i // 7 % 5}", i // 40 % 2, f"p{i}", (i * 37 % 11) / 7) for i in range(400)]
+    rows = sorted(rows, key=lambda r: r[:3]) + [("s", "t4", 1, "p", 1.0)]
+    whole = pa.RecordBatch.from_pydict({"bucket": pa.array([3] * len(rows), pa.int32()), "repo_id": [r[0] for r in rows], "term": [r[1] for r in rows], "level": pa.array([r[2] for r in rows], pa.int32()),
+                                        "path": [r[3] for r in rows], "impact": [r[4] for r in rows]})
+    want = {}
+    for repo, term, level, path, impact in rows:
+        want.setdefault((repo, term, level), []).append({"path": path, "impact": impact})
+    for size in (1, 3, 8, 64, len(rows)):
+        got = {}
+        for batch in TI._cut((whole.slice(i, size) for i in range(0, len(rows), size)), 8):
+            for r in batch.to_pylist():
+                own = got.setdefault((r["repo_id"], r["term"], r["level"]), [])
+                scores = [p["impact"] for p in r["posts"]]
+                assert r["part"] * 8 == len(own) and r["n"] == len(scores) <= 8 and (r["best"], r["worst"], r["bucket"]) == (max(scores), min(scores) if len(scores) > 1 else None, 3)
+                own += r["posts"]
+        assert got == want
+    assert list(TI._cut(iter([]), 8)) == [] and list(TI._cut(iter([whole.slice(0, 0)]), 8)) == []
+
+
+def test_no_block_holds_more_than_its_bound_and_terms_add_up(spark, small, tmp_path):
+    cands, _ = corpus(spark, 5)
+    index = TI.build(cands, f"{tmp_path}/index")
+    assert max(len(r.posts) for r in index._read("postings").collect()) == 4
+    want = {}
+    for r in LX.doc_terms(cands).collect():
+        want[r.repo_id, r.term] = want.get((r.repo_id, r.term), 0) + 1
+    assert {(r.repo_id, r.term): r.df for r in index._read("terms").collect()} == want
+
+
+def test_counted_terms_are_not_dealt_to_meet_the_query(spark, monkeypatch):
+    """The query's terms are picked where the counted terms lie, and the average idf is that of every term."""
+    cands, kws = corpus(spark, 6)
+    plans, stage = {}, session.stage
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+
+    monkeypatch.setattr(session, "stage", seen)
+    LX.bm25_scores(cands, kws).collect()
+    assert "BroadcastHashJoin" in plans["query_hits"] and "hashpartitioning" not in plans["query_hits"]
+    st = LX.corpus_stats(cands)
+    n = {r.repo_id: r.n_docs for r in st["repo"].collect()}
+    raw = {}
+    for r in st["tf"].groupBy("repo_id", "term").count().collect():
+        raw.setdefault(r.repo_id, []).append(math.log(n[r.repo_id] - r["count"] + 0.5) - math.log(r["count"] + 0.5))
+    for r in st["repo"].collect():
+        assert r.n_terms == len(raw[r.repo_id]) and math.isclose(r.average_idf, sum(raw[r.repo_id]) / r.n_terms, abs_tol=1e-9)
