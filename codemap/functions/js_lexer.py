@@ -1,7 +1,8 @@
 """JavaScript imports by a lexer with state, as one fold over a file's lexemes in Column expressions.
 
 What a slash, a brace or a quote means depends on what stands before it, so lexemes are cut without a meaning (words, runs of blanks, line ends,
-escape pairs, ``${``, single characters) and a state goes over them from left to right:
+escape pairs, ``${``, single characters) and a state goes over them from left to right. Words that have no part of their own in the state, with the blanks between
+them, are one lexeme: each would leave the state as the last of them does, so a line of prose is a few steps, not two for each word. The state:
 
   m  mode: c code, s / d string, t template text, r regular expression, k class in one, l / b line and block comment
   k  open braces: '{' of code, '$' of a template's ``${``; a '}' that closes a '$' goes back into the template's text
@@ -20,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LEXEME = r"\\[\s\S]|\$\{|(?:[\p{L}\p{N}_]|\$(?!\{))+|[ \t\f\x0B]+|\r\n|[\s\S]"
 #: Words after which a slash begins a regular expression.
 KEYWORDS = ("return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "instanceof", "do", "else", "yield", "await")
+_LETTER = r"(?:[\p{L}\p{N}_]|\$(?!\{))"
+_PLAIN = "(?!(?:" + "|".join(("import", "require", "from", *KEYWORDS)) + ")(?!" + _LETTER + "))" + _LETTER + "++"
+LEXEME = r"\\[\s\S]|\$\{|" + _PLAIN + r"(?:[ \t\f\x0B]++" + _PLAIN + ")*+|" + _LETTER + r"++|[ \t\f\x0B]+|\r\n|[\s\S]"
 
 
 def _case(*pairs: tuple[str, str], otherwise: str) -> str:

@@ -148,3 +148,29 @@ def test_resolution_rules(spark):
     assert ("q", "src/util.py", "app") not in res                    # never across repositories
     edges = {(r.src, r.dst) for r in RS.dependency_edges(RS.resolve_imports(IM.extract_imports(tree), tree)).collect()}
     assert all(a != b for a, b in edges)
+
+
+#: Lexemes with every word and every run of blanks on its own.
+SINGLE_WORDS = r"\\[\s\S]|\$\{|(?:[\p{L}\p{N}_]|\$(?!\{))+|[ \t\f\x0B]+|\r\n|[\s\S]"
+
+
+def test_words_in_one_lexeme_leave_the_state_as_single_ones(spark, monkeypatch):
+    import random
+    from pyspark.sql import functions as F
+    from codemap.functions import js_lexer as JS
+    rnd = random.Random(11)
+    bits = ["import", "require", "from", "return", "important", "of", "a", "b c", "x", "$", "$y", "${", "{", "}", "(", ")", "[", "]", ",", ";", ".", "/", "/*", "*/", "//", "<", "+", "++", "*",
+            "'", '"', "`", "'m'", '"./n"', "require('k')", "import 'z'", "import a from 'q'", "import {a as b} from \"w\"", "\\", "\n", "\r\n", "\u2028", "\t", "it's a word", "é ß 9", " "]
+    texts = [("".join(rnd.choice(bits) + rnd.choice(["", " ", " ", "  "]) for _ in range(rnd.randrange(1, 60))),) for _ in range(1500)]
+    df = spark.createDataFrame(texts, "content string").repartition(4)
+
+    def modules():
+        cut = df.select("content", F.inline(F.array(F.struct(JS.lexemes(F.col("content")).alias("lexemes")))))
+        return sorted((r.content, tuple(r.m)) for r in cut.select("content", JS.modules("lexemes").alias("m")).collect())
+
+    got = modules()
+    assert sum(bool(m) for _, m in got) > 300
+    line = spark.createDataFrame([("many words of prose that say nothing " * 50,)], "c string")
+    assert line.select(F.size(JS.lexemes(F.col("c")))).first()[0] == 4 * 50 + 2  # "of" has a part in the state
+    monkeypatch.setattr(JS, "LEXEME", SINGLE_WORDS)
+    assert modules() == got
