@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..session import delete_on_exit, ensure_checkpoint_dir
 
-EDGES_PER_PARTITION = 2_000_000
+#: Edges of a bucket: at most so many, and at least so many unless there is one bucket. A step's tasks are as many as its buckets, however small these are.
+EDGES_PER_PARTITION, LEAST_EDGES = 2_000_000, 50_000
 #: Nodes and edges of a graph that one task iterates: about 100 MB of a worker's memory.
 IN_TASK = 200_000
 RESULT = "repo_id string, id string, pagerank double, converged boolean, iterations int"
@@ -104,11 +105,15 @@ class _Tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
+def bucket_count(edges: int, default: int) -> int:
+    """Buckets for so many edges: by their number, not by the cluster's number of shuffle partitions, which bounds them only below EDGES_PER_PARTITION."""
+    return max(1, min(default, -(-edges // LEAST_EDGES)), -(-edges // EDGES_PER_PARTITION))
+
+
 def _in_steps(nodes: DataFrame, edges: DataFrame, alpha: float, max_iter: int, tol: float, buckets: int | None, check_every: int) -> DataFrame:
     """The graphs that are spread over the cluster: see the module's text."""
     spark = nodes.sparkSession
-    default = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tables = _Tables(spark, buckets or max(default, -(-edges.count() // EDGES_PER_PARTITION)))
+    tables = _Tables(spark, buckets or bucket_count(edges.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     try:
         outdeg = edges.groupBy("repo_id", "src").agg(F.count(F.lit(1)).alias("deg"))
         weighted = (edges.join(outdeg, ["repo_id", "src"])

@@ -108,3 +108,18 @@ def test_steps_move_neither_state_nor_edges(spark):
         tables.drop()
     dealt = [line for line in plan.splitlines() if "Exchange" in line]
     assert len([line for line in dealt if "hashpartitioning(repo_id" in line and ", id" in line or "dst" in line]) == 1, plan
+
+
+def test_buckets_go_by_the_edges(spark, monkeypatch):
+    """A step has as many tasks as there are buckets: a small graph has one, whatever the number of shuffle partitions."""
+    seen, made = [], PR._Tables.__init__
+
+    def init(self, spark, buckets):
+        seen.append(buckets)
+        made(self, spark, buckets)
+
+    monkeypatch.setattr(PR._Tables, "__init__", init)
+    PR.pagerank(*_frames(spark, {"r": _graph(3, 25, 40)}), in_task=0).collect()
+    assert seen == [1]
+    assert PR.bucket_count(0, 600) == 1 and PR.bucket_count(2_600_000, 600) == 52
+    assert PR.bucket_count(10**9, 600) == 600 and PR.bucket_count(10**10, 600) == 5000
