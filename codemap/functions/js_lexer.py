@@ -14,6 +14,9 @@ them, are one lexeme: each would leave the state as the last of them does, so a
   c  characters of the string
   o  modules found
 
+Only ``import`` and ``require`` begin a search for a module, so when the last of them is over (i is empty) nothing more is found: the fold goes over a file's
+text up to there, and over the whole of it only if REACH characters after the last one are not enough.
+
 A regular expression, and a string in single or double quotes, ends at the line's end at the latest, as an error in the text would else hide the rest.
 """
 from __future__ import annotations
@@ -27,6 +30,11 @@ _LETTER = r"(?:[\p{L}\p{N}_]|\$(?!\{))"
 _PLAIN = "(?!(?:" + "|".join(("import", "require", "from", *KEYWORDS)) + ")(?!" + _LETTER + "))" + _LETTER + "++"
 LEXEME = r"\\[\s\S]|\$\{|" + _PLAIN + r"(?:[ \t\f\x0B]++" + _PLAIN + ")*+|" + _LETTER + r"++|[ \t\f\x0B]+|\r\n|[\s\S]"
 
+#: Characters after the last ``import`` or ``require`` in which its import is looked for first.
+REACH = 200
+#: The text up to REACH characters after the last word that may be one of the two: whole words, also right after an escape pair.
+BEGINNING = r"(?s)^.*(?=[ir])(?:(?<![\p{L}\p{N}_$])|(?<=\\.))(?:import|require)(?!" + _LETTER + ").{0," + str(REACH) + "}"
+
 
 def _case(*pairs: tuple[str, str], otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN {cond} THEN {value}" for cond, value in pairs) + f" ELSE {otherwise} END"
@@ -85,8 +93,30 @@ def lexemes(content: Column) -> Column:
     return F.transform(F.regexp_extract_all(content, F.lit(LEXEME), F.lit(0)), lambda t: F.struct(kind(t).alias("k"), t.alias("t")))
 
 
+def beginning(content: str) -> Column:
+    """The text up to REACH characters after its last ``import`` or ``require``; empty without one."""
+    return F.regexp_extract(content, BEGINNING, 0)
+
+
+def _folded(lexeme_column: str) -> Column:
+    """struct<i, o>: the import that is open after the lexemes, and the modules found."""
+    start = "named_struct('m', 'c', 'k', '', 'p', 'o', 'l', '', 'i', '', 'd', 0, 'a', 'n', 'c', '', 'o', cast(array() as array<string>))"
+    return F.expr(f"aggregate({lexeme_column}, {start}, (s, t) -> {_step()}, s -> named_struct('i', s.i, 'o', s.o))")
+
+
+def _unquoted(found: Column) -> Column:
+    return F.transform(found, lambda m: F.regexp_replace(m, F.lit("^[\"']+|[\"']+$"), F.lit("")))
+
+
 def modules(lexeme_column: str) -> Column:
     """The modules that a file's lexemes import, in order: array<string>."""
-    start = "named_struct('m', 'c', 'k', '', 'p', 'o', 'l', '', 'i', '', 'd', 0, 'a', 'n', 'c', '', 'o', cast(array() as array<string>))"
-    folded = F.expr(f"aggregate({lexeme_column}, {start}, (s, t) -> {_step()}, s -> s.o)")
-    return F.transform(folded, lambda m: F.regexp_replace(m, F.lit("^[\"']+|[\"']+$"), F.lit("")))
+    return _unquoted(_folded(lexeme_column)["o"])
+
+
+def settled_modules(lexeme_column: str) -> Column:
+    """``modules`` of the lexemes of a file's ``beginning``, null if an import is still open at its end.
+
+    The last lexeme may be cut short by that end, so it has no part in this; the others are those of the whole text, or the first words of one of its lexemes.
+    """
+    folded = _folded(f"slice({lexeme_column}, 1, greatest(size({lexeme_column}) - 1, 0))")
+    return F.get(F.transform(F.filter(F.array(folded), lambda f: f["i"] == ""), lambda f: _unquoted(f["o"])), F.lit(0))

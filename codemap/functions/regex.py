@@ -11,11 +11,11 @@ DOTTED_FULL = "^" + DOTTED + "$"
 
 # Line ends as Python reads them, and a backslash at the end of a line.
 LINE_END = r"\r\n?"
-CONTINUATION = r"\\\n"
+CONTINUATION = "\\\n"
 
-# Python strings (with escapes; unclosed ones end nowhere and are no string) and comments.
-PY_STRING_OR_COMMENT = (r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""' + r"|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''"
-                        r'|"(?:[^"\\\n]++|\\.)*+"' + r"|'(?:[^'\\\n]++|\\.)*+'|#[^\n]*")
+# Python strings (with escapes; unclosed ones end nowhere and are no string) and comments. The look-ahead leaves all other characters at once.
+PY_STRING_OR_COMMENT = (r"(?=[\"'#])(?:" r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""' + r"|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''"
+                        r'|"(?:[^"\\\n]++|\\.)*+"' + r"|'(?:[^'\\\n]++|\\.)*+'|#[^\n]*)")
 PY_ITEM = DOTTED + r"(?:[ \t]+as[ \t]+" + IDENT + ")?"
 # A statement starts a line, or follows ';' or the ':' of a one-line compound statement.
 PY_STATEMENT = (r"(?md)(?:^|[;:])[ \t]*(?:import[ \t]+" + PY_ITEM + r"(?:[ \t]*,[ \t]*" + PY_ITEM + r")*[ \t]*(?=;|$)"

@@ -38,9 +38,8 @@ def _python_statement(s):
 
 def python_imports(tree: DataFrame) -> DataFrame:
     """tree -> (repo_id, src, module) for .py files, in one pass over the contents."""
-    code = F.regexp_replace(F.regexp_replace("content", F.lit(R.LINE_END), F.lit("\n")),
-                            F.lit(R.PY_STRING_OR_COMMENT), F.lit(""))
-    code = F.regexp_replace(code, F.lit(R.CONTINUATION), F.lit(" "))
+    lines = F.when(F.col("content").contains("\r"), F.regexp_replace("content", F.lit(R.LINE_END), F.lit("\n"))).otherwise(F.col("content"))
+    code = F.replace(F.regexp_replace(lines, F.lit(R.PY_STRING_OR_COMMENT), F.lit("")), F.lit(R.CONTINUATION), F.lit(" "))
     statements = F.regexp_extract_all(code, F.lit(R.PY_STATEMENT), F.lit(0))
     return (tree.where((F.col("extension") == ".py") & has_content())
             .select("repo_id", F.col("path").alias("src"), F.explode(statements).alias("s"))
@@ -50,11 +49,16 @@ def python_imports(tree: DataFrame) -> DataFrame:
 def javascript_imports(tree: DataFrame) -> DataFrame:
     """tree -> (repo_id, src, module) for .js / .jsx files, in one pass over the contents that name an import at all.
 
-    Lexemes go through a generator, so that the fold sees an attribute and not the expression that cuts them.
+    The beginning that holds all imports is looked through, or the whole text where that does not settle the last one (``js_lexer``). What each step
+    makes goes through a generator, so that the next one sees an attribute and not the expression that makes it.
     """
     files = tree.where(F.col("extension").isin(".js", ".jsx") & has_content() & (F.col("content").contains("import") | F.col("content").contains("require")))
-    cut = files.select("repo_id", F.col("path").alias("src"), F.inline(F.array(F.struct(JS.lexemes(F.col("content")).alias("lexemes")))))
-    return cut.select("repo_id", "src", F.explode(JS.modules("lexemes")).alias("module"))
+    named = files.select("repo_id", F.col("path").alias("src"), F.inline(F.array(F.struct("content", JS.beginning("content").alias("beginning"))))).where("beginning <> ''")
+    cut = named.select("repo_id", "src", F.inline(F.array(F.struct("content", JS.lexemes(F.col("beginning")).alias("lexemes")))))
+    first = cut.select("repo_id", "src", F.inline(F.array(F.struct("content", JS.settled_modules("lexemes").alias("modules")))))
+    rest = F.when(F.col("modules").isNull(), JS.lexemes(F.col("content"))).otherwise(F.array().cast("array<struct<k:string,t:string>>"))
+    full = first.select("repo_id", "src", F.inline(F.array(F.struct("modules", rest.alias("lexemes")))))
+    return full.select("repo_id", "src", F.explode(F.coalesce("modules", JS.modules("lexemes"))).alias("module"))
 
 
 def extract_imports(tree: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from codemap.functions import js_lexer as JL
 from codemap.operators import imports as IM
 from codemap.operators import ingest as I
 from codemap.operators import resolve as RS
@@ -174,3 +177,26 @@ def test_words_in_one_lexeme_leave_the_state_as_single_ones(spark, monkeypatch):
     assert line.select(F.size(JS.lexemes(F.col("c")))).first()[0] == 4 * 50 + 2  # "of" has a part in the state
     monkeypatch.setattr(JS, "LEXEME", SINGLE_WORDS)
     assert modules() == got
+
+
+TAILS = ["", "\n", " rest of the prose, it's long", "\nvar t = `${'x'", "\n/* a", "\nfoo bar impor", "\nx\\import 'z'"]
+HEADS = ["import a from './m'", "require('q')", "import {a,\n  b} from 'late'", "const s = 'it is // no comment'; import 'x';", "\\nimport 'escaped'", "`${require('in')}`",
+         "require(f('no'), 'yes')", "import important", "const $import = 'no'; ", "/x'/.test(y); import 'z'", "import a\n" + "// words\n" * 60 + "from 'far'", "unimport 'no'"]
+
+
+def test_the_beginning_has_the_same_modules_as_the_whole(spark):
+    rows = [(h + t + fill,) for h in HEADS for t in TAILS for fill in ("", ". Plain words, don't end; " * 40, "\nimport\n'later'")]
+    df = spark.createDataFrame(rows, "content string").withColumn("whole", JL.lexemes(F.col("content")))
+    got = (df.withColumn("lexemes", JL.lexemes(JL.beginning("content"))).select("content", JL.settled_modules("lexemes").alias("first"), JL.modules("whole").alias("whole"),
+           F.length(JL.beginning("content")).alias("n")).collect())
+    assert all(r.first is None or r.first == r.whole for r in got)
+    assert any(r.first is None and r.whole for r in got) and sum(r.first is not None and r.whole != [] for r in got) > 50
+    assert any(r.n < len(r.content) / 2 for r in got)
+    found = {(r.src, r.module) for r in IM.javascript_imports(I.ingest(files_df(spark, [("r", f"{i}.js", c) for i, (c,) in enumerate(rows)]))).collect()}
+    assert found == {(f"{i}.js", m) for i, r in enumerate(got) for m in r.whole if r.content == rows[i][0]}
+
+
+def test_prose_after_the_imports_is_not_folded(spark):
+    content = "import a from './m';\nconst b = require('n');\n" + "Plain words, then a stop. " * 10_000
+    n = spark.createDataFrame([(content,)], "content string").select(F.size(JL.lexemes(JL.beginning("content")))).first()[0]
+    assert n < 200
