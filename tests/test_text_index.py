@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from codemap import session
 from codemap.operators import lexical as LX
@@ -138,3 +139,31 @@ def test_counted_terms_are_not_dealt_to_meet_the_query(spark, monkeypatch):
         raw.setdefault(r.repo_id, []).append(math.log(n[r.repo_id] - r["count"] + 0.5) - math.log(r["count"] + 0.5))
     for r in st["repo"].collect():
         assert r.n_terms == len(raw[r.repo_id]) and math.isclose(r.average_idf, sum(raw[r.repo_id]) / r.n_terms, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("in_task", [0, 1000, 10 ** 9])
+def test_equal_frequencies_of_small_and_large_repositories(spark, monkeypatch, in_task):
+    monkeypatch.setattr(LX, "COUNTED_CHARS", 50)
+    cands, _ = corpus(spark, 4)
+    cands = cands.unionByName(spark.createDataFrame([("odd", None, "no path"), ("odd", "", ""), ("odd", "p", "A a\x1cb B​c"), (None, "x", "w0"), ("odd", "p", "twice")], cands.schema))
+    want = {}
+    for r in cands.where("path IS NOT NULL").collect():
+        for word in set(f"{r.path} {r.content or ''}".lower().split()):
+            want[r.repo_id, word] = want.get((r.repo_id, word), 0) + 1
+    equal = {}
+    for (repo, _), df in want.items():
+        if repo is not None:
+            equal[repo, df] = equal.get((repo, df), 0) + 1
+    sizes = cands.groupBy("repo_id").agg(F.sum(F.length(LX.searched_text())).alias("chars"))
+    got = LX.equal_frequencies(cands, sizes, in_task)
+    assert {(r.repo_id, r.df): r.n for r in got.collect() if r.repo_id is not None} == equal
+
+
+def test_query_counts_are_the_terms_asked_for(spark):
+    cands, kws = corpus(spark, 5)
+    q = LX.query_terms(kws)
+    asked = {(r.repo_id, r.term) for r in q.collect()}
+    terms = LX.doc_terms(cands).collect()
+    got = LX.query_counts(cands, q).collect()
+    assert {(r.repo_id, r.path, r.dl, r.term, r.tf) for r in got if r.term} == {(r.repo_id, r.path, r.dl, r.term, r.tf) for r in terms if (r.repo_id, r.term) in asked}
+    assert sorted((r.repo_id, r.path, r.dl) for r in got if r.first) == sorted((r.repo_id, r.path, r.dl) for r in terms if r.first)
