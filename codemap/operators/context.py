@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import paths as P
 from ..functions import regex as R
+from ..session import stage
 from .sorted_lookup import endings
 
 WS_EDGES = "^" + R.PY_WHITESPACE + "|" + R.PY_WHITESPACE + "$"
@@ -88,8 +89,11 @@ def terms_in(terms: list[str], *texts: Column) -> Column:
 
     A loop over an array of constants: its generated code does not grow with the number of terms, and a text is looked at where it lies
     instead of being copied to a row for each term. (A single scan with one alternation for all terms took half as long again.)
+    The texts are bound by an outer loop of one turn, so what makes them (a lowered text) is worked out once and not for each term.
     """
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: P.any_of([x.contains(t) for x in texts]))
+    bound = F.array(F.struct(*[x.alias(f"x{i}") for i, x in enumerate(texts)]))
+    found = lambda s: F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: P.any_of([s[f"x{i}"].contains(t) for i in range(len(texts))]))
+    return F.transform(bound, found)[0]
 
 
 def context_score(path) -> Column:
@@ -193,18 +197,17 @@ def llm_entry_points(raw: DataFrame, tree: DataFrame) -> DataFrame:
     return s.where(F.col("ok") & (F.col("score") >= 4)).select("repo_id", "path", "score")
 
 
+def _valid_scores(files: DataFrame, least: int, tier: int) -> DataFrame:
+    """(repo_id, path, score, tier) of the valid files that have at least a score; the score goes through a generator, so a text is looked through once for it."""
+    scored = (files.select("repo_id", "path", content_or_empty().alias("c")).where(entry_valid("path", F.col("c")))
+              .select("repo_id", "path", F.inline(F.array(F.struct(entry_score("path", F.col("c")).alias("score"))))))
+    return scored.where(F.col("score") >= least).select("repo_id", "path", "score", F.lit(tier).alias("tier"))
+
+
 def fallback_entry_points(ctx_files: DataFrame, tree: DataFrame) -> DataFrame:
     """Tier 1: context files with score >= 4; if a repository has none, tier 2: all files with
     score >= 5. -> (repo_id, path, score, tier)."""
-    t1 = (ctx_files.select("repo_id", "path", content_or_empty().alias("c"))
-          .where(entry_valid("path", F.col("c")))
-          .select("repo_id", "path", entry_score("path", F.col("c")).alias("score"), F.lit(1).alias("tier"))
-          .where(F.col("score") >= 4))
-    t2 = (tree.select("repo_id", "path", content_or_empty().alias("c"))
-          .where(entry_valid("path", F.col("c")))
-          .select("repo_id", "path", entry_score("path", F.col("c")).alias("score"), F.lit(2).alias("tier"))
-          .where(F.col("score") >= 5))
-    both = t1.unionByName(t2)
+    both = stage(_valid_scores(ctx_files, 4, 1).unionByName(_valid_scores(tree, 5, 2)), "fallback_entry_points")
     best_tier = both.groupBy("repo_id").agg(F.min("tier").alias("tier"))
     return both.join(best_tier, ["repo_id", "tier"])
 
@@ -251,7 +254,7 @@ def finalise_context(ctx: DataFrame, repos: DataFrame, tree: DataFrame, ctx_file
     mods = clean_modules(F.coalesce(F.col("main_modules"), empty))
     mods = F.when(F.size(mods) == 0, F.array(*[F.lit(m) for m in K.DEFAULT_MODULES])).otherwise(mods)
     raw_eps = base.select("repo_id", F.posexplode(F.coalesce(F.col("entry_points"), empty)).alias("ep_ord", "raw"))
-    llm = llm_entry_points(raw_eps, tree).withColumn("tier", F.lit(0))
+    llm = stage(llm_entry_points(raw_eps, tree), "llm_entry_points").withColumn("tier", F.lit(0))
     have_llm = llm.select("repo_id").distinct()
     fb = fallback_entry_points(ctx_files, tree).join(have_llm, "repo_id", "left_anti")
     eps = top_entry_points(llm.unionByName(fb.select("repo_id", "path", "score", "tier")).drop("tier"))

@@ -86,3 +86,12 @@ def test_latest_reply_that_parses(spark):
     raw = [("r", 1, '{"narrative_summary": "one"}'), ("r", 2, '{"narrative_summary": "two"}'), ("r", 3, "Sure!"), ("s", 1, "Sure!"), ("s", 2, "No.")]
     parsed = LO.parse_architecture(spark.createDataFrame(raw, "repo_id string, response_id bigint, raw string"))
     assert {(r.repo_id, r.response_id) for r in latest_reply(parsed).collect()} == {("r", 2), ("s", 2)}
+
+
+def test_fallback_files_are_scored_once(spark):
+    """What is read of them afterwards are their scores, not their texts."""
+    tree = I.ingest(files_df(spark, [("r", "main.py", "app = FastAPI()"), ("r", "lib/run.py", "x"), ("s", "lib/run_cli.py", "import argparse\nclick.command"), ("s", "a.py", "y")]))
+    files = CX.context_files(tree, tree.select("repo_id", "path").where("path = 'main.py' OR path = 'a.py'"))
+    got = CX.fallback_entry_points(files, tree)
+    assert "content" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.repo_id, r.path, r.score, r.tier) for r in got.collect()} == {("r", "main.py", 17, 1), ("r", "lib/run.py", 11, 1), ("s", "lib/run_cli.py", 15, 2)}
